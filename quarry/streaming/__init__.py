@@ -1,0 +1 @@
+"""Quarry streaming."""
