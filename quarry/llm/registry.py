@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, mixing, quality, sharding, url_filter
+from quarry.llm import chat, decontaminate, html, language, mixing, quality, sharding, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_mixing": mixing.op2_mixing,
+        "op3_html_text": html.op3_html_text,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_simhash_dedup": simhash.op5_simhash_dedup,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_sharding": sharding.op9_sharding,
+        "op10_language_id": language.op10_language_id,
         "pipeline": corpus_pipeline.run,
     }
 
