@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html, language, mixing, quality, sharding, simhash, url_filter
+from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": chat.op4_chat_format,
         "op5_simhash_dedup": simhash.op5_simhash_dedup,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_suffix_dedup": repeats.op7_suffix_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_sharding": sharding.op9_sharding,
         "op10_language_id": language.op10_language_id,
