@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans import corpus, finance, retrieval
+
 FLAGSHIP = "b3_bm25_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return corpus.QUERIES | retrieval.QUERIES | finance.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return corpus.ORACLES | retrieval.ORACLES | finance.ORACLES
