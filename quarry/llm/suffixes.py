@@ -35,7 +35,8 @@ def suffix_order(t: np.ndarray, need: int, span: int = 1) -> np.ndarray:
     pair = _names(p[mixed], p[mixed + 1]) * wide + rank[mixed + 2]
     before = np.searchsorted(by_next[ones], by_next[zero]) + np.searchsorted(pair[len(zero) :], pair[: len(zero)])
     out = np.empty(n, np.int64)
-    at = before + np.arange(len(zero))
+    # names that cover `need` bytes leave ties in any order, which the two counts may see differently
+    at = np.maximum.accumulate(before) + np.arange(len(zero))
     rest = np.ones(n, bool)
     rest[at] = False
     out[at], out[rest] = zero, order
