@@ -16,11 +16,12 @@ def facts_of(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, part:
     rows = rows.join(supplier.select("s_suppkey", F.col("s_nationkey").alias("company_id")), F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(part.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
     cents = lambda c: F.round(c, 2).cast("decimal(20,2)")
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    exact = lambda c, n=12: F.col(c).cast(f"decimal({n},2)")
+    net = exact("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - exact("l_discount", 4))
     year = rows.groupBy("company_id", "fiscal_year").agg(
         F.sum(cents(net)).cast("decimal(20,2)").alias("revenue"),
-        F.sum(cents(F.col("l_quantity") * F.col("p_retailprice") * 0.5)).cast("decimal(20,2)").alias("operating_cost"),
-        F.sum(cents(net * F.col("l_tax"))).cast("decimal(20,2)").alias("tax"),
+        F.sum(cents(exact("l_quantity") * exact("p_retailprice") * F.lit("0.5").cast("decimal(2,1)"))).cast("decimal(20,2)").alias("operating_cost"),
+        F.sum(cents(net * exact("l_tax", 4))).cast("decimal(20,2)").alias("tax"),
         F.min(F.struct("l_orderkey", "l_linenumber")).alias("line"),
     )
     stacked = F.expr("stack(3, 'revenue', revenue, 'operating_cost', operating_cost, 'tax', tax) AS (metric_id, normalized_value)")

@@ -79,9 +79,9 @@ QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations,
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
-  sum(round(l_extendedprice * (1 - l_discount), 2)::DECIMAL(20,2))::DECIMAL(20,2) AS revenue,
-  sum(round(l_quantity * p_retailprice * 0.5, 2)::DECIMAL(20,2))::DECIMAL(20,2) AS operating_cost,
-  sum(round(l_extendedprice * (1 - l_discount) * l_tax, 2)::DECIMAL(20,2))::DECIMAL(20,2) AS tax, min((l_orderkey, l_linenumber)) AS line
+  sum(round(l_extendedprice::DECIMAL(12,2) * (1::DECIMAL(4,2) - l_discount::DECIMAL(4,2)), 2)::DECIMAL(20,2))::DECIMAL(20,2) AS revenue,
+  sum(round(l_quantity::DECIMAL(12,2) * p_retailprice::DECIMAL(12,2) * 0.5::DECIMAL(2,1), 2)::DECIMAL(20,2))::DECIMAL(20,2) AS operating_cost,
+  sum(round(l_extendedprice::DECIMAL(12,2) * (1::DECIMAL(4,2) - l_discount::DECIMAL(4,2)) * l_tax::DECIMAL(4,2), 2)::DECIMAL(20,2))::DECIMAL(20,2) AS tax, min((l_orderkey, l_linenumber)) AS line
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 fa AS (SELECT company_id, fiscal_year, line, metric_id, normalized_value, format('fact_{}_{}_{}', company_id, fiscal_year, metric_id) AS fact_id FROM (
   SELECT company_id, fiscal_year, line, 'revenue' AS metric_id, revenue AS normalized_value FROM yr UNION ALL SELECT company_id, fiscal_year, line, 'operating_cost', operating_cost FROM yr
@@ -92,11 +92,14 @@ def _ratio(n: str, d: str, ok: str, times: int = 1) -> str:
     return f"CASE WHEN ({ok}) AND ({d}) <> 0 THEN round(({n})::DOUBLE / ({d})::DOUBLE * {times}, 4)::DECIMAL(38,4) END"
 
 
+LINKS = FACTS + """,
+li AS (SELECT fact_id, format('ev_{}_{}', line[1], line[2]) AS evidence_id, company_id, fiscal_year, metric_id FROM fa WHERE crc32(fact_id) % 7 <> 0)"""
+
 ORACLES = {
     "k_facts": f"WITH {FACTS} SELECT fact_id, company_id, fiscal_year, metric_id, normalized_value FROM fa",
     "k1_foreign_keys": """WITH v AS (SELECT 'c_custkey_unknown' AS rule_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'o_orderkey_unknown' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) SELECT rule_id, count(*) AS rows FROM v GROUP BY rule_id""",
-    "k9_contract_violations": f"WITH {FACTS} SELECT 'year_out_of_range' AS rule_id, count(*) AS facts FROM fa WHERE fiscal_year NOT BETWEEN 1990 AND 2100 GROUP BY ALL UNION ALL SELECT 'revenue_negative', count(*) FROM fa WHERE metric_id = 'revenue' AND normalized_value < 0 GROUP BY ALL",
+    "k9_contract_violations": f"WITH {FACTS} SELECT 'year_out_of_range' AS rule_id, count(*) AS facts FROM fa WHERE fiscal_year NOT BETWEEN 1990 AND 2100 HAVING count(*) > 0 UNION ALL SELECT 'revenue_negative', count(*) FROM fa WHERE metric_id = 'revenue' AND normalized_value < 0 HAVING count(*) > 0",
     "k13_unit_normalize": """WITH m AS (SELECT * FROM (VALUES ('hundred_million_yuan', 0, 100000000), ('million_yuan', 1, 1000000), ('ten_thousand_yuan', 2, 10000), ('thousand_yuan', 3, 1000), ('yuan', 4, 1)) v(unit, k, times))
 SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMAL(24,4) * times::DECIMAL(12,0))::DECIMAL(38,4) AS total FROM orders JOIN m ON o_orderkey % 5 = k GROUP BY unit""",
     "k16_disputed_values": "SELECT l_partkey, l_suppkey, count(DISTINCT l_discount) AS n_values FROM lineitem GROUP BY ALL HAVING n_values > 1",

@@ -151,8 +151,8 @@ def _bm25_sql(k: int, keep: str = "TRUE") -> str:
 st AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM tk), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sc0 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score
   FROM qt JOIN post USING (term) JOIN dfs USING (term), st GROUP BY query_id, chunk_id),
-sc AS (SELECT item_id AS query_id, chunk_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN (SELECT chunk_id FROM ck WHERE {keep}) LEFT JOIN sc0 ON sc0.query_id = item_id AND sc0.chunk_id = ck.chunk_id),
-bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM sc QUALIFY rank <= {k})""".replace("CROSS JOIN (SELECT chunk_id FROM ck", "CROSS JOIN (SELECT chunk_id FROM ck").replace(f"WHERE {keep}) LEFT", f"WHERE {keep}) ck LEFT")
+sc AS (SELECT item_id AS query_id, pool.chunk_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN (SELECT chunk_id FROM ck WHERE {keep}) pool LEFT JOIN sc0 ON sc0.query_id = item_id AND sc0.chunk_id = pool.chunk_id),
+bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM sc QUALIFY rank <= {k})"""
 
 
 COVERAGE = """,
@@ -172,7 +172,7 @@ ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS re
 ORACLES = {
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",
-    "f1_filtered_bm25": f"WITH {_bm25_sql(5, 'doc_id IN (SELECT doc_id FROM documents WHERE lang IN (' + chr(39) + 'fr' + chr(39) + ', ' + chr(39) + 'de' + chr(39) + '))')} SELECT * FROM bm",
+    "f1_filtered_bm25": f"WITH {_bm25_sql(5, "doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de'))")} SELECT * FROM bm",
     "v1_vector_violations": "SELECT label, count(*) AS vectors, 0::BIGINT AS violations FROM embeddings GROUP BY label",
     "v2_cosine_search": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
 s AS (SELECT q.id AS query_id, n.id, round(list_inner_product(q.e, n.e) / (q.l * n.l), 9) AS score FROM n q JOIN n ON q.id <> n.id WHERE q.id % 100 = 0)
