@@ -14,7 +14,7 @@ array over all text would move every byte many times over, so the suffixes are f
 3. Answers return to the group of documents that asked, and documents are cut.
 
 Batches keep one row for each segment, however often it repeats, so copies and common passages don't pile up. Hashes
-are 104 bits where segments of all documents meet and 64 bits inside a group of documents.
+are 80 bits where segments of all documents meet and 64 bits inside a group of documents.
 
 Null texts are empty. Documents shorter than a window stay whole. Rows of the same doc_id don't cover one another;
 a null doc_id counts as larger than all others. Long texts are scanned in slices. Empty tables give no rows.
@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, partitions, read
 from quarry.llm.suffixes import suffix_order
 
-WINDOW, ANCHOR, SLICE, HOT = 50, 16, 1 << 20, 256
+WINDOW, ANCHOR, SLICE, HOT, PARTS = 50, 16, 1 << 20, 256, 16
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
+LOW = _U((1 << 40) - 1)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -88,7 +89,7 @@ class Scan:
         self.hashes = Hashes(self.buffer)
         empty = np.zeros(0, np.int64)
         self.doc = self.start = self.end = self.at = empty
-        self.anchor = self.name = np.zeros(0, _U)
+        self.anchor = self.name = self.own = np.zeros(0, _U)
         if n < WINDOW:
             return
         at = np.arange(n - ANCHOR + 1)
@@ -104,7 +105,10 @@ class Scan:
         start, last = good[first], good[np.concatenate([first[1:] - 1, [len(good) - 1]])]
         self.at, self.to = start, last + WINDOW
         self.anchor = anchors[chosen[first]]
-        self.name = self.hashes.of(start, self.to) ^ (self.anchor >> _U(7))
+        # as much of a segment as questions carry: 40 bits of its anchor's hash and 40 of its own
+        self.anchor &= LOW
+        self.own = self.hashes.of(start, self.to) & LOW
+        self.name = (self.anchor << _U(24)) ^ self.own
         own = piece[start]
         shift = np.array([offset for _, offset, _ in pieces]) - (ends - sizes)
         self.doc = np.array([d for d, _, _ in pieces])[own]
@@ -142,6 +146,13 @@ def _unpack(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(b, "<u4" if len(b) == 4 * n else "<i8").astype(np.int64)
 
 
+def _wide(b: bytes, n: int) -> np.ndarray:
+    """Numbers of 5 bytes each."""
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(n, 5)
+    return out.view(_U).ravel()
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """First places of runs of equal keys in sorted arrays."""
     new = np.ones(len(keys[0]), bool)
@@ -161,7 +172,7 @@ def _schema(ddl: str) -> pa.Schema:
 
 ASK = "key long, grp long, base long, n long, anchors binary, names binary, least binary, spread binary"
 TELL = "grp long, kind int, doc_id long, body binary, names binary, mins binary, flags binary"
-CUT = "kind int, grp long, key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, names binary, mins binary, sizes binary"
+CUT = "kind int, grp long, key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, names binary, mins binary, sizes binary, part long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SETTLED, WAITING, SEGMENTS, WINDOWS = 0, 1, 2, 3  # kinds of rows of CUT
 CONTESTED, OWNER, CROWDED = 1, 2, 4  # flags of TELL
@@ -176,27 +187,27 @@ def _ask(keys: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, grp, text) -> the segments that each group of documents asks each shard about."""
-        for b in batches:
+        for b in (b.slice(k, 4000) for b in batches for k in range(0, b.num_rows, 4000)):
             ids, grp = _ids(b.column(0)), b.column(1).to_numpy()
-            found = [(s.doc, s.anchor, s.name) for s in map(Scan, slices([x.as_py() or b"" for x in b.column(2).cast(pa.binary())]))]
+            found = [(s.doc, s.anchor, s.own) for s in map(Scan, slices([x.as_py() or b"" for x in b.column(2).cast(pa.binary())]))]
             if not found:
                 continue
             doc, anchor, name = (np.concatenate(x) for x in zip(*found))
-            shard = ((anchor >> _U(40)) % _U(shards)).astype(np.int64)
+            shard = ((anchor >> _U(8)) % _U(shards)).astype(np.int64)
             groups, g = np.unique(grp, return_inverse=True)
             cell = shard * len(groups) + g[doc]
-            order = np.lexsort((name, cell))
+            order = np.lexsort((name, anchor, cell))
             cell, name, anchor, doc = cell[order], name[order], anchor[order], ids[doc[order]]
-            first = _runs(cell, name)
+            first = _runs(cell, anchor, name)
             if not len(first):
                 continue
             least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             cell, name = cell[first], name[first]
-            short = np.ascontiguousarray(anchor[first]).view(np.uint8).reshape(-1, 8)[:, :5]
+            short = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5] for x in (anchor[first], name)]
             rows, cuts = [], np.append(_runs(cell), len(cell))
             for a, z in zip(cuts[:-1], cuts[1:]):
                 base = int(least[a:z].min())
-                rows.append((keys[cell[a] // len(groups)], int(groups[cell[a] % len(groups)]), base, int(z - a), short[a:z].tobytes(), name[a:z].tobytes(), _pack(least[a:z] - base), _pack(most[a:z] - least[a:z])))
+                rows.append((keys[cell[a] // len(groups)], int(groups[cell[a] % len(groups)]), base, int(z - a), short[0][a:z].tobytes(), short[1][a:z].tobytes(), _pack(least[a:z] - base), _pack(most[a:z] - least[a:z])))
             for k in range(0, len(rows), 5000):
                 yield _table(schema, rows[k : k + 5000])
 
@@ -211,10 +222,8 @@ def _judge():
         parts = []
         for b in batches:
             for _, grp, base, n, anchors, names, least, spread in zip(*[c.to_pylist() for c in b.columns]):
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(anchors, np.uint8).reshape(n, 5)
                 low = _unpack(least, n) + base
-                parts.append((wide.view(_U).ravel(), np.frombuffer(names, _U), low, low + _unpack(spread, n), np.full(n, grp)))
+                parts.append((_wide(anchors, n), _wide(names, n), low, low + _unpack(spread, n), np.full(n, grp)))
         if not parts:
             return
         anchor, name, low, high, grp = (np.concatenate(x) for x in zip(*parts))
@@ -228,6 +237,7 @@ def _judge():
         kinds = np.diff(np.append(by_anchor, len(first)))
         kinds = np.repeat(np.repeat(kinds, kinds), sizes)
         smallest = np.repeat(least, sizes)
+        name = (anchor << _U(24)) ^ name
         own = np.zeros(len(name), bool)
         own[first] = True
         contested = kinds > 1
@@ -301,11 +311,11 @@ def _settle(keys: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answers and documents -> settled documents, documents that wait, and the segments whose windows must be compared."""
         sent: set[int] = set()
-        press = zstandard.ZstdCompressor(level=3)
+        expand = zstandard.ZstdDecompressor()
         for answers, docs in _grouped(batches):
             ids = np.array([LAST if d[0] is None else d[0] for d in docs], dtype=np.int64)
             grp = np.array([d[1] for d in docs], dtype=np.int64)
-            texts = [d[2] for d in docs]
+            texts = [expand.decompress(d[2]) for d in docs]
             covered: list[tuple] = []
             waiting: list[tuple] = []
             asked: list[tuple] = []
@@ -321,7 +331,7 @@ def _settle(keys: list[int]):
                 sent.update(s.name[fresh].tolist())
                 crowd = (flags[fresh] & CROWDED) > 0
                 few, many = fresh[~crowd], fresh[crowd]
-                shard = ((s.anchor[few] >> _U(40)) % _U(shards)).astype(np.int64)
+                shard = ((s.anchor[few] >> _U(8)) % _U(shards * PARTS)).astype(np.int64)
                 for k in range(len(few)):
                     i = few[k]
                     asked.append((SEGMENTS, int(shard[k]), int(grp[s.doc[i]]), int(ids[s.doc[i]]), s.buffer[s.at[i] : s.to[i]].tobytes()))
@@ -342,20 +352,20 @@ def _settle(keys: list[int]):
                 a, z = edges[0][d], edges[0][d + 1]
                 b, y = edges[1][d], edges[1][d + 1]
                 if b == y:
-                    out.append((SETTLED, None, None, docs[d][0], *cut(text, cover[1][a:z], cover[2][a:z]), None, None, None, None))
+                    out.append((SETTLED, None, None, docs[d][0], *cut(text, cover[1][a:z], cover[2][a:z]), None, None, None, None, None))
                 else:
                     known = np.concatenate([cover[1][a:z], cover[2][a:z]]).astype("<i8").tobytes()
                     ask = np.concatenate([wait[1][b:y], wait[2][b:y]]).astype("<i8").tobytes()
-                    out.append((WAITING, int(grp[d]), None, docs[d][0], len(text), None, None, None, press.compress(text), known, ask, None))
+                    out.append((WAITING, int(grp[d]), None, docs[d][0], len(text), None, None, None, docs[d][2], known, ask, None, None))
             joined: dict[tuple[int, int], list[tuple]] = {}
             for row in asked:
                 if row[0] == SEGMENTS:
                     joined.setdefault(row[1:3], []).append(row[3:])
                 else:
-                    out.append((WINDOWS, row[2], keys[row[1]], None, None, None, None, None, None, row[3], row[4], None))
+                    out.append((WINDOWS, row[2], keys[row[1]], None, None, None, None, None, None, row[3], row[4], None, None))
             for (shard, g), rows in joined.items():
                 sizes = np.array([len(x) for _, x in rows], dtype="<i4").tobytes()
-                out.append((SEGMENTS, g, keys[shard], None, None, None, None, None, b"".join(x for _, x in rows), None, np.array([d for d, _ in rows], dtype="<i8").tobytes(), sizes))
+                out.append((SEGMENTS, g, keys[shard % shards], None, None, None, None, None, b"".join(x for _, x in rows), None, np.array([d for d, _ in rows], dtype="<i8").tobytes(), sizes, shard))
             for k in range(0, len(out), 2000):
                 yield _table(schema, out[k : k + 2000])
 
@@ -388,21 +398,20 @@ def _compare():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments and single windows of some shards -> for each group the windows that a smaller doc_id holds."""
-        bodies, sizes, least, grp, singles = [], [], [], [], []
+        parts: dict[int, list[tuple]] = {}
+        singles = []
         for b in batches:
-            for g, body, names, mins, size in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            for g, body, names, mins, size, part in zip(*[b.column(i).to_pylist() for i in range(6)]):
                 if size is not None:
-                    bodies.append(body)
-                    sizes.append(np.frombuffer(size, "<i4"))
-                    least.append(np.frombuffer(mins, "<i8"))
-                    grp.append(np.full(len(sizes[-1]), g))
+                    parts.setdefault(part, []).append((body, np.frombuffer(size, "<i4").astype(np.int64), np.frombuffer(mins, "<i8"), g))
                 else:
                     singles.append((np.frombuffer(names, _U), np.frombuffer(mins, "<i8"), np.full(len(mins) // 8, g)))
         found = []
-        if bodies:
+        for part in sorted(parts):  # a part holds all segments of its anchors
+            bodies, sizes, least, groups = zip(*parts.pop(part))
+            of = np.repeat(groups, [len(x) for x in sizes])
             body = b"".join(bodies)
-            of = np.concatenate(grp)
-            segment, at, smallest = equal_windows(body, np.concatenate(sizes).astype(np.int64), np.concatenate(least))
+            segment, at, smallest = equal_windows(body, np.concatenate(sizes), np.concatenate(least))
             found.append((Hashes(np.frombuffer(body, np.uint8)).of(at, at + WINDOW), smallest, of[segment]))
         if singles:
             name, low, g = (np.concatenate(x) for x in zip(*singles))
@@ -434,7 +443,7 @@ def _finish():
         for answers, docs in _grouped(batches):
             out = []
             for doc_id, _, body, known, ask in docs:
-                text = expand.decompress(body) if body else b""
+                text = expand.decompress(body)
                 starts, ends = np.frombuffer(known, "<i8").reshape(2, -1)
                 a, z = np.frombuffer(ask, "<i8").reshape(2, -1)
                 counts = z - a - WINDOW + 1
@@ -465,12 +474,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = materialize(rows.mapInArrow(_ask(keys), ASK).repartition(n, "key").mapInArrow(_judge(), TELL))
     none = F.lit(None).cast("binary")
 
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield b.set_column(2, "body", pa.array([by.compress(x.as_py()) for x in b.column(2)], pa.binary()))
+
     def with_answers(answers: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
         both = answers.unionByName(docs.select("grp", F.lit(1).alias("kind"), "doc_id", "body", "names", "mins", none.alias("flags")))
         return both.repartition(n, "grp").sortWithinPartitions("kind").mapInArrow(run, schema)
 
-    first = materialize(with_answers(told, rows.select("*", none.alias("names"), none.alias("mins")), _settle(keys), CUT))
-    open_ = first.filter(F.col("kind").isin(SEGMENTS, WINDOWS)).select("grp", "body", "names", "mins", "sizes", "key")
+    first = materialize(with_answers(told, rows.mapInArrow(press, "doc_id long, grp long, body binary").select("*", none.alias("names"), none.alias("mins")), _settle(keys), CUT))
+    open_ = first.filter(F.col("kind").isin(SEGMENTS, WINDOWS)).select("grp", "body", "names", "mins", "sizes", "part", "key")
     told = open_.repartition(n, "key").mapInArrow(_compare(), TELL)
     rest = with_answers(told, first.filter(F.col("kind") == WAITING), _finish(), RESULT)
     return first.filter(F.col("kind") == SETTLED).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(rest)
