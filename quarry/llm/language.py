@@ -4,7 +4,7 @@ A text is read as segments: its words, lower-cased in A-Z, each at most SEGMENT
 further segments). Two gated recurrent layers run over the bytes of a segment, forwards and backwards, and a
 softmax labels every byte position; a document's probability of a language pools the log probabilities of all its
 positions. The network is trained in numpy by backpropagation through time on a bounded sample of
-labelled rows (TRAIN_ROWS rows of each language, those of least hash of their text); prediction covers
+labelled rows (TRAIN_ROWS different texts of each language, those of least hash, each up to TRAIN_CHARS characters); prediction covers
 whole texts, and labels a segment that repeats within a batch of rows once.
 
 lang_pred is `und` with score 0 for null texts and texts without a letter, and for all texts if no row can be
@@ -171,6 +171,8 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
+        if not self.net.languages:
+            return [("und", 0.0)] * len(texts)
         for k in range(0, len(texts), 256):
             part = texts[k : k + 256]
             words = [segments(t) if t and LETTER.search(t) else [] for t in part]
@@ -181,7 +183,7 @@ class Labeller:
                 missing = every
             self._learn(sorted(missing))
             for w in words:
-                if not w or not self.net.languages:
+                if not w:
                     out.append(("und", 0.0))
                     continue
                 s = self.sums[[self.place[x] for x in w]].sum(axis=0) / max(1, sum(map(len, w)) ** 0.5)
@@ -193,9 +195,13 @@ class Labeller:
 
 def fit(rows: DataFrame, per_language: int = TRAIN_ROWS) -> Network:
     """rows(text, lang): a network from at most per_language rows of each language."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    known = rows.filter("lang is not null and text is not null").select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    sample = known.withColumn("_n", rank).filter(F.col("_n") <= per_language).select("lang", "text").collect()
+    known = rows.filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("_h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    # hashes below a bound that leaves about three times the wished rows, so that few rows meet for the ranking
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row per language
+    place = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
+    few = known.join(F.broadcast(sizes), "lang").filter(place * F.col("_n") <= 3 * per_language).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    sample = few.withColumn("_r", rank).filter(F.col("_r") <= per_language).select("lang", "text").collect()
     sample.sort()
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
