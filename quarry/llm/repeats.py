@@ -170,7 +170,7 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-ASK = "key long, grp long, base long, n long, anchors binary, names binary, least binary, spread binary"
+ASK = "key long, base long, n long, groups binary, counts binary, anchors binary, names binary, least binary, spread binary"
 TELL = "grp long, kind int, doc_id long, body binary, names binary, mins binary, flags binary"
 CUT = "kind int, grp long, key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, names binary, mins binary, sizes binary, part long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -204,10 +204,13 @@ def _ask(keys: list[int]):
             least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             cell, name = cell[first], name[first]
             short = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5] for x in (anchor[first], name)]
-            rows, cuts = [], np.append(_runs(cell), len(cell))
+            home = cell // len(groups)
+            rows, cuts = [], np.append(_runs(home), len(cell))
             for a, z in zip(cuts[:-1], cuts[1:]):
-                base = int(least[a:z].min())
-                rows.append((keys[cell[a] // len(groups)], int(groups[cell[a] % len(groups)]), base, int(z - a), short[0][a:z].tobytes(), short[1][a:z].tobytes(), _pack(least[a:z] - base), _pack(most[a:z] - least[a:z])))
+                base, each = int(least[a:z].min()), _runs(cell[a:z])
+                asking = groups[cell[a:z][each] % len(groups)].astype("<i8").tobytes()
+                counts = np.diff(np.append(each, z - a)).astype("<i4").tobytes()
+                rows.append((keys[home[a]], base, int(z - a), asking, counts, short[0][a:z].tobytes(), short[1][a:z].tobytes(), _pack(least[a:z] - base), _pack(most[a:z] - least[a:z])))
             for k in range(0, len(rows), 5000):
                 yield _table(schema, rows[k : k + 5000])
 
@@ -221,9 +224,10 @@ def _judge():
         """The questions to some shards -> for each group the names it must know of, their least doc_id, and flags."""
         parts = []
         for b in batches:
-            for _, grp, base, n, anchors, names, least, spread in zip(*[c.to_pylist() for c in b.columns]):
+            for _, base, n, groups, counts, anchors, names, least, spread in zip(*[c.to_pylist() for c in b.columns]):
                 low = _unpack(least, n) + base
-                parts.append((_wide(anchors, n), _wide(names, n), low, low + _unpack(spread, n), np.full(n, grp)))
+                asking = np.repeat(np.frombuffer(groups, "<i8"), np.frombuffer(counts, "<i4"))
+                parts.append((_wide(anchors, n), _wide(names, n), low, low + _unpack(spread, n), asking))
         if not parts:
             return
         anchor, name, low, high, grp = (np.concatenate(x) for x in zip(*parts))
