@@ -72,3 +72,17 @@ def citation_violations(answers: DataFrame) -> DataFrame:
     inline = F.array_sort(F.array_distinct(citations(F.col("answer"))))
     rules = F.array(F.when(F.size(inline) == 0, "no_citation"), F.when(F.size(F.array_except(inline, "allowed")) > 0, "not_allowed"), F.when(inline != F.array_sort(F.array_distinct("declared")), "differs_from_declared"))
     return answers.select("query_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+
+
+def unresolved_only(hits: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Hits of queries whose base hits did not resolve a fact: only these are widened."""
+    return hits.join(resolved.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def selected_context(hits: DataFrame, decisions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Base hits and chosen candidates, renumbered, with running character totals."""
+    base = hits.select("query_id", F.lit(0).alias("g"), F.col("rank").alias("o"), "chunk_id", F.lit("retrieved").alias("origin"))
+    more = decisions.filter("decision = 'selected'").select("query_id", F.lit(1).alias("g"), F.col("selection_rank").alias("o"), "chunk_id", F.lit("adjacent_page").alias("origin"))
+    rows = base.unionByName(more).join(chunks.select("chunk_id", F.length("text").alias("chars")), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy("g", "o", "chunk_id")
+    return rows.select("query_id", F.row_number().over(w).alias("context_order"), "chunk_id", "origin", "chars", F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("chars_so_far"))

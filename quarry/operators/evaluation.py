@@ -53,3 +53,10 @@ def diagnose(cases: DataFrame, retrieved: DataFrame, expanded: DataFrame) -> Dat
     """Why a case has no support: none indexed, found, found only by expansion, or not retrieved."""
     rows = cases.select("query_id", "n_support").join(retrieved.select("query_id", F.lit(1).alias("r")).distinct(), "query_id", "left").join(expanded.select("query_id", F.lit(1).alias("e")).distinct(), "query_id", "left")
     return rows.select("query_id", F.when(F.col("n_support") == 0, "support_missing").when(F.col("r") == 1, "retrieved").when(F.col("e") == 1, "recovered_by_expansion").otherwise("not_retrieved").alias("outcome"))
+
+
+def group_summary(rows: DataFrame, groups: list[str], outcome: str = "outcome") -> DataFrame:
+    """Counts of outcomes over all rows and by each of the groups, in one pass of grouping sets."""
+    sets = [[outcome], *[[g, outcome] for g in groups]]
+    cols = [F.col(c) for c in (*groups, outcome)]
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.count(F.lit(1)).alias("cases"), F.grouping_id().cast("int").alias("level"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import facts as f
+from quarry.operators import questions
 from quarry.sources.tables import table
 
 
@@ -71,11 +72,36 @@ def l5_fact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(f.ranking(fact_table(spark, sf_dir), "revenue").withColumn("place", F.col("place").cast("long")))
 
 
+def case_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each company and year: retrieve this year's and last year's revenue, calculate the growth, answer."""
+    f_ = fact_table(spark, sf_dir).filter("metric_id = 'revenue'")
+    name = lambda back: F.format_string("fact_%d_%d_revenue", "company_id", F.col("fiscal_year") - back)
+    none, ids = F.lit(None).cast("string"), F.array().cast("array<string>")
+    step = lambda i, a, fact, needs: F.struct(F.lit(i).alias("step_id"), F.lit(a).alias("action"), fact.alias("fact_id"), needs.alias("depends"))
+    steps = F.array(step("s1", "retrieve", name(0), ids), step("s2", "retrieve", name(1), ids), step("s3", "calculate", none, F.array(F.lit("s1"), F.lit("s2"))), step("s4", "answer", none, F.array(F.lit("s3"))))
+    return questions.steps_of(f_.select(F.concat_ws("_", F.lit("case"), "company_id", "fiscal_year").alias("case_id"), steps.alias("steps")))
+
+
+def l4_case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = questions.case_results(questions.execute(case_steps(spark, sf_dir), fact_table(spark, sf_dir)))
+    return out.withColumn("failed_at", F.col("failed_at").cast("long"))
+
+
+def l8_topology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = case_steps(spark, sf_dir)
+    bad = questions.topology_violations(steps).groupBy("case_id").agg(F.count(F.lit(1)).alias("violations"))
+    return steps.groupBy("case_id").agg(F.count(F.lit(1)).alias("steps")).join(bad, "case_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)).cast("long"))
+
+
+def l10_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.run_summary(l4_case_results(spark, sf_dir).withColumn("fiscal_year", F.substring_index("case_id", "_", -1)), ["fiscal_year"])
+
+
 def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k9_contract_violations, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, q1_profit_signal, l5_fact_ranking)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k9_contract_violations, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -92,8 +118,9 @@ def _ratio(n: str, d: str, ok: str, times: int = 1) -> str:
     return f"CASE WHEN ({ok}) AND ({d}) <> 0 THEN round(({n})::DOUBLE / ({d})::DOUBLE * {times}, 4)::DECIMAL(38,4) END"
 
 
-LINKS = FACTS + """,
-li AS (SELECT fact_id, format('ev_{}_{}', line[1], line[2]) AS evidence_id, company_id, fiscal_year, metric_id FROM fa WHERE crc32(fact_id) % 7 <> 0)"""
+CASES = FACTS + """,
+rv AS (SELECT company_id, fiscal_year FROM yr), cs AS (SELECT 'case_' || a.company_id || '_' || a.fiscal_year AS case_id, a.fiscal_year::VARCHAR AS fiscal_year, b.company_id IS NULL AS lost
+  FROM rv a LEFT JOIN rv b ON a.company_id = b.company_id AND b.fiscal_year = a.fiscal_year - 1)"""
 
 ORACLES = {
     "k_facts": f"WITH {FACTS} SELECT fact_id, company_id, fiscal_year, metric_id, normalized_value FROM fa",
@@ -108,5 +135,8 @@ SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMA
     "q1_profit_signal": f"""WITH {FACTS}, b AS (SELECT a.company_id, a.fiscal_year, {_ratio('a.revenue - p.revenue', 'p.revenue', 'p.revenue > 0', 100)} AS up,
   {_ratio('(a.revenue - a.operating_cost) - (p.revenue - p.operating_cost)', 'p.revenue - p.operating_cost', 'p.revenue > p.operating_cost', 100)} AS down FROM yr a JOIN yr p ON a.company_id = p.company_id AND a.fiscal_year = p.fiscal_year + 1)
 SELECT company_id, fiscal_year, up, down, (up - down)::DECIMAL(38,4) AS gap, CASE WHEN up - down >= 20 THEN 'high' WHEN up - down >= 5 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE up > 0 AND down < 0""",
+    "l4_case_results": f"WITH {CASES} SELECT case_id, 4::BIGINT AS steps, CASE WHEN lost THEN 1 ELSE 4 END::BIGINT AS done, lost::BIGINT AS unresolved, CASE WHEN lost THEN 2 ELSE 0 END::BIGINT AS not_run, CASE WHEN lost THEN 1 END::BIGINT AS failed_at, CASE WHEN lost THEN 'failed' ELSE 'completed' END AS case_status FROM cs",
+    "l8_topology_violations": f"WITH {CASES} SELECT case_id, 4::BIGINT AS steps, 0::BIGINT AS violations FROM cs",
+    "l10_run_summary": f"WITH {CASES} SELECT fiscal_year, count(*) AS cases, count(*) FILTER (NOT lost) AS completed, sum(CASE WHEN lost THEN 1 ELSE 4 END)::BIGINT AS steps_done, sum(lost::INT)::BIGINT AS unresolved, sum(CASE WHEN lost THEN 2 ELSE 0 END)::BIGINT AS not_run FROM cs GROUP BY fiscal_year",
     "l5_fact_ranking": f"WITH {FACTS} SELECT fiscal_year, row_number() OVER (PARTITION BY fiscal_year ORDER BY normalized_value DESC, company_id) AS place, company_id, normalized_value FROM fa WHERE metric_id = 'revenue'",
 }

@@ -138,7 +138,14 @@ def n8_method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare_methods(both[0].unionByName(both[1]), ["bm25", "coverage"])
 
 
-QUERIES = {f.__name__: f for f in (b1_index_statistics, b3_bm25_search, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison)}
+def d3_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of questions that have a document, over all and by the question's size."""
+    r = results(spark, sf_dir).join(questions(spark, sf_dir).select("query_id", F.when(F.length("text") < 200, "short").otherwise("long").alias("size")), "query_id")
+    outcome = F.when(F.col("recall_1") == 1, "first").when(F.col("recall_5") == 1, "top_5").when(F.col("first_rank").isNotNull(), "later").otherwise("missed")
+    return evaluation.group_summary(r.withColumn("outcome", outcome), ["size"])
+
+
+QUERIES = {f.__name__: f for f in (b1_index_statistics, b3_bm25_search, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 TOKENS = CHUNKS_SQL + """,
 tk AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ck),
@@ -197,5 +204,8 @@ SELECT query_id, rank, citation, chunk_id, sha256(block) AS block_sha256, length
 round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_at_5 FROM ml HAVING count(*) > 0""",
     "n6_strategy_totals": f"""WITH {METRICS}, z AS (SELECT 'bm25' AS method, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS size, recall_5 FROM ml JOIN benchmark ON item_id = query_id)
 SELECT method, size, count(*) AS cases, sum(recall_5)::BIGINT AS hits_5, grouping(method, size)::INT AS level FROM z GROUP BY ROLLUP (method, size)""",
+    "d3_outcome_summary": f"""WITH {METRICS}, z AS (SELECT CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS size,
+  CASE WHEN recall_1 = 1 THEN 'first' WHEN recall_5 = 1 THEN 'top_5' WHEN first_rank IS NOT NULL THEN 'later' ELSE 'missed' END AS outcome FROM ml JOIN benchmark ON item_id = query_id)
+SELECT size, outcome, count(*) AS cases, grouping(size, outcome)::INT AS level FROM z GROUP BY GROUPING SETS ((outcome), (size, outcome))""",
     "n7_latency": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
 }

@@ -52,3 +52,30 @@ def register_files(spark, path: str, glob: str = "*") -> DataFrame:
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def merge_cases(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFrame]:
+    """(all cases in key order, keys that more than one row holds)."""
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.orderBy(key), repeated_keys(whole, [key])
+
+
+def append_missing(dimension: DataFrame, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(dimension with the rows whose key it lacks, rows whose key it holds with other values)."""
+    new = rows.join(dimension.select(key), key, "left_anti").select(*dimension.columns)
+    clash = rows.select(*dimension.columns).exceptAll(dimension).join(dimension.select(key), key, "left_semi")
+    return dimension.unionByName(new), clash
+
+
+def missing_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Requested (report_id, pdf_page) that are not there."""
+    return wanted.join(pages.select("report_id", "pdf_page"), ["report_id", "pdf_page"], "left_anti")
+
+
+def route_violations(reports: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Reports without an index manifest, or with several."""
+    n = manifests.groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = reports.select("report_id").join(n, "report_id", "left")
+    return rows.select("report_id", F.when(F.col("n").isNull(), "no_index").when(F.col("n") > 1, "several_indexes").alias("rule_id")).filter("rule_id is not null")
