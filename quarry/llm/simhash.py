@@ -29,12 +29,20 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, partitions, read
 from quarry.llm.components import components
 
-SEEDS = (42, 1042, 2042, 3042)  # of the lanes
+SEED = 42
 SAMPLE, BRUTE = 8192, 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = (np.arange(8) * 256).astype(np.intp)
 
 
+def _remix(h: np.ndarray, lane: int) -> np.ndarray:
+    """Further bits of a hash for the lanes after the first: its state moved on and mixed."""
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def fingerprint(text: bytes, shingle: int, lanes: int = 1) -> tuple[list[int], int]:
     """Unsigned fingerprint of each lane, and the number of shingles."""
     words = text.lower().split()
@@ -45,10 +53,10 @@ def fingerprint(text: bytes, shingle: int, lanes: int = 1) -> tuple[list[int], i
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends.tolist()[shingle - 1 :] or ends.tolist()[-1:]
-    n, out = len(ends), []
-    for seed in SEEDS[:lanes]:
-        hash_of = xxhash.xxh64_intdigest
-        h = np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, ends)), dtype=np.uint64, count=n)
+    n, out, hash_of = len(ends), [], xxhash.xxh64_intdigest
+    first = np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=n)
+    for lane in range(lanes):
+        h = _remix(first, lane) if lane else first
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS
         out.append(int(np.packbits((2 * counts.ravel() > n), bitorder="little").view("<u8")[0]))
     return out, n
@@ -69,7 +77,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hamming distances of two arrays of shape (.., lanes)."""
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16) if x.shape[-1] > 1 else np.bitwise_count(x[..., 0] ^ y[..., 0])
+    d = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
+    for lane in range(1, x.shape[-1]):
+        d += np.bitwise_count(x[..., lane] ^ y[..., lane])
+    return d
 
 
 class Join:
@@ -104,8 +115,8 @@ class Join:
                 lo = np.searchsorted(top, self.low[part[0]] * self.ratio)
                 hi = np.searchsorted(self.low[b], self.high[part].max() / self.ratio, side="right")
                 other = b[lo:hi]
-            for m in range(0, len(other), 8192):
-                some = other[m : m + 8192]
+            for m in range(0, len(other), 4096):
+                some = other[m : m + 4096]
                 i, j = np.nonzero(_apart(self.p[part][:, None], self.p[some][None]) <= self.r)
                 i, j = part[i], some[j]
                 if self.ratio > 0:
@@ -236,13 +247,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
     return marks.join(named, "node").select("doc_id", "n_shingles", *lane, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 24, lanes: int = 2, ratio: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 86, lanes: int = 8, ratio: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, one of rows that
     repeat it. Rows with a null doc_id stay, uncompared.
 
     Two texts whose sets of shingles overlap by 0.8 (Jaccard) have vectors at 27 degrees or less and so differ in
-    15 percent of the bits on average: 19.4 of 128, with a standard deviation of 4.1; unrelated texts differ in
-    64, with 5.7. A radius of 24 holds what is at least 0.8 alike, but for chance at the border, and nothing unrelated."""
+    15 percent of the bits on average: 78 of 512, with a standard deviation of 8; unrelated texts differ in 256,
+    with 11. A radius of 86 holds nine in ten of those right at 0.8, nearly all above 0.85 and nearly none below 0.65."""
     known = docs.filter("doc_id is not null")
     groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, ratio)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()

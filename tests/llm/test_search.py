@@ -61,13 +61,13 @@ def test_simhash_components_match_brute_force(spark):
         assert r.f0 & (2**64 - 1) == fp[r.doc_id] and r.component_id == find(r.doc_id)
 
 
-@pytest.mark.parametrize("radius,lanes,ratio", [(4, 1, 0.0), (10, 1, 0.8), (24, 2, 0.8)])
+@pytest.mark.parametrize("radius,lanes,ratio", [(4, 1, 0.0), (10, 1, 0.8), (86, 8, 0.8)])
 def test_join_finds_all_links(radius, lanes, ratio, monkeypatch):
     monkeypatch.setattr(simhash, "BRUTE", 64)
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, (300, lanes), dtype=np.int64).view(np.uint64)
     for k in range(150, 300):
-        x[k] = x[k - 150] ^ np.uint64(rng.integers(0, 2**12))
+        x[k] = x[k - 150] ^ np.uint64(rng.integers(0, 2 ** (12 if lanes == 1 else 18)))
     size = rng.integers(10, 40, 300).astype(float)
     d = simhash._apart(x[:, None], x[None])
     fit = (d <= radius) & (np.minimum(size[:, None], size[None]) >= ratio * np.maximum(size[:, None], size[None]))
