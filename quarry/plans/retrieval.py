@@ -35,12 +35,12 @@ def coverage(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's whole token sequence, found through its rarest start: shared first ten tokens."""
+    """Documents that hold a question's whole token sequence (of five tokens or more), found by its first five tokens."""
     q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.array_join(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.lit(5))), " ").alias("head"), F.least(F.size("tokens"), F.lit(5)).alias("n"))
     d = table(spark, sf_dir, "documents").select("doc_id", ascii_tokens(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") >= 5)
     d = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"), "w")
     heads = d.select("doc_id", "all", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(5)])))).alias("head"))
-    found = heads.join(F.broadcast(q.filter("n = 5").limit(100_000)), "head").filter(F.contains("all", F.concat(F.lit(" "), "seq", F.lit(" "))))
+    found = heads.join(q.filter("n = 5"), "head").filter(F.contains("all", F.concat(F.lit(" "), "seq", F.lit(" "))))
     return found.select("query_id", "doc_id").distinct()
 
 

@@ -1 +1 @@
-"""Quarry streaming."""
+"""Streaming operators. The data that this library covers comes in batches; none is built."""
