@@ -43,35 +43,47 @@ def _remix(h: np.ndarray, lane: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int, lanes: int = 1) -> tuple[list[int], int]:
-    """Unsigned fingerprint of each lane, and the number of shingles."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """A hash of each shingle, in text order and with repeats; a text of fewer words has one of all its words."""
     words = text.lower().split()
     if not words:
-        return [0] * lanes, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends.tolist()[shingle - 1 :] or ends.tolist()[-1:]
-    n, out, hash_of = len(ends), [], xxhash.xxh64_intdigest
-    first = np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=n)
+    hash_of = xxhash.xxh64_intdigest
+    return np.fromiter((hash_of(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(ends))
+
+
+def fingerprint(text: bytes, shingle: int, lanes: int = 1, distinct: bool = False) -> tuple[list[int], int, int]:
+    """Unsigned fingerprint of each lane, the number of shingles and a hash of them; with distinct, of the set of shingles."""
+    first = shingle_hashes(text, shingle)
+    if distinct:
+        first = np.unique(first)
+    n, out = len(first), []
+    mark = xxhash.xxh64_intdigest(first.tobytes(), SEED)
+    if not n:
+        return [0] * lanes, 0, mark
     for lane in range(lanes):
         h = _remix(first, lane) if lane else first
         counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS
         out.append(int(np.packbits((2 * counts.ravel() > n), bitorder="little").view("<u8")[0]))
-    return out, n
+    return out, n, mark
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """docs(doc_id long, text) -> doc_id, n_shingles, f0 .. (longs that hold the unsigned bits)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """docs(doc_id long, text) -> doc_id, n_shingles, shingles_hash, f0 .. (longs that hold the unsigned bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py() or b"", shingle, lanes) for t in b.column(1).cast(pa.binary())]
-            bits = np.array([f for f, _ in found], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in found], pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes)]], ["doc_id", "n_shingles", *[f"f{k}" for k in range(lanes)]])
+            found = [fingerprint(t.as_py() or b"", shingle, lanes, distinct) for t in b.column(1).cast(pa.binary())]
+            bits = np.array([f for f, _, _ in found], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
+            marks = np.array([m for _, _, m in found], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n, _ in found], pa.int64()), pa.array(marks), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes)]], ["doc_id", "n_shingles", "shingles_hash", *[f"f{k}" for k in range(lanes)]])
 
-    schema = "doc_id long, n_shingles long, " + ", ".join(f"f{k} long" for k in range(lanes))
+    schema = "doc_id long, n_shingles long, shingles_hash long, " + ", ".join(f"f{k} long" for k in range(lanes))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -234,11 +246,13 @@ def links(points: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) ->
     return dealt.repartition(n, "pair").groupBy("pair").applyInPandas(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float = 0.0) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, f0 .., component_id (the smallest doc_id reachable), one row per row."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float = 0.0, distinct: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, f0 .., component_id (the smallest doc_id reachable), one row per row.
+
+    With distinct, shingles count once for a text, and texts of different sets of shingles are different points."""
     lane = [f"f{k}" for k in range(lanes)]
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*lane)
-    marks = materialize(fingerprints(docs, shingle, lanes)).withColumn("node", node)
+    node = F.col("shingles_hash") if distinct else F.col("f0") if lanes == 1 else F.xxhash64(*lane)
+    marks = materialize(fingerprints(docs, shingle, lanes, distinct)).withColumn("node", node)
     points = materialize(marks.groupBy("node", *lane).agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")))
     groups = components(links(points, radius, lanes, ratio))
     rooted = points.select("node", "first").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -255,7 +269,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 86, lanes: int = 8
     15 percent of the bits on average: 78 of 512, with a standard deviation of 8; unrelated texts differ in 256,
     with 11. A radius of 86 holds nine in ten of those right at 0.8, nearly all above 0.85 and nearly none below 0.65."""
     known = docs.filter("doc_id is not null")
-    groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, ratio)
+    groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, ratio, distinct=True)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     kept = known.join(stay, "doc_id", "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)

@@ -94,6 +94,12 @@ def test_keep_one_of_each_group(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_links_a_text_with_its_own_lines_repeated(spark):
+    lines = [words(random.Random(k), 10) for k in range(30)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines + lines[:10])), (3, "\n".join(words(random.Random(90 + k), 10) for k in range(30)))]
+    assert {r.doc_id for r in simhash.keep_one(docs_of(spark, rows)).collect()} == {1, 3}
+
+
 def test_components_of_a_long_path(spark):
     path = list(range(0, 400, 3))
     random.Random(2).shuffle(path)
