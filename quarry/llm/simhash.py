@@ -1,7 +1,8 @@
 """SimHash near-duplicates by vantage-point trees over fingerprints.
 
 A fingerprint has 64 bits per lane; a bit is 1 if it is set in over half of the hashes of a text's shingles (with
-repeats). Two fingerprints link if they differ in `radius` bits or less, and groups are connected components.
+repeats). Two fingerprints link if they differ in `radius` bits or less, and groups are connected components. Where a
+similarity is asked for (the pipeline), such links are candidates, and the sets of shingles decide.
 
 Search: distinct fingerprints only. A small vantage-point tree, fitted on a bounded sample (`SAMPLE`
 fingerprints of least hash), splits the space into leaves by Hamming distance; its split values only steer
@@ -31,6 +32,8 @@ from quarry.llm.components import components
 
 SEED = 42
 SAMPLE, BRUTE = 8192, 1 << 20
+#: Sets of shingles that one task compares with each other: in cells of a group, then those left over with the others.
+CELL, PIVOTS, FAR = 256, 16, 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = (np.arange(8) * 256).astype(np.intp)
 
@@ -246,30 +249,115 @@ def links(points: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) ->
     return dealt.repartition(n, "pair").groupBy("pair").applyInPandas(meet, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float = 0.0, distinct: bool = False) -> DataFrame:
+def tie_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of sets (distinct hashes) after every set of left was compared with all sets: sets whose Jaccard similarity
+    is reached share the least label. Pairs that share a label already need no comparison."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark, label = np.zeros(len(values), bool), label.copy()
+    for a in left:
+        if (label == label[0]).all():
+            break
+        own = ids[starts[a] : starts[a] + sizes[a]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+        mark[own] = False
+        near = np.unique(label[both / (sizes + sizes[a] - both) >= similarity])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+    return label
+
+
+def verified(docs: DataFrame, points: DataFrame, groups: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links that span the texts whose sets of shingles are alike, of the candidate groups(node, root).
+
+    docs(doc_id long, text); points(node, first): a document of each different set. A group is dealt into cells of about
+    CELL sets; each cell compares all its pairs, and about PIVOTS sets of the group sit in every cell, so that most of
+    what belongs together is tied at a cost linear in the group. If a large group is then still in parts, every set outside
+    its largest part meets every other set of the group in a task of its cells: no pair of different parts is left out."""
+    spark = docs.sparkSession
+    n = 4 * partitions(spark)
+    members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > CELL)  # at most a CELL-th of the nodes
+    named = members.join(points.select("node", F.col("first").alias("doc_id")), "node").join(F.broadcast(large), "root", "left")
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", shingle)) for t in b.column(3).cast(pa.binary())]
+            # a doc_id that stands for several texts brings them all: only the one that the node is of counts
+            mine = [len(s) > 0 and np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)) == np.int64(k).view(np.uint64) for s, k in zip(sets, b.column(0).to_pylist())]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "root", "g", "shingles"])
+            yield out.filter(pa.array(mine, pa.bool_()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialize(texts.join(named, "doc_id").select("node", "root", "g", "text").mapInArrow(shingle_sets, "node long, root long, g long, shingles binary"))
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        """One cell: rows with second (all, if there is none) against all rows; part is what a set is tied to already."""
+        sets = [np.frombuffer(x, np.uint64) for x in f["shingles"]]
+        node = f["node"].to_numpy(np.int64)
+        _, first, part = np.unique(f["part"].to_numpy(np.int64), return_index=True, return_inverse=True)
+        start = first[part]
+        label = tie_sets(sets, start, np.flatnonzero(f["second"].to_numpy(bool)), similarity)
+        tied = np.flatnonzero(label != start)
+        return pd.DataFrame({"u": node[tied], "v": node[label[tied]]})
+
+    def meet_all(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([meet(part) for _, part in f.groupby(["root", "cell", "other"])], ignore_index=True)
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        bucket = F.pmod(F.xxhash64("root", "cell", "other"), F.lit(n))
+        dealt = dealt.select("node", "root", "shingles", "part", "second", "cell", "other", bucket.alias("bucket"))
+        return materialize(dealt.groupBy("bucket").applyInPandas(meet_all, "u long, v long"))
+
+    place = lambda count, seed: F.pmod(F.xxhash64("node", F.lit(seed)), count)
+    every = lambda count: F.sequence(F.lit(0).cast("long"), count - 1)
+    cells = F.coalesce(F.ceil(F.col("g") / CELL), F.lit(1)).cast("long")
+    pivot = (cells > 1) & (place(cells * (CELL // PIVOTS), 1) == 0)
+    near = rows.withColumn("cell", F.explode(F.when(pivot, every(cells)).otherwise(F.array(place(cells, 2)))))
+    found = links_of(near.select("*", F.lit(0).alias("other"), F.col("node").alias("part"), F.lit(True).alias("second")))
+    if large.isEmpty():
+        return found
+    parts = rows.filter("g is not null").join(components(found).withColumnRenamed("root", "part"), ["node"], "left").withColumn("part", F.coalesce("part", "node"))
+    parts = materialize(parts)
+    counts = parts.groupBy("root", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.max_by("part", F.struct("c", "part")).alias("main"), (F.sum("c") - F.max("c")).alias("r"))
+    split = parts.join(F.broadcast(counts.filter("r > 0")), "root")
+    far, rest = F.ceil(F.col("g") / FAR).cast("long"), F.ceil(F.col("r") / FAR).cast("long")
+    ones = split.select("*", place(far, 3).alias("cell"), F.explode(every(rest)).alias("other"), F.lit(False).alias("second"))
+    others = split.filter("part <> main").select("*", F.explode(every(far)).alias("cell"), place(rest, 4).alias("other"), F.lit(True).alias("second"))
+    return found.unionByName(links_of(ones.unionByName(others)))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float = 0.0, similarity: float = 0.0) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, f0 .., component_id (the smallest doc_id reachable), one row per row.
 
-    With distinct, shingles count once for a text, and texts of different sets of shingles are different points."""
+    With a similarity, fingerprints are of sets of shingles and give candidates only: of those, texts link whose sets have
+    that Jaccard similarity or more. Rows of equal sets are one point."""
+    distinct = similarity > 0
     lane = [f"f{k}" for k in range(lanes)]
     node = F.col("shingles_hash") if distinct else F.col("f0") if lanes == 1 else F.xxhash64(*lane)
     marks = materialize(fingerprints(docs, shingle, lanes, distinct)).withColumn("node", node)
     points = materialize(marks.groupBy("node", *lane).agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")))
     groups = components(links(points, radius, lanes, ratio))
+    if distinct:
+        groups = components(verified(docs, points, groups, shingle, similarity))
     rooted = points.select("node", "first").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     return marks.join(named, "node").select("doc_id", "n_shingles", *lane, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 86, lanes: int = 8, ratio: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 110, lanes: int = 8, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, one of rows that
     repeat it. Rows with a null doc_id stay, uncompared.
 
-    Two texts whose sets of shingles overlap by 0.8 (Jaccard) have vectors at 27 degrees or less and so differ in
-    15 percent of the bits on average: 78 of 512, with a standard deviation of 8; unrelated texts differ in 256,
-    with 11. A radius of 86 holds nine in ten of those right at 0.8, nearly all above 0.85 and nearly none below 0.65."""
+    Texts link if their sets of shingles overlap by similarity (Jaccard) or more, which is computed. Candidates are texts
+    whose fingerprints differ in `radius` bits or less and whose numbers of distinct shingles are within similarity, which
+    bounds the overlap of sets. Sets 0.8 alike have vectors at 27 degrees or less and so differ in 15 percent of the bits
+    on average: 78 of 512, with a standard deviation of 8; a radius of 110 is four of those away."""
     known = docs.filter("doc_id is not null")
-    groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, ratio, distinct=True)
+    groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, similarity, similarity)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     kept = known.join(stay, "doc_id", "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)

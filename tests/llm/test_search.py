@@ -100,6 +100,44 @@ def test_keep_one_links_a_text_with_its_own_lines_repeated(spark):
     assert {r.doc_id for r in simhash.keep_one(docs_of(spark, rows)).collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("cell,far", [(256, 1024), (16, 16)])
+def test_keep_one_compares_sets_of_shingles(spark, cell, far, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    monkeypatch.setattr(simhash, "FAR", far)
+    rng = random.Random(12)
+    rows = []
+    for _ in range(12):  # families whose members lie on both sides of the threshold
+        base = words(rng, 120).split()
+        for _ in range(10):
+            copy = list(base)
+            for k in rng.sample(range(5, 115), rng.randint(0, 5)):
+                copy[k] = words(rng, 1) + "x"
+            rows.append((len(rows), " ".join(copy)))
+    gram = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in gram}
+    for a in gram:
+        for b in gram:
+            if a < b and len(gram[a] & gram[b]) >= 0.8 * len(gram[a] | gram[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    kept = {r.doc_id for r in simhash.keep_one(docs_of(spark, rows)).collect()}
+    assert kept == set(root.values()) and 12 < len(kept) < 120
+
+
+def test_every_pair_of_a_group_is_compared(spark, monkeypatch):
+    for name, value in (("CELL", 8), ("PIVOTS", 1), ("FAR", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    rows = [(i, " ".join(f"w{k}" for k in range(8 * i, 8 * i + 54))) for i in range(60)]  # a path: 42 of 58 are shared by neighbours
+    docs = docs_of(spark, rows)
+    points = simhash.fingerprints(docs, 5, 1, True).selectExpr("shingles_hash AS node", "doc_id AS first").cache()
+    top = points.agg({"node": "min"}).first()[0]
+    found = simhash.verified(docs, points, points.selectExpr("node", f"{top}L AS root").filter(f"node <> {top}"), 5, 42 / 58)
+    groups = components(found)
+    assert groups.count() == 59 and groups.select("root").distinct().count() == 1
+    assert components(simhash.verified(docs, points, points.selectExpr("node", f"{top}L AS root").filter(f"node <> {top}"), 5, 0.73)).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     path = list(range(0, 400, 3))
     random.Random(2).shuffle(path)
