@@ -196,8 +196,10 @@ class Labeller:
 def fit(rows: DataFrame, per_language: int = TRAIN_ROWS) -> Network:
     """rows(text, lang): a network from at most per_language rows of each language."""
     known = rows.filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("_h"), F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    # hashes below a bound that leaves about three times the wished rows, so that few rows meet for the ranking
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row per language
+    # hashes below a bound that leaves about three times the wished texts, so that few rows meet for the ranking; copies
+    # have one hash, so the bound is of the number of different texts
+    different = known.select("lang", "_h").distinct()
+    sizes = different.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))  # a row per language
     place = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
     few = known.join(F.broadcast(sizes), "lang").filter(place * F.col("_n") <= 3 * per_language).groupBy("lang", "_h").agg(F.min("text").alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))

@@ -241,6 +241,15 @@ def test_language_of_held_out_texts(spark):
     assert len(out) == 1000 and (held.lang_pred == held.doc_id.map(lang)).mean() > 0.97 and out.score.between(0, 1).all()
 
 
+def test_training_sample_counts_different_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda texts, langs: seen.update(texts=texts))
+    copies = spark.range(100_000).selectExpr("'the same text' AS text", "'en' AS lang")
+    others = spark.range(30).selectExpr("concat('text ', id) AS text", "'en' AS lang")
+    language.fit(copies.unionByName(others))
+    assert sorted(seen["texts"]) == sorted(["the same text", *[f"text {i}" for i in range(30)]])
+
+
 def test_language_edge_cases(spark):
     net = language.train(["the cat sat on the mat"] * 3 + ["der hund und die katze"] * 3, ["en"] * 3 + ["de"] * 3)
     rows = [(1, None), (2, ""), (3, "123 !?"), (4, "der hund"), (5, "the mat " * 5000), (6, "x" * 5000), (7, "a\0b")]
