@@ -47,9 +47,11 @@ def levels(host: Column) -> tuple[Column, Column]:
 
 
 def reputation(outcomes: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
-    """outcomes(host, bad 0/1) -> host, n, n_bad, bad_mean, bad_bound. Counts are partial sums before the shuffle."""
+    """outcomes(host, bad 0/1) -> host, n, n_bad, bad_mean, bad_bound. Counts are partial sums before the shuffle.
+
+    A null bad counts as no outcome, but its host gets a row: with no outcome of its own, what its domain, suffix and all say."""
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("n_bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("n_bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     world = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("m0"))
@@ -65,7 +67,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, bl
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = base.select("page_id", "host").join(labels.filter("bad is not null"), "page_id").select("host", "bad")
-    scored = base.join(reputation(seen).select("host", "bad_bound"), "host", "left")
+    every = seen.unionByName(base.select("host").distinct().withColumn("bad", F.lit(None).cast(seen.schema["bad"].dataType)))
+    scored = base.join(reputation(every).select("host", "bad_bound"), "host", "left")
     rule = rule_for(F.col("host"), F.col("path"), rules)
     ruled = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.lit(None).cast("map<string,string>")
     scored = scored.select("page_id", "host", "path", rule.alias("rule"), "bad_bound")

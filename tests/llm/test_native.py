@@ -71,6 +71,15 @@ def test_url_rules_and_reputation(spark):
     assert ("bad.site", "block") in verdicts and all(v == "allow" for h, v in verdicts if h != "bad.site")
 
 
+def test_url_without_labels_takes_its_domains_reputation(spark):
+    urls = [f"http://h{i}.bad.com/" for i in range(100)] + [f"http://g{i}.good.com/" for i in range(100)] + ["http://new.bad.com/", "http://new.good.com/", "http://x.unseen.nu/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], "page_id long, bad int")
+    out = {r.page_id: r for r in url_filter.judge(pages, labels, {}).collect()}
+    assert len(out) == len(urls) and all(r.bad_bound is not None for r in out.values())
+    assert [out[i].verdict for i in (200, 201, 202)] == ["block", "allow", "allow"]
+
+
 def test_sharding_balances_and_keeps_copies_together(spark):
     texts = [None, "", "é"] + ["copy"] * 40 + [f"text {i} " * (i % 17 + 1) for i in range(3000)]
     rows = sharding.shard_by_bytes(sharding.by_text(docs_of(spark, texts)), 16).collect()
