@@ -34,19 +34,21 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 def budget(candidates: DataFrame, max_items: int = 2, max_chars: int = 1600) -> DataFrame:
     """Greedy choice in selection_rank order: a candidate that does not fit is skipped, later ones may still fit; after
-    max_items the rest are item_budget. candidates(query_id, selection_rank, chunk_id, n_chars), a bounded list per query."""
-    rows = F.array_sort(F.collect_list(F.struct("selection_rank", "chunk_id", "n_chars")))
-
-    def step(acc, x):
-        fits = acc["chars"] + x["n_chars"] <= max_chars
-        take = (acc["items"] < max_items) & fits
-        said = F.when(acc["items"] >= max_items, "item_budget").when(fits, "selected").otherwise("char_budget")
-        return F.struct((acc["items"] + take.cast("int")).alias("items"), (acc["chars"] + F.when(take, x["n_chars"]).otherwise(0)).alias("chars"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("items"), F.lit(0).alias("chars"), F.array().cast("array<string>").alias("out"))
-    done = candidates.withColumn("n_chars", F.col("n_chars").cast("int")).groupBy("query_id").agg(rows.alias("rows"))
-    done = done.withColumn("decisions", F.aggregate("rows", start, step)["out"])
-    return done.select("query_id", F.explode(F.arrays_zip("rows", "decisions")).alias("x")).select("query_id", "x.rows.selection_rank", "x.rows.chunk_id", "x.rows.n_chars", F.col("x.decisions").alias("decision"))
+    max_items the rest are item_budget. candidates(query_id, selection_rank, chunk_id, n_chars), any number per query.
+
+    Nothing is collected: what fits changes only when something is taken, so the next one taken is the least later candidate that fits."""
+    w = Window.partitionBy("query_id")
+    rows = candidates.select("query_id", F.struct("selection_rank", "chunk_id", F.col("n_chars").cast("int").alias("n_chars")).alias("c"))
+    rows = rows.withColumn("last", F.lit(None).cast(rows.schema["c"].dataType)).withColumn("left", F.lit(max_chars).cast("long"))
+    rows = rows.withColumn("full", F.lit(max_items <= 0)).withColumn("taken", F.lit(False))
+    for k in range(1, max_items + 1):
+        fits = (F.col("c.n_chars") <= F.col("left")) & (F.col("last").isNull() | (F.col("c") > F.col("last")))
+        rows = rows.withColumn("next", F.min(F.when(fits, F.col("c"))).over(w))
+        rows = rows.select("query_id", "c", F.coalesce("next", "last").alias("last"), (F.col("left") - F.coalesce(F.col("next.n_chars"), F.lit(0))).alias("left"),
+                           F.lit(k == max_items) & F.col("next").isNotNull(), F.col("taken") | F.coalesce(F.col("c") == F.col("next"), F.lit(False))).toDF("query_id", "c", "last", "left", "full", "taken")
+    after = F.col("full") & (F.col("last").isNull() | (F.col("c") > F.col("last")))
+    said = F.when(F.col("taken"), "selected").when(after, "item_budget").otherwise("char_budget")
+    return rows.select("query_id", "c.selection_rank", "c.chunk_id", "c.n_chars", said.alias("decision"))
 
 
 def evidence_blocks(hits: DataFrame, chunks: DataFrame, max_hits: int = 5, max_chars: int = 4000) -> DataFrame:

@@ -102,7 +102,7 @@ def x6_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_table(spark, sf_dir)
     pool = context.expand(bm25(spark, sf_dir), chunks).join(chunks.select("chunk_id", "chunk_index", "text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
     ranked = context.rank_candidates(pool).withColumn("n_chars", F.length("text"))
-    return context.budget(ranked.filter("selection_rank <= 100"))
+    return context.budget(ranked)
 
 
 def e1_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

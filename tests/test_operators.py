@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.ranking import numbered
 from quarry.operators import chunking, context, evaluation, facts, fusion, lexical, pages, vectors
+from quarry.plans import retrieval
 from quarry.sources import datasets
 
 
@@ -131,6 +132,17 @@ def test_budget_skips_and_evidence_stops(spark):
     assert sorted((r.query_id, r.rule_id) for r in context.citation_violations(answers).collect()) == [(2, "differs_from_declared"), (2, "no_citation"), (3, "differs_from_declared"), (3, "not_allowed")]
 
 
+def test_context_budget_decides_every_candidate(spark, monkeypatch):
+    hits = spark.createDataFrame([("q", 1, "hit")], "query_id string, rank int, chunk_id string")
+    rows = [("hit", "r", 5, 0, "a b")] + [(f"c{i:03}", "r", 6, i, "a b") for i in range(250)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, report_id string, pdf_page int, chunk_index int, text string")
+    monkeypatch.setattr(retrieval, "bm25", lambda *_: hits)
+    monkeypatch.setattr(retrieval, "chunk_table", lambda *_: chunks)
+    monkeypatch.setattr(retrieval, "questions", lambda *_: spark.createDataFrame([("q", "a b")], "query_id string, text string"))
+    out = {r.selection_rank: r.decision for r in retrieval.x6_context_budget(spark, "").collect()}
+    assert out == {k: "selected" if k <= 2 else "item_budget" for k in range(1, 251)}
+
+
 def test_expand_keeps_the_nearest_anchor(spark):
     chunks = spark.createDataFrame([(f"c{p}", "r", p, 0) for p in range(1, 7)], "chunk_id string, report_id string, pdf_page int, chunk_index int")
     hits = spark.createDataFrame([(1, 1, "c4"), (1, 2, "c2")], "query_id int, rank int, chunk_id string")
