@@ -3,7 +3,7 @@
 A byte goes if a string of `WINDOW` bytes that covers it also starts in a document with a smaller doc_id. One suffix
 array over all text would move every byte many times over, so the suffixes are first dealt out by content:
 
-1. In each window of 50 bytes the 16-byte string of least hash is its anchor, so equal windows have equal
+1. In each window of 50 bytes the 20-byte string of least hash is its anchor, so equal windows have equal
    anchors. Windows in a row with one anchor form a segment. Segments go, as hashes with the least and largest
    doc_id of their batch, to the shard of their anchor. A segment that a smaller doc_id holds in full is covered.
 2. An anchor that stands in one segment only is settled. For the others each different segment's bytes go once, from
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import materialize, partitions, read
 from quarry.llm.suffixes import suffix_order
 
-WINDOW, ANCHOR, SLICE, HOT, PARTS = 50, 16, 1 << 20, 256, 16
+WINDOW, ANCHOR, SLICE, HOT, PARTS = 50, 20, 1 << 17, 256, 16
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 LOW = _U((1 << 40) - 1)
@@ -59,22 +59,31 @@ class Hashes:
         self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[buffer] * Hashes.up[:n], dtype=_U)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (self.sums[end] - self.sums[start]) * Hashes.down[start]
-        x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-        return x ^ (x >> _U(32))
+        return self._mixed((self.sums[end] - self.sums[start]) * Hashes.down[start])
+
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all substrings of one width, in order."""
+        x = self.sums[width:] - self.sums[:-width]
+        x *= Hashes.down[: len(x)]
+        return self._mixed(x)
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        x ^= x >> _U(32)
+        x *= _U(0xD6E8FEB86659FD93)
+        x ^= x >> _U(32)
+        return x
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first least value of each window of `width` values."""
-    n, span = len(h) - width + 1, 1
-    value, place = h, np.arange(len(h), dtype=np.int32)
+    """Place of the first least value of each window of `width` values; values count without their last bits."""
+    bits = _U(len(h).bit_length())
+    value, span = (h >> bits << bits) | np.arange(len(h), dtype=_U), 1
     while span < width:
         step = min(span, width - span)
-        a, b = value[: len(value) - step], value[step:]
-        right = b < a
-        value, place = np.where(right, b, a), np.where(right, place[step:], place[: len(place) - step])
+        value = np.minimum(value[: len(value) - step], value[step:])
         span += step
-    return place[:n]
+    return (value & ((_U(1) << bits) - _U(1))).view(np.int64)
 
 
 class Scan:
@@ -92,24 +101,22 @@ class Scan:
         self.anchor = self.name = self.own = np.zeros(0, _U)
         if n < WINDOW:
             return
-        at = np.arange(n - ANCHOR + 1)
-        anchors = self.hashes.of(at, at + ANCHOR)
+        anchors = self.hashes.every(ANCHOR)
         place = _least(anchors, WINDOW - ANCHOR + 1)
-        piece = np.repeat(np.arange(len(pieces)), sizes)[: n - WINDOW + 1]
-        good = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= ends[piece])
-        if not len(good):
+        # runs of one anchor, cut where pieces begin and before the windows that pass a piece's end
+        edges = np.union1d(np.flatnonzero(place[1:] != place[:-1]) + 1, np.append(0, (ends - sizes)[ends - sizes < len(place)]))
+        own = np.searchsorted(ends, edges, side="right")
+        last = np.minimum(np.append(edges[1:], len(place)) - 1, ends[own] - WINDOW)
+        whole = last >= edges
+        start, last, own = edges[whole], last[whole], own[whole]
+        if not len(start):
             return
-        chosen = place[good]
-        new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (good[1:] != good[:-1] + 1)])
-        first = np.flatnonzero(new)
-        start, last = good[first], good[np.concatenate([first[1:] - 1, [len(good) - 1]])]
         self.at, self.to = start, last + WINDOW
-        self.anchor = anchors[chosen[first]]
+        self.anchor = anchors[place[start]]
         # as much of a segment as questions carry: 40 bits of its anchor's hash and 40 of its own
         self.anchor &= LOW
         self.own = self.hashes.of(start, self.to) & LOW
         self.name = (self.anchor << _U(24)) ^ self.own
-        own = piece[start]
         shift = np.array([offset for _, offset, _ in pieces]) - (ends - sizes)
         self.doc = np.array([d for d, _, _ in pieces])[own]
         self.start, self.end = start + shift[own], self.to + shift[own]
@@ -196,7 +203,9 @@ def _ask(keys: list[int]):
             shard = ((anchor >> _U(8)) % _U(shards)).astype(np.int64)
             groups, g = np.unique(grp, return_inverse=True)
             cell = shard * len(groups) + g[doc]
-            order = np.lexsort((name, anchor, cell))
+            # equal segments of a cell side by side: a few that share the key's bits and stand apart are told twice, no more
+            bits = _U(64 - (shards * len(groups)).bit_length())
+            order = np.argsort((cell.astype(_U) << bits) | (((anchor << _U(24)) ^ name) * _U(_STEP) >> (_U(64) - bits)))
             cell, name, anchor, doc = cell[order], name[order], anchor[order], ids[doc[order]]
             first = _runs(cell, anchor, name)
             if not len(first):
@@ -385,9 +394,11 @@ def equal_windows(body: bytes, sizes: np.ndarray, least: np.ndarray) -> tuple[np
     order = suffix_order(buffer.astype(np.int64) + 1, WINDOW)
     order = order[valid[order]]
     same = np.ones(max(0, len(order) - 1), bool)
-    for k in range(WINDOW):
-        byte = buffer[order + k]
-        same &= byte[1:] == byte[:-1]
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(buffer, np.zeros(7, np.uint8)), 8)
+    eight = np.ascontiguousarray(wide).view(_U).ravel()
+    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+        part = eight[order + k]
+        same &= part[1:] == part[:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
     if not len(first):
         return first, first, first
