@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -274,3 +275,47 @@ def test_html_main_text(spark):
     assert text[10] == text[11] == "" and text[12] == "just text &am &"
     assert text[22] == "Story 2 with words 4"
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_keeps_what_an_article_says(spark):
+    body = "<article><h2 id=related-work>Related {0}</h2><div class='related-work'>Body {0}</div><div id=search-algorithms>Search {0}</div><section class=share-price>Price {0}</section><math>x{0}</math></article>"
+    rows = [(i, "http://a.com/", f"<div class='content with-sidebar'><div id=main-menu>Top{body.format(i)}</div></div>") for i in range(6)]
+    rows += [(20, "http://b.com/", "<div class=sidebar><article>Wrapped</article></div>"), (21, "http://b.com/", "<article><form>f</form></article><p>out</p>"), (22, "http://b.com/", "<p>out</p><aside><article>teaser</article></aside>")]
+    rows += [(30, "http://c.com/", "<article>one</article><p>x</p><div class=comments><article>reader</article></div>")]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[4] == "Related 4 Body 4 Search 4 Price 4 x4"
+    assert text[20] == "Wrapped" and text[21] == "" and text[22] == "out" and text[30] == "one"
+
+
+def test_html_template_texts_and_names_need_several_pages(spark):
+    made = "<body><article><p>Story {0} is longer than the bar</p><div class=x1>Share this page</div><div class=comments>Reader {0}</div></article></body>"
+    rows = [(i, "http://a.com/", made.format(i)) for i in range(8)]
+    rows += [(9, "http://a.com/", "<body><article><p>Story 9 is longer than the bar</p><div class=x1>Share this page</div><div class=comments>r</div><div class='notice box'>One page says so</div></article></body>")]
+    rows += [(20 + i, "http://b.com/", "<body><article><p>The same story</p></article></body>") for i in range(6)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[3] == "Story 3 is longer than the bar" and text[9] == "Story 9 is longer than the bar One page says so" and text[22] == "The same story"
+
+
+def test_html_classes_match_brute_force(spark):
+    rng = random.Random(5)
+    pages = []
+    for i in range(30):
+        extra = "".join(f"<p>{words(rng, 3)}</p>" for _ in range(rng.randint(0, 4)))
+        pages.append(f"<html><body><div class=a><h1>{words(rng, 2)}</h1>{extra}</div>{'<div class=b><i>x</i></div>' if i % 3 else ''}<div class=c>made by</div></body></html>")
+    df = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, page long, html string")
+    got = html.templates(html.outline(df)).first()
+    seen = [html.Page(p) for p in pages]
+    vectors = {t: [p.tokens[t].n if t in p.tokens else 0 for p in seen] for t in {t for p in seen for t in p.tokens}}
+    once = {t for t, v in vectors.items() if v == [1] * len(pages)}
+    parent = {t: p.tokens[t].parent for p in seen for t in p.tokens}
+    assert set(got.skeleton) == {t for t in once if parent[t] in once | {0}} and len(got.skeleton) == 5
+    texts = [{(b.path, b.text) for b in p.blocks} for p in seen]
+    assert set(got.texts) == {html._digest(*t) for t in set.intersection(*texts)} and len(got.texts) == 1
+    assert got.slots == [next(t for t in got.skeleton if seen[0].tokens[t].depth == 3 and seen[0].tokens[t].first == 2)]
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<div>" * 100_000 + "x", "<![CDATA[" * 100_000, '<a x=">' * 100_000, "<i>" * 50_000 + "<p>x" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<a" + " " * 500_000, "</p>" * 100_000, "<script>" + "</scrip" * 100_000])
+def test_html_reads_hostile_pages_in_one_pass(page):
+    began = time.process_time()
+    html.Page(page)
+    assert time.process_time() - began < 20
