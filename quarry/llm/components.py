@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import delete, write_out
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def components(links: DataFrame) -> DataFrame:
     Rounds end when the edges stay the same: their number and the sum of their hashes are compared. No
     step holds a component in one task: minima are partial sums and the joins' hot sides can be split."""
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = materialize(edges), None
+    (edges, path), before = write_out(edges), None
     while True:
         sums = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if sums["n"] == 0 or sums == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = sums
-        edges = materialize(_small_star(_large_star(edges)).distinct())
+        old = path
+        edges, path = write_out(_small_star(_large_star(edges)).distinct())
+        delete(links.sparkSession, old)  # no later step reads the round before
