@@ -14,12 +14,12 @@ counts as not held out. Repeated rows are predicted alike; an empty table gives
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from quarry.llm.common import read
 SEGMENT, HIDDEN, EMBED = 16, 12, 8
 TRAIN_ROWS, TRAIN_CHARS, STEPS, BATCH, RATE = 400, 4000, 500, 512, 0.02
 CACHE = 200_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
