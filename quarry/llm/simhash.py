@@ -4,12 +4,13 @@ A fingerprint has 64 bits per lane; a bit is 1 if it is set in over half of the
 repeats). Two fingerprints link if they differ in `radius` bits or less, and groups are connected components. Where a
 similarity is asked for (the pipeline), such links are candidates, and the sets of shingles decide.
 
-Search: distinct fingerprints only. A small vantage-point tree, fitted on a bounded sample (`SAMPLE`
-fingerprints of least hash), splits the space into leaves by Hamming distance; its split values only steer
-where work goes, so results don't depend on the sample. A fingerprint goes to its own leaf and, for each
-other leaf that the triangle bound cannot rule out, to the shard of that pair of leaves. A task joins one
-pair of leaves exactly, with vantage-point pruning of its own, and gives back a spanning star of what it
-linked instead of all pairs. Rows of equal fingerprints (exact copies) are never joined with each other.
+Search: distinct fingerprints only. A small vantage-point tree, fitted on a sample (`SAMPLE` fingerprints of least
+hash, or 16 for each leaf if that is more), splits the space into leaves by Hamming distance; its split values only
+steer where work goes, so results don't depend on the sample. A fingerprint goes to its own leaf and, for each
+other leaf that the triangle bound cannot rule out, to the shard of that pair of leaves. The tree is as deep as leaves
+of `LEAF` fingerprints ask for; a leaf that ties make larger is dealt into blocks, and each pair of blocks meets in a
+task of its own. A task joins one pair exactly, with vantage-point pruning of its own, and gives back a spanning
+star of what it linked instead of all pairs. Rows of equal fingerprints (exact copies) are never joined with each other.
 
 Null and empty texts have fingerprint zero and link like any other. Words are `[^\\x20\\x09-\\x0D]+` after
 lower-casing A-Z. Repeated rows get the same fingerprint and group. Rows with a null id get a fingerprint
@@ -31,7 +32,7 @@ from quarry.llm.common import materialize, partitions, read
 from quarry.llm.components import components
 
 SEED = 42
-SAMPLE, BRUTE = 8192, 1 << 20
+SAMPLE, LEAF, BRUTE = 8192, 1 << 17, 1 << 20
 #: Sets of shingles that one task compares with each other: in cells of a group, then those left over with the others.
 CELL, PIVOTS, FAR = 256, 16, 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -77,17 +78,17 @@ def fingerprint(text: bytes, shingle: int, lanes: int = 1, distinct: bool = Fals
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """docs(doc_id long, text) -> doc_id, n_shingles, shingles_hash, f0 .. (longs that hold the unsigned bits)."""
+    """docs(doc_id long, text) -> doc_id, text_hash, n_shingles, shingles_hash, f0 .. (longs that hold the unsigned bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [fingerprint(t.as_py() or b"", shingle, lanes, distinct) for t in b.column(1).cast(pa.binary())]
             bits = np.array([f for f, _, _ in found], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
             marks = np.array([m for _, _, m in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n, _ in found], pa.int64()), pa.array(marks), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes)]], ["doc_id", "n_shingles", "shingles_hash", *[f"f{k}" for k in range(lanes)]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n for _, n, _ in found], pa.int64()), pa.array(marks), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(lanes)]], ["doc_id", "text_hash", "n_shingles", "shingles_hash", *[f"f{k}" for k in range(lanes)]])
 
-    schema = "doc_id long, n_shingles long, shingles_hash long, " + ", ".join(f"f{k} long" for k in range(lanes))
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, n_shingles long, shingles_hash long, " + ", ".join(f"f{k} long" for k in range(lanes))
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -214,11 +215,15 @@ def links(points: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) ->
 
     ratio: sizes (a range low .. high for each point) must be within it of each other; 0 sets no limit."""
     spark, lane = points.sparkSession, [f"f{k}" for k in range(lanes)]
-    n = partitions(spark)
-    depth = max(1, int(np.ceil(np.log2(2 * np.sqrt(n)))))
-    sample = points.select(*lane).orderBy(F.xxhash64(*lane)).limit(SAMPLE).collect()
-    tree = Tree(np.array(sample, dtype=np.int64).reshape(-1, lanes).view(np.uint64), depth)
+    n, count = partitions(spark), points.count()
+    depth = max(1, int(np.ceil(np.log2(2 * np.sqrt(n)))), int(np.ceil(np.log2(max(1, count / LEAF)))))
     shards = 1 << depth
+    sample = points.select(*lane).orderBy(F.xxhash64(*lane)).limit(max(SAMPLE, 16 * shards)).collect()
+    sample = np.array(sample, dtype=np.int64).reshape(-1, lanes).view(np.uint64)
+    tree = Tree(sample, depth)
+    row, leaf, home = tree.leaves(sample, 0)
+    shares = np.bincount(leaf[home], minlength=shards) / max(1, len(sample))
+    parts = np.maximum(1, np.ceil(shares * count / (2 * LEAF))).astype(np.int64)  # blocks of each leaf
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -226,16 +231,23 @@ def links(points: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) ->
             row, leaf, home = tree.leaves(x, radius)
             own = np.zeros(len(f), np.int64)
             own[row[home]] = leaf[home]
-            mine = own[row]
+            block = (f["node"].to_numpy(np.int64).view(np.uint64) % parts[own].astype(np.uint64)).astype(np.int64)
+            # one row for each block of the other leaf
+            copies = parts[leaf]
+            other = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            row, leaf = np.repeat(row, copies), np.repeat(leaf, copies)
+            mine, at = own[row], block[row]
+            second = (mine > leaf) | ((mine == leaf) & (at > other))
             out = f.iloc[row].copy()
             out["pair"] = np.minimum(mine, leaf) * shards + np.maximum(mine, leaf)
-            out["second"] = mine > leaf
+            out["cell"] = np.where(second, other << 31 | at, at << 31 | other)
+            out["second"] = second
             yield out
 
     def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         x = np.ascontiguousarray(f[lane].to_numpy(np.int64)).view(np.uint64)
         join = Join(x, f["low"].to_numpy(np.float64), f["high"].to_numpy(np.float64), radius, ratio)
-        if key[0] // shards == key[0] % shards:
+        if key[0] // shards == key[0] % shards and key[1] >> 31 == key[1] & (1 << 31) - 1:
             join.inside(np.arange(len(f)))
         else:
             second = f["second"].to_numpy(bool)
@@ -245,8 +257,8 @@ def links(points: DataFrame, radius: int, lanes: int = 1, ratio: float = 0.0) ->
         return pd.DataFrame({"u": node[tied], "v": node[join.root[tied]]})
 
     fields = "node long, low long, high long, " + ", ".join(f"{c} long" for c in lane)
-    dealt = points.select("node", "low", "high", *lane).mapInPandas(deal, f"{fields}, pair long, second boolean")
-    return dealt.repartition(n, "pair").groupBy("pair").applyInPandas(meet, "u long, v long")
+    dealt = points.select("node", "low", "high", *lane).mapInPandas(deal, f"{fields}, pair long, cell long, second boolean")
+    return dealt.repartition(n, "pair", "cell").groupBy("pair", "cell").applyInPandas(meet, "u long, v long")
 
 
 def tie_sets(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, similarity: float) -> np.ndarray:
@@ -330,7 +342,8 @@ def verified(docs: DataFrame, points: DataFrame, groups: DataFrame, shingle: int
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, ratio: float = 0.0, similarity: float = 0.0) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, f0 .., component_id (the smallest doc_id reachable), one row per row.
+    """docs(doc_id, text) -> doc_id, text_hash, n_shingles, f0 .., root (of the group), component_id (the smallest doc_id
+    reachable), one row per row.
 
     With a similarity, fingerprints are of sets of shingles and give candidates only: of those, texts link whose sets have
     that Jaccard similarity or more. Rows of equal sets are one point."""
@@ -344,13 +357,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: i
         groups = components(verified(docs, points, groups, shingle, similarity))
     rooted = points.select("node", "first").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("node", "component_id")
-    return marks.join(named, "node").select("doc_id", "n_shingles", *lane, "component_id")
+    named = rooted.join(least, "root").select("node", "root", "component_id")
+    return marks.join(named, "node").select("doc_id", "text_hash", "n_shingles", *lane, "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 110, lanes: int = 8, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays, one of rows that
-    repeat it. Rows with a null doc_id stay, uncompared.
+    """The rows of docs without near-duplicates: of each group the row with the smallest doc_id stays (of the smallest
+    hash, if that id has several texts), one of rows that repeat it. Rows with a null doc_id stay, uncompared.
 
     Texts link if their sets of shingles overlap by similarity (Jaccard) or more, which is computed. Candidates are texts
     whose fingerprints differ in `radius` bits or less and whose numbers of distinct shingles are within similarity, which
@@ -358,9 +371,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 110, lanes: int =
     on average: 78 of 512, with a standard deviation of 8; a radius of 110 is four of those away."""
     known = docs.filter("doc_id is not null")
     groups = near_duplicates(known.select("doc_id", "text"), shingle, radius, lanes, similarity, similarity)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = known.join(stay, "doc_id", "left_semi").withColumn("_nth", first).filter("_nth = 1").select(*docs.columns)
+    # rows are told apart by id and text: an id may stand for texts of different groups
+    stay = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_stay_id"), F.col("s.text_hash").alias("_stay_text"))
+    text_hash = F.xxhash64("text")
+    kept = known.join(stay, (F.col("doc_id") == F.col("_stay_id")) & (text_hash == F.col("_stay_text")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", text_hash).orderBy(F.lit(0)))
+    kept = kept.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

@@ -139,6 +139,26 @@ def test_every_pair_of_a_group_is_compared(spark, monkeypatch):
     assert components(simhash.verified(docs, points, points.selectExpr("node", f"{top}L AS root").filter(f"node <> {top}"), 5, 0.73)).count() == 0
 
 
+def test_links_between_blocks_of_a_leaf(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    monkeypatch.setattr(simhash, "SAMPLE", 16)
+    rng = np.random.default_rng(9)
+    x = [0] + [1 << int(k) for k in range(40)] + [int(v) for v in rng.integers(0, 2**62, 120)]  # forty points equally far from each other
+    points = spark.createDataFrame([(i, 1, 1, v) for i, v in enumerate(x)], "node long, low long, high long, f0 long")
+    got = {r.node: r.root for r in components(simhash.links(points, 2)).collect()}
+    label = list(range(len(x)))
+    for _ in range(len(x)):
+        label = [min(label[j] for j in range(len(x)) if (x[i] ^ x[j]).bit_count() <= 2) for i in range(len(x))]
+    assert [got.get(i, i) for i in range(len(x))] == label
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c = (words(random.Random(k), 60) for k in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, c), (3, a), (1, a), (4, b + " end")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs_of(spark, rows)).collect()]
+    assert sorted(kept) == sorted([(1, a), (1, b), (2, c)])
+
+
 def test_components_of_a_long_path(spark):
     path = list(range(0, 400, 3))
     random.Random(2).shuffle(path)
@@ -253,9 +273,9 @@ def test_training_sample_counts_different_texts(spark, monkeypatch):
 
 def test_language_edge_cases(spark):
     net = language.train(["the cat sat on the mat"] * 3 + ["der hund und die katze"] * 3, ["en"] * 3 + ["de"] * 3)
-    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "der hund"), (5, "the mat " * 5000), (6, "x" * 5000), (7, "a\0b")]
+    rows = [(1, None), (2, ""), (3, "123 !?"), (4, "der hund"), (5, "the mat " * 5000), (6, "x" * 5000), (7, "a\0b"), (8, "² ½ Ⅷ ① _"), (4, "der hund")]
     got = {r.doc_id: r.lang_pred for r in language.predict(docs_of(spark, rows), net).collect()}
-    assert got[1] == got[2] == got[3] == "und" and got[4] == "de" and got[5] == "en" and got[6] in ("en", "de") and got[7] in ("en", "de")
+    assert got[1] == got[2] == got[3] == got[8] == "und" and got[4] == "de" and got[5] == "en" and got[6] in ("en", "de") and got[7] in ("en", "de")
     nothing = language.fit(spark.createDataFrame([], "text string, lang string"))
     assert [r.lang_pred for r in language.predict(docs_of(spark, [(1, "words")]), nothing).collect()] == ["und"]
 
