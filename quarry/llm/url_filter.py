@@ -1,8 +1,10 @@
 """URL filters: explicit rules first, else a reputation learned from labelled pages by empirical Bayes.
 
 Bad outcomes shrink from host to registered domain to suffix: each level's beta prior is centred on the
-posterior mean of the level above, with `strength` pseudo-pages. A host is blocked if the lower bound
-of its posterior bad rate (mean - z standard deviations) passes `block_above`.
+posterior mean of the level above. Its strength in pseudo-pages is learned too, by moments: how much more the outcomes
+of a level's members spread round the rate of the level above than draws at that rate would (1 to 1000; STRENGTH where no
+member has two labelled pages). Every host of a page has a posterior, with or without labels of its own. A host is
+blocked if the lower bound of its posterior bad rate (mean - z standard deviations) passes `block_above`.
 
 Null or scheme-less urls have an empty host and path: no rule fits them and they share the reputation
 of the empty host. Null labels are ignored. Repeated pages are judged one by one and repeated labels
@@ -21,6 +23,7 @@ RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "e
 #: Two-label public suffixes; others have one label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "com.cn", "co.in", "co.nz", "com.mx")
 STRENGTH, Z, BLOCK_ABOVE = 8.0, 1.645, 0.5
+WEAKEST, STRONGEST = 1, 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,7 +49,15 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def reputation(outcomes: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
+def strength_of(members: DataFrame, n: str, bad: str, rate: Column, name: str) -> DataFrame:
+    """One row: the strength of a beta prior round `rate` for members with n outcomes of which bad are bad."""
+    draws = F.col(n) * rate * (1 - rate)
+    excess, room = F.sum(F.pow(F.col(bad) - F.col(n) * rate, 2) - draws), F.sum(draws * (F.col(n) - 1))
+    strength = F.when(excess * (STRONGEST + 1) <= room, F.lit(float(STRONGEST))).otherwise(F.greatest(room / excess - 1, F.lit(float(WEAKEST))))
+    return members.filter(F.col(n) > 0).agg(F.when(room > 0, strength).otherwise(F.lit(STRENGTH)).alias(name))
+
+
+def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """outcomes(host, bad 0/1) -> host, n, n_bad, bad_mean, bad_bound. Counts are partial sums before the shuffle.
 
     A null bad counts as no outcome, but its host gets a row: with no outcome of its own, what its domain, suffix and all say."""
@@ -54,12 +65,16 @@ def reputation(outcomes: DataFrame, strength: float = STRENGTH, z: float = Z) ->
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad")).select("*", domain.alias("domain"), suffix.alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("n_bad").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    world = suffixes.agg(((F.coalesce(F.sum("sb"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 2)).alias("m0"))
-    top = suffixes.join(F.broadcast(world)).select("suffix", ((F.col("sb") + strength * F.col("m0")) / (F.col("sn") + strength)).alias("m1"))
-    mid = domains.join(top, "suffix").select("domain", ((F.col("db") + strength * F.col("m1")) / (F.col("dn") + strength)).alias("m2"))
-    a, b = F.col("n_bad") + strength * F.col("m2"), F.col("n") - F.col("n_bad") + strength * (1 - F.col("m2"))
+    world = suffixes.agg(F.coalesce(F.sum("sn"), F.lit(0)).alias("wn"), F.coalesce(F.sum("sb"), F.lit(0)).alias("wb"))
+    # one row each: strengths of hosts in domains, domains in suffixes, suffixes in all
+    k1 = strength_of(suffixes.join(F.broadcast(world)), "sn", "sb", F.col("wb") / F.col("wn"), "k1")
+    k2 = strength_of(domains.join(suffixes, "suffix"), "dn", "db", F.col("sb") / F.col("sn"), "k2")
+    k3 = strength_of(hosts.join(domains.drop("suffix"), "domain"), "n", "n_bad", F.col("db") / F.col("dn"), "k3")
+    top = suffixes.join(F.broadcast(world)).join(F.broadcast(k1)).select("suffix", ((F.col("sb") + F.col("k1") * (F.col("wb") + 1) / (F.col("wn") + 2)) / (F.col("sn") + F.col("k1"))).alias("m1"))
+    mid = domains.join(top, "suffix").join(F.broadcast(k2)).select("domain", ((F.col("db") + F.col("k2") * F.col("m1")) / (F.col("dn") + F.col("k2"))).alias("m2"))
+    a, b = F.col("n_bad") + F.col("k3") * F.col("m2"), F.col("n") - F.col("n_bad") + F.col("k3") * (1 - F.col("m2"))
     mean, spread = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(mid, "domain").select("host", "n", "n_bad", mean.alias("bad_mean"), (mean - z * spread).alias("bad_bound"))
+    return hosts.join(mid, "domain").join(F.broadcast(k3)).select("host", "n", "n_bad", mean.alias("bad_mean"), (mean - z * spread).alias("bad_bound"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES, block_above: float = BLOCK_ABOVE) -> DataFrame:
@@ -93,17 +108,23 @@ def oracle_sql() -> str:
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
-o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels ON doc_id = page_id),
-h0 AS (SELECT host, count(*) AS n, sum(bad) AS b, string_split(host, '.') AS x FROM o GROUP BY host),
-h AS (SELECT *, array_to_string(x[-2:], '.') IN ({twos}) AS l2 FROM h0),
-h2 AS (SELECT host, n, b, CASE WHEN l2 THEN array_to_string(x[-3:], '.') ELSE array_to_string(x[-2:], '.') END AS dom,
-         CASE WHEN l2 THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suf FROM h),
-d AS (SELECT dom, suf, sum(n) AS n, sum(b) AS b FROM h2 GROUP BY dom, suf),
-s AS (SELECT suf, sum(n) AS n, sum(b) AS b FROM d GROUP BY suf),
-w AS (SELECT (coalesce(sum(b), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m0 FROM s),
-s1 AS (SELECT suf, (b + {STRENGTH} * m0) / (n + {STRENGTH}) AS m1 FROM s, w),
-d1 AS (SELECT dom, (b + {STRENGTH} * m1) / (n + {STRENGTH}) AS m2 FROM d JOIN s1 USING (suf)),
-ab AS (SELECT host, b + {STRENGTH} * m2 AS a, n - b + {STRENGTH} * (1 - m2) AS c FROM h2 JOIN d1 USING (dom)),
+o AS (SELECT host, CASE WHEN doc_id IS NULL THEN NULL WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM p LEFT JOIN labels ON doc_id = page_id),
+h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, string_split(host, '.') AS x FROM o GROUP BY host),
+h1 AS (SELECT *, array_to_string(x[-2:], '.') IN ({twos}) AS l2 FROM h0),
+h AS (SELECT host, n, b, CASE WHEN l2 THEN array_to_string(x[-3:], '.') ELSE array_to_string(x[-2:], '.') END AS dom,
+        CASE WHEN l2 THEN array_to_string(x[-2:], '.') ELSE x[-1] END AS suf FROM h1),
+d AS (SELECT dom, suf, sum(n) AS dn, sum(b) AS db FROM h GROUP BY dom, suf),
+s AS (SELECT suf, sum(dn) AS sn, sum(db) AS sb FROM d GROUP BY suf),
+w AS (SELECT coalesce(sum(sn), 0) AS wn, coalesce(sum(sb), 0) AS wb FROM s),
+m AS (SELECT 1 AS level, sn AS n, sb AS b, wb / wn AS r FROM s, w WHERE sn > 0
+      UNION ALL SELECT 2, dn, db, sb / sn FROM d JOIN s USING (suf) WHERE dn > 0
+      UNION ALL SELECT 3, n, b, db / dn FROM h JOIN d USING (dom) WHERE n > 0),
+v AS (SELECT level, sum((b - n * r) ** 2 - n * r * (1 - r)) AS excess, sum(n * r * (1 - r) * (n - 1)) AS room FROM m GROUP BY level),
+k0 AS (SELECT level, CASE WHEN NOT room > 0 THEN {STRENGTH} WHEN excess * {STRONGEST + 1} <= room THEN {STRONGEST} ELSE greatest(room / excess - 1, {WEAKEST}) END AS k FROM v),
+k AS (SELECT coalesce(max(k) FILTER (level = 1), {STRENGTH}) AS k1, coalesce(max(k) FILTER (level = 2), {STRENGTH}) AS k2, coalesce(max(k) FILTER (level = 3), {STRENGTH}) AS k3 FROM k0),
+s1 AS (SELECT suf, (sb + k1 * (wb + 1) / (wn + 2)) / (sn + k1) AS m1 FROM s, w, k),
+d1 AS (SELECT dom, (db + k2 * m1) / (dn + k2) AS m2 FROM d JOIN s1 USING (suf), k),
+ab AS (SELECT host, b + k3 * m2 AS a, n - b + k3 * (1 - m2) AS c FROM h JOIN d1 USING (dom), k),
 r AS (SELECT host, a / (a + c) - {Z} * sqrt(a * c / ((a + c) * (a + c) * (a + c + 1))) AS bound FROM ab),
 q AS (SELECT page_id, host, path, CASE
 {cases}

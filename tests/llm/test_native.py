@@ -134,3 +134,56 @@ def test_digest_query_shape(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert out.n_turns == 2 and out.loss_chars == len(said) and out.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert out.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_strength_follows_the_spread_of_hosts(spark):
+    alike = [(f"h{i}.a.com", int(k < 3)) for i in range(20) for k in range(10)]
+    apart = [(f"h{i}.b.com", int(i < 6)) for i in range(20) for k in range(10)]
+    means = []
+    for rows in (alike, apart):
+        out = url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()
+        means.append(max(r.bad_mean for r in out) - min(r.bad_mean for r in out))
+    assert means[0] < 0.02 and means[1] > 0.8
+
+
+def test_schedule_matches_a_slot_by_slot_simulation():
+    from fractions import Fraction
+
+    blocks, parts = {"a": 50, "b": 7, "c": 23, "d": 0, "e": 1}, {"a": 5, "b": 2, "c": 2, "d": 1, "e": 1}
+    got = {}
+    for source, _, first, last, start, period, slots in mixing.phases(blocks, parts):
+        for k in range(first, last):
+            n = k - first
+            got[start + n // len(slots) * period + slots[n % len(slots)]] = (source, k)
+    done, slot, want = dict.fromkeys(blocks, 0), 0, {}
+    while any(done[s] < blocks[s] for s in blocks):
+        active = [s for s in sorted(blocks) if done[s] < blocks[s]]
+        weight = {s: Fraction(parts[s], sum(parts[x] for x in active)) for s in active}
+        began, base = slot, dict(done)
+        while all(done[s] < blocks[s] for s in active):
+            window = {s: ((done[s] - base[s]) / weight[s] // 1, -(-(done[s] - base[s] + 1) // weight[s])) for s in active}
+            ready = [(window[s][1], s) for s in active if window[s][0] <= slot - began]
+            chosen = min(ready)[1]
+            want[slot] = (chosen, done[chosen])
+            done[chosen], slot = done[chosen] + 1, slot + 1
+    assert got == want and sorted(got) == list(range(sum(blocks.values())))
+
+
+def test_shards_match_prefix_sums_in_plain_python(spark):
+    texts = [None, "", "é"] + ["copy " * 30] * 400 + [f"text {i} " * (i % 17 + 1) for i in range(600)]
+    rows = sharding.by_text(docs_of(spark, texts).unionByName(docs_of(spark, ["twice"]))).cache()
+    got = sorted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_by_bytes(rows, 7, 0.05).collect())
+    order = sorted(rows.collect(), key=lambda r: (r._bucket, r._group, r._spread, r.doc_id))
+    total, group, at = sum(r["size"] for r in order), {}, 0
+    for r in order:
+        group.setdefault((r._bucket, r._group), [at, 0])[1] += r["size"]
+        at += r["size"]
+    at, want, slots = 0, [], {}
+    for r in order:
+        start, whole = group[r._bucket, r._group]
+        middle = start + whole / 2 if whole <= 0.05 * total / 7 else at + r["size"] / 2
+        shard = min(int(middle / (total / 7)), 6)
+        want.append((r.doc_id, r["size"], r.text_crc32, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        at += r["size"]
+    assert got == sorted(want)

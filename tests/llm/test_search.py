@@ -339,3 +339,20 @@ def test_html_reads_hostile_pages_in_one_pass(page):
     began = time.process_time()
     html.Page(page)
     assert time.process_time() - began < 20
+
+
+def test_labels_match_one_run_per_word(spark):
+    rng = random.Random(2)
+    net = language.train([words(rng, 200), words(rng, 200).upper() + " zz yy xx"], ["a", "b"])
+    texts = [words(rng, rng.randint(1, 60)) for _ in range(40)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs_of(spark, list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        total, n = np.zeros(2), 0
+        for w in t.encode().lower().split():
+            for k in range(0, len(w), language.SEGMENT):
+                part = w[k : k + language.SEGMENT]
+                total += net.log_probabilities(np.frombuffer(part, np.uint8).reshape(-1, 1)).sum(axis=(0, 1))
+                n += len(part)
+        p = np.exp((total - total.max()) / n**0.5)
+        p /= p.sum()
+        assert got[i][0] == net.languages[int(np.argmax(p))] and abs(got[i][1] - p.max()) < 1e-4
