@@ -1,13 +1,30 @@
-"""BM25 over token arrays: statistics over the whole index, exact scores for a set of queries."""
+"""BM25 over token arrays: an index of written tables, and exact scores for a set of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.ranking import top_k
+from quarry.sources.shared import is_written, write_out
+
+K1, B, BROADCAST_ROWS = 1.2, 0.75, 1_000_000
+TABLES = ("chunks", "postings", "terms")
+
+
+@dataclass(frozen=True)
+class Index:
+    """chunks(chunk_id, dl, ...), postings(chunk_id, dl, term, tf), terms(term, df)."""
 
-K1, B = 1.2, 0.75
+    chunks: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))  # one row
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -15,27 +32,66 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
-    """chunks(chunk_id, tokens), queries(query_id, tokens) -> query_id, rank, chunk_id, score.
+def build(chunks: DataFrame) -> Index:
+    """chunks(chunk_id, tokens, ...) -> the index, not yet computed."""
+    p = postings(chunks)
+    return Index(chunks.withColumn("dl", F.size("tokens")).drop("tokens"), p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+def stored(spark: SparkSession, path: str, make) -> Index:
+    """The index at a path; where there is none yet, that of the table which make() gives is written first. Each table
+    is computed from the written one before it, so a text is tokenised once."""
+    if not all(is_written(spark, f"{path}/{t}") for t in TABLES):
+        tokens = write_out(make(), f"{path}/tokens")[0]
+        write_out(tokens.withColumn("dl", F.size("tokens")).drop("tokens"), f"{path}/chunks")
+        p = write_out(postings(tokens), f"{path}/postings")[0]
+        write_out(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms")
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
+
+
+def input_violations(chunks: DataFrame) -> DataFrame:
+    """Chunks that can't be indexed: a repeated id, no token; an empty table is one row with a null id."""
+    n = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("tokens")).alias("least"))
+    rules = F.array(F.when(F.col("n") > 1, "repeated_chunk"), F.when(F.coalesce("least", F.lit(0)) <= 0, "no_token"))
+    bad = n.select("chunk_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+    none = chunks.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("chunk_id"), F.lit("no_chunks").alias("rule_id"))
+    return bad.unionByName(none)
+
+
+def index_violations(index: Index, chunks: DataFrame) -> DataFrame:
+    """Where a stored index differs from its texts, chunks(chunk_id, tokens): table, term, what is stored and what should be."""
+    fresh, keys = build(chunks), {"chunks": ["chunk_id"], "postings": ["chunk_id", "term"], "terms": ["term"]}
+    out = None
+    for name, value in (("chunks", "dl"), ("postings", "tf"), ("terms", "df")):
+        key = keys[name]
+        was = getattr(index, name).select(*key, F.col(value).cast("long").alias("stored"))
+        now = getattr(fresh, name).select(*key, F.col(value).cast("long").alias("expected"))
+        bad = was.join(now, key, "full").filter(~F.col("stored").eqNullSafe(F.col("expected")))
+        bad = bad.select(F.lit(name).alias("table"), F.concat_ws("/", *key).alias("entity_id"), "stored", "expected")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
+def search(index: Index, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """queries(query_id, tokens) -> query_id, rank, chunk_id, score.
 
     Unique query terms; scores rounded to 9 places before ranking; ties by chunk_id. allowed(chunk_id), if
     given, restricts what is ranked, not the statistics. Queries with less than k scored chunks are filled up with
-    chunks of score zero in chunk_id order."""
-    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg_dl"))  # one row
-    terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    wanted = terms.select("term").distinct()
-    found = postings(chunks.select("chunk_id", "tokens")).join(wanted, "term", "left_semi")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    chunks of score zero in chunk_id order. Postings are dealt by chunk, so that the terms of a query meet and sum up
+    where the chunk is; terms of queries are broadcast up to BROADCAST_ROWS of them."""
+    terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).join(index.terms, "term")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = found.join(df, "term").join(F.broadcast(stats)).select("term", "chunk_id", weight.alias("w"))
-    scored = terms.join(scored, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    pool = chunks.select("chunk_id")
+    terms = terms.join(F.broadcast(index.stats)).select("query_id", "term", idf.alias("idf"), "avg_dl")
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    pool, own = index.chunks.select("chunk_id"), index.postings
     if allowed is not None:
-        pool = allowed.select("chunk_id")
-        scored = scored.join(pool, "chunk_id", "left_semi")
-    best = top_k(scored, k, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "chunk_id", "score")
-    short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    first = pool.orderBy("chunk_id").limit(2 * k)  # 2k rows hold k that a short query has not scored
-    fill = short.join(F.broadcast(first)).join(best, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(best.unionByName(fill), k, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "rank", "chunk_id", "score")
+        pool = allowed.select("chunk_id").distinct()
+        own = own.join(pool, "chunk_id", "left_semi")
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    found = own.repartition("chunk_id").join(F.broadcast(terms) if small else terms, "term")
+    scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
+    # 2k chunks hold k that a query with less than k scored chunks has not scored
+    first = queries.select("query_id").distinct().join(F.broadcast(pool.orderBy("chunk_id").limit(2 * k))).withColumn("score", F.lit(0.0))
+    order = [F.desc("score"), F.col("chunk_id")]
+    best = top_k(scored.unionByName(first), 3 * k, ["query_id"], order).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(best, k, ["query_id"], order).select("query_id", "rank", "chunk_id", "score")

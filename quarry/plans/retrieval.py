@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quarry.functions.ranking import top_k
 from quarry.functions.text import ascii_tokens
 from quarry.operators import context, evaluation, fusion, lexical, vectors
 from quarry.plans.corpus import CHUNKS_SQL, chunk_table
+from quarry.sources.shared import application_dir, state_of
 from quarry.sources.tables import table
 
 K = 5
@@ -18,34 +21,56 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", ascii_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
-def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_table(spark, sf_dir).select("chunk_id", ascii_tokens(F.col("text")).alias("tokens"))
+def tokenised(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("tokens", ascii_tokens(F.col("text")))
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of all chunks: written once for a state of the documents, then read by every query of the application."""
+    at = f"{sf_dir}/documents.parquet"
+    key = hashlib.sha256(f"{at} {state_of(spark, at)}".encode()).hexdigest()[:24]
+    return lexical.stored(spark, f"{application_dir(spark)}/bm25-{key}", lambda: tokenised(chunk_table(spark, sf_dir)))
 
 
-def bm25(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return lexical.search(token_table(spark, sf_dir), questions(spark, sf_dir).select("query_id", "tokens"), k)
+def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).chunks.drop("dl")
+
+
+def bm25(spark: SparkSession, sf_dir: str, k: int = K, allowed: DataFrame | None = None) -> DataFrame:
+    return lexical.search(index(spark, sf_dir), questions(spark, sf_dir).select("query_id", "tokens"), k, allowed)
 
 
 def coverage(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """A second ranking: how many distinct question terms a chunk holds."""
     terms = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    chunks = token_table(spark, sf_dir).select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    n = terms.join(chunks, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
+    postings = index(spark, sf_dir).postings.select("chunk_id", "term")
+    n = postings.repartition("chunk_id").join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
     return top_k(n, k, ["query_id"], [F.desc("score"), F.col("chunk_id")])
 
 
+HEAD = 5
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's whole token sequence (of five tokens or more), found by its first five tokens."""
-    q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.array_join(F.slice("tokens", F.lit(1), F.least(F.size("tokens"), F.lit(5))), " ").alias("head"), F.least(F.size("tokens"), F.lit(5)).alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id", ascii_tokens(F.coalesce("text", F.lit(""))).alias("w")).filter(F.size("w") >= 5)
-    d = d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"), "w")
-    heads = d.select("doc_id", "all", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(5)])))).alias("head"))
-    found = heads.join(q.filter("n = 5"), "head").filter(F.contains("all", F.concat(F.lit(" "), "seq", F.lit(" "))))
-    return found.select("query_id", "doc_id").distinct()
+    """Documents that hold a question's whole token sequence, found by its first tokens (HEAD, or all of a shorter one)."""
+    n = F.least(F.size("tokens"), F.lit(HEAD))
+    q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.array_join(F.slice("tokens", F.lit(1), n), " ").alias("head"), n.alias("n"))
+    words = table(spark, sf_dir, "documents").select("doc_id", ascii_tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    found = None
+    for size in [r["n"] for r in q.select("n").distinct().collect()]:  # at most HEAD numbers
+        gram = lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(size)])  # noqa: E731, B023
+        heads = words.filter(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - size), gram))).alias("head"))
+        some = heads.join(F.broadcast(q.filter(F.col("n") == size)), "head").select("doc_id", "query_id", "seq")
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return words.join(q.select("query_id"), F.lit(False)).select("query_id", "doc_id")
+    bodies = words.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("all"))  # texts join the few that share a head
+    return found.join(bodies, "doc_id").filter(F.contains("all", F.concat(F.lit(" "), "seq", F.lit(" ")))).select("query_id", "doc_id").distinct()
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics per question; a question's gold pages are the documents that hold it."""
+    """Metrics per question that a document holds: those are its gold pages. Other questions have no metric; the summary
+    (n5) tells how many they are."""
     own = gold(spark, sf_dir).groupBy("query_id").agg(F.collect_set("doc_id").alias("gold"))
     cases = questions(spark, sf_dir).select("query_id").join(own, "query_id")
     hits = bm25(spark, sf_dir, 10).withColumn("page", F.substring("chunk_id", 1, 12).cast("long"))
@@ -53,8 +78,22 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b1_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lexical.postings(token_table(spark, sf_dir))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    return index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+
+
+def b2_input_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents without a token, counted by report."""
+    c = tokenised(chunk_table(spark, sf_dir))
+    bad = lexical.input_violations(c.select("chunk_id", "tokens")).join(c.select("chunk_id", "report_id"), "chunk_id")
+    return bad.groupBy("report_id", "rule_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def b4_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stored index by table, and how many of them differ from the texts."""
+    own = index(spark, sf_dir)
+    bad = lexical.index_violations(own, tokenised(chunk_table(spark, sf_dir))).groupBy("table").agg(F.count(F.lit(1)).alias("differ"))
+    rows = [own.chunks.agg(F.lit("chunks").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("dl").alias("total")), own.postings.agg(F.lit("postings").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("total")), own.terms.agg(F.lit("terms").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("df").alias("total"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(bad, "table", "left").select("table", "rows", "total", F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
 
 
 def b3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +102,8 @@ def b3_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f1_filtered_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks chunks of French and German documents only; statistics stay those of the whole index."""
-    chunks = chunk_table(spark, sf_dir)
-    allowed = chunks.join(table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de")).select("doc_id"), "doc_id", "left_semi")
-    out = lexical.search(token_table(spark, sf_dir), questions(spark, sf_dir).select("query_id", "tokens"), K, allowed)
-    return out.withColumn("rank", F.col("rank").cast("long"))
+    allowed = chunks_of(spark, sf_dir).join(table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de")).select("doc_id"), "doc_id", "left_semi")
+    return bm25(spark, sf_dir, K, allowed).withColumn("rank", F.col("rank").cast("long"))
 
 
 def v2_cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,25 +125,25 @@ def r1_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r4_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = questions(spark, sf_dir), chunk_table(spark, sf_dir)
+    q, c = questions(spark, sf_dir), chunks_of(spark, sf_dir)
     out = fusion.rerank(bm25(spark, sf_dir, 20), q, c)
     return out.select("query_id", "rank", "chunk_id", "rrf_rank", "reranker_score.tokens", "reranker_score.pairs", "reranker_score.recall")
 
 
 def x1_expand_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = context.expand(bm25(spark, sf_dir), chunk_table(spark, sf_dir))
+    out = context.expand(bm25(spark, sf_dir), chunks_of(spark, sf_dir))
     return out.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("context_order", "anchor_rank", "page_distance", "duplicates")], "chunk_id", "anchor_chunk_id")
 
 
 def x6_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunk_table(spark, sf_dir)
+    chunks = chunks_of(spark, sf_dir)
     pool = context.expand(bm25(spark, sf_dir), chunks).join(chunks.select("chunk_id", "chunk_index", "text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
     ranked = context.rank_candidates(pool).withColumn("n_chars", F.length("text"))
     return context.budget(ranked)
 
 
 def e1_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = context.evidence_blocks(bm25(spark, sf_dir), chunk_table(spark, sf_dir), max_chars=2500)
+    out = context.evidence_blocks(bm25(spark, sf_dir), chunks_of(spark, sf_dir), max_chars=2500)
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "citation", "chunk_id", F.sha2("block", 256).alias("block_sha256"), F.col("chars").cast("long").alias("chars"))
 
 
@@ -116,7 +153,9 @@ def n2_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n5_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summarize(results(spark, sf_dir).withColumn("method", F.lit("bm25")), ["method"])
+    scored = evaluation.summarize(results(spark, sf_dir).withColumn("method", F.lit("bm25")), ["method"])
+    asked = questions(spark, sf_dir).agg(F.count(F.lit(1)).alias("asked"))  # one row
+    return scored.join(F.broadcast(asked)).withColumn("unscored", F.col("asked") - F.col("cases")).drop("asked")
 
 
 def n6_strategy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +184,7 @@ def d3_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.group_summary(r.withColumn("outcome", outcome), ["size"])
 
 
-QUERIES = {f.__name__: f for f in (b1_index_statistics, b3_bm25_search, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
+QUERIES = {f.__name__: f for f in (b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 TOKENS = CHUNKS_SQL + """,
 tk AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ck),
@@ -166,7 +205,7 @@ COVERAGE = """,
 cv0 AS (SELECT query_id, chunk_id, count(*) AS score FROM qt JOIN post USING (term) GROUP BY ALL),
 cv AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id FROM cv0 QUALIFY rank <= {k})"""
 GOLD = r""",
-gq AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS seq FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) >= 5),
+gq AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS seq FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0),
 gd AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS body FROM documents),
 gold AS (SELECT DISTINCT query_id, doc_id FROM gq JOIN gd ON contains(body, ' ' || seq || ' '))"""
 METRICS = _bm25_sql(10) + GOLD + """,
@@ -178,6 +217,9 @@ ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS re
 
 ORACLES = {
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
+    "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk JOIN ck USING (chunk_id) WHERE len(w) = 0 GROUP BY ALL",
+    "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(len(w))::BIGINT AS total, 0::BIGINT AS differ FROM tk UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
+UNION ALL SELECT 'terms', count(DISTINCT term), count(*), 0 FROM post""",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",
     "f1_filtered_bm25": f"WITH {_bm25_sql(5, "doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de'))")} SELECT * FROM bm",
     "v1_vector_violations": "SELECT label, count(*) AS vectors, 0::BIGINT AS violations FROM embeddings GROUP BY label",
@@ -201,7 +243,7 @@ s AS (SELECT *, sum(length(block) + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (
 SELECT query_id, rank, citation, chunk_id, sha256(block) AS block_sha256, length(block) AS chars FROM s WHERE so_far <= 2500""",
     "n2_retrieval_metrics": f"WITH {METRICS} SELECT * FROM ml",
     "n5_metric_summary": f"""WITH {METRICS} SELECT 'bm25' AS method, count(*) AS cases, round(avg(recall_1), 6) AS recall_at_1, round(avg(recall_3), 6) AS recall_at_3, round(avg(recall_5), 6) AS recall_at_5,
-round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_at_5 FROM ml HAVING count(*) > 0""",
+round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_at_5, (SELECT count(*) FROM benchmark) - count(*) AS unscored FROM ml HAVING count(*) > 0""",
     "n6_strategy_totals": f"""WITH {METRICS}, z AS (SELECT 'bm25' AS method, CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS size, recall_5 FROM ml JOIN benchmark ON item_id = query_id)
 SELECT method, size, count(*) AS cases, sum(recall_5)::BIGINT AS hits_5, grouping(method, size)::INT AS level FROM z GROUP BY ROLLUP (method, size)""",
     "d3_outcome_summary": f"""WITH {METRICS}, z AS (SELECT CASE WHEN length(text) < 200 THEN 'short' ELSE 'long' END AS size,

@@ -83,7 +83,7 @@ def test_bm25_formula_ties_and_zero_scores(spark):
     chunks = spark.createDataFrame(list(docs.items()), "chunk_id string, tokens array<string>")
     queries = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["none"])], "query_id int, tokens array<string>")
     got = {}
-    for r in lexical.search(chunks, queries, 4).collect():
+    for r in lexical.search(lexical.build(chunks), queries, 4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
 
     def score(d):
@@ -95,7 +95,7 @@ def test_bm25_formula_ties_and_zero_scores(spark):
 
     assert [got[1][k][0] for k in (1, 2, 3, 4)] == ["a", "d", "b", "c"] and all(abs(s - score(c)) < 1e-9 for c, s in got[1].values())
     assert [got[2][k] for k in (1, 2, 3, 4)] == [(c, 0.0) for c in "abcd"]
-    only = lexical.search(chunks, queries, 2, chunks.filter("chunk_id in ('b', 'c')")).filter("query_id = 1").orderBy("rank").collect()
+    only = lexical.search(lexical.build(chunks), queries, 2, chunks.filter("chunk_id in ('b', 'c')")).filter("query_id = 1").orderBy("rank").collect()
     assert [(r.chunk_id, abs(r.score - score(r.chunk_id)) < 1e-9) for r in only] == [("b", True), ("c", True)]
 
 
@@ -137,7 +137,7 @@ def test_context_budget_decides_every_candidate(spark, monkeypatch):
     rows = [("hit", "r", 5, 0, "a b")] + [(f"c{i:03}", "r", 6, i, "a b") for i in range(250)]
     chunks = spark.createDataFrame(rows, "chunk_id string, report_id string, pdf_page int, chunk_index int, text string")
     monkeypatch.setattr(retrieval, "bm25", lambda *_: hits)
-    monkeypatch.setattr(retrieval, "chunk_table", lambda *_: chunks)
+    monkeypatch.setattr(retrieval, "chunks_of", lambda *_: chunks)
     monkeypatch.setattr(retrieval, "questions", lambda *_: spark.createDataFrame([("q", "a b")], "query_id string, text string"))
     out = {r.selection_rank: r.decision for r in retrieval.x6_context_budget(spark, "").collect()}
     assert out == {k: "selected" if k <= 2 else "item_budget" for k in range(1, 251)}
