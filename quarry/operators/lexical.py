@@ -11,41 +11,42 @@ from quarry.functions.ranking import top_k
 from quarry.sources.shared import is_written, write_out
 
 K1, B, BROADCAST_ROWS = 1.2, 0.75, 1_000_000
-TABLES = ("chunks", "postings", "terms")
+TABLES = ("chunks", "postings", "terms", "stats")
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks(chunk_id, dl, ...), postings(chunk_id, dl, term, tf), terms(term, df)."""
+    """chunks(chunk_no, chunk_id, ...), postings(chunk_no, dl, term, tf), terms(term, df), stats(n, avg_dl; one row).
+
+    Chunk numbers follow the order of chunk ids, so that scores and ties need no text keys."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
-
-    @property
-    def stats(self) -> DataFrame:
-        return self.chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))  # one row
+    stats: DataFrame
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunks(chunk_id, tokens) -> chunk_id, dl, term, tf."""
-    return chunks.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, key: str = "chunk_no") -> DataFrame:
+    """chunks(key, tokens) -> key, dl, term, tf: counted where the chunk is."""
+    dealt = chunks.select(key, "tokens").repartition(key)
+    return dealt.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def build(chunks: DataFrame) -> Index:
-    """chunks(chunk_id, tokens, ...) -> the index, not yet computed."""
-    p = postings(chunks)
-    return Index(chunks.withColumn("dl", F.size("tokens")).drop("tokens"), p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+def statistics(chunks: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, stats) of chunks and their postings; a chunk without tokens counts with length zero."""
+    n, total = chunks.agg(F.count(F.lit(1)).alias("n")), posted.agg(F.sum("tf").alias("total"))  # one row each
+    stats = n.join(F.broadcast(total)).select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_dl"))
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats
 
 
-def stored(spark: SparkSession, path: str, make) -> Index:
+def stored(spark: SparkSession, path: str, make, tokenise) -> Index:
     """The index at a path; where there is none yet, that of the table which make() gives is written first. Each table
-    is computed from the written one before it, so a text is tokenised once."""
+    is computed from the written one before it, so a text is cut and tokenised once."""
     if not all(is_written(spark, f"{path}/{t}") for t in TABLES):
-        tokens = write_out(make(), f"{path}/tokens")[0]
-        write_out(tokens.withColumn("dl", F.size("tokens")).drop("tokens"), f"{path}/chunks")
-        p = write_out(postings(tokens), f"{path}/postings")[0]
-        write_out(p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), f"{path}/terms")
+        chunks = write_out(make().orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id()), f"{path}/chunks")[0]
+        posted = write_out(postings(tokenise(chunks)), f"{path}/postings")[0]
+        for name, table in zip(TABLES[2:], statistics(chunks, posted)):
+            write_out(table, f"{path}/{name}")
     return Index(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
 
 
@@ -60,14 +61,16 @@ def input_violations(chunks: DataFrame) -> DataFrame:
 
 def index_violations(index: Index, chunks: DataFrame) -> DataFrame:
     """Where a stored index differs from its texts, chunks(chunk_id, tokens): table, term, what is stored and what should be."""
-    fresh, keys = build(chunks), {"chunks": ["chunk_id"], "postings": ["chunk_id", "term"], "terms": ["term"]}
-    out = None
-    for name, value in (("chunks", "dl"), ("postings", "tf"), ("terms", "df")):
-        key = keys[name]
-        was = getattr(index, name).select(*key, F.col(value).cast("long").alias("stored"))
-        now = getattr(fresh, name).select(*key, F.col(value).cast("long").alias("expected"))
-        bad = was.join(now, key, "full").filter(~F.col("stored").eqNullSafe(F.col("expected")))
-        bad = bad.select(F.lit(name).alias("table"), F.concat_ws("/", *key).alias("entity_id"), "stored", "expected")
+    fresh, out = postings(chunks, "chunk_id"), None
+    named = index.postings.join(index.chunks.select("chunk_no", "chunk_id"), "chunk_no")
+    pairs = (
+        ("chunks", ["chunk_id"], index.chunks.withColumn("v", F.lit(1)), chunks.withColumn("v", F.lit(1))),
+        ("postings", ["chunk_id", "term"], named.withColumn("v", F.col("tf")), fresh.withColumn("v", F.col("tf"))),
+        ("terms", ["term"], index.terms.withColumn("v", F.col("df")), fresh.groupBy("term").agg(F.count(F.lit(1)).alias("v"))),
+    )
+    for name, key, was, now in pairs:
+        both = was.select(*key, F.col("v").cast("long").alias("stored")).join(now.select(*key, F.col("v").cast("long").alias("expected")), key, "full")
+        bad = both.filter(~F.col("stored").eqNullSafe(F.col("expected"))).select(F.lit(name).alias("table"), F.concat_ws("/", *key).alias("entity_id"), "stored", "expected")
         out = bad if out is None else out.unionByName(bad)
     return out
 
@@ -83,15 +86,28 @@ def search(index: Index, queries: DataFrame, k: int = 5, allowed: DataFrame | No
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = terms.join(F.broadcast(index.stats)).select("query_id", "term", idf.alias("idf"), "avg_dl")
     small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pool, own = index.chunks.select("chunk_id"), index.postings
+    pool, own = index.chunks.select("chunk_no"), index.postings
     if allowed is not None:
-        pool = allowed.select("chunk_id").distinct()
-        own = own.join(pool, "chunk_id", "left_semi")
+        pool = index.chunks.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("chunk_no")
+        own = own.join(pool, "chunk_no", "left_semi")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    found = own.repartition("chunk_id").join(F.broadcast(terms) if small else terms, "term")
-    scored = found.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 9).alias("score"))
+    found = own.repartition("chunk_no").join(F.broadcast(terms) if small else terms, "term")
+    scored = found.groupBy("query_id", "chunk_no").agg(F.round(F.sum(weight), 9).alias("score"))
     # 2k chunks hold k that a query with less than k scored chunks has not scored
-    first = queries.select("query_id").distinct().join(F.broadcast(pool.orderBy("chunk_id").limit(2 * k))).withColumn("score", F.lit(0.0))
-    order = [F.desc("score"), F.col("chunk_id")]
-    best = top_k(scored.unionByName(first), 3 * k, ["query_id"], order).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return top_k(best, k, ["query_id"], order).select("query_id", "rank", "chunk_id", "score")
+    first = queries.select("query_id").distinct().join(F.broadcast(pool.orderBy("chunk_no").limit(2 * k))).withColumn("score", F.lit(0.0))
+    order = [F.desc("score"), F.col("chunk_no")]
+    best = top_k(scored.unionByName(first), 3 * k, ["query_id"], order).groupBy("query_id", "chunk_no").agg(F.max("score").alias("score"))
+    return with_ids(index, top_k(best, k, ["query_id"], order)).select("query_id", "rank", "chunk_id", "score")
+
+
+def coverage(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """A second ranking: how many distinct terms of a query a chunk holds. queries(query_id, tokens)."""
+    terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = index.postings.select("chunk_no", "term").repartition("chunk_no").join(F.broadcast(terms) if small else terms, "term")
+    n = found.groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).alias("score"))
+    return with_ids(index, top_k(n, k, ["query_id"], [F.desc("score"), F.col("chunk_no")])).select("query_id", "chunk_id", "score", "rank")
+
+
+def with_ids(index: Index, ranked: DataFrame) -> DataFrame:
+    return ranked.join(index.chunks.select("chunk_no", "chunk_id"), "chunk_no")

@@ -7,7 +7,6 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.ranking import top_k
 from quarry.functions.text import ascii_tokens
 from quarry.operators import context, evaluation, fusion, lexical, vectors
 from quarry.plans.corpus import CHUNKS_SQL, chunk_table
@@ -29,11 +28,11 @@ def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The index of all chunks: written once for a state of the documents, then read by every query of the application."""
     at = f"{sf_dir}/documents.parquet"
     key = hashlib.sha256(f"{at} {state_of(spark, at)}".encode()).hexdigest()[:24]
-    return lexical.stored(spark, f"{application_dir(spark)}/bm25-{key}", lambda: tokenised(chunk_table(spark, sf_dir)))
+    return lexical.stored(spark, f"{application_dir(spark)}/bm25-{key}", lambda: chunk_table(spark, sf_dir), tokenised)
 
 
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).chunks.drop("dl")
+    return index(spark, sf_dir).chunks.drop("chunk_no")
 
 
 def bm25(spark: SparkSession, sf_dir: str, k: int = K, allowed: DataFrame | None = None) -> DataFrame:
@@ -41,11 +40,7 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = K, allowed: DataFrame | None
 
 
 def coverage(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    """A second ranking: how many distinct question terms a chunk holds."""
-    terms = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    postings = index(spark, sf_dir).postings.select("chunk_id", "term")
-    n = postings.repartition("chunk_id").join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"))
-    return top_k(n, k, ["query_id"], [F.desc("score"), F.col("chunk_id")])
+    return lexical.coverage(index(spark, sf_dir), questions(spark, sf_dir).select("query_id", "tokens"), k)
 
 
 HEAD = 5
@@ -54,13 +49,14 @@ HEAD = 5
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question's whole token sequence, found by its first tokens (HEAD, or all of a shorter one)."""
     n = F.least(F.size("tokens"), F.lit(HEAD))
-    q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.array_join(F.slice("tokens", F.lit(1), n), " ").alias("head"), n.alias("n"))
+    q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.col("tokens"), n.alias("n"))
     words = table(spark, sf_dir, "documents").select("doc_id", ascii_tokens(F.coalesce("text", F.lit(""))).alias("w"))
     found = None
     for size in [r["n"] for r in q.select("n").distinct().collect()]:  # at most HEAD numbers
-        gram = lambda i: F.concat_ws(" ", *[F.get("w", i + j) for j in range(size)])  # noqa: E731, B023
-        heads = words.filter(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - size), gram))).alias("head"))
-        some = heads.join(F.broadcast(q.filter(F.col("n") == size)), "head").select("doc_id", "query_id", "seq")
+        spots = words.filter(F.size("w") >= size).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("p"))
+        heads = spots.select("doc_id", F.xxhash64(*[F.get("w", F.col("p") + j) for j in range(size)]).alias("head"))
+        asked = q.filter(F.col("n") == size).select("query_id", "seq", F.xxhash64(*[F.get("tokens", F.lit(j)) for j in range(size)]).alias("head"))
+        some = heads.join(F.broadcast(asked), "head").select("doc_id", "query_id", "seq")
         found = some if found is None else found.unionByName(some)
     if found is None:
         return words.join(q.select("query_id"), F.lit(False)).select("query_id", "doc_id")
@@ -92,7 +88,7 @@ def b4_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the stored index by table, and how many of them differ from the texts."""
     own = index(spark, sf_dir)
     bad = lexical.index_violations(own, tokenised(chunk_table(spark, sf_dir))).groupBy("table").agg(F.count(F.lit(1)).alias("differ"))
-    rows = [own.chunks.agg(F.lit("chunks").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("dl").alias("total")), own.postings.agg(F.lit("postings").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("total")), own.terms.agg(F.lit("terms").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("df").alias("total"))]
+    rows = [own.chunks.agg(F.lit("chunks").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("total")), own.postings.agg(F.lit("postings").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("total")), own.terms.agg(F.lit("terms").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("df").alias("total"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(bad, "table", "left").select("table", "rows", "total", F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
 
 
@@ -218,7 +214,7 @@ ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS re
 ORACLES = {
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
     "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk JOIN ck USING (chunk_id) WHERE len(w) = 0 GROUP BY ALL",
-    "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(len(w))::BIGINT AS total, 0::BIGINT AS differ FROM tk UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
+    "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(length(text))::BIGINT AS total, 0::BIGINT AS differ FROM ck UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
 UNION ALL SELECT 'terms', count(DISTINCT term), count(*), 0 FROM post""",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",
     "f1_filtered_bm25": f"WITH {_bm25_sql(5, "doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de'))")} SELECT * FROM bm",

@@ -78,12 +78,16 @@ def test_chunk_and_page_checks(spark):
     assert sorted(tuple(r) for r in pages.completeness_violations(p, n).collect()) == [("q", "repeated_page"), ("r", "missing_page"), ("z", "no_pages")]
 
 
-def test_bm25_formula_ties_and_zero_scores(spark):
+def test_bm25_formula_ties_and_zero_scores(spark, tmp_path):
     docs = {"a": "x y".split(), "b": "x x z".split(), "c": "z".split(), "d": "x y".split()}
     chunks = spark.createDataFrame(list(docs.items()), "chunk_id string, tokens array<string>")
     queries = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["none"])], "query_id int, tokens array<string>")
+    index = lexical.stored(spark, f"{tmp_path}/index", lambda: chunks, lambda c: c)
+    assert lexical.index_violations(index, chunks).count() == 0 and lexical.index_violations(index, chunks.filter("chunk_id <> 'c'")).count() == 3
+    odd = spark.createDataFrame([("a", ["x"]), ("a", ["y"]), ("b", [])], "chunk_id string, tokens array<string>")
+    assert sorted(tuple(r) for r in lexical.input_violations(odd).collect()) == [("a", "repeated_chunk"), ("b", "no_token")] and lexical.input_violations(odd.limit(0)).count() == 1
     got = {}
-    for r in lexical.search(lexical.build(chunks), queries, 4).collect():
+    for r in lexical.search(index, queries, 4).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.chunk_id, r.score)
 
     def score(d):
@@ -95,7 +99,7 @@ def test_bm25_formula_ties_and_zero_scores(spark):
 
     assert [got[1][k][0] for k in (1, 2, 3, 4)] == ["a", "d", "b", "c"] and all(abs(s - score(c)) < 1e-9 for c, s in got[1].values())
     assert [got[2][k] for k in (1, 2, 3, 4)] == [(c, 0.0) for c in "abcd"]
-    only = lexical.search(lexical.build(chunks), queries, 2, chunks.filter("chunk_id in ('b', 'c')")).filter("query_id = 1").orderBy("rank").collect()
+    only = lexical.search(index, queries, 2, chunks.filter("chunk_id in ('b', 'c')")).filter("query_id = 1").orderBy("rank").collect()
     assert [(r.chunk_id, abs(r.score - score(r.chunk_id)) < 1e-9) for r in only] == [("b", True), ("c", True)]
 
 
