@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: The pattern of a financial value, and of an inline citation.
-VALUE = r"(?<![\d.,])\(?-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{4,})\)?%?(?![\d,])"
+VALUE = r"(?<!\d)[+-]?(?:\(\s*)?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{4,})(?:\s*\))?%?(?!\d)"
 CITATION = r"\[(E[1-9][0-9]*)\]"
 
 
@@ -86,7 +86,8 @@ def near_value(text: Column, metric: Column, year: Column, reach: int = 120) ->
     """Whether a value that is not the year follows an occurrence of the metric within `reach` characters."""
     pieces = F.split(compact(text), F.concat(F.lit("\\Q"), compact(metric), F.lit("\\E")))
     windows = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substr(p, F.lit(1), F.lit(reach)))
-    is_value = lambda v: F.regexp_replace(v, r"[(),%-]", "") != year.cast("string")
+    whole = lambda v: F.split_part(F.regexp_replace(F.regexp_replace(v, r"[(),%]", ""), r"^[+-]+", ""), F.lit("."), F.lit(1))
+    is_value = lambda v: whole(v) != year.cast("string")
     return F.exists(windows, lambda w: F.exists(values(w), is_value))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 MAX_CHARS, OVERLAP = 800, 120
 #: The three heading levels (number patterns).
-HEADINGS = (r"^(?:第[一二三四五六七八九十百]+[章节]|\d{1,2}\s+\S|[IVX]+\.\s)", r"^(?:[一二三四五六七八九十]+、|\d{1,2}\.\d{1,2}\s+\S)", r"^(?:（[一二三四五六七八九十]+）|\d{1,2}\.\d{1,2}\.\d{1,2}\s+\S)")
+HEADINGS = (r"^第[一二三四五六七八九十百零〇0-9]+节", r"^[一二三四五六七八九十百零〇]+、", r"^[（(][一二三四五六七八九十百零〇0-9]+[）)]")
 SENTENCE_END = r"[。；，.;,!?！？]$"
 
 

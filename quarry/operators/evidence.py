@@ -9,9 +9,12 @@ from quarry.functions.text import compact, near_value
 
 #: Titles by which a statement type is known.
 TITLES = {
-    "income_statement": ("利润表", "income statement"),
-    "balance_sheet": ("资产负债表", "balance sheet"),
-    "cash_flow_statement": ("现金流量表", "cash flow statement"),
+    "balance_sheet": ("合并资产负债表", "公司资产负债表", "合并及公司资产负债表"),
+    "income_statement": ("合并利润表", "公司利润表", "合并及公司利润表"),
+    "cash_flow_statement": ("合并现金流量表", "公司现金流量表", "合并及公司现金流量表"),
+    "statement_of_changes_in_equity": ("所有者权益变动表", "股东权益变动表"),
+    "financial_summary": ("主要财务数据",),
+    "note": ("财务报表附注",),
 }
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("revenue", "operating_cost", "tax")
-#: Multipliers of money units.
-UNITS = {"yuan": 1, "thousand_yuan": 1_000, "ten_thousand_yuan": 10_000, "million_yuan": 1_000_000, "hundred_million_yuan": 100_000_000}
+#: Codes of money units and their multipliers.
+UNITS = {"CNY": 1, "CNY_thousand": 1_000, "CNY_ten_thousand": 10_000, "CNY_million": 1_000_000, "CNY_hundred_million": 100_000_000}
 
 
 def facts_of(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
@@ -34,9 +34,12 @@ def wide(facts: DataFrame) -> DataFrame:
 
 
 def ratio(n: Column, d: Column, ok: Column, times: int = 1) -> Column:
-    """n / d (times 100 for percent), half up at four places; null where the guard fails."""
-    small = lambda c: c.cast("decimal(20,2)")
-    return F.when(ok & (d != 0), F.round(small(n) / small(d) * times, 4).cast("decimal(38,4)"))
+    """n / d (times 100 for percent) of decimals with up to four places, exactly rounded half up at four places; null where
+    the guard fails or an input has more than 26 digits before the point."""
+    big = lambda c: F.abs(c.try_cast("decimal(30,4)"))
+    steps = F.call_function("div", big(n) * F.lit(2 * times * 10_000).cast("decimal(7,0)") + big(d), big(d) * F.lit(2).cast("decimal(1,0)"))
+    signed = F.when((n < 0) != (d < 0), -steps).otherwise(steps)
+    return F.when(ok & (d != 0), (signed.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(38,4)"))
 
 
 def growth_percent(current: Column, previous: Column) -> Column:
@@ -58,6 +61,46 @@ def ratios(facts: DataFrame) -> DataFrame:
     )
 
 
+#: Formulas: number of inputs, and (numerator, denominator, guard, times) of their values in order.
+FORMULAS = {
+    "growth": (2, lambda a, b: (a - b, b, b > 0, 100)),
+    "gross_profit_margin_formula": (2, lambda r, c: (r - c, r, (r > 0) & (c >= 0), 100)),
+    "expense_ratio": (3, lambda r, s, d: (s + d, r, (r > 0) & (s >= 0) & (d >= 0), 100)),
+    "cash_flow_to_net_profit": (2, lambda c, p: (c, p, p != 0, 1)),
+    "current_ratio_formula": (2, lambda a, l: (a, l, (a >= 0) & (l > 0), 1)),
+    "debt_to_equity_ratio_formula": (2, lambda l, e: (l, e, (l >= 0) & (e != 0), 1)),
+    "effective_tax_rate": (2, lambda t, p: (t, p, p != 0, 100)),
+}
+
+
+def calculate(calculations: DataFrame, facts: DataFrame) -> DataFrame:
+    """calculations(calculation_id, formula_id, input_fact_ids), facts(fact_id, company_id, fiscal_year, normalized_value,
+    verified boolean) -> calculation_id, formula_id, status, result_value.
+
+    The first rule that fails is the status: unknown_formula, input_count, input_missing, input_not_verified, other_context
+    (inputs of several companies, or of several years but for growth, whose years follow each other), guard_failed."""
+    inputs = calculations.select("calculation_id", F.posexplode("input_fact_ids").alias("pos", "fact_id")).join(facts, "fact_id", "left")
+    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
+    wide = inputs.groupBy("calculation_id").agg(
+        *[at(k, "normalized_value").alias(f"v{k}") for k in range(3)], (at(0, "fiscal_year") - at(1, "fiscal_year")).alias("years_apart"),
+        F.count("normalized_value").alias("found"), F.bool_and("verified").alias("verified"), F.countDistinct("company_id").alias("companies"), F.countDistinct("fiscal_year").alias("years"),
+    )
+    rows = calculations.withColumn("inputs", F.greatest(F.size("input_fact_ids"), F.lit(0))).join(wide, "calculation_id", "left")
+    result, wanted = F.lit(None).cast("decimal(38,4)"), F.lit(None).cast("int")
+    for name, (count, formula) in FORMULAS.items():
+        mine = F.col("formula_id") == name
+        result = F.when(mine, ratio(*formula(*[F.col(f"v{k}") for k in range(count)]))).otherwise(result)
+        wanted = F.when(mine, F.lit(count)).otherwise(wanted)
+    growth_ = F.col("formula_id") == "growth"
+    other = (F.col("companies") > 1) | F.when(growth_, F.col("years_apart") != 1).otherwise(F.col("years") > 1)
+    status = (
+        F.when(wanted.isNull(), "unknown_formula").when(F.col("inputs") != wanted, "input_count").when(F.coalesce("found", F.lit(0)) < F.col("inputs"), "input_missing")
+        .when(~F.col("verified"), "input_not_verified").when(other, "other_context").when(result.isNull(), "guard_failed").otherwise("done")
+    )
+    out = rows.select("calculation_id", "formula_id", status.alias("status"), result.alias("result_value"))
+    return out.withColumn("result_value", F.when(F.col("status") == "done", F.col("result_value")))
+
+
 def profit_cost_signal(facts: DataFrame) -> DataFrame:
     """Years in which revenue rose while the margin (revenue less cost) fell: the gap of the two growths and its severity."""
     year = wide(facts).withColumn("profit", F.col("revenue") - F.col("operating_cost"))
@@ -74,19 +117,18 @@ def normalize_unit(raw: Column, unit: Column) -> Column:
     return (raw.cast("decimal(24,4)") * F.element_at(table, unit).cast("decimal(12,0)")).cast("decimal(38,4)")
 
 
-def links_of(facts: DataFrame) -> DataFrame:
-    """Evidence of facts: their first order line; every seventh is left out."""
-    number = F.pmod(F.crc32(F.col("fact_id").cast("binary")), F.lit(7))
-    return facts.filter(number != 0).select("fact_id", F.format_string("ev_%d_%d", "line.l_orderkey", "line.l_linenumber").alias("evidence_id"), F.lit("primary").alias("support_type"))
-
-
 def link_violations(facts: DataFrame, links: DataFrame, evidences: DataFrame) -> DataFrame:
-    """Facts without primary evidence, links to no fact or no evidence, repeated links."""
+    """facts(fact_id, report_id, primary_evidence_id), links(fact_id, evidence_id, support_type), evidences(evidence_id, report_id)
+    -> fact_id, rule_id: no primary evidence, a link to no fact or no evidence, a repeated link, evidence of another
+    report, a primary link that is not the fact's primary evidence."""
     bare = facts.join(links.filter("support_type = 'primary'"), "fact_id", "left_anti").select("fact_id", F.lit("no_primary_evidence").alias("rule_id"))
     dangling = links.join(facts, "fact_id", "left_anti").select("fact_id", F.lit("unknown_fact").alias("rule_id"))
     unknown = links.join(evidences, "evidence_id", "left_anti").select("fact_id", F.lit("unknown_evidence").alias("rule_id"))
     twice = links.groupBy("fact_id", "evidence_id", "support_type").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fact_id", F.lit("repeated_link").alias("rule_id"))
-    return bare.unionByName(dangling).unionByName(unknown).unionByName(twice)
+    both = links.distinct().join(facts.select("fact_id", "report_id", "primary_evidence_id"), "fact_id").join(evidences.select("evidence_id", F.col("report_id").alias("held_by")), "evidence_id", "left")
+    rules = F.array(F.when(F.col("report_id") != F.col("held_by"), "other_report"), F.when((F.col("support_type") == "primary") & (F.col("evidence_id") != F.col("primary_evidence_id")), "primary_differs"))
+    differs = both.select("fact_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+    return bare.unionByName(dangling).unionByName(unknown).unionByName(twice).unionByName(differs)
 
 
 def foreign_key_violations(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, entity: str) -> DataFrame:
@@ -99,28 +141,49 @@ def disputed(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.countDistinct(value).alias("n_values")).filter("n_values > 1")
 
 
-def contract_violations(facts: DataFrame) -> DataFrame:
-    """One row for each rule that a fact breaks."""
+def contract_violations(facts: DataFrame, years: tuple[int, int] = (1990, 2100)) -> DataFrame:
+    """One row for each rule that a fact breaks; years is the range of fiscal years that the dataset promises."""
     rules = F.array(
         F.when(F.col("normalized_value").isNull(), "value_missing"), F.when(~F.col("metric_id").isin(*METRICS), "metric_unknown"),
         F.when((F.col("metric_id") == "revenue") & (F.col("normalized_value") < 0), "revenue_negative"),
-        F.when(~F.col("fiscal_year").between(1990, 2100), "year_out_of_range"),
+        F.when(~F.col("fiscal_year").between(*years), "year_out_of_range"),
         F.when(F.col("fact_id") != F.format_string("fact_%d_%d_%s", "company_id", "fiscal_year", "metric_id"), "id_differs"),
     )
     return facts.select("fact_id", F.explode(F.array_compact(rules)).alias("rule_id"))
 
 
-def resolve(queries: DataFrame, facts: DataFrame, links: DataFrame, items: DataFrame) -> DataFrame:
-    """queries(query_id, company_id, metric_id, fiscal_year), items(query_id, context_order, evidence_id): the fact of each
-    query that its context supports, by the first item that does."""
-    wanted = queries.join(facts, ["company_id", "metric_id", "fiscal_year"]).join(links, "fact_id")
-    found = wanted.join(items, ["query_id", "evidence_id"])
-    return found.groupBy("query_id", "fact_id").agg(F.min(F.struct("context_order", "evidence_id")).alias("x")).select("query_id", "fact_id", "x.context_order", "x.evidence_id")
+QUERY_KEYS = ["company_id", "report_id", "metric_id", "fiscal_year", "statement_scope", "statement_type"]
+
+
+def resolve(queries: DataFrame, facts: DataFrame, evidences: DataFrame, items: DataFrame) -> DataFrame:
+    """The facts that a query's context supports, each by the first item that does.
+
+    queries(query_id, QUERY_KEYS); facts(fact_id, QUERY_KEYS, primary_evidence_id, validation_status);
+    evidences(evidence_id, report_id, chunk_id or null, pdf_page, validation_status); items(query_id, context_order, origin,
+    chunk_id, report_id, pdf_page), from hits alone or widened. Only verified facts with verified evidence count; evidence that
+    names its chunk is found by it alone, other evidence by report and page.
+    -> query_id, fact_id, evidence_id, context_order, origin."""
+    trusted = evidences.filter("validation_status = 'verified'").select("evidence_id", F.col("report_id").alias("held_by"), F.col("chunk_id").alias("held_chunk"), F.col("pdf_page").alias("held_page"))
+    wanted = queries.join(facts.filter("validation_status = 'verified'").select("fact_id", *QUERY_KEYS, F.col("primary_evidence_id").alias("evidence_id")), QUERY_KEYS)
+    wanted = wanted.select("query_id", "fact_id", "evidence_id").join(trusted, "evidence_id")
+    own = items.select("query_id", "context_order", "origin", "chunk_id", "report_id", "pdf_page")
+    by_chunk = wanted.filter("held_chunk IS NOT NULL").withColumnRenamed("held_chunk", "chunk_id").join(own, ["query_id", "chunk_id"])
+    by_page = wanted.filter("held_chunk IS NULL").select("query_id", "fact_id", "evidence_id", F.col("held_by").alias("report_id"), F.col("held_page").alias("pdf_page")).join(own, ["query_id", "report_id", "pdf_page"])
+    columns = ["query_id", "fact_id", "evidence_id", "context_order", "origin"]
+    found = by_chunk.select(*columns).unionByName(by_page.select(*columns))
+    return found.groupBy("query_id", "fact_id", "evidence_id").agg(F.min(F.struct("context_order", "origin")).alias("x")).select("query_id", "fact_id", "evidence_id", "x.context_order", "x.origin")
+
+
+def resolution_views(queries: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Per query: facts found in the hits themselves, facts that only the widened context holds, and whether there is one."""
+    kind = lambda ok: F.array_sort(F.collect_list(F.when(ok, F.col("fact_id"))))
+    views = resolved.groupBy("query_id").agg(kind(F.col("origin") == "retrieved").alias("base_facts"), kind(F.col("origin") != "retrieved").alias("expanded_facts"))
+    none = F.array().cast("array<string>")
+    out = queries.select("query_id").join(views, "query_id", "left").select("query_id", F.coalesce("base_facts", none).alias("base_facts"), F.coalesce("expanded_facts", none).alias("expanded_facts"))
+    return out.withColumn("resolved", F.size("base_facts") + F.size("expanded_facts") > 0)
 
 
 def ranking(facts: DataFrame, metric: str) -> DataFrame:
     """Companies by a metric within each year, largest first, ties by id."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("fiscal_year").orderBy(F.desc("normalized_value"), "company_id")
     return facts.filter(F.col("metric_id") == metric).select("fiscal_year", F.row_number().over(w).alias("place"), "company_id", "normalized_value")

@@ -19,30 +19,76 @@ def k_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k1_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer, lineitem = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    """Rows by foreign key that point to nothing: of orders and their lines, and of labels and pages to each other."""
+    orders, customer, lineitem, labels, pages = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "labels", "pages"))
     a = f.foreign_key_violations(orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")), customer, "c_custkey", "c_custkey", "o_orderkey")
     b = f.foreign_key_violations(lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), orders, "o_orderkey", "o_orderkey", "o_orderkey")
-    return a.unionByName(b).groupBy("rule_id").agg(F.count(F.lit(1)).alias("rows"))
+    c = f.foreign_key_violations(labels.select(F.col("doc_id").alias("page_id")), pages, "page_id", "page_id", "page_id")
+    d = f.foreign_key_violations(pages.select(F.col("page_id").alias("label_id")), labels, "label_id", "doc_id", "label_id")
+    return a.unionByName(b).unionByName(c).unionByName(d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def described(facts: DataFrame) -> DataFrame:
+    """Facts with what the tables at hand say of their report, scope, statement, evidence and state: a fifth is not verified."""
+    return facts.select(
+        "fact_id", F.col("company_id").cast("long").alias("company_id"), F.col("fiscal_year").cast("long").alias("fiscal_year"), "metric_id", "normalized_value", "line",
+        F.concat_ws("_", "company_id", "fiscal_year").alias("report_id"), F.when(F.col("company_id") % 2 == 0, "consolidated").otherwise("parent_company").alias("statement_scope"),
+        F.when(F.col("metric_id") == "tax", "note").otherwise("income_statement").alias("statement_type"), F.concat(F.lit("ev_"), "fact_id").alias("primary_evidence_id"),
+        F.when((F.col("company_id") + F.col("fiscal_year")) % 5 == 0, "pending").otherwise("verified").alias("validation_status"),
+    )
+
+
+def evidence_of(facts: DataFrame) -> DataFrame:
+    """Evidence of described facts: the first order line; an even order is known by its chunk, others by page."""
+    chunk = F.when(F.col("line.l_orderkey") % 2 == 0, F.concat_ws("_", F.lit("ck"), "line.l_orderkey", "metric_id"))
+    return facts.select(F.col("primary_evidence_id").alias("evidence_id"), "report_id", chunk.alias("chunk_id"), F.col("line.l_linenumber").cast("long").alias("pdf_page"), F.when(F.col("line.l_linenumber") == 7, "pending").otherwise("verified").alias("validation_status"))
 
 
 def k3_link_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = fact_table(spark, sf_dir)
-    evidences = table(spark, sf_dir, "lineitem").select(F.format_string("ev_%d_%d", "l_orderkey", "l_linenumber").alias("evidence_id"))
-    return f.link_violations(facts, f.links_of(facts), evidences)
+    """Links of facts to evidence, of which every seventh report has none, taxes of 1996 point to the year before, revenues of
+    1997 are linked twice and costs of 1998 to evidence that does not exist."""
+    facts = described(fact_table(spark, sf_dir))
+    other = F.when((F.col("metric_id") == "tax") & (F.col("fiscal_year") == 1996), F.format_string("ev_fact_%d_1995_tax", "company_id")).when((F.col("metric_id") == "operating_cost") & (F.col("fiscal_year") == 1998), F.lit("ev_none")).otherwise(F.col("primary_evidence_id"))
+    twice = F.sequence(F.lit(1), F.when((F.col("metric_id") == "revenue") & (F.col("fiscal_year") == 1997), 2).otherwise(1))
+    links = facts.filter((F.col("company_id") + F.col("fiscal_year")) % 7 != 0).select("fact_id", other.alias("evidence_id"), F.lit("primary").alias("support_type"), F.explode(twice)).drop("col")
+    return f.link_violations(facts, links, evidence_of(facts))
+
+
+def resolved_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, resolved facts): one query per fact; its context holds a chunk for each fact of the report, in metric order."""
+    facts = described(fact_table(spark, sf_dir))
+    queries = facts.select(F.concat(F.lit("q_"), "fact_id").alias("query_id"), *f.QUERY_KEYS)
+    order = F.when(F.col("m") == "operating_cost", 1).when(F.col("m") == "revenue", 2).otherwise(3)
+    held = facts.select("report_id", F.col("metric_id").alias("m"), "line").select("report_id", order.cast("long").alias("context_order"), F.concat_ws("_", F.lit("ck"), "line.l_orderkey", "m").alias("chunk_id"), (F.col("line.l_linenumber") + order - 1).cast("long").alias("pdf_page"))
+    items = queries.select("query_id", "report_id").join(held, "report_id").withColumn("origin", F.when(F.col("context_order") == 1, "retrieved").otherwise("adjacent_page"))
+    return queries, f.resolve(queries, facts, evidence_of(facts), items)
 
 
 def k6_resolve_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per fact; its context holds the evidence of every fact of the company and year, in metric order."""
-    facts = fact_table(spark, sf_dir)
-    links = f.links_of(facts)
-    queries = facts.select(F.concat(F.lit("q_"), "fact_id").alias("query_id"), "company_id", "metric_id", "fiscal_year")
-    held = links.join(facts.select("fact_id", "company_id", "fiscal_year", F.col("metric_id").alias("m")), "fact_id")
-    items = queries.join(held, ["company_id", "fiscal_year"]).select("query_id", "evidence_id", F.when(F.col("m") == "operating_cost", 1).when(F.col("m") == "revenue", 2).otherwise(3).alias("context_order"))
-    return f.resolve(queries, facts, links, items).withColumn("context_order", F.col("context_order").cast("long"))
+    return resolved_facts(spark, sf_dir)[1]
+
+
+def k8_resolution_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f.resolution_views(*resolved_facts(spark, sf_dir))
+    return out.select("query_id", F.array_join("base_facts", ",").alias("base_facts"), F.array_join("expanded_facts", ",").alias("expanded_facts"), "resolved")
+
+
+def m10_formula_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine calculations for each company and year: every formula on the metrics at hand, one with an unknown formula, one
+    with an input too few. Facts of described() that are not verified, and years without a predecessor, fail."""
+    facts = described(fact_table(spark, sf_dir)).select("fact_id", "company_id", "fiscal_year", "normalized_value", (F.col("validation_status") == "verified").alias("verified"))
+    year = facts.select("company_id", "fiscal_year").distinct()
+    fact = lambda metric, back=0: F.format_string(f"fact_%d_%d_{metric}", "company_id", F.col("fiscal_year") - back)
+    r, c, t, r0 = fact("revenue"), fact("operating_cost"), fact("tax"), fact("revenue", 1)
+    asked = (("growth", r, r0), ("gross_profit_margin_formula", r, c), ("expense_ratio", r, c, t), ("cash_flow_to_net_profit", c, r), ("current_ratio_formula", r, c), ("debt_to_equity_ratio_formula", c, r), ("effective_tax_rate", t, r0), ("no_such_formula", r, c), ("expense_ratio", r, c))
+    rows = F.array(*[F.struct(F.lit(str(k)).alias("k"), F.lit(name).alias("formula_id"), F.array(*ids).alias("input_fact_ids")) for k, (name, *ids) in enumerate(asked)])
+    calculations = year.select("company_id", "fiscal_year", F.inline(rows)).select(F.concat_ws("_", "company_id", "fiscal_year", "k").alias("calculation_id"), "formula_id", "input_fact_ids")
+    return f.calculate(calculations, facts)
 
 
 def k9_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.contract_violations(fact_table(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("facts"))
+    """Facts outside the years 1993 to 1996, which the dataset would promise, and other breaches."""
+    return f.contract_violations(fact_table(spark, sf_dir), (1993, 1996)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
 def k13_unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +147,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k9_contract_violations, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -115,19 +161,62 @@ fa AS (SELECT company_id, fiscal_year, line, metric_id, normalized_value, format
 
 
 def _ratio(n: str, d: str, ok: str, times: int = 1) -> str:
-    return f"CASE WHEN ({ok}) AND ({d}) <> 0 THEN round(({n})::DOUBLE / ({d})::DOUBLE * {times}, 4)::DECIMAL(38,4) END"
+    n, d = f"(({n})::DECIMAL(24,2) * 100)::HUGEINT", f"(({d})::DECIMAL(24,2) * 100)::HUGEINT"
+    steps = f"(2 * abs({n}) * {times * 10_000} + abs({d})) // (2 * abs({d}))"
+    return f"CASE WHEN ({ok}) AND {d} <> 0 THEN ((CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END * ({steps}))::DECIMAL(30,0) * 0.0001::DECIMAL(4,4))::DECIMAL(38,4) END"
 
 
 CASES = FACTS + """,
 rv AS (SELECT company_id, fiscal_year FROM yr), cs AS (SELECT 'case_' || a.company_id || '_' || a.fiscal_year AS case_id, a.fiscal_year::VARCHAR AS fiscal_year, b.company_id IS NULL AS lost
   FROM rv a LEFT JOIN rv b ON a.company_id = b.company_id AND b.fiscal_year = a.fiscal_year - 1)"""
 
+DESCRIBED = FACTS + """,
+ds AS (SELECT *, company_id || '_' || fiscal_year AS report_id, 'ev_' || fact_id AS ev, (company_id + fiscal_year) % 5 <> 0 AS verified, line[1] AS okey, line[2]::BIGINT AS page FROM fa),
+ev AS (SELECT ev AS evidence_id, report_id, CASE WHEN okey % 2 = 0 THEN 'ck_' || okey || '_' || metric_id END AS chunk_id, page AS pdf_page, page <> 7 AS ok FROM ds)"""
+RESOLVED = DESCRIBED + """,
+it AS (SELECT *, CASE metric_id WHEN 'operating_cost' THEN 1 WHEN 'revenue' THEN 2 ELSE 3 END AS o FROM ds),
+rs AS (SELECT 'q_' || ds.fact_id AS query_id, ds.fact_id, ds.ev AS evidence_id, min(it.o)::BIGINT AS context_order, CASE WHEN min(it.o) = 1 THEN 'retrieved' ELSE 'adjacent_page' END AS origin
+  FROM ds JOIN ev ON ev.evidence_id = ds.ev JOIN it ON it.report_id = ds.report_id
+  WHERE ds.verified AND ev.ok AND CASE WHEN ev.chunk_id IS NOT NULL THEN ev.chunk_id = 'ck_' || it.okey || '_' || it.metric_id ELSE ev.pdf_page = it.page + it.o - 1 END GROUP BY ds.fact_id, ds.ev)"""
+FORMULA_SQL = {
+    0: ("growth", "y.revenue - p.revenue", "p.revenue", "p.revenue > 0", 100), 1: ("gross_profit_margin_formula", "y.revenue - y.operating_cost", "y.revenue", "y.revenue > 0 AND y.operating_cost >= 0", 100),
+    2: ("expense_ratio", "y.operating_cost + y.tax", "y.revenue", "y.revenue > 0", 100), 3: ("cash_flow_to_net_profit", "y.operating_cost", "y.revenue", "TRUE", 1),
+    4: ("current_ratio_formula", "y.revenue", "y.operating_cost", "y.operating_cost > 0", 1), 5: ("debt_to_equity_ratio_formula", "y.operating_cost", "y.revenue", "TRUE", 1),
+}
+
+
+def _dispatch_sql() -> str:
+    known = " UNION ALL ".join(
+        f"""SELECT y.company_id || '_' || y.fiscal_year || '_{k}' AS calculation_id, '{name}' AS formula_id, {"p.revenue IS NULL" if k == 0 else "FALSE"} AS lost,
+  (y.company_id + y.fiscal_year) % 5 = 0 {"OR (y.company_id + y.fiscal_year - 1) % 5 = 0" if k == 0 else ""} AS unsure, FALSE AS other, {_ratio(n, d, ok, times)} AS v FROM yr y LEFT JOIN yr p ON p.company_id = y.company_id AND p.fiscal_year = y.fiscal_year - 1"""
+        for k, (name, n, d, ok, times) in FORMULA_SQL.items()
+    )
+    return f"""WITH {FACTS}, c AS ({known} UNION ALL SELECT y.company_id || '_' || y.fiscal_year || '_6', 'effective_tax_rate', p.revenue IS NULL,
+  (y.company_id + y.fiscal_year) % 5 = 0 OR (y.company_id + y.fiscal_year - 1) % 5 = 0, TRUE, NULL FROM yr y LEFT JOIN yr p ON p.company_id = y.company_id AND p.fiscal_year = y.fiscal_year - 1),
+s AS (SELECT calculation_id, formula_id, CASE WHEN lost THEN 'input_missing' WHEN unsure THEN 'input_not_verified' WHEN other THEN 'other_context' WHEN v IS NULL THEN 'guard_failed' ELSE 'done' END AS status, v FROM c
+  UNION ALL SELECT company_id || '_' || fiscal_year || '_7', 'no_such_formula', 'unknown_formula', NULL FROM yr UNION ALL SELECT company_id || '_' || fiscal_year || '_8', 'expense_ratio', 'input_count', NULL FROM yr)
+SELECT calculation_id, formula_id, status, CASE WHEN status = 'done' THEN v END AS result_value FROM s"""
+
+
 ORACLES = {
+    "k3_link_violations": f"""WITH {DESCRIBED}, ln AS (SELECT ds.*, CASE WHEN metric_id = 'tax' AND fiscal_year = 1996 THEN 'ev_fact_' || company_id || '_1995_tax' WHEN metric_id = 'operating_cost' AND fiscal_year = 1998 THEN 'ev_none' ELSE ev END AS linked
+  FROM ds WHERE (company_id + fiscal_year) % 7 <> 0)
+SELECT fact_id, 'no_primary_evidence' AS rule_id FROM ds WHERE (company_id + fiscal_year) % 7 = 0
+UNION ALL SELECT fact_id, 'unknown_evidence' FROM ln WHERE linked NOT IN (SELECT evidence_id FROM ev)
+UNION ALL SELECT fact_id, 'repeated_link' FROM ln WHERE metric_id = 'revenue' AND fiscal_year = 1997
+UNION ALL SELECT fact_id, 'other_report' FROM ln JOIN ev ON evidence_id = linked WHERE ev.report_id <> ln.report_id
+UNION ALL SELECT fact_id, 'primary_differs' FROM ln WHERE linked <> ev""",
+    "k6_resolve_facts": f"WITH {RESOLVED} SELECT * FROM rs",
+    "k8_resolution_views": f"""WITH {RESOLVED} SELECT 'q_' || ds.fact_id AS query_id, CASE WHEN origin = 'retrieved' THEN ds.fact_id ELSE '' END AS base_facts,
+  CASE WHEN origin = 'adjacent_page' THEN ds.fact_id ELSE '' END AS expanded_facts, origin IS NOT NULL AS resolved FROM ds LEFT JOIN rs ON rs.fact_id = ds.fact_id""",
+    "m10_formula_dispatch": _dispatch_sql(),
     "k_facts": f"WITH {FACTS} SELECT fact_id, company_id, fiscal_year, metric_id, normalized_value FROM fa",
     "k1_foreign_keys": """WITH v AS (SELECT 'c_custkey_unknown' AS rule_id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-UNION ALL SELECT 'o_orderkey_unknown' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) SELECT rule_id, count(*) AS rows FROM v GROUP BY rule_id""",
-    "k9_contract_violations": f"WITH {FACTS} SELECT 'year_out_of_range' AS rule_id, count(*) AS facts FROM fa WHERE fiscal_year NOT BETWEEN 1990 AND 2100 HAVING count(*) > 0 UNION ALL SELECT 'revenue_negative', count(*) FROM fa WHERE metric_id = 'revenue' AND normalized_value < 0 HAVING count(*) > 0",
-    "k13_unit_normalize": """WITH m AS (SELECT * FROM (VALUES ('hundred_million_yuan', 0, 100000000), ('million_yuan', 1, 1000000), ('ten_thousand_yuan', 2, 10000), ('thousand_yuan', 3, 1000), ('yuan', 4, 1)) v(unit, k, times))
+UNION ALL SELECT 'o_orderkey_unknown' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'page_id_unknown' FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)
+UNION ALL SELECT 'label_id_unknown' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)) SELECT rule_id, count(*) AS rows FROM v GROUP BY rule_id""",
+    "k9_contract_violations": f"WITH {FACTS} SELECT 'year_out_of_range' AS rule_id, count(*) AS facts FROM fa WHERE fiscal_year NOT BETWEEN 1993 AND 1996 HAVING count(*) > 0 UNION ALL SELECT 'revenue_negative', count(*) FROM fa WHERE metric_id = 'revenue' AND normalized_value < 0 HAVING count(*) > 0",
+    "k13_unit_normalize": """WITH m AS (SELECT * FROM (VALUES ('CNY', 0, 1), ('CNY_hundred_million', 1, 100000000), ('CNY_million', 2, 1000000), ('CNY_ten_thousand', 3, 10000), ('CNY_thousand', 4, 1000)) v(unit, k, times))
 SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMAL(24,4) * times::DECIMAL(12,0))::DECIMAL(38,4) AS total FROM orders JOIN m ON o_orderkey % 5 = k GROUP BY unit""",
     "k16_disputed_values": "SELECT l_partkey, l_suppkey, count(DISTINCT l_discount) AS n_values FROM lineitem GROUP BY ALL HAVING n_values > 1",
     "m1_growth": f"WITH {FACTS} SELECT a.company_id, a.metric_id, a.fiscal_year, {_ratio('a.normalized_value - b.normalized_value', 'b.normalized_value', 'b.normalized_value > 0', 100)} AS growth FROM fa a JOIN fa b ON a.company_id = b.company_id AND a.metric_id = b.metric_id AND a.fiscal_year = b.fiscal_year + 1",

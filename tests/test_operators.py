@@ -22,7 +22,7 @@ def test_text_functions(spark):
     assert one(spark, T.tokens(F.lit("营业收入 ＡＢ1 é x，利"))) == ["营业", "业收", "收入", "ab1", "x", "利"]
     assert one(spark, T.lexical_tokens(F.lit("A net_profit 2024 利润 x"))) == ["net_profit", "利润"]
     assert one(spark, T.bigrams(F.lit("a1b😀c"))) == ["ab", "bc"] and one(spark, T.bigrams(F.lit("a"))) == []
-    assert one(spark, T.values(F.lit("1,234.50 (2,000) 12 2024 3.5% 12345,6"))) == ["1,234.50", "(2,000)", "2024", "3.5%"]
+    assert one(spark, T.values(F.lit("1,234.50 (2,000) 12 2024 3.5% 12345,6 +1,234 ( 9.5 )"))) == ["1,234.50", "(2,000)", "2024", "3.5%", "12345", "+1,234", "( 9.5 )"]
     assert one(spark, T.citations(F.lit("see [E1] and [E12][E0]"))) == ["E1", "E12"]
     assert one(spark, T.near_value(F.lit("Revenue (2024): 1,234"), F.lit("revenue"), F.lit(2024)))
     assert not one(spark, T.near_value(F.lit("Revenue 2024"), F.lit("revenue"), F.lit(2024)))
@@ -60,10 +60,10 @@ def test_paragraphs_and_packing(spark):
 
 
 def test_sections(spark):
-    text = "第一章 总则\nbody text.\n一、范围\n（一）细则\n第二章 财务\n（一）收入"
+    text = "第一节 总则\nbody text.\n一、范围\n（一）细则\n第2节 财务\n（一）收入"
     df = spark.createDataFrame([("r", 1, text), ("r", 2, "二、利润\nx.")], "report_id string, pdf_page int, text string")
     paths = [r.section_path for r in chunking.section_paths(chunking.headings(df)).orderBy("pdf_page", "line").collect()]
-    assert paths == [["第一章 总则"], ["第一章 总则", "一、范围"], ["第一章 总则", "一、范围", "（一）细则"], ["第二章 财务"], ["第二章 财务", "（一）收入"], ["第二章 财务", "二、利润"]]
+    assert paths == [["第一节 总则"], ["第一节 总则", "一、范围"], ["第一节 总则", "一、范围", "（一）细则"], ["第2节 财务"], ["第2节 财务", "（一）收入"], ["第2节 财务", "二、利润"]]
 
 
 def test_chunk_and_page_checks(spark):
@@ -160,7 +160,7 @@ def test_ratios_round_half_up(spark):
     assert str(one(spark, facts.ratio(d("-1.00"), d("80000.00"), F.lit(True)))) == "0.0000"
     assert str(one(spark, facts.growth_percent(d("90"), d("80")))) == "12.5000"
     assert one(spark, facts.growth_percent(d("90"), d("-80"))) is None and one(spark, facts.ratio(d("1"), d("0"), F.lit(True))) is None
-    assert str(one(spark, facts.normalize_unit(F.lit("1.5"), F.lit("ten_thousand_yuan")))) == "15000.0000" and one(spark, facts.normalize_unit(F.lit("1"), F.lit("shell"))) is None
+    assert str(one(spark, facts.normalize_unit(F.lit("1.5"), F.lit("CNY_ten_thousand")))) == "15000.0000" and one(spark, facts.normalize_unit(F.lit("1"), F.lit("shell"))) is None
 
 
 def test_metrics(spark):

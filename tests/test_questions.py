@@ -8,7 +8,7 @@ from quarry.sources import datasets
 
 def test_gate_and_packets(spark):
     q = spark.createDataFrame([(1, "revenue", "income_statement", 2024), (2, "revenue", "balance_sheet", 2024), (3, "revenue", "income_statement", 2024)], "query_id int, metric_name string, statement_type string, fiscal_year int")
-    items = spark.createDataFrame([(1, "E1", "Income Statement\nRevenue 2024: 1,234.5"), (1, "E2", "revenue 1,234.5"), (2, "E1", "Balance sheet revenue 2024")], "query_id int, citation string, text string")
+    items = spark.createDataFrame([(1, "E1", "合并 利润表\nRevenue 2024: 1,234.5"), (1, "E2", "revenue 1,234.5"), (2, "E1", "Balance sheet revenue 2024")], "query_id int, citation string, text string")
     ready = evidence.assess(q, items)
     assert {r.query_id: (r.status, r.supporting) for r in ready.collect()} == {1: ("ready", ["E1"]), 2: ("insufficient", []), 3: ("no_hits", [])}
     packets = evidence.answer_packets(ready, items)
