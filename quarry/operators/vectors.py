@@ -12,11 +12,14 @@ from quarry.functions.ranking import top_k
 BLOCK_ROWS = 4096
 
 
-def violations(vectors: DataFrame, size: int) -> DataFrame:
-    """vectors(id, embedding) that can't be searched: wrong length, not finite, zero norm."""
+def violations(vectors: DataFrame, size: int, unit: bool = False, tolerance: float = 1e-5) -> DataFrame:
+    """vectors(id, embedding) that can't be searched: wrong length, not finite, zero norm; with unit, also a norm that is
+    not one."""
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rule = F.when(F.col("embedding").isNull() | (F.size("embedding") != size), "length").when(odd, "not_finite").when(norm == 0, "zero_norm")
+    if unit:
+        rule = rule.when(F.abs(F.sqrt(norm) - 1) > tolerance, "not_unit_norm")
     return vectors.select("id", rule.alias("rule_id")).filter("rule_id is not null")
 
 

@@ -76,7 +76,8 @@ def c2_paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c3_paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.paragraph_chunks(page_table(spark, sf_dir), r"\n")
+    out = chunking.paragraph_chunks(page_table(spark, sf_dir), r"\n")
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in out.columns[1:]])
 
 
 def c11_chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,15 @@ UNION ALL SELECT report_id, mapping_id, 'overlap' FROM s WHERE before >= pdf_pag
     "c2_paragraph_spans": f"""WITH {PAGES_SQL}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM pg),
 o AS (SELECT *, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM s)
 SELECT doc_id, i AS paragraph_index, start_char, start_char + length(p) AS end_char FROM o WHERE p <> ''""",
+    "c3_paragraph_chunks": f"""WITH RECURSIVE {PAGES_SQL}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg),
+o AS (SELECT doc_id, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, i FROM s),
+sp AS (SELECT doc_id, a, a + length(p) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM o WHERE p <> ''),
+nx AS (SELECT x.doc_id, x.k, greatest(x.k, coalesce(max(y.k), x.k)) AS j FROM sp x LEFT JOIN sp y ON y.doc_id = x.doc_id AND y.k >= x.k AND y.z - x.a <= 800 GROUP BY ALL),
+la AS (SELECT doc_id, max(k) AS m FROM sp GROUP BY doc_id),
+ch AS (SELECT nx.doc_id, nx.k, nx.j, m FROM nx JOIN la USING (doc_id) WHERE nx.k = 0 UNION ALL SELECT nx.doc_id, nx.k, nx.j, m FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.k = greatest(ch.k + 1, ch.j) WHERE ch.j < ch.m),
+cs AS (SELECT ch.doc_id, ch.k, ch.j, x.a, y.z FROM ch JOIN sp x ON x.doc_id = ch.doc_id AND x.k = ch.k JOIN sp y ON y.doc_id = ch.doc_id AND y.k = ch.j),
+w AS (SELECT *, unnest(CASE WHEN z - a > 800 THEN range(a, greatest(a + 1, z - 120), 680) ELSE [a] END) AS st FROM cs)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, st) - 1 AS chunk_index, st AS start_char, least(st + 800, z) AS end_char, k AS first_paragraph, j AS last_paragraph FROM w""",
     "c11_chunk_summary": f"WITH {CHUNKS_SQL} SELECT report_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(DISTINCT doc_id) AS pages FROM ck GROUP BY report_id",
     "t_text_features": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(lower(coalesce(text, '')), '[^\pL]', '', 'g') AS l, regexp_replace(lower(coalesce(text, '')), '[^\pL\pN]', '', 'g') AS ln FROM documents)
 SELECT doc_id, len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS ascii_tokens, len(list_filter(regexp_extract_all(lower(t), '[A-Za-z_]+|[\x{4E00}-\x{9FFF}]{2,}'), lambda x: length(x) >= 2)) AS lexical_tokens,

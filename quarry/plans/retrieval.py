@@ -110,8 +110,9 @@ def v2_cosine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v1_vector_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by label that can't be searched, or whose norm is not one."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    bad = vectors.violations(v, 64).select("id", "rule_id")
+    bad = vectors.violations(v, 64, unit=True).select("id", "rule_id")
     return v.join(bad, "id", "left").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count("rule_id").alias("violations"))
 
 
@@ -123,7 +124,8 @@ def r1_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r4_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = questions(spark, sf_dir), chunks_of(spark, sf_dir)
     out = fusion.rerank(bm25(spark, sf_dir, 20), q, c)
-    return out.select("query_id", "rank", "chunk_id", "rrf_rank", "reranker_score.tokens", "reranker_score.pairs", "reranker_score.recall")
+    longs = [F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("rank", "rrf_rank", "reranker_score.tokens", "reranker_score.pairs")]
+    return out.select("query_id", "chunk_id", *longs, "reranker_score.recall")
 
 
 def x1_expand_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,7 @@ def x6_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks_of(spark, sf_dir)
     pool = context.expand(bm25(spark, sf_dir), chunks).join(chunks.select("chunk_id", "chunk_index", "text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
     ranked = context.rank_candidates(pool).withColumn("n_chars", F.length("text"))
-    return context.budget(ranked)
+    return context.budget(ranked).withColumn("selection_rank", F.col("selection_rank").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 def e1_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +202,15 @@ bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 COVERAGE = """,
 cv0 AS (SELECT query_id, chunk_id, count(*) AS score FROM qt JOIN post USING (term) GROUP BY ALL),
 cv AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id FROM cv0 QUALIFY rank <= {k})"""
+EXPAND = """an AS (SELECT bm.query_id, bm.rank AS anchor_rank, bm.chunk_id AS anchor_chunk_id, report_id, d AS page_distance, pdf_page + d AS page FROM bm JOIN ck USING (chunk_id), (VALUES (-1), (1)) v(d)),
+pool AS (SELECT an.*, ck.chunk_id, ck.chunk_index FROM an JOIN ck ON ck.report_id = an.report_id AND ck.pdf_page = an.page WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.query_id = an.query_id AND bm.chunk_id = ck.chunk_id)),
+best AS (SELECT *, count(*) OVER w2 - 1 AS duplicates, row_number() OVER w AS n FROM pool WINDOW w2 AS (PARTITION BY query_id, chunk_id), w AS (PARTITION BY query_id, chunk_id ORDER BY anchor_rank, page_distance, anchor_chunk_id))"""
+PAIRS = "CASE WHEN length({l}) < 2 THEN [] ELSE list_distinct(list_transform(range(1, length({l})), lambda i: substr({l}, i, 2))) END"
+RERANK = r"""
+rr AS ({{source}}),
+sc4 AS (SELECT *, CASE WHEN len(own) > 0 THEN round(pairs / len(own), 9) ELSE 0.0 END AS recall FROM (SELECT *, len(list_intersect(own, other)) AS pairs FROM (SELECT *,
+  len(list_filter(list_distinct(list_filter(regexp_extract_all(lower(query), '[A-Za-z_]+|[\x{{{{4E00}}}}-\x{{{{9FFF}}}}]{{{{2,}}}}'), lambda x: length(x) >= 2)), lambda w: contains(lower(text), w))) AS tokens,
+  {own} AS own, {other} AS other FROM (SELECT *, regexp_replace(lower(query), '[^\pL]', '', 'g') AS ql, regexp_replace(lower(text), '[^\pL]', '', 'g') AS tl FROM rr))))""".format(own=PAIRS.format(l="ql"), other=PAIRS.format(l="tl"))
 GOLD = r""",
 gq AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS seq FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0),
 gd AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS body FROM documents),
@@ -218,7 +229,24 @@ ORACLES = {
 UNION ALL SELECT 'terms', count(DISTINCT term), count(*), 0 FROM post""",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",
     "f1_filtered_bm25": f"WITH {_bm25_sql(5, "doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de'))")} SELECT * FROM bm",
-    "v1_vector_violations": "SELECT label, count(*) AS vectors, 0::BIGINT AS violations FROM embeddings GROUP BY label",
+    "v1_vector_violations": """SELECT label, count(*) AS vectors, count(*) FILTER (len(embedding) <> 64 OR abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) - 1) > 1e-5) AS violations
+FROM embeddings GROUP BY label""",
+    "r4_lexical_rerank": f"""WITH {_bm25_sql(20)}, {RERANK.format(source="SELECT bm.query_id, bm.chunk_id, bm.rank AS rrf_rank, b.text AS query, ck.text FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN ck USING (chunk_id)")}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, rrf_rank, chunk_id) AS rank, chunk_id, rrf_rank, tokens, pairs, recall FROM sc4 QUALIFY rank <= 5""",
+    "x6_context_budget": f"""WITH RECURSIVE {_bm25_sql(5)}, {EXPAND}, {RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")},
+cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr FROM sc4),
+fold AS (SELECT query_id, 0::BIGINT AS sr, NULL::VARCHAR AS chunk_id, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, NULL::VARCHAR AS decision FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT c.query_id, c.sr, c.chunk_id, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END,
+  CASE WHEN items >= 2 THEN 'item_budget' WHEN c.n_chars <= room THEN 'selected' ELSE 'char_budget' END FROM fold f JOIN cand c ON c.query_id = f.query_id AND c.sr = f.sr + 1)
+SELECT query_id, sr AS selection_rank, chunk_id, n_chars, decision FROM fold WHERE sr > 0""",
+    "n8_method_comparison": f"""WITH {_bm25_sql(20)}{COVERAGE.format(k=20)}{GOLD},
+fb AS (SELECT g.query_id, min(bm.rank) AS bm25 FROM bm JOIN gold g ON g.query_id = bm.query_id AND g.doc_id = substr(chunk_id, 1, 12)::BIGINT GROUP BY g.query_id),
+fc AS (SELECT g.query_id, min(cv.rank) AS coverage FROM cv JOIN gold g ON g.query_id = cv.query_id AND g.doc_id = substr(chunk_id, 1, 12)::BIGINT GROUP BY g.query_id),
+rk AS (SELECT query_id, bm25, coverage FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN fb USING (query_id) LEFT JOIN fc USING (query_id)),
+z AS (SELECT *, least(bm25, coverage) AS best_rank, greatest(bm25, coverage) - least(bm25, coverage) AS rank_spread FROM rk)
+SELECT *, concat_ws(',', CASE WHEN bm25 = best_rank THEN 'bm25' END, CASE WHEN coverage = best_rank THEN 'coverage' END) AS best_methods,
+  concat_ws(',', CASE WHEN best_rank IS NULL OR best_rank > 5 THEN 'miss_top5' END, CASE WHEN rank_spread >= 10 THEN 'large_disagreement' END, CASE WHEN bm25 - coverage >= 3 THEN 'coverage_improves' END,
+  CASE WHEN bm25 - coverage <= -3 THEN 'coverage_degrades' END, CASE WHEN bm25 <= 5 AND coverage > 5 THEN 'coverage_drops_top5' END) AS labels FROM z""",
     "v2_cosine_search": """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS l FROM v),
 s AS (SELECT q.id AS query_id, n.id, round(list_inner_product(q.e, n.e) / (q.l * n.l), 9) AS score FROM n q JOIN n ON q.id <> n.id WHERE q.id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM s QUALIFY rank <= 5""",
@@ -227,10 +255,7 @@ fu AS (SELECT coalesce(cv.query_id, bm.query_id) AS query_id, coalesce(cv.chunk_
   concat_ws(',', CASE WHEN cv.rank IS NOT NULL THEN 'dense' END, CASE WHEN bm.rank IS NOT NULL THEN 'bm25' END) AS source_retrievers
   FROM cv FULL JOIN bm ON cv.query_id = bm.query_id AND cv.chunk_id = bm.chunk_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, source_retrievers FROM fu QUALIFY rank <= 10""",
-    "x1_expand_pages": f"""WITH {_bm25_sql(5)},
-an AS (SELECT bm.query_id, bm.rank AS anchor_rank, bm.chunk_id AS anchor_chunk_id, report_id, d AS page_distance, pdf_page + d AS page FROM bm JOIN ck USING (chunk_id), (VALUES (-1), (1)) v(d)),
-pool AS (SELECT an.*, ck.chunk_id, ck.chunk_index FROM an JOIN ck ON ck.report_id = an.report_id AND ck.pdf_page = an.page WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.query_id = an.query_id AND bm.chunk_id = ck.chunk_id)),
-best AS (SELECT *, count(*) OVER w2 - 1 AS duplicates, row_number() OVER w AS n FROM pool WINDOW w2 AS (PARTITION BY query_id, chunk_id), w AS (PARTITION BY query_id, chunk_id ORDER BY anchor_rank, page_distance, anchor_chunk_id))
+    "x1_expand_pages": f"""WITH {_bm25_sql(5)}, {EXPAND}
 SELECT query_id, (SELECT count(*) FROM bm WHERE bm.query_id = best.query_id) + row_number() OVER (PARTITION BY query_id ORDER BY anchor_rank, page_distance, chunk_index, chunk_id) AS context_order,
   anchor_rank, page_distance, duplicates, chunk_id, anchor_chunk_id FROM best WHERE n = 1""",
     "e1_evidence_blocks": f"""WITH {_bm25_sql(5)},
