@@ -118,7 +118,7 @@ SELECT doc_id, i AS paragraph_index, start_char, start_char + length(p) AS end_c
     "c3_paragraph_chunks": f"""WITH RECURSIVE {PAGES_SQL}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg),
 o AS (SELECT doc_id, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, i FROM s),
 sp AS (SELECT doc_id, a, a + length(p) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM o WHERE p <> ''),
-nx AS (SELECT x.doc_id, x.k, greatest(x.k, coalesce(max(y.k), x.k)) AS j FROM sp x LEFT JOIN sp y ON y.doc_id = x.doc_id AND y.k >= x.k AND y.z - x.a <= 800 GROUP BY ALL),
+nx AS (SELECT x.doc_id, x.k, greatest(x.k, coalesce(max(y.k), x.k)) AS j FROM sp x LEFT JOIN sp y ON y.doc_id = x.doc_id AND y.k >= x.k AND y.z - x.a <= 800 GROUP BY x.doc_id, x.k),
 la AS (SELECT doc_id, max(k) AS m FROM sp GROUP BY doc_id),
 ch AS (SELECT nx.doc_id, nx.k, nx.j, m FROM nx JOIN la USING (doc_id) WHERE nx.k = 0 UNION ALL SELECT nx.doc_id, nx.k, nx.j, m FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.k = greatest(ch.k + 1, ch.j) WHERE ch.j < ch.m),
 cs AS (SELECT ch.doc_id, ch.k, ch.j, x.a, y.z FROM ch JOIN sp x ON x.doc_id = ch.doc_id AND x.k = ch.k JOIN sp y ON y.doc_id = ch.doc_id AND y.k = ch.j),
