@@ -109,8 +109,11 @@ class Network:
 
 
 def segments(text: str) -> list[bytes]:
+    words = text.encode("utf-8", "replace").lower().split()
+    if not words or max(map(len, words)) <= SEGMENT:
+        return words
     out = []
-    for w in text.encode("utf-8", "replace").lower().split():
+    for w in words:
         out.append(w[:SEGMENT])
         if len(w) > SEGMENT:
             out += [w[k : k + SEGMENT] for k in range(SEGMENT, len(w), SEGMENT)]
