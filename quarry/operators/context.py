@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import bigrams
 from quarry.operators.fusion import lexical_score
 
 
@@ -32,6 +33,41 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return s.withColumn("selection_rank", F.row_number().over(w))
 
 
+def metric_hints(metrics: DataFrame, aliases: DataFrame) -> DataFrame:
+    """metrics(metric_id, display_name), aliases(metric_id, alias) -> hints: the name, then the aliases in order, trimmed,
+    each once, blanks left out."""
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    own = aliases.groupBy("metric_id").agg(F.array_sort(F.collect_set(bare("alias"))).alias("_a"))
+    every = F.concat(F.array(bare("display_name")), F.coalesce("_a", F.array().cast("array<string>")))
+    return metrics.join(own, "metric_id", "left").select("metric_id", F.array_distinct(F.filter(every, lambda x: x != "")).alias("hints"))
+
+
+def metric_score(hints: Column, text: Column) -> Column:
+    """Whether a hint is in the text (letters and digits only, no case), the most character pairs that a hint shares with
+    it, and the greatest share of a hint's pairs found. No hints score nothing."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+
+    def score(x: Column) -> Column:
+        exact = F.exists(hints, lambda h: (plain(h) != "") & F.contains(x["plain"], plain(h)))
+        both = F.transform(hints, lambda h: F.struct(F.size(F.array_intersect(bigrams(h), x["pairs"])).alias("n"), F.size(bigrams(h)).alias("of")))
+        share = F.array_max(F.transform(both, lambda b: F.when(b["of"] > 0, F.round(b["n"] / b["of"], 9)).otherwise(F.lit(0.0))))
+        return F.struct(F.coalesce(exact, F.lit(False)).cast("int").alias("exact"), F.coalesce(F.array_max(both["n"]), F.lit(0)).alias("overlap"), F.coalesce(share, F.lit(0.0)).alias("recall"))
+
+    return F.get(F.transform(F.array(F.struct(plain(text).alias("plain"), bigrams(text).alias("pairs"))), score), 0)
+
+
+def add_siblings(pool: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pool(query_id, chunk_id, anchor_chunk_id, anchor_rank, page_distance) plus the other chunks of the hits' own pages at
+    distance 0. A chunk that is in the pool keeps its place there; of several anchors the best ranked counts; hits stay out."""
+    places = chunks.select("chunk_id", "report_id", "pdf_page")
+    anchors = hits.join(places, "chunk_id").select("query_id", F.col("rank").alias("anchor_rank"), F.col("chunk_id").alias("anchor_chunk_id"), "report_id", "pdf_page")
+    near = anchors.join(places, ["report_id", "pdf_page"]).join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    best = near.groupBy("query_id", "chunk_id").agg(F.min(F.struct("anchor_rank", "anchor_chunk_id")).alias("n"))
+    new = best.join(pool.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    new = new.select("query_id", "chunk_id", "n.anchor_chunk_id", "n.anchor_rank", F.lit(0).alias("page_distance"), F.lit("same_page").alias("origin"))
+    return pool.select("query_id", "chunk_id", "anchor_chunk_id", "anchor_rank", "page_distance", F.lit("adjacent_page").alias("origin")).unionByName(new)
+
+
 def budget(candidates: DataFrame, max_items: int = 2, max_chars: int = 1600) -> DataFrame:
     """Greedy choice in selection_rank order: a candidate that does not fit is skipped, later ones may still fit; after
     max_items the rest are item_budget. candidates(query_id, selection_rank, chunk_id, n_chars), any number per query.

@@ -19,6 +19,17 @@ def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame, k: int = 10, co
     return top_k(both.withColumn("source_retrievers", sources), k, ["query_id"], [F.desc("score"), F.col("chunk_id")])
 
 
+def hybrid(dense: DataFrame, lexical: DataFrame, queries: DataFrame, k: int = 10, constant: int = 60, cap: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(fused hits, query_id with status): both rankings empty is `empty`; one empty is `mismatch`, as both search the same
+    chunks under the same filter, and such a query has no fused hits."""
+    n = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    seen = queries.select("query_id").join(n(dense, "dense_hits"), "query_id", "left").join(n(lexical, "bm25_hits"), "query_id", "left").na.fill(0, ["dense_hits", "bm25_hits"])
+    d, x = F.col("dense_hits") > 0, F.col("bm25_hits") > 0
+    status = seen.withColumn("status", F.when(d & x, "ok").when(d | x, "mismatch").otherwise("empty"))
+    fused = reciprocal_rank_fusion(dense, lexical, k, constant, cap)
+    return fused.join(status.filter("status = 'ok'").select("query_id"), "query_id", "left_semi"), status
+
+
 def hit_violations(hits: DataFrame) -> DataFrame:
     """Queries whose ranks are not 1 .. n or that list a chunk twice."""
     seen = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("ranks"), F.max("rank").alias("last"), F.min("rank").alias("first"), F.countDistinct("chunk_id").alias("chunks"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, pages
+from quarry.operators import chunking, filters, pages
 from quarry.sources.datasets import checksum
 from quarry.sources.tables import table
 
@@ -98,8 +98,39 @@ def s9_dataset_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksum(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang", "n_chars"], ["source"])
 
 
-QUERIES = {f.__name__: f for f in (p1_page_normalize, p6_page_mapping, p8_mapping_audit, p9_segment_violations, p11_page_summary, c1_fixed_chunks, c2_paragraph_spans, c3_paragraph_chunks, c11_chunk_summary, t_text_features, s9_dataset_checksum)}
+#: The tables hold no numbered headings: short sentences stand for them, their level told by the first letter.
+LETTERS = ("^[A-F]", "^[G-M]", "^[N-Z]")
 
+
+def c6_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed sentences cut at headings, with the section in force."""
+    page = page_table(spark, sf_dir).withColumn("text", F.replace("text", F.lit(". "), F.lit("\n")))
+    out = chunking.section_chunks(page, "\n", patterns=LETTERS)
+    longs = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "start_char", "end_char", "section_page")]
+    return out.select("doc_id", *longs, F.array_join("section_path", " / ").alias("section_path"), "section_inherited")
+
+
+def f2_filter_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that each of many filters lets through: by report and language, pages 1 to 40, half by report alone."""
+    page = page_table(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("report_type")), "doc_id")
+    kinds = page.select("report_id", "report_type").distinct()
+    some = F.sequence(F.lit(1).cast(page.schema["pdf_page"].dataType), F.lit(40).cast(page.schema["pdf_page"].dataType))
+    asked = kinds.select(F.concat_ws("/", "report_id", "report_type").alias("query_id"), F.array("report_id", "report_id", F.lit("other")).alias("report_ids"), F.array_compact(F.array("report_type")).alias("report_types"), F.when(F.col("report_type").isin("de", "fr"), some).alias("pdf_pages"))
+    found = filters.eligible(asked, page.select("doc_id", "report_id", "pdf_page", "report_type", F.length("text").alias("chars")))
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_page_normalize, p6_page_mapping, p8_mapping_audit, p9_segment_violations, p11_page_summary, c1_fixed_chunks, c2_paragraph_spans, c3_paragraph_chunks, c6_section_chunks, c11_chunk_summary, f2_filter_matches, t_text_features, s9_dataset_checksum)}
+
+PACKED = """
+s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg),
+o AS (SELECT doc_id, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, i FROM s),
+sp AS (SELECT doc_id, a, a + length(p) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM o WHERE p <> ''),
+nx AS (SELECT x.doc_id, x.k, greatest(x.k, coalesce(max(y.k), x.k)) AS j FROM sp x LEFT JOIN sp y ON y.doc_id = x.doc_id AND y.k >= x.k AND y.z - x.a <= 800 GROUP BY x.doc_id, x.k),
+la AS (SELECT doc_id, max(k) AS m FROM sp GROUP BY doc_id),
+ch AS (SELECT nx.doc_id, nx.k, nx.j, m FROM nx JOIN la USING (doc_id) WHERE nx.k = 0 UNION ALL SELECT nx.doc_id, nx.k, nx.j, m FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.k = greatest(ch.k + 1, ch.j) WHERE ch.j < ch.m),
+cs AS (SELECT ch.doc_id, ch.k, ch.j, x.a, y.z FROM ch JOIN sp x ON x.doc_id = ch.doc_id AND x.k = ch.k JOIN sp y ON y.doc_id = ch.doc_id AND y.k = ch.j),
+w AS (SELECT *, unnest(CASE WHEN z - a > 800 THEN range(a, greatest(a + 1, z - 120), 680) ELSE [a] END) AS st FROM cs)"""
 ORACLES = {
     "p1_page_normalize": f"WITH {PAGES_SQL} SELECT doc_id, report_id, pdf_page, length(text) AS chars, sha256(text) AS text_sha256, CASE WHEN text <> '' THEN 'text' ELSE 'empty' END AS content_type FROM pg",
     "p6_page_mapping": f"WITH {PAGES_SQL}, {SEGMENTS_SQL} SELECT * FROM res",
@@ -115,15 +146,26 @@ UNION ALL SELECT report_id, mapping_id, 'overlap' FROM s WHERE before >= pdf_pag
     "c2_paragraph_spans": f"""WITH {PAGES_SQL}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM pg),
 o AS (SELECT *, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char FROM s)
 SELECT doc_id, i AS paragraph_index, start_char, start_char + length(p) AS end_char FROM o WHERE p <> ''""",
-    "c3_paragraph_chunks": f"""WITH RECURSIVE {PAGES_SQL}, s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg),
-o AS (SELECT doc_id, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, i FROM s),
-sp AS (SELECT doc_id, a, a + length(p) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM o WHERE p <> ''),
-nx AS (SELECT x.doc_id, x.k, greatest(x.k, coalesce(max(y.k), x.k)) AS j FROM sp x LEFT JOIN sp y ON y.doc_id = x.doc_id AND y.k >= x.k AND y.z - x.a <= 800 GROUP BY x.doc_id, x.k),
-la AS (SELECT doc_id, max(k) AS m FROM sp GROUP BY doc_id),
-ch AS (SELECT nx.doc_id, nx.k, nx.j, m FROM nx JOIN la USING (doc_id) WHERE nx.k = 0 UNION ALL SELECT nx.doc_id, nx.k, nx.j, m FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.k = greatest(ch.k + 1, ch.j) WHERE ch.j < ch.m),
-cs AS (SELECT ch.doc_id, ch.k, ch.j, x.a, y.z FROM ch JOIN sp x ON x.doc_id = ch.doc_id AND x.k = ch.k JOIN sp y ON y.doc_id = ch.doc_id AND y.k = ch.j),
-w AS (SELECT *, unnest(CASE WHEN z - a > 800 THEN range(a, greatest(a + 1, z - 120), 680) ELSE [a] END) AS st FROM cs)
+    "c3_paragraph_chunks": f"""WITH RECURSIVE {PAGES_SQL}, {PACKED}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, st) - 1 AS chunk_index, st AS start_char, least(st + 800, z) AS end_char, k AS first_paragraph, j AS last_paragraph FROM w""",
+    "c6_section_chunks": f"""WITH RECURSIVE {PAGES_SQL.replace("pg AS", "pg0 AS")}, pg AS (SELECT doc_id, report_id, pdf_page, replace(text, '. ', chr(10)) AS text FROM pg0), {PACKED},
+tc AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, st) AS ci, st, least(st + 800, z) AS en FROM w),
+hd AS (SELECT report_id, pdf_page, doc_id, a + length(p) - length(regexp_replace(p, '^\\s+', '')) AS h, trim(p) AS title,
+  CASE WHEN regexp_matches(trim(p), '^[A-F]') THEN 1 WHEN regexp_matches(trim(p), '^[G-M]') THEN 2 WHEN regexp_matches(trim(p), '^[N-Z]') THEN 3 END AS lv
+  FROM o JOIN pg USING (doc_id) WHERE length(trim(p)) <= 50 AND NOT regexp_matches(trim(p), '[。；，.;,]$') AND lv IS NOT NULL),
+bd AS (SELECT doc_id, ci, en, st AS b FROM tc UNION SELECT tc.doc_id, ci, en, h FROM tc JOIN hd ON hd.doc_id = tc.doc_id AND h > st AND h < en),
+pc AS (SELECT doc_id, b, coalesce(lead(b) OVER (PARTITION BY doc_id, ci ORDER BY b), en) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY ci, b) - 1 AS idx FROM bd),
+ev AS (SELECT report_id, pdf_page, h AS pos, 0 AS kind, lv, pdf_page * 100000000 + h AS key, NULL::BIGINT AS doc_id, NULL::BIGINT AS idx, NULL::BIGINT AS e FROM hd
+  UNION ALL SELECT report_id, pdf_page, b, 1, NULL::INT, NULL::BIGINT, doc_id, idx, e FROM pc JOIN pg USING (doc_id)),
+wn AS (SELECT *, max(CASE WHEN lv = 1 THEN key END) OVER w1 AS k1, max(CASE WHEN lv = 2 THEN key END) OVER w1 AS k2, max(CASE WHEN lv = 3 THEN key END) OVER w1 AS k3 FROM ev
+  WINDOW w1 AS (PARTITION BY report_id ORDER BY pdf_page, pos, kind ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT report_id, pdf_page, pos, doc_id, idx, e, k1, CASE WHEN k1 IS NULL OR k2 > k1 THEN k2 END AS k2, CASE WHEN (k1 IS NULL OR k3 > k1) AND (k2 IS NULL OR k3 > k2) THEN k3 END AS k3 FROM wn WHERE kind = 1)
+SELECT lv.doc_id, idx AS chunk_index, pos AS start_char, e AS end_char, coalesce(k3, k2, k1) // 100000000 AS section_page, concat_ws(' / ', a.title, b.title, c.title) AS section_path,
+  coalesce(coalesce(k3, k2, k1) // 100000000 <> lv.pdf_page, FALSE) AS section_inherited
+FROM lv LEFT JOIN hd a ON a.report_id = lv.report_id AND a.pdf_page * 100000000 + a.h = k1 LEFT JOIN hd b ON b.report_id = lv.report_id AND b.pdf_page * 100000000 + b.h = k2 LEFT JOIN hd c ON c.report_id = lv.report_id AND c.pdf_page * 100000000 + c.h = k3""",
+    "f2_filter_matches": f"""WITH {PAGES_SQL}, p AS (SELECT pg.*, lang FROM pg JOIN documents USING (doc_id)), k AS (SELECT DISTINCT report_id, lang FROM p)
+SELECT concat_ws('/', k.report_id, k.lang) AS query_id, count(*) AS pages, sum(length(text))::BIGINT AS chars FROM k JOIN p ON p.report_id = k.report_id AND (k.lang IS NULL OR p.lang = k.lang)
+  AND (k.lang IS NULL OR k.lang NOT IN ('de', 'fr') OR pdf_page <= 40) GROUP BY 1""",
     "c11_chunk_summary": f"WITH {CHUNKS_SQL} SELECT report_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(DISTINCT doc_id) AS pages FROM ck GROUP BY report_id",
     "t_text_features": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(lower(coalesce(text, '')), '[^\pL]', '', 'g') AS l, regexp_replace(lower(coalesce(text, '')), '[^\pL\pN]', '', 'g') AS ln FROM documents)
 SELECT doc_id, len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS ascii_tokens, len(list_filter(regexp_extract_all(lower(t), '[A-Za-z_]+|[\x{4E00}-\x{9FFF}]{2,}'), lambda x: length(x) >= 2)) AS lexical_tokens,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import facts as f
+from quarry.operators import filters
 from quarry.operators import questions
 from quarry.sources.tables import table
 
@@ -91,6 +92,16 @@ def k9_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.contract_violations(fact_table(spark, sf_dir), (1993, 1996)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
+def f9_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query text per fact, or the rule that leaves it without one: every seventh company's scope is not known."""
+    facts = described(fact_table(spark, sf_dir))
+    scope = F.when(F.col("company_id") % 7 == 0, "unknown").otherwise(F.col("statement_scope"))
+    intents = facts.select(F.concat(F.lit("q_"), "fact_id").alias("query_id"), F.concat(F.lit(" "), "metric_id").alias("metric_name"), "fiscal_year", "company_id", "report_id", F.lit("annual").alias("report_type"), "statement_type", scope.alias("statement_scope"))
+    plans, bad = filters.query_plans(intents)
+    own = plans.select("query_id", "semantic_query", F.lit(None).cast("string").alias("rule_id"))
+    return own.unionByName(bad.select("query_id", F.lit(None).cast("string").alias("semantic_query"), "rule_id"))
+
+
 def k13_unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = len(f.UNITS)
     unit = F.element_at(F.array(*[F.lit(u) for u in sorted(f.UNITS)]), (F.pmod("o_orderkey", F.lit(n)) + 1).cast("int"))
@@ -147,7 +158,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -199,6 +210,8 @@ SELECT calculation_id, formula_id, status, CASE WHEN status = 'done' THEN v END
 
 
 ORACLES = {
+    "f9_query_plans": f"""WITH {DESCRIBED} SELECT 'q_' || fact_id AS query_id, CASE WHEN company_id % 7 <> 0 THEN CASE WHEN company_id % 2 = 0 THEN '合并' ELSE '公司' END || CASE WHEN metric_id = 'tax' THEN '财务报表附注' ELSE '利润表' END
+  || ' ' || fiscal_year || '年度 ' || metric_id || ' 金额' END AS semantic_query, CASE WHEN company_id % 7 = 0 THEN 'statement_scope' END AS rule_id FROM ds""",
     "k3_link_violations": f"""WITH {DESCRIBED}, ln AS (SELECT ds.*, CASE WHEN metric_id = 'tax' AND fiscal_year = 1996 THEN 'ev_fact_' || company_id || '_1995_tax' WHEN metric_id = 'operating_cost' AND fiscal_year = 1998 THEN 'ev_none' ELSE ev END AS linked
   FROM ds WHERE (company_id + fiscal_year) % 7 <> 0)
 SELECT fact_id, 'no_primary_evidence' AS rule_id FROM ds WHERE (company_id + fiscal_year) % 7 = 0

@@ -121,6 +121,13 @@ def r1_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", F.array_join("source_retrievers", ",").alias("source_retrievers"))
 
 
+def r3_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's status and how many fused hits it has."""
+    hits, status = fusion.hybrid(coverage(spark, sf_dir), bm25(spark, sf_dir, 50), questions(spark, sf_dir))
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return status.join(n, "query_id", "left").na.fill(0, ["hits"])
+
+
 def r4_lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = questions(spark, sf_dir), chunks_of(spark, sf_dir)
     out = fusion.rerank(bm25(spark, sf_dir, 20), q, c)
@@ -182,7 +189,7 @@ def d3_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.group_summary(r.withColumn("outcome", outcome), ["size"])
 
 
-QUERIES = {f.__name__: f for f in (b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
+QUERIES = {f.__name__: f for f in (b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 TOKENS = CHUNKS_SQL + """,
 tk AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ck),
@@ -255,6 +262,11 @@ fu AS (SELECT coalesce(cv.query_id, bm.query_id) AS query_id, coalesce(cv.chunk_
   concat_ws(',', CASE WHEN cv.rank IS NOT NULL THEN 'dense' END, CASE WHEN bm.rank IS NOT NULL THEN 'bm25' END) AS source_retrievers
   FROM cv FULL JOIN bm ON cv.query_id = bm.query_id AND cv.chunk_id = bm.chunk_id)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, source_retrievers FROM fu QUALIFY rank <= 10""",
+    "r3_hybrid_search": f"""WITH {_bm25_sql(50)}{COVERAGE.format(k=50)},
+fu AS (SELECT query_id, count(*) AS hits FROM (SELECT query_id, chunk_id FROM bm UNION SELECT query_id, chunk_id FROM cv) GROUP BY 1),
+qs AS (SELECT item_id AS query_id, (SELECT count(*) FROM cv WHERE query_id = item_id) AS dense_hits, (SELECT count(*) FROM bm WHERE query_id = item_id) AS bm25_hits FROM benchmark)
+SELECT query_id, dense_hits, bm25_hits, CASE WHEN dense_hits > 0 AND bm25_hits > 0 THEN 'ok' WHEN dense_hits + bm25_hits > 0 THEN 'mismatch' ELSE 'empty' END AS status,
+  CASE WHEN dense_hits > 0 AND bm25_hits > 0 THEN least(hits, 10) ELSE 0 END AS hits FROM qs LEFT JOIN fu USING (query_id)""",
     "x1_expand_pages": f"""WITH {_bm25_sql(5)}, {EXPAND}
 SELECT query_id, (SELECT count(*) FROM bm WHERE bm.query_id = best.query_id) + row_number() OVER (PARTITION BY query_id ORDER BY anchor_rank, page_distance, chunk_index, chunk_id) AS context_order,
   anchor_rank, page_distance, duplicates, chunk_id, anchor_chunk_id FROM best WHERE n = 1""",
