@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import contracts, filters
 from quarry.operators import facts as f
-from quarry.operators import filters
 from quarry.operators import questions
 from quarry.sources.tables import table
 
@@ -92,6 +92,35 @@ def k9_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.contract_violations(fact_table(spark, sf_dir), (1993, 1996)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
+def k5_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = described(fact_table(spark, sf_dir))
+    return contracts.size_report({"fact": facts, "evidence": evidence_of(facts), "company": facts.select("company_id").distinct(), "report": facts.select("report_id").distinct()}, {"company": 6, "report": 12, "fact": 1, "evidence": 1_000_000_000})
+
+
+def k11_evidence_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence rules broken, by rule. Taxes come from notes and have no section; lines 6 lack a row label, lines 5 a reader."""
+    facts = described(fact_table(spark, sf_dir))
+    line = F.col("line.l_linenumber")
+    rows = facts.select(
+        F.col("primary_evidence_id").alias("evidence_id"), F.when(F.col("metric_id") == "tax", "financial_note").otherwise("financial_statement_cell").alias("evidence_type"),
+        F.when(line == 4, "management_statement").otherwise("report_disclosure").alias("attribution_type"), "statement_type", F.when(line == 3, "unknown").otherwise(F.col("statement_scope")).alias("statement_scope"),
+        F.lit("t").alias("table_name"), F.when(line != 6, F.col("metric_id")).alias("row_label"), F.lit("c").alias("column_label"), F.col("normalized_value").cast("string").alias("cell_value"),
+        F.lit(None).cast("string").alias("section_title"), "validation_status", F.when(line != 5, F.lit("reader")).alias("validated_by"), line.alias("printed_page"),
+    )
+    return contracts.evidence_violations(rows).groupBy("rule_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def l7_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps answers from being used: each query's trace holds all facts of its report and their evidence, but that of
+    order lines 7; every 11th company has no trace, every 13th an unfinished one."""
+    facts = described(fact_table(spark, sf_dir))
+    queries = facts.select(F.concat(F.lit("q_"), "fact_id").alias("query_id"), *f.QUERY_KEYS)
+    own = facts.groupBy("report_id").agg(F.collect_list("fact_id").alias("fact_ids"), F.collect_list(F.when(F.col("line.l_linenumber") != 7, F.col("primary_evidence_id"))).alias("evidence_ids"))
+    status = F.when(F.col("company_id") % 13 == 0, "failed").otherwise("completed")
+    traces = queries.filter("company_id % 11 <> 0").select("query_id", "report_id", status.alias("status")).join(own, "report_id").drop("report_id")
+    return contracts.provenance_violations(queries, traces, facts)
+
+
 def f9_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query text per fact, or the rule that leaves it without one: every seventh company's scope is not known."""
     facts = described(fact_table(spark, sf_dir))
@@ -158,7 +187,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -210,6 +239,13 @@ SELECT calculation_id, formula_id, status, CASE WHEN status = 'done' THEN v END
 
 
 ORACLES = {
+    "k5_size_report": f"""WITH {DESCRIBED}, n AS (SELECT 'fact' AS object, count(*) AS rows, count(*) FILTER (verified) AS verified, 1::BIGINT AS least FROM ds UNION ALL SELECT 'evidence', count(*), count(*) FILTER (ok), 1000000000 FROM ev
+  UNION ALL SELECT 'company', count(DISTINCT company_id), NULL, 6 FROM ds UNION ALL SELECT 'report', count(DISTINCT report_id), NULL, 12 FROM ds) SELECT *, rows >= least AS enough FROM n""",
+    "k11_evidence_contracts": f"""WITH {DESCRIBED}, r AS (SELECT unnest([CASE WHEN page = 4 THEN 'attribution_without_statement' END, CASE WHEN page = 3 THEN 'unknown_scope' END, CASE WHEN metric_id <> 'tax' AND page = 6 THEN 'table_without_row_label' END,
+  CASE WHEN metric_id = 'tax' THEN 'narrative_without_section' END, CASE WHEN verified AND page = 5 THEN 'verified_by_nobody' END]) AS rule_id FROM ds) SELECT rule_id, count(*) AS rows FROM r WHERE rule_id IS NOT NULL GROUP BY 1""",
+    "l7_provenance": f"""WITH {DESCRIBED}, q AS (SELECT 'q_' || fact_id AS query_id, * FROM ds), t AS (SELECT q.query_id, q.metric_id AS asked, d.* FROM q JOIN ds d USING (report_id) WHERE q.company_id % 11 <> 0)
+SELECT query_id, NULL AS fact_id, CASE WHEN company_id % 11 = 0 THEN 'no_trace' ELSE 'unfinished' END AS rule_id FROM q WHERE company_id % 11 = 0 OR company_id % 13 = 0
+UNION ALL SELECT query_id, fact_id, 'not_verified' FROM t WHERE NOT verified UNION ALL SELECT query_id, fact_id, 'other_identity' FROM t WHERE metric_id <> asked UNION ALL SELECT query_id, fact_id, 'evidence_not_retrieved' FROM t WHERE page = 7""",
     "f9_query_plans": f"""WITH {DESCRIBED} SELECT 'q_' || fact_id AS query_id, CASE WHEN company_id % 7 <> 0 THEN CASE WHEN company_id % 2 = 0 THEN '合并' ELSE '公司' END || CASE WHEN metric_id = 'tax' THEN '财务报表附注' ELSE '利润表' END
   || ' ' || fiscal_year || '年度 ' || metric_id || ' 金额' END AS semantic_query, CASE WHEN company_id % 7 = 0 THEN 'statement_scope' END AS rule_id FROM ds""",
     "k3_link_violations": f"""WITH {DESCRIBED}, ln AS (SELECT ds.*, CASE WHEN metric_id = 'tax' AND fiscal_year = 1996 THEN 'ev_fact_' || company_id || '_1995_tax' WHEN metric_id = 'operating_cost' AND fiscal_year = 1998 THEN 'ev_none' ELSE ev END AS linked
