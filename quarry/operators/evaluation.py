@@ -20,6 +20,22 @@ def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.select("query_id", "first_rank", at(1), at(3), at(5), F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 9).alias("reciprocal_rank"), F.round(F.when(F.col("n_gold") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0), 9).alias("ndcg_5"))
 
 
+def case_plan_violations(cases: DataFrame, plans: DataFrame) -> DataFrame:
+    """cases(query_id, question, metric_name, fiscal_year, statement_type, statement_scope, company_id, report_id,
+    report_type) against plans with the same fields (original_query for question) and lists -> query_id, rule_id. A plan
+    whose lists name pages would tell the search where the gold is: gold_leak."""
+    fields = {"question": "original_query", "metric_name": "metric_name", "fiscal_year": "fiscal_year", "statement_type": "statement_type", "statement_scope": "statement_scope"}
+    lists = {"company_id": "company_ids", "report_id": "report_ids", "fiscal_year": "fiscal_years", "report_type": "report_types"}
+    own = plans.select("query_id", *[F.col(p).alias(f"_{p}") for p in fields.values()], *lists.values(), *[c for c in ("pdf_pages", "page_ids") if c in plans.columns], F.lit(True).alias("planned"))
+    both = cases.select("query_id", F.lit(True).alias("asked"), *sorted({*fields, *lists})).join(own, "query_id", "full")
+    there = F.col("asked").isNotNull() & F.col("planned").isNotNull()
+    rules = [F.when(F.col("planned").isNull(), "no_plan"), F.when(F.col("asked").isNull(), "no_case")]
+    rules += [F.when(there & ~F.col(c).eqNullSafe(F.col(f"_{p}")), f"other_{c}") for c, p in fields.items()]
+    rules += [F.when(there & ~F.coalesce(F.array_contains(n, F.col(c)), F.lit(False)), f"not_in_{n}") for c, n in lists.items()]
+    rules += [F.when(there & (F.coalesce(F.size(c), F.lit(0)) > 0), "gold_leak") for c in ("pdf_pages", "page_ids") if c in plans.columns]
+    return both.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array(*rules)))).alias("rule_id"))
+
+
 def summarize(results: DataFrame, by: list[str]) -> DataFrame:
     """Means per group."""
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)

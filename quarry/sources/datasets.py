@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import numbered
+from quarry.sources.shared import is_written
+
 
 def row_hash(columns: list[str]) -> Column:
     """SHA-256 of a row's values in a fixed order; nulls are told apart from empty texts."""
@@ -34,9 +37,62 @@ def manifest_violations(expected: DataFrame, actual: DataFrame, key: str) -> Dat
     return both.select(key, F.explode(F.array_compact(rules)).alias("rule_id"))
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write, or leave a dataset of the same id alone: ids come from contents, so what is there is the same."""
-    df.write.mode("ignore").parquet(path)
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write a dataset, or, where a finished one lies at the path, check that it holds the same rows. A half-written folder
+    (no _SUCCESS) is replaced. Returns whether it wrote; other rows under the same path are an error."""
+    spark = df.sparkSession
+    if not is_written(spark, path):
+        df.write.mode("overwrite").parquet(path)
+        return True
+    names = sorted(df.columns)
+    stored = spark.read.parquet(path)
+    if sorted(stored.columns) != names or checksum(stored, names, []).first() != checksum(df, names, []).first():
+        raise ValueError(f"{path} holds another dataset")
+    return False
+
+
+def case_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON files as (file, line from 1, blank, broken, case): a broken record is a row, not an error."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"), "value")
+    rows = numbered(lines, "file", "_at", "line").drop("_at")
+    case = F.from_json("value", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    rows = rows.select("file", F.col("line").cast("long").alias("line"), (F.trim("value") == "").alias("blank"), case.alias("case"))
+    broken = ~F.col("blank") & (F.col("case").isNull() | F.col("case._broken").isNotNull())
+    return rows.select("file", "line", "blank", broken.alias("broken"), F.when(~F.col("blank") & ~broken, F.col("case").dropFields("_broken")).alias("case"))
+
+
+def case_violations(lines: DataFrame, key: str = "case_id") -> DataFrame:
+    """Blank and broken lines, records without the key, and keys that an earlier line holds (first_line) -> file, line, rule_id, first_line."""
+    value = F.col("case")[key]
+    wrong = F.when(F.col("blank"), "blank_line").when(F.col("broken"), "broken_record").when(value.isNull(), "no_key")
+    bad = lines.select("file", "line", wrong.alias("rule_id"), F.lit(None).cast("long").alias("first_line")).filter("rule_id IS NOT NULL")
+    keyed = lines.filter(value.isNotNull()).select("file", "line", value.alias("k"))
+    first = keyed.groupBy("file", "k").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = keyed.join(first, ["file", "k"]).filter("line > first_line").select("file", "line", F.lit("repeated_key").alias("rule_id"), "first_line")
+    return bad.unionByName(again)
+
+
+def write_by_report(cases: DataFrame, path: str, key: str = "report_id") -> None:
+    """A case set split by report: one folder per report. Rows are dealt to the tasks by report and a part of their hash, so
+    that a report of most rows is written by several tasks."""
+    parts = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cases.columns]), F.lit(8))
+    cases.withColumn("_part", parts).repartition(key, "_part").drop("_part").write.partitionBy(key).mode("errorifexists").json(path)
+
+
+def chunk_manifest_violations(chunks: DataFrame, manifests: DataFrame) -> DataFrame:
+    """chunks(dataset_id, report_id, company_id, document_id, chunk_id, text), manifests(dataset_id, report_id, company_id,
+    document_id, chunk_count, char_total) -> dataset_id, rule_id: counts and totals, repeated ids, chunks of another
+    report, company or document, datasets without a manifest or without chunks."""
+    ids = ("report_id", "company_id", "document_id")
+    sums = chunks.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    twice = chunks.groupBy("dataset_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dataset_id", F.lit("repeated_chunk_id").alias("rule_id")).distinct()
+    own = manifests.select("dataset_id", *[F.col(c).alias(f"_{c}") for c in ids], "chunk_count", "char_total", F.lit(True).alias("listed"))
+    both = sums.join(own, "dataset_id", "full")
+    rules = F.array(F.when(F.col("listed").isNull(), "no_manifest"), F.when(F.col("n").isNull(), "no_chunks"), F.when(F.col("n") != F.col("chunk_count"), "chunk_count"), F.when(F.col("chars") != F.col("char_total"), "char_total"))
+    seen = chunks.select("dataset_id", *ids).distinct().join(own, "dataset_id")
+    other = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), f"other_{c}") for c in ids])
+    whole = both.select("dataset_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+    return whole.unionByName(twice).unionByName(seen.select("dataset_id", F.explode(F.array_compact(other)).alias("rule_id")).distinct())
 
 
 def read_strict(spark, path: str, schema: str) -> DataFrame:

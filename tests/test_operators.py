@@ -3,6 +3,7 @@
 import math
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -182,7 +183,40 @@ def test_datasets(spark, tmp_path):
     changed = datasets.checksum(df.withColumn("v", F.coalesce("v", F.lit(0))), ["k", "v"], ["k"])
     assert [tuple(r) for r in datasets.manifest_violations(datasets.checksum(df, ["k", "v"], ["k"]), changed, "k").collect()] == [("a", "checksum")]
     path = str(tmp_path / "d")
-    datasets.write_once(df, path)
-    datasets.write_once(df, path)
+    assert datasets.write_once(df, path) and not datasets.write_once(df.orderBy(F.desc("v")), path)
+    with pytest.raises(ValueError):
+        datasets.write_once(df.limit(1), path)
+    (tmp_path / "half").mkdir()
+    assert datasets.write_once(df, str(tmp_path / "half"))
     assert spark.read.parquet(path).count() == 3 and [r.k for r in datasets.repeated_keys(df, ["k"]).collect()] == ["a"]
     assert datasets.register_files(spark, path, "*.parquet").filter("length(sha256) = 64").count() >= 1
+
+
+def test_case_files(spark, tmp_path):
+    file = tmp_path / "cases.jsonl"
+    file.write_text('{"case_id": "a", "steps": [{"n": 1}]}\n\n{"case_id": "b"}\n{"case_id": \n{"case_id": "a"}\n{"x": 1}\n', encoding="utf-8")
+    lines = datasets.case_lines(spark, str(file), "case_id string, steps array<struct<n:int>>")
+    assert [(r.line, r.case.case_id) for r in lines.filter("case IS NOT NULL").orderBy("line").collect()] == [(1, "a"), (3, "b"), (5, "a"), (6, None)]
+    got = sorted((r.line, r.rule_id, r.first_line) for r in datasets.case_violations(lines).collect())
+    assert got == [(2, "blank_line", None), (4, "broken_record", None), (5, "repeated_key", 1), (6, "no_key", None)]
+    cases = spark.createDataFrame([("r", "a"), ("s", "b"), ("r", "c")], "report_id string, case_id string")
+    datasets.write_by_report(cases, str(tmp_path / "split"))
+    assert [r.case_id for r in spark.read.json(str(tmp_path / "split" / "report_id=r")).orderBy("case_id").collect()] == ["a", "c"]
+
+
+def test_chunk_manifests(spark):
+    rows = [("d", "r", "c", "x", "1", "ab"), ("d", "r", "c", "y", "1", "c"), ("e", "r", "c", "x", "2", "abc"), ("f", "r", "c", "x", "3", "")]
+    chunks = spark.createDataFrame(rows, "dataset_id string, report_id string, company_id string, document_id string, chunk_id string, text string")
+    listed = [("d", "r", "c", "x", 2, 4), ("e", "r", "c", "x", 1, 3), ("g", "r", "c", "x", 1, 3)]
+    manifests = spark.createDataFrame(listed, "dataset_id string, report_id string, company_id string, document_id string, chunk_count int, char_total int")
+    got = sorted(tuple(r) for r in datasets.chunk_manifest_violations(chunks, manifests).collect())
+    assert got == [("d", "char_total"), ("d", "other_document_id"), ("d", "repeated_chunk_id"), ("f", "no_manifest"), ("g", "no_chunks")]
+
+
+def test_cases_against_plans(spark):
+    fields = "query_id string, question string, metric_name string, fiscal_year int, statement_type string, statement_scope string, company_id string, report_id string, report_type string"
+    cases = spark.createDataFrame([(q, "how much", "m", 2024, "note", "group", "c", "r", "annual") for q in "abc"], fields)
+    planned = "query_id string, original_query string, metric_name string, fiscal_year int, statement_type string, statement_scope string, company_ids array<string>, report_ids array<string>, fiscal_years array<int>, report_types array<string>, pdf_pages array<int>, page_ids array<string>"
+    rows = [("a", "how much", "m", 2024, "note", "group", ["c"], ["r"], [2024], ["annual"], [], None), ("b", "what", "m", 2023, "note", "group", ["c"], [], [2023], ["annual"], [3], ["p"]), ("d", "", "", 1, "", "", [], [], [], [], [], [])]
+    got = sorted(tuple(r) for r in evaluation.case_plan_violations(cases, spark.createDataFrame(rows, planned)).collect())
+    assert got == sorted([("b", r) for r in ("other_question", "other_fiscal_year", "not_in_report_ids", "not_in_fiscal_years", "gold_leak")] + [("c", "no_plan"), ("d", "no_case")])
