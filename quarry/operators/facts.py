@@ -136,6 +136,22 @@ def foreign_key_violations(child: DataFrame, parent: DataFrame, child_key: str,
     return child.join(keys, child_key, "left_anti").select(F.col(entity).cast("string").alias("entity_id"), F.lit(f"{child_key}_unknown").alias("rule_id"))
 
 
+def reference_violations(aliases: DataFrame, metrics: DataFrame, mappings: DataFrame, reports: DataFrame) -> DataFrame:
+    """Aliases of metrics and page mappings of reports that do not exist."""
+    a = foreign_key_violations(aliases, metrics, "metric_id", "metric_id", "alias_id")
+    return a.unionByName(foreign_key_violations(mappings, reports, "report_id", "report_id", "mapping_id"))
+
+
+def find(facts: DataFrame, **keys) -> DataFrame:
+    """Facts by any of QUERY_KEYS; a key that is None is no condition. The conditions reach the scan."""
+    unknown = set(keys) - set(QUERY_KEYS)
+    if unknown:
+        raise ValueError(f"no such keys: {sorted(unknown)}")
+    for k, v in keys.items():
+        facts = facts if v is None else facts.filter(F.col(k) == v)
+    return facts
+
+
 def disputed(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Business keys with more than one value."""
     return values.groupBy(*keys).agg(F.countDistinct(value).alias("n_values")).filter("n_values > 1")

@@ -74,3 +74,25 @@ def completeness_violations(pages: DataFrame, page_counts: DataFrame) -> DataFra
         F.when((F.col("first") != 1) | (F.col("last") != F.col("pages")) | (F.col("distinct") != F.col("pages")), "missing_page"),
     )
     return both.select("report_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+
+
+def selections(wanted: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """wanted(report_id, pdf_pages), reports(report_id, pages) -> (selections sorted, each page once; those that are empty,
+    of an unknown report or have a page out of range, with the rule)."""
+    rows = wanted.withColumn("pdf_pages", F.array_sort(F.array_distinct("pdf_pages"))).join(reports.select("report_id", "pages"), "report_id", "left")
+    out = F.exists("pdf_pages", lambda p: p.isNull() | (p < 1) | (p > F.col("pages")))
+    rule = F.when(F.col("pages").isNull(), "unknown_report").when(F.coalesce(F.size("pdf_pages"), F.lit(0)) <= 0, "no_pages").when(out, "out_of_range")
+    rows = rows.withColumn("rule_id", rule)
+    return rows.filter("rule_id IS NULL").select("report_id", "pdf_pages"), rows.filter("rule_id IS NOT NULL").select("report_id", "rule_id")
+
+
+def block_counts(blocks: Column) -> Column:
+    """Text and image blocks of a page's array of struct(type): 0 is text, 1 an image; null or no blocks count nothing."""
+    n = lambda kind: F.greatest(F.coalesce(F.size(F.filter(blocks, lambda b: b["type"] == kind)), F.lit(0)), F.lit(0))
+    return F.struct(n(0).alias("text_blocks"), n(1).alias("image_blocks"))
+
+
+def mapping_hash(segments: DataFrame) -> DataFrame:
+    """SHA-256 of each report's mapping, the same in any row order. A report has a handful of segments."""
+    fields = F.struct("pdf_page_start", "pdf_page_end", "mapping_id", "rule_type", "printed_page_start", "offset")
+    return segments.groupBy("report_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(fields)), {"ignoreNullFields": "false"}), 256).alias("mapping_sha256"))

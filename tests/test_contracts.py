@@ -1,6 +1,9 @@
 """Contract rules on small cases."""
 
-from quarry.operators import contracts
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators import contracts, facts, pages
 
 
 def found(df):
@@ -67,3 +70,27 @@ def test_alike_signal_inputs_and_support(spark):
     evidence = spark.createDataFrame([("q", "e1", "x", 9), ("q", "e2", "y", 1), ("q", "e3", None, 1), ("q", "e4", None, 2)], "query_id string, evidence_id string, chunk_id string, pdf_page int")
     items = spark.createDataFrame([("q", "x", 1), ("q", "z", 1)], "query_id string, chunk_id string, pdf_page int")
     assert found(contracts.support_present(evidence, items)) == [("q", "e1", True), ("q", "e2", False), ("q", "e3", True), ("q", "e4", False)]
+
+
+def test_page_selections_and_hashes(spark):
+    wanted = spark.createDataFrame([("r", [3, 1, 3]), ("s", [5]), ("t", [1]), ("u", []), ("v", None), ("w", [0, 1])], "report_id string, pdf_pages array<int>")
+    reports = spark.createDataFrame([(x, 4) for x in "rsuvw"], "report_id string, pages int")
+    good, bad = pages.selections(wanted, reports)
+    assert found(good) == [("r", [1, 3])] and found(bad) == [("s", "out_of_range"), ("t", "unknown_report"), ("u", "no_pages"), ("v", "no_pages"), ("w", "out_of_range")]
+    blocks = spark.createDataFrame([([(0,), (1,), (0,)],), ([],), (None,)], "b array<struct<type:int>>")
+    assert [tuple(r.c) for r in blocks.select(pages.block_counts(F.col("b")).alias("c")).collect()] == [(2, 1), (0, 0), (0, 0)]
+    fields = "report_id string, mapping_id string, rule_type string, pdf_page_start int, pdf_page_end int, printed_page_start int, offset int"
+    rows = [("r", "a", "identity", 1, 3, None, None), ("r", "b", "offset", 4, 9, None, -3)]
+    one, two = (pages.mapping_hash(spark.createDataFrame(x, fields)).first().mapping_sha256 for x in (rows, rows[::-1]))
+    other = pages.mapping_hash(spark.createDataFrame([rows[0], (*rows[1][:6], -2)], fields)).first().mapping_sha256
+    assert one == two != other
+
+
+def test_references_and_find(spark):
+    aliases, metrics = spark.createDataFrame([("a", "m"), ("b", "x")], "alias_id string, metric_id string"), spark.createDataFrame([("m",)], "metric_id string")
+    mappings, reports = spark.createDataFrame([("p", "r"), ("q", "s")], "mapping_id string, report_id string"), spark.createDataFrame([("r",)], "report_id string")
+    assert found(facts.reference_violations(aliases, metrics, mappings, reports)) == [("b", "metric_id_unknown"), ("q", "report_id_unknown")]
+    table = spark.createDataFrame([("c", "m", 2023), ("c", "m", 2024), ("d", "m", 2024)], "company_id string, metric_id string, fiscal_year int")
+    assert found(facts.find(table, company_id="c", fiscal_year=2024, metric_id=None)) == [("c", "m", 2024)] and facts.find(table).count() == 3
+    with pytest.raises(ValueError):
+        facts.find(table, colour=1)
