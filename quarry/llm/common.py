@@ -2,72 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import application_dir, clean_up, delete, materialize, shared_dir, write_out  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-OWN_DIR = "quarry.shared.dir"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder, else, where
-    all runs on one machine, a new temporary one, else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        alone = spark.sparkContext.master.split("[")[0] == "local"
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}" if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarry-tables"
-        spark.conf.set(OWN_DIR, found)
-    return found
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a written folder, through the file system that Spark writes it with."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def application_dir(spark: SparkSession) -> str:
-    """The shared folder's part that belongs to this application; it goes when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
-    if path not in _known:
-        _known.add(path)
-        atexit.register(_forget, spark, path)
-    return path
-
-
-_known: set[str] = set()
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # a stopped context can't reach its file systems any more
-        delete(spark, path)
-
-
-def clean_up(spark: SparkSession) -> None:
-    """Delete every table that this application wrote between steps; what was made from them must be written before."""
-    delete(spark, application_dir(spark))
-
-
-def write_out(df: DataFrame) -> tuple[DataFrame, str]:
-    """Cut the lineage: write to the shared folder once and read back; also the path, to delete it after its last use."""
-    path = f"{application_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    return write_out(df)[0]
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, url_filter
+from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_sharding": sharding.op9_sharding,
         "op10_language_id": language.op10_language_id,
+        "op11_warc": warc.op11_warc,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle_sql(), "op4_chat_format": chat.oracle_sql(), "op8_url_filter": url_filter.oracle_sql()}
+    return {"op1_quality_rules": quality.oracle_sql(), "op4_chat_format": chat.oracle_sql(), "op8_url_filter": url_filter.oracle_sql(), "op11_warc": warc.oracle_sql()}
