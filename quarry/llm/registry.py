@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, url_filter, warc
+from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, turns, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": sharding.op9_sharding,
         "op10_language_id": language.op10_language_id,
         "op11_warc": warc.op11_warc,
+        "op12_conversation_repair": turns.op12_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
 
