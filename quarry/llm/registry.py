@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, turns, url_filter, warc
+from quarry.llm import chat, decontaminate, html, language, mixing, quality, repeats, sharding, simhash, spelling, turns, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": language.op10_language_id,
         "op11_warc": warc.op11_warc,
         "op12_conversation_repair": turns.op12_conversation_repair,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
