@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ascii_lower, delete, read, write_out
+from quarry.llm.common import ascii_lower, delete, partitions, read, write_out
 
 NOT_LETTERS = "[^A-Za-zÀ-ÿ]+"
 MIN_LENGTH, MIN_COUNT, RATIO, TYPOS = 5, 3, 2, 97
 #: Words and letters of an index: blocks of a large shard, and bundles of small ones.
 BLOCK_WORDS, BLOCK_LETTERS = 2048, 1 << 16
+#: Words dealt to a task, for which it holds four rows each, or more where a shard is large.
+TASK_WORDS = 16_384
 POINTS = 0x110000
 NEAR = "word string, n_near long, best_n long, best string"
 
@@ -167,7 +169,8 @@ def near_words(words: DataFrame, block_words: int = BLOCK_WORDS, block_letters:
                 letters += len(row[5])
         yield table(held + open_)
 
-    dealt = shards(words, block_words, block_letters).repartition("shard").sortWithinPartitions("shard")
+    tasks = max(partitions(words.sparkSession), -(-words.count() // TASK_WORDS))
+    dealt = shards(words, block_words, block_letters).repartition(tasks, "shard").sortWithinPartitions("shard")
     found = dealt.mapInArrow(run, NEAR)
     first = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word")))
     sums = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), first.alias("_b"))
