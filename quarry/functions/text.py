@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import string
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: The pattern of a financial value, and of an inline citation.
 VALUE = r"(?<!\d)[+-]?(?:\(\s*)?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\d{4,})(?:\s*\))?%?(?!\d)"
@@ -23,10 +23,67 @@ def normalize_page_text(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which has no built-in function."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: Ranges of CJK ideographs.
+CJK = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0x2CEB0, 0x2EBEF), (0x30000, 0x3134F))
+CJK_CLASS = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK)
+#: Below U+0130 these characters alone have a compatibility form or are ASCII; other Latin text is left as it is.
+MAYBE_COMPATIBLE = r"[^\x00-\xA9\xAB-\xB1\xB4-\xB8\xBB\xBF-\x{12F}]"
+
+
+def _counts(c: str) -> bool:
+    """Whether a character can be part of a search token."""
+    return (c.isascii() and c.isalnum()) or any(a <= ord(c) <= b for a, b in CJK)
+
+
+def _class(characters) -> str:
+    """A character class of code points, as ranges."""
+    codes, parts = sorted(map(ord, characters)), []
+    for o in codes:
+        if parts and parts[-1][1] == o - 1:
+            parts[-1][1] = o
+        else:
+            parts.append([o, o])
+    return "[" + "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{b:X}}}" if b > a else "") for a, b in parts) + "]"
+
+
+def _compatible() -> dict[str, str]:
+    """Every character beyond ASCII whose compatibility form holds a character of a search token or is made of marks, and
+    that form."""
+    forms = ((c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0x80, sys.maxunicode + 1)))
+    return {c: n for c, n in forms if n != c and any(unicodedata.combining(x) or _counts(x) for x in n.lower())}
+
+
+def _composed() -> str:
+    """A pattern of ASCII letters that a mark after them turns into one accented letter: marks of other classes may
+    stand between, marks of the same class (or of class 0) block it."""
+    marks: dict[int, list[str]] = {}
+    for c in map(chr, range(0x300, sys.maxunicode + 1)):
+        if unicodedata.combining(c):
+            marks.setdefault(unicodedata.combining(c), []).append(c)
+    found: dict[tuple[int, str], list[str]] = {}
+    for letter in string.ascii_letters:
+        for kind, members in marks.items():
+            takes = "".join(m for m in members if len(unicodedata.normalize("NFC", letter + m)) == 1)
+            if takes:
+                found.setdefault((kind, takes), []).append(letter)
+    others = {kind: _class([m for k, ms in marks.items() if k != kind for m in ms]) for kind, _ in found}
+    return "|".join(f"[{''.join(letters)}](?={others[kind]}*{_class(takes)})" for (kind, takes), letters in found.items())
+
+
+COMPATIBLE, COMPOSED = _compatible(), _composed()
+ONE_TO_ONE = {c: n for c, n in COMPATIBLE.items() if len(n) == 1}
+LONGER = {c: n for c, n in COMPATIBLE.items() if len(n) > 1}
+
+
+def compatible(c: Column) -> Column:
+    """A text as compatibility composition leaves it, as far as search tokens can tell: characters with compatibility forms
+    of letters, digits and CJK are replaced by them, ASCII letters that a mark makes another letter become a blank. One case is left out: a capital I
+    with a dot that takes a further mark."""
+    table = F.create_map(*[F.lit(x) for pair in LONGER.items() for x in pair])
+    special = _class(LONGER)
+    pieces = F.regexp_extract_all(F.translate(c, "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values())), F.lit(f"{special}|[^{special[1:-1]}]+"), 0)
+    mapped = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
+    return F.when(c.rlike(MAYBE_COMPATIBLE), F.regexp_replace(mapped, COMPOSED, " ")).otherwise(c)
 
 
 def ascii_tokens(c: Column) -> Column:
@@ -36,14 +93,14 @@ def ascii_tokens(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Search tokens of normalised, lower-cased text: character pairs of runs of CJK characters (a lone one stays), and
-    ASCII runs, in order and with repeats."""
-    runs = F.regexp_extract_all(F.lower(nfkc(c)), F.lit("[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]+|[a-z0-9]+"), 0)
+    ASCII runs, in order and with repeats. Built-in functions alone."""
+    runs = F.regexp_extract_all(F.lower(compatible(c)), F.lit(f"[{CJK_CLASS}]+|[a-z0-9]+"), 0)
 
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
         return F.when(run.rlike("^[a-z0-9]"), F.array(run)).otherwise(pairs)
 
-    return F.flatten(F.transform(runs, parts))
+    return let(runs, lambda r: F.when(F.exists(r, lambda x: ~x.rlike("^[a-z0-9]")), F.flatten(F.transform(r, parts))).otherwise(r))
 
 
 def lexical_tokens(c: Column) -> Column:

@@ -1,53 +1,89 @@
-"""BM25 over token arrays: an index of written tables, and exact scores for a set of queries."""
+"""BM25 over token arrays: an index of written tables, and exact scores for a set of queries.
+
+Postings lie in folders by report and by term (a hash of each), sorted by term inside a file. A search reads the folders
+of the terms, and of the reports, that it asks for, keeps the postings of those terms, and only then deals them by chunk,
+so that the terms of a query meet and sum up where the chunk is."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.ranking import top_k
-from quarry.sources.shared import is_written, write_out
+from quarry.sources.shared import is_written
 
 K1, B, BROADCAST_ROWS = 1.2, 0.75, 1_000_000
-TABLES = ("chunks", "postings", "terms", "stats")
+#: Chunks for each folder of postings, and the most folders by report and by term.
+FOLDER_CHUNKS, REPORT_FOLDERS, TERM_FOLDERS = 8_000, 64, 1024
+TABLES = ("chunks", "postings", "terms", "report_terms", "report_stats", "stats")
 
 
 @dataclass(frozen=True)
 class Index:
-    """chunks(chunk_no, chunk_id, ...), postings(chunk_no, dl, term, tf), terms(term, df), stats(n, avg_dl; one row).
+    """chunks(chunk_no, chunk_id, report_id, ...), postings(report_folder, term_folder, report_id, chunk_no, dl, term, tf),
+    terms(term, df), report_terms(report_id, term, df), report_stats(report_id, n, avg_dl), stats(n, avg_dl,
+    report_folders, term_folders; one row).
 
     Chunk numbers follow the order of chunk ids, so that scores and ties need no text keys."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
+    report_terms: DataFrame
+    report_stats: DataFrame
     stats: DataFrame
 
 
-def postings(chunks: DataFrame, key: str = "chunk_no") -> DataFrame:
-    """chunks(key, tokens) -> key, dl, term, tf: counted where the chunk is."""
-    dealt = chunks.select(key, "tokens").repartition(key)
-    return dealt.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, *keys: str) -> DataFrame:
+    """chunks(keys, tokens) -> keys, dl, term, tf: counted where the chunk is, which the first key says."""
+    dealt = chunks.select(*keys, "tokens").repartition(keys[0])
+    return dealt.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def folder(key: str, folders: Column | int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders) if isinstance(folders, int) else folders).cast("int")
 
 
-def statistics(chunks: DataFrame, posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(terms, stats) of chunks and their postings; a chunk without tokens counts with length zero."""
-    n, total = chunks.agg(F.count(F.lit(1)).alias("n")), posted.agg(F.sum("tf").alias("total"))  # one row each
-    stats = n.join(F.broadcast(total)).select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_dl"))
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats
+def folders_for(chunks: int) -> tuple[int, int]:
+    """Folders by report and by term: as many in all as the number of chunks asks for."""
+    wanted = max(1, math.ceil(chunks / FOLDER_CHUNKS))
+    reports = min(REPORT_FOLDERS, math.ceil(math.sqrt(wanted)))
+    return reports, min(TERM_FOLDERS, math.ceil(wanted / reports))
 
 
 def stored(spark: SparkSession, path: str, make, tokenise) -> Index:
-    """The index at a path; where there is none yet, that of the table which make() gives is written first. Each table
-    is computed from the written one before it, so a text is cut and tokenised once."""
-    if not all(is_written(spark, f"{path}/{t}") for t in TABLES):
-        chunks = write_out(make().orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id()), f"{path}/chunks")[0]
-        posted = write_out(postings(tokenise(chunks)), f"{path}/postings")[0]
-        for name, table in zip(TABLES[2:], statistics(chunks, posted)):
-            write_out(table, f"{path}/{name}")
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in TABLES])
+    """The index at a path. A table that is not there whole is written again, and every table that is made from it; the
+    others stay. make() gives the table of chunks (chunk_id, report_id, text, ...)."""
+    fresh: set[str] = set()
+
+    def table(name: str, make_it, *needs: str, folders: tuple[str, ...] = ()) -> DataFrame:
+        if fresh & set(needs) or not is_written(spark, f"{path}/{name}"):
+            make_it().write.mode("overwrite").partitionBy(*folders).parquet(f"{path}/{name}")
+            fresh.add(name)
+        return spark.read.parquet(f"{path}/{name}")
+
+    chunks = table("chunks", lambda: make().orderBy("chunk_id").withColumn("chunk_no", F.monotonically_increasing_id()))
+    reports, terms = folders_for(chunks.count())
+    by = ("report_folder", "term_folder")
+
+    def dealt() -> DataFrame:
+        rows = postings(tokenise(chunks), "chunk_no", "report_id").withColumns({by[0]: folder("report_id", reports), by[1]: folder("term", terms)})
+        return rows.hint("rebalance", *map(F.col, by)).sortWithinPartitions(*by, "term", "chunk_no")  # folders of hot reports are split
+
+    posted = table("postings", dealt, "chunks", folders=by)
+    needs = ("chunks", "postings")
+    per_report = table("report_terms", lambda: posted.groupBy("report_id", "term").agg(F.count(F.lit(1)).alias("df")), *needs)
+    all_terms = table("terms", lambda: per_report.groupBy("term").agg(F.sum("df").alias("df")), "report_terms", *needs)
+    lengths = lambda: posted.groupBy("report_id").agg(F.sum("tf").alias("total"))
+    counts = lambda: chunks.groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
+    own = F.coalesce("total", F.lit(0))
+    per_report_stats = table("report_stats", lambda: counts().join(lengths().withColumnRenamed("report_id", "_r"), F.col("report_id").eqNullSafe(F.col("_r")), "left").select("report_id", "n", own.alias("total"), (own / F.col("n")).alias("avg_dl")), *needs)
+    whole = per_report_stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    stats = table("stats", lambda: whole.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg_dl"), F.lit(reports).alias("report_folders"), F.lit(terms).alias("term_folders")), "report_stats", *needs)
+    return Index(chunks, posted, all_terms, per_report, per_report_stats, stats)
 
 
 def input_violations(chunks: DataFrame) -> DataFrame:
@@ -75,37 +111,86 @@ def index_violations(index: Index, chunks: DataFrame) -> DataFrame:
     return out
 
 
+def asked_postings(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of the terms asked: terms(query_id, term, ...), with report_id where each query has its report. Only the
+    folders that hold them are read; terms are broadcast up to BROADCAST_ROWS of them."""
+    routed = "report_id" in terms.columns
+    keys = ["report_id", "term"] if routed else ["term"]
+    sizes = index.stats.select("report_folders", "term_folders").first()
+    asked = terms.select(*keys).distinct()
+    of = [F.count(F.lit(1)).alias("n"), F.collect_set(folder("term", sizes["term_folders"])).alias("terms")]
+    said = asked.agg(*of, *([F.collect_set(folder("report_id", sizes["report_folders"])).alias("reports")] if routed else [])).first()  # no more numbers than folders
+    own = index.postings.filter(F.col("term_folder").isin(said["terms"]))
+    if routed:
+        own = own.filter(F.col("report_folder").isin(said["reports"]))
+    return own.join(F.broadcast(asked) if said["n"] <= BROADCAST_ROWS else asked, keys, "left_semi")
+
+
+def summed(index: Index, terms: DataFrame, score: Column, allowed: DataFrame | None = None) -> DataFrame:
+    """terms(query_id, term, ...) -> query_id, chunk_no, score: `score` over the postings of each query's terms. Survivors
+    of the term filter are dealt by chunk once; queries meet them there."""
+    own = asked_postings(index, terms)
+    if allowed is not None:
+        own = own.join(allowed, "chunk_no", "left_semi")
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = ["report_id", "term"] if "report_id" in terms.columns else ["term"]
+    found = own.repartition("chunk_no").join(F.broadcast(terms) if small else terms, keys)
+    return found.groupBy("query_id", "chunk_no").agg(score.alias("score"))
+
+
+def weighted(terms: DataFrame) -> DataFrame:
+    """terms(..., df, n, avg_dl) with idf."""
+    return terms.withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).drop("df", "n")
+
+
+def bm25() -> Column:
+    return F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))), 9)
+
+
+def _best(index: Index, scored: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The k best; a query with less than k scored chunks is filled up with the first chunks it may have, at score zero."""
+    order = [F.desc("score"), F.col("chunk_no")]
+    rows = scored.unionByName(first.withColumn("score", F.lit(0.0)))
+    best = top_k(rows, 3 * k, ["query_id"], order).groupBy("query_id", "chunk_no").agg(F.max("score").alias("score"))
+    return with_ids(index, top_k(best, k, ["query_id"], order)).select("query_id", "rank", "chunk_id", "score")
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, allowed: DataFrame | None = None) -> DataFrame:
     """queries(query_id, tokens) -> query_id, rank, chunk_id, score.
 
-    Unique query terms; scores rounded to 9 places before ranking; ties by chunk_id. allowed(chunk_id), if
-    given, restricts what is ranked, not the statistics. Queries with less than k scored chunks are filled up with
-    chunks of score zero in chunk_id order. Postings are dealt by chunk, so that the terms of a query meet and sum up
-    where the chunk is; terms of queries are broadcast up to BROADCAST_ROWS of them."""
+    Unique query terms; scores rounded to 9 places before ranking; ties by chunk_id. allowed(chunk_id), if given, restricts
+    what is ranked, not the statistics. Queries with less than k scored chunks are filled up with chunks of score zero in
+    chunk_id order."""
     terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term")).join(index.terms, "term")
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.join(F.broadcast(index.stats)).select("query_id", "term", idf.alias("idf"), "avg_dl")
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    pool, own = index.chunks.select("chunk_no"), index.postings
+    terms = weighted(terms.join(F.broadcast(index.stats.select("n", "avg_dl"))))
+    pool = index.chunks.select("chunk_no")
     if allowed is not None:
         pool = index.chunks.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("chunk_no")
-        own = own.join(pool, "chunk_no", "left_semi")
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    found = own.repartition("chunk_no").join(F.broadcast(terms) if small else terms, "term")
-    scored = found.groupBy("query_id", "chunk_no").agg(F.round(F.sum(weight), 9).alias("score"))
     # 2k chunks hold k that a query with less than k scored chunks has not scored
-    first = queries.select("query_id").distinct().join(F.broadcast(pool.orderBy("chunk_no").limit(2 * k))).withColumn("score", F.lit(0.0))
-    order = [F.desc("score"), F.col("chunk_no")]
-    best = top_k(scored.unionByName(first), 3 * k, ["query_id"], order).groupBy("query_id", "chunk_no").agg(F.max("score").alias("score"))
-    return with_ids(index, top_k(best, k, ["query_id"], order)).select("query_id", "rank", "chunk_id", "score")
+    first = queries.select("query_id").distinct().join(F.broadcast(pool.orderBy("chunk_no").limit(2 * k)))
+    return _best(index, summed(index, terms, bm25(), None if allowed is None else pool), first, k)
+
+
+def search_report(index: Index, queries: DataFrame, k: int = 5, own_statistics: bool = True) -> DataFrame:
+    """queries(query_id, report_id, tokens) ranked over the chunks of their own report, with that report's statistics or with
+    those of the whole index; else as search(). Only folders of the reports asked are read. A report without chunks gives no
+    rows."""
+    asked = queries.select("query_id", "report_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    if own_statistics:
+        terms = asked.join(index.report_terms, ["report_id", "term"]).join(index.report_stats.select("report_id", "n", "avg_dl"), "report_id")
+    else:
+        terms = asked.join(index.terms, "term").join(F.broadcast(index.stats.select("n", "avg_dl")))
+    places = index.chunks.select("report_id", "chunk_no").join(queries.select("report_id").distinct(), "report_id", "left_semi")
+    first = queries.select("query_id", "report_id").join(top_k(places, 2 * k, ["report_id"], [F.col("chunk_no")], "_o").drop("_o"), "report_id")
+    return _best(index, summed(index, weighted(terms), bm25()), first.select("query_id", "chunk_no"), k)
 
 
 def coverage(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """A second ranking: how many distinct terms of a query a chunk holds. queries(query_id, tokens)."""
-    terms = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = index.postings.select("chunk_no", "term").repartition("chunk_no").join(F.broadcast(terms) if small else terms, "term")
-    n = found.groupBy("query_id", "chunk_no").agg(F.count(F.lit(1)).alias("score"))
+    """A second ranking: how many distinct terms of a query a chunk holds. queries(query_id, tokens[, report_id]); with a
+    report, its chunks alone."""
+    keys = ["query_id", *(["report_id"] if "report_id" in queries.columns else [])]
+    terms = queries.select(*keys, F.explode(F.array_distinct("tokens")).alias("term"))
+    n = summed(index, terms, F.count(F.lit(1)))
     return with_ids(index, top_k(n, k, ["query_id"], [F.desc("score"), F.col("chunk_no")])).select("query_id", "chunk_id", "score", "rank")
 
 

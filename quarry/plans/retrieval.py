@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import ascii_tokens
+from quarry.functions import text as T
 from quarry.operators import context, evaluation, fusion, lexical, vectors
 from quarry.plans.corpus import CHUNKS_SQL, chunk_table
 from quarry.sources.shared import application_dir, state_of
@@ -17,11 +17,11 @@ K = 5
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", ascii_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("tokens", ascii_tokens(F.col("text")))
+    return chunks.withColumn("tokens", T.tokens(F.col("text")))
 
 
 def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
@@ -50,7 +50,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question's whole token sequence, found by its first tokens (HEAD, or all of a shorter one)."""
     n = F.least(F.size("tokens"), F.lit(HEAD))
     q = questions(spark, sf_dir).filter(F.size("tokens") > 0).select("query_id", F.array_join("tokens", " ").alias("seq"), F.col("tokens"), n.alias("n"))
-    words = table(spark, sf_dir, "documents").select("doc_id", ascii_tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
     found = None
     for size in [r["n"] for r in q.select("n").distinct().collect()]:  # at most HEAD numbers
         spots = words.filter(F.size("w") >= size).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("p"))
@@ -191,10 +191,22 @@ def d3_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
-TOKENS = CHUNKS_SQL + """,
-tk AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM ck),
-post AS (SELECT chunk_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM tk) GROUP BY ALL),
-qt AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)"""
+
+
+def tokens_sql(c: str) -> str:
+    """Search tokens in SQL: the same table of compatibility forms, composition by SQL's own function."""
+    special = T._class(T.LONGER)
+    table = ", ".join(f"'{a}': '{b}'" for a, b in T.LONGER.items())
+    once = f"translate({c}, '{''.join(T.ONE_TO_ONE)}', '{''.join(T.ONE_TO_ONE.values())}')"
+    mapped = f"nfc_normalize(array_to_string(list_transform(regexp_extract_all({once}, '{special}|[^{special[1:-1]}]+'), lambda p: coalesce(MAP {{{table}}}[p], p)), ''))"
+    runs = f"regexp_extract_all(lower(CASE WHEN regexp_matches({c}, '{T.MAYBE_COMPATIBLE}') THEN {mapped} ELSE {c} END), '[{T.CJK_CLASS}]+|[a-z0-9]+')"
+    return f"flatten(list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '^[a-z0-9]') THEN [r] ELSE list_transform(range(1, greatest(length(r), 2)), lambda i: substr(r, i, 2)) END))"
+
+
+TOKENS = CHUNKS_SQL + f""",
+tk AS (SELECT chunk_id, report_id, {tokens_sql("text")} AS w FROM ck),
+post AS (SELECT chunk_id, report_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, report_id, w, unnest(w) AS term FROM tk) GROUP BY ALL),
+qt AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql("text")}) AS term FROM benchmark)"""
 
 
 def _bm25_sql(k: int, keep: str = "TRUE") -> str:
@@ -218,9 +230,9 @@ rr AS ({{source}}),
 sc4 AS (SELECT *, CASE WHEN len(own) > 0 THEN round(pairs / len(own), 9) ELSE 0.0 END AS recall FROM (SELECT *, len(list_intersect(own, other)) AS pairs FROM (SELECT *,
   len(list_filter(list_distinct(list_filter(regexp_extract_all(lower(query), '[A-Za-z_]+|[\x{{{{4E00}}}}-\x{{{{9FFF}}}}]{{{{2,}}}}'), lambda x: length(x) >= 2)), lambda w: contains(lower(text), w))) AS tokens,
   {own} AS own, {other} AS other FROM (SELECT *, regexp_replace(lower(query), '[^\pL]', '', 'g') AS ql, regexp_replace(lower(text), '[^\pL]', '', 'g') AS tl FROM rr))))""".format(own=PAIRS.format(l="ql"), other=PAIRS.format(l="tl"))
-GOLD = r""",
-gq AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS seq FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0),
-gd AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS body FROM documents),
+GOLD = f""",
+gq AS (SELECT item_id AS query_id, array_to_string({tokens_sql("text")}, ' ') AS seq FROM benchmark WHERE len({tokens_sql("text")}) > 0),
+gd AS (SELECT doc_id, ' ' || array_to_string({tokens_sql("coalesce(text, '')")}, ' ') || ' ' AS body FROM documents),
 gold AS (SELECT DISTINCT query_id, doc_id FROM gq JOIN gd ON contains(body, ' ' || seq || ' '))"""
 METRICS = _bm25_sql(10) + GOLD + """,
 fh AS (SELECT bm.query_id, doc_id, min(rank) AS rank FROM bm JOIN gold ON gold.query_id = bm.query_id AND doc_id = substr(chunk_id, 1, 12)::BIGINT GROUP BY ALL),
@@ -231,7 +243,7 @@ ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS re
 
 ORACLES = {
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
-    "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk JOIN ck USING (chunk_id) WHERE len(w) = 0 GROUP BY ALL",
+    "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk WHERE len(w) = 0 GROUP BY ALL",
     "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(length(text))::BIGINT AS total, 0::BIGINT AS differ FROM ck UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
 UNION ALL SELECT 'terms', count(DISTINCT term), count(*), 0 FROM post""",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",

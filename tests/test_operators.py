@@ -1,6 +1,8 @@
 """Operators on small inline cases."""
 
 import math
+import random
+import re
 import unicodedata
 
 import pytest
@@ -18,6 +20,26 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first().x
 
 
+def plain_tokens(text):
+    """Search tokens by the definition: compatibility composition, lower case, runs."""
+    out = []
+    for run in re.findall("[a-z0-9]+|[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in T.CJK) + "]+", unicodedata.normalize("NFKC", text).lower()):
+        out += [run] if run.isascii() or len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+    return out
+
+
+def test_tokens_of_every_compatibility_character_and_of_marks(spark):
+    rng, every = random.Random(0), [*T.COMPATIBLE]
+    marks = [m for m in map(chr, range(0x300, 0x370))] + list("\u3099\uff9e\u20dd\u0591\u1dc4")
+    pieces = ["a", "K", "é", "ß", "한", "ｱ", "营业", "\U00020001", " ", "\n", "ſ", "x", "9"]
+    texts = ["".join(f"ab{c}" for c in every[i : i + 50]) for i in range(0, len(every), 50)]
+    texts += ["".join(rng.choice([rng.choice(pieces), rng.choice("aeinosyzAEN") + rng.choice(marks), rng.choice(marks), rng.choice(every)]) for _ in range(10)) for _ in range(1500)]
+    texts = [t.replace("İ", "") for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [(r.t, r.w) for r in df.select("t", T.tokens(F.col("t")).alias("w")).collect() if r.w != plain_tokens(r.t)] == []
+    assert "Python" not in df.select(T.tokens(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_functions(spark):
     assert one(spark, T.normalize_page_text(F.lit("　a \t\r\nb\r\r\r\rc\x00 \n"))) == "a\nb\n\nc"
     assert one(spark, T.tokens(F.lit("营业收入 ＡＢ1 é x，利"))) == ["营业", "业收", "收入", "ab1", "x", "利"]
@@ -81,7 +103,7 @@ def test_chunk_and_page_checks(spark):
 
 def test_bm25_formula_ties_and_zero_scores(spark, tmp_path):
     docs = {"a": "x y".split(), "b": "x x z".split(), "c": "z".split(), "d": "x y".split()}
-    chunks = spark.createDataFrame(list(docs.items()), "chunk_id string, tokens array<string>")
+    chunks = spark.createDataFrame([(c, "r", w) for c, w in docs.items()], "chunk_id string, report_id string, tokens array<string>")
     queries = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["none"])], "query_id int, tokens array<string>")
     index = lexical.stored(spark, f"{tmp_path}/index", lambda: chunks, lambda c: c)
     assert lexical.index_violations(index, chunks).count() == 0 and lexical.index_violations(index, chunks.filter("chunk_id <> 'c'")).count() == 3
@@ -104,6 +126,66 @@ def test_bm25_formula_ties_and_zero_scores(spark, tmp_path):
     assert [(r.chunk_id, abs(r.score - score(r.chunk_id)) < 1e-9) for r in only] == [("b", True), ("c", True)]
 
 
+def index_of(spark, path, rows):
+    return lexical.stored(spark, str(path), lambda: spark.createDataFrame(rows, "chunk_id string, report_id string, tokens array<string>"), lambda c: c)
+
+
+WORDS = [(f"c{i:03d}", f"r{i % 5}" if i % 11 else None, [f"w{(i * j) % 17}" for j in range(1, 2 + i % 7)]) for i in range(120)]
+
+
+@pytest.mark.parametrize("lost", lexical.TABLES)
+def test_index_recovers_what_was_not_written(spark, tmp_path, lost):
+    """A job lost while a table was written leaves a folder without its mark: that table, and what is made from it, come anew."""
+    asked = spark.createDataFrame([(1, "r2", ["w1", "w2"]), (2, "r9", ["w3"]), (3, "r1", ["none"])], "query_id int, report_id string, tokens array<string>")
+
+    def all_of(index):
+        whole = [tuple(r) for r in lexical.search(index, asked, 6).collect()]
+        return sorted(whole), sorted(tuple(r) for r in lexical.search_report(index, asked, 6).collect()), index.stats.collect()
+
+    before = all_of(index_of(spark, tmp_path / "index", WORDS))
+    (tmp_path / "index" / lost / "_SUCCESS").unlink()
+    for part in (tmp_path / "index" / lost).rglob("*.parquet"):
+        part.unlink()
+        break
+    assert all_of(index_of(spark, tmp_path / "index", WORDS)) == before
+    never = lexical.stored(spark, str(tmp_path / "index"), lambda: 1 / 0, lambda c: 1 / 0)  # nothing is made twice
+    assert all_of(never) == before
+
+
+def test_search_by_report_equals_filtered_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "FOLDER_CHUNKS", 10)
+    index = index_of(spark, tmp_path / "index", WORDS)
+    rows = [(q, f"r{q % 6}", [f"w{q % 17}", f"w{(3 * q) % 17}", "w1"]) for q in range(12)]
+    asked = spark.createDataFrame(rows, "query_id int, report_id string, tokens array<string>")
+    routed = sorted(tuple(r) for r in lexical.search_report(index, asked, 4, own_statistics=False).collect())
+    want = []
+    for q, report, words in rows:
+        one = spark.createDataFrame([(q, words)], "query_id int, tokens array<string>")
+        want += [tuple(r) for r in lexical.search(index, one, 4, index.chunks.filter(index.chunks.report_id == report)).collect()]
+    assert routed == sorted(want) and not [r for r in routed if r[0] % 6 == 5]
+    own = index_of(spark, tmp_path / "own", [r for r in WORDS if r[1] == "r3"])
+    alone = spark.createDataFrame([r for r in rows if r[1] == "r3"], asked.schema)
+    ours = sorted(tuple(r) for r in lexical.search_report(index, asked.filter("report_id = 'r3'"), 4).collect())
+    assert ours == sorted(tuple(r) for r in lexical.search(own, alone, 4).collect())
+
+
+def test_search_reads_the_folders_it_needs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "FOLDER_CHUNKS", 10)
+    index = index_of(spark, tmp_path / "index", WORDS)
+    sizes = index.stats.first()
+    assert (sizes["report_folders"], sizes["term_folders"]) == (4, 3)
+    one = spark.createDataFrame([(1, "r2", ["w1"])], "query_id int, report_id string, tokens array<string>")
+    terms = one.select("query_id", "report_id", F.explode("tokens").alias("term"))
+    found = lexical.asked_postings(index, terms)
+    files = {r["f"] for r in found.select(F.input_file_name().alias("f")).collect()}
+    assert len(files) == 1 and found.count() == index.postings.filter("report_id = 'r2' and term = 'w1'").count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("term_folder") and plan.count("report_folder") and "PartitionFilters" in plan
+    whole = lexical.summed(index, terms.drop("report_id"), F.count(F.lit(1)))
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("RepartitionByExpression") < text.index("LeftSemi")  # deals out what the term filter leaves
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
     rows = [(i, [float(math.cos(i)), float(math.sin(i))]) for i in range(40)]
