@@ -83,7 +83,7 @@ def compatible(c: Column) -> Column:
     special = _class(LONGER)
     pieces = F.regexp_extract_all(F.translate(c, "".join(ONE_TO_ONE), "".join(ONE_TO_ONE.values())), F.lit(f"{special}|[^{special[1:-1]}]+"), 0)
     mapped = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
-    return F.when(c.rlike(MAYBE_COMPATIBLE), F.regexp_replace(mapped, COMPOSED, " ")).otherwise(c)
+    return F.regexp_replace(mapped, COMPOSED, " ")
 
 
 def ascii_tokens(c: Column) -> Column:
@@ -94,13 +94,12 @@ def ascii_tokens(c: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Search tokens of normalised, lower-cased text: character pairs of runs of CJK characters (a lone one stays), and
     ASCII runs, in order and with repeats. Built-in functions alone."""
-    runs = F.regexp_extract_all(F.lower(compatible(c)), F.lit(f"[{CJK_CLASS}]+|[a-z0-9]+"), 0)
-
     def parts(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))
         return F.when(run.rlike("^[a-z0-9]"), F.array(run)).otherwise(pairs)
 
-    return let(runs, lambda r: F.when(F.exists(r, lambda x: ~x.rlike("^[a-z0-9]")), F.flatten(F.transform(r, parts))).otherwise(r))
+    every = F.flatten(F.transform(F.regexp_extract_all(F.lower(compatible(c)), F.lit(f"[{CJK_CLASS}]+|[a-z0-9]+"), 0), parts))
+    return F.when(c.rlike(MAYBE_COMPATIBLE), every).otherwise(ascii_tokens(c))
 
 
 def lexical_tokens(c: Column) -> Column:

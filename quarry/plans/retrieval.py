@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import context, evaluation, fusion, lexical, vectors
-from quarry.plans.corpus import CHUNKS_SQL, chunk_table
-from quarry.sources.shared import application_dir, state_of
+from quarry.operators import context, evaluation, facts, fusion, lexical, traces, vectors
+from quarry.plans.corpus import CHUNKS_SQL, chunk_table, page_table
+from quarry.sources.shared import application_dir, materialize, state_of
 from quarry.sources.tables import table
 
 K = 5
@@ -189,7 +189,56 @@ def d3_outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.group_summary(r.withColumn("outcome", outcome), ["size"])
 
 
-QUERIES = {f.__name__: f for f in (b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
+def sub_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, facts, evidences): each question asks in the report of the first document that holds it, or in the first
+    report; those ending in 3 in a report that does not exist. Every document that holds a question is a fact of its report.
+    Evidence of even documents is their first chunk, that of others their page, or the next one where 3 divides the id; a
+    fifth of the facts and a seventh of the evidence is not verified."""
+    held = materialize(gold(spark, sf_dir).join(page_table(spark, sf_dir).select("doc_id", "report_id", "pdf_page"), "doc_id"))
+    own = held.groupBy("query_id").agg(F.min_by("report_id", "doc_id").alias("_own"))
+    first = table(spark, sf_dir, "documents").agg(F.min("source").alias("_first"))  # one row
+    report = F.when(F.pmod("query_id", F.lit(10)) == 3, "no_report").otherwise(F.coalesce("_own", "_first"))
+    keys = lambda df: df.withColumns({"company_id": F.col("report_id"), "metric_id": F.concat(F.lit("item_"), "query_id"), "fiscal_year": F.lit(2024), "statement_scope": F.lit("consolidated"), "statement_type": F.lit("note")})
+    queries = keys(questions(spark, sf_dir).join(own, "query_id", "left").join(F.broadcast(first)).withColumn("report_id", report).drop("_own", "_first"))
+    state = lambda n: F.when(F.pmod("doc_id", F.lit(n)) == 0, "pending").otherwise("verified").alias("validation_status")
+    name = F.concat_ws("_", "query_id", "doc_id")
+    registry = keys(held).select(F.concat(F.lit("fact_"), name).alias("fact_id"), *facts.QUERY_KEYS, F.concat(F.lit("ev_"), name).alias("primary_evidence_id"), state(5))
+    chunk = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.format_string("%012d_%05d", "doc_id", F.lit(0)))
+    page = F.col("pdf_page") + F.when(F.pmod("doc_id", F.lit(3)) == 0, 1).otherwise(0)
+    return queries, registry, held.select(F.concat(F.lit("ev_"), name).alias("evidence_id"), "report_id", chunk.alias("chunk_id"), page.alias("pdf_page"), state(7))
+
+
+def r6_routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question in its own report: both rankings fused and re-ranked, with the status of those that have no hits."""
+    queries, _, _ = sub_queries(spark, sf_dir)
+    hits, status = traces.routed_search(index(spark, sf_dir), queries)
+    out = status.join(hits, "query_id", "left")
+    return out.select("query_id", "status", F.col("rank").cast("long").alias("rank"), "chunk_id", F.col("rrf_rank").cast("long").alias("rrf_rank"))
+
+
+def traced(spark: SparkSession, sf_dir: str, strategies: tuple[str, ...] = traces.STRATEGIES) -> DataFrame:
+    """Traces of all questions under several strategies; the search is made once."""
+    queries, registry, evidences = (materialize(t) for t in sub_queries(spark, sf_dir))
+    hits, status = (materialize(t) for t in traces.routed_search(index(spark, sf_dir), queries))
+    chunks, out = chunks_of(spark, sf_dir), None
+    for strategy in strategies:
+        one = traces.trace(hits, status, queries, chunks, registry, evidences, strategy).withColumn("strategy", F.lit(strategy))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def l3_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's trace, plain, with all neighbouring pages, and within the budget."""
+    joined = {c: F.array_join(c, ",") for c in ("fact_ids", "evidence_ids", "chunk_ids")}
+    return traced(spark, sf_dir).withColumns(joined)
+
+
+def n12_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the traces by strategy and over all."""
+    return traces.retrieval_summary(traced(spark, sf_dir), ["strategy"])
+
+
+QUERIES = {f.__name__: f for f in (r6_routed_search, l3_traces, n12_run_summary, b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 
 
@@ -241,7 +290,60 @@ m0 AS (SELECT ng.query_id, n, min(rank) AS first_rank, coalesce(sum(1 / log2(ran
 ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS recall_1, coalesce((first_rank <= 3)::BIGINT, 0) AS recall_3, coalesce((first_rank <= 5)::BIGINT, 0) AS recall_5,
   round(coalesce(1 / first_rank, 0), 9) AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least(5, n) + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg_5 FROM m0)"""
 
+def _routed_sql() -> str:
+    """bm: the hits of each question in its own report; st6: its status."""
+    rerank = RERANK.format(source="SELECT fu.query_id, fu.chunk_id, fu.rank AS rrf_rank, b.text AS query, ck.text FROM fu JOIN benchmark b ON b.item_id = fu.query_id JOIN ck USING (chunk_id)")
+    return TOKENS + GOLD + f""",
+rq AS (SELECT item_id AS query_id, CASE WHEN item_id % 10 = 3 THEN 'no_report' ELSE coalesce(own, (SELECT min(source) FROM documents)) END AS report_id
+  FROM benchmark LEFT JOIN (SELECT query_id, arg_min(source, doc_id) AS own FROM gold JOIN documents USING (doc_id) GROUP BY 1) g ON g.query_id = item_id),
+rs AS (SELECT report_id, count(*) AS n, avg(len(w)) AS avg_dl FROM tk GROUP BY 1), rd AS (SELECT report_id, term, count(*) AS df FROM post GROUP BY ALL),
+rp AS (SELECT query_id, chunk_id, dl, tf, df, n, avg_dl FROM qt JOIN rq USING (query_id) JOIN post USING (report_id, term) JOIN rd USING (report_id, term) JOIN rs USING (report_id)),
+s0 AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score, count(*) AS cover FROM rp GROUP BY ALL),
+bl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0) DESC, chunk_id) AS rank, chunk_id FROM rq JOIN ck USING (report_id) LEFT JOIN s0 USING (query_id, chunk_id) QUALIFY rank <= 50),
+cl AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cover DESC, chunk_id) AS rank, chunk_id FROM s0 QUALIFY rank <= 50),
+st6 AS (SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM cl) THEN 'ok' WHEN query_id IN (SELECT query_id FROM bl) THEN 'mismatch' ELSE 'no_report' END AS status FROM rq),
+fu AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, round(coalesce(1 / (60 + cl.rank), 0) + coalesce(1 / (60 + bl.rank), 0), 9) AS score
+  FROM cl FULL JOIN bl USING (query_id, chunk_id)) WHERE query_id IN (SELECT query_id FROM st6 WHERE status = 'ok') QUALIFY rank <= 20),
+{rerank},
+bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, rrf_rank, chunk_id) AS rank, chunk_id, rrf_rank FROM sc4 QUALIFY rank <= 5)"""
+
+
+def _traces_sql() -> str:
+    second = RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")
+    second = second.replace("rr AS", "r2 AS").replace("FROM rr", "FROM r2").replace("sc4", "sc5")
+    fits = "CASE WHEN wf.chunk IS NOT NULL THEN wf.chunk = i.chunk_id ELSE wf.page = i.pdf_page END"
+    return _routed_sql() + f""", {EXPAND}, {second},
+wf AS (SELECT rq.query_id, 'fact_' || rq.query_id || '_' || doc_id AS fact_id, 'ev_' || rq.query_id || '_' || doc_id AS evidence_id,
+  CASE WHEN doc_id % 2 = 0 THEN format('{{:012d}}_{{:05d}}', doc_id, 0) END AS chunk, pdf_page + (doc_id % 3 = 0)::INT AS page
+  FROM rq JOIN gold USING (query_id) JOIN pg USING (doc_id, report_id) WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0),
+i0 AS (SELECT query_id, rank AS o, chunk_id, pdf_page, length(text) AS n_chars FROM bm JOIN ck USING (chunk_id)),
+f0 AS (SELECT wf.query_id, fact_id, evidence_id, min(o) AS o FROM wf JOIN i0 i USING (query_id) WHERE {fits} GROUP BY ALL),
+nh AS (SELECT query_id, count(*) AS hits FROM bm GROUP BY 1),
+i1 AS (SELECT best.query_id, hits + row_number() OVER (PARTITION BY best.query_id ORDER BY anchor_rank, abs(page_distance), page_distance, best.chunk_index, best.chunk_id) AS o, best.chunk_id, ck.pdf_page, length(ck.text) AS n_chars
+  FROM best JOIN nh USING (query_id) JOIN ck USING (chunk_id) WHERE best.n = 1),
+cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr
+  FROM sc5 WHERE query_id NOT IN (SELECT query_id FROM f0)),
+fold AS (SELECT query_id, 0::BIGINT AS sr, NULL::VARCHAR AS chunk_id, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, FALSE AS took FROM (SELECT DISTINCT query_id FROM cand)
+  UNION ALL SELECT c.query_id, c.sr, c.chunk_id, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END, items < 2 AND c.n_chars <= room
+  FROM fold f JOIN cand c ON c.query_id = f.query_id AND c.sr = f.sr + 1),
+i2 AS (SELECT fold.query_id, hits + row_number() OVER (PARTITION BY fold.query_id ORDER BY sr) AS o, fold.chunk_id, pdf_page, n_chars FROM fold JOIN nh USING (query_id) JOIN ck USING (chunk_id) WHERE took),
+al AS (SELECT 'plain' AS strategy, *, 0 AS g FROM i0 UNION ALL SELECT 'expanded', *, 0 FROM i0 UNION ALL SELECT 'expanded', *, 1 FROM i1 UNION ALL SELECT 'budgeted', *, 0 FROM i0 UNION ALL SELECT 'budgeted', *, 1 FROM i2),
+fd AS (SELECT strategy, wf.query_id, fact_id, evidence_id, min(o) AS o, min(g) AS g FROM wf JOIN al i USING (query_id) WHERE {fits} GROUP BY ALL),
+tf6 AS (SELECT strategy, query_id, CASE min(g) WHEN 0 THEN 'base' ELSE 'expansion' END AS stage, string_agg(fact_id, ',' ORDER BY o, fact_id) AS fact_ids, string_agg(evidence_id, ',' ORDER BY o, fact_id) AS evidence_ids FROM fd GROUP BY ALL),
+tc6 AS (SELECT strategy, query_id, string_agg(chunk_id, ',' ORDER BY o) AS chunk_ids, count(*) AS chunks6, sum(g)::BIGINT AS items6, sum(g * n_chars)::BIGINT AS chars6, count(*) FILTER (g = 0) AS hits FROM al GROUP BY ALL),
+tr AS (SELECT query_id, strategy, CASE WHEN status = 'ok' THEN 'completed' ELSE 'failed' END AS status, CASE WHEN status <> 'ok' THEN status END AS error, coalesce(tc6.hits, 0) AS hits,
+  coalesce(stage, CASE WHEN status = 'ok' THEN 'unresolved' END) AS stage, coalesce(fact_ids, '') AS fact_ids, coalesce(evidence_ids, '') AS evidence_ids, coalesce(chunk_ids, '') AS chunk_ids,
+  CASE strategy WHEN 'plain' THEN 0 WHEN 'expanded' THEN coalesce(items6, 0) ELSE coalesce((SELECT count(*) FROM cand WHERE cand.query_id = st6.query_id), 0) END AS candidates,
+  coalesce(items6, 0) AS selected_items, coalesce(chars6, 0) AS selected_chars, coalesce(chunks6, 0) AS chunks6
+  FROM st6 CROSS JOIN (VALUES ('plain'), ('expanded'), ('budgeted')) v(strategy) LEFT JOIN tf6 USING (strategy, query_id) LEFT JOIN tc6 USING (strategy, query_id))"""
+
+
 ORACLES = {
+    "r6_routed_search": f"WITH {_routed_sql()} SELECT st6.query_id, status, rank, chunk_id, rrf_rank FROM st6 LEFT JOIN bm USING (query_id)",
+    "l3_traces": f"WITH RECURSIVE {_traces_sql()} SELECT * EXCLUDE (chunks6) FROM tr",
+    "n12_run_summary": f"""WITH RECURSIVE {_traces_sql()} SELECT strategy, count(*) AS queries, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed' AND stage <> 'unresolved') AS resolved,
+count(*) FILTER (stage = 'base') AS gate_closed, count(*) FILTER (status = 'completed' AND stage <> 'base') AS gate_open, count(*) FILTER (stage = 'expansion') AS recovered, sum(selected_items)::BIGINT AS selected_items,
+sum(selected_chars)::BIGINT AS selected_chars, sum(chunks6)::BIGINT AS context_chunks, grouping(strategy)::BIGINT AS level FROM tr GROUP BY GROUPING SETS ((), (strategy))""",
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
     "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk WHERE len(w) = 0 GROUP BY ALL",
     "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(length(text))::BIGINT AS total, 0::BIGINT AS differ FROM ck UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
