@@ -12,9 +12,11 @@ What is left between the template's tokens are slots. Each slot takes its meanin
 hold it: main text lies in the article (or main element) and in no part that is furniture, by its tag (menus, headers,
 footers, sidebars, forms, scripts, styles) or by the class, id or role of an element that the site makes (notices,
 adverts, comments). Where a host's template has no article, the deepest of its elements with most of the text that
-differs between pages holds it. Texts of the template itself, which all pages of a host of MIN_PAGES different pages or
+differs between pages holds it; where a page has several articles, those that hold that element or lie in it count. Texts of the template itself, which all pages of a host of MIN_PAGES different pages or
 more hold once, are no main text, unless they are most of it. A page that doesn't fit its host's template is read by
-its own tags. Names of headings say what they are about and are not read; a wrapper round the article isn't furniture.
+its own tags. Names of headings say what they are about and are not read; a wrapper round the article isn't furniture, nor is a form
+round the page, nor any furniture round most of the text with an article in it. A self-closed svg, iframe or the like is
+empty, as is one that is never closed; blocks after a button, select or label that is never closed are not its own.
 
 Character references are decoded, white space in a block becomes one space, blocks join by a space in page order.
 Null html is an empty page; null or scheme-less urls share one host; repeated pages are extracted one by one
@@ -49,7 +51,7 @@ MAIN = frozenset(("article", "main"))
 #: Words of class names, ids and roles of furniture, and words that such names may also hold.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "header masthead footer notice notices cookie cookies consent gdpr comment comments reply replies disqus share sharing social related recommended newsletter "
+    "header masthead footer notice notices cookie cookies consent gdpr comment comments commentlist reply replies responses discussion guestbook disqus share sharing social related recommended newsletter "
     "subscribe subscription popup modal overlay pagination pager widget widgets toolbar login signup complementary contentinfo search".split()
 )
 JOINING_WORDS = frozenset(
@@ -64,7 +66,9 @@ ATTRIBUTE = re.compile(r"([^\s/>=]++|=)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(
 UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 CLOSERS = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 #: Flags of a place in a page: furniture by tag, or by name, above the main element; furniture inside it.
-TAG_ABOVE, NAME_ABOVE, INSIDE = 1, 2, 4
+TAG_ABOVE, NAME_ABOVE, INSIDE, FORM_ABOVE = 1, 2, 4, 8
+#: Elements of a line that authors forget to close: what follows them in blocks of its own is not theirs.
+OFTEN_OPEN = frozenset("button select label".split())
 
 
 class Block(NamedTuple):
@@ -95,6 +99,8 @@ class Element(NamedTuple):
     flags: int
     in_slot: bool
     depth: int
+    above: int = 0  # flags of what holds it
+    first: int = 0  # blocks before it
 
 
 NOWHERE = Element("", 0, 0, -1, 0, False, 0)
@@ -127,6 +133,7 @@ class Page:
         self._where = NOWHERE
         self._read(page)
         self._flush()
+        self._cut(0)
 
     def _flush(self) -> None:
         text, w = " ".join("".join(self._parts).split()), self._where
@@ -141,10 +148,20 @@ class Page:
         self._where = now
         self._parts.append(text if literal or "&" not in text else entities.unescape(text))
 
-    def _cut(self, k: int) -> None:
-        """Close all elements from place k of the stack."""
+    def _left_open(self, e: Element) -> None:
+        """Blocks after a button or the like that its author forgot to close are not its own."""
+        if e.tag in OFTEN_OPEN and e.flags != e.above:
+            self._flush()
+            own = e.flags & ~e.above
+            self.blocks[e.first :] = [b if b.path == e.block else b._replace(flags=b.flags & ~own) for b in self.blocks[e.first :]]
+
+    def _cut(self, k: int, closed: bool = False) -> None:
+        """Close all elements from place k of the stack; closed: the one at k by its own end tag."""
         for place in range(len(self._stack) - 1, k - 1, -1):
-            self._open[self._stack[place].tag].pop()
+            e = self._stack[place]
+            self._open[e.tag].pop()
+            if place > k or not closed:
+                self._left_open(e)
         del self._stack[k:]
         for places in (self._solid, self._stops):
             while places and places[-1] >= k:
@@ -159,7 +176,7 @@ class Page:
             return  # an inline end tag doesn't close blocks
         if tag not in INLINE:
             self._flush()
-        self._cut(places[-1])
+        self._cut(places[-1], closed=True)
 
     def _start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in CLOSES_P or tag in CLOSES_OWN:
@@ -188,7 +205,9 @@ class Page:
         if main < 0 and (tag in MAIN or role_main):
             main, self.mains = self.mains, self.mains + 1  # neither the article itself nor its own head is furniture
         else:
-            if tag in FURNITURE and not (tag == "header" and main >= 0):
+            if tag == "form":
+                flags |= INSIDE if main >= 0 else FORM_ABOVE
+            elif tag in FURNITURE and not (tag == "header" and main >= 0):
                 flags |= INSIDE if main >= 0 else TAG_ABOVE
             if named and not (tag == "header" and main >= 0) and (self._confirmed is None or path in self._confirmed or tag in INLINE):
                 flags |= INSIDE if main >= 0 else NAME_ABOVE
@@ -198,10 +217,10 @@ class Page:
         if tag in STOPS:
             self._stops.append(len(self._stack))
         self._open.setdefault(tag, []).append(len(self._stack))
-        self._stack.append(Element(tag, path, above.block if inline else path, main, flags, above.in_slot or path in self._slots, above.depth + 1))
+        self._stack.append(Element(tag, path, above.block if inline else path, main, flags, above.in_slot or path in self._slots, above.depth + 1, above.flags, len(self.blocks)))
 
     def _read(self, page: str) -> None:
-        at, size, cdata_ends = 0, len(page), True
+        at, size, cdata_ends, unclosed = 0, len(page), True, set()
         while at < size:
             k = page.find("<", at)
             if k < 0:
@@ -236,15 +255,22 @@ class Page:
                 at = found.end()
             if at >= size:
                 return  # the page ends inside a tag
+            empty = page[at - 1] == "/"
             at += 1
             if m[1]:
                 self._end(tag)
                 continue
             self._start(tag, attributes)
             if tag in RAW:
-                close = CLOSERS[tag].search(page, at)
-                end = page.find(">", close.start()) if close else -1
-                at = size if end < 0 else end + 1
+                if not empty and (tag in ("script", "style") or tag not in unclosed):
+                    close = CLOSERS[tag].search(page, at)
+                    end = page.find(">", close.start()) if close else -1
+                    if end >= 0:
+                        at = end + 1
+                    elif tag in ("script", "style"):
+                        at = size
+                    else:
+                        unclosed.add(tag)  # nothing of it is known, so it holds nothing
                 self._end(tag)
 
 
@@ -261,10 +287,10 @@ def outline(pages: DataFrame) -> DataFrame:
                 found = Page(body)
                 chars, texts = dict.fromkeys(found.tokens, 0), {}
                 for b in found.blocks:
-                    shown = 0 if b.flags else len(b.text)
+                    shown = 0 if b.flags & ~FORM_ABOVE else len(b.text)
                     if b.path in chars:
                         chars[b.path] += shown
-                    if not b.flags & ~NAME_ABOVE:
+                    if not b.flags & ~(NAME_ABOVE | FORM_ABOVE):
                         key = _digest(b.path, b.text)
                         texts[key] = (texts.get(key, (0,))[0] + 1, len(b.text))
                 for path in reversed(found.tokens):
@@ -272,6 +298,7 @@ def outline(pages: DataFrame) -> DataFrame:
                     if parent in chars:
                         chars[parent] += chars[path]
                 rows += [(host, page, p, False, t.n, t.first, t.parent, t.depth, chars[p], t.named) for p, t in found.tokens.items()]
+                rows.append((host, page, page, None, 1, -1, 0, 0, 0, False))  # the page itself
                 rows += [(host, page, key, True, n, -1, 0, 0, size, False) for key, (n, size) in texts.items()]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTLINE.split(", ")])
 
@@ -285,11 +312,11 @@ def templates(tokens: DataFrame) -> DataFrame:
     vectors = tokens.groupBy("host", "token", "is_text").agg(
         total(F.xxhash64("page", "n")).alias("vector"), F.min("first").alias("lo"), F.max("first").alias("hi"), F.min("parent").alias("parent"), F.min("depth").alias("depth"),
         F.sum("chars").alias("chars"), F.bool_or("named").alias("named"), F.count(F.lit(1)).alias("on"), (F.min("page") < F.max("page")).alias("several"),
-        F.count_if(root).alias("roots"), total(F.when(root, F.xxhash64("page", F.lit(1).cast("long")))).alias("root_marks"), F.approx_count_distinct(F.when(root, F.col("page"))).alias("different"),
+        F.count_if(root).alias("roots"), total(F.when(root, F.xxhash64("page", F.lit(1).cast("long")))).alias("root_marks"), 
     )
-    vectors = materialize(vectors.filter("not is_text or several"))  # a row per host and token; texts of one page say nothing
-    hosts = vectors.groupBy("host").agg(F.sum("roots").alias("pages"), F.sum("root_marks").alias("all_once"), F.max("different").alias("different"), F.max(F.when(F.col("roots") > 0, F.col("chars"))).alias("whole"))
-    known = vectors.drop("roots", "root_marks", "different").join(hosts, "host")
+    vectors = materialize(vectors.filter("is_text is null or not is_text or several"))  # a row per host and token; texts of one page say nothing
+    hosts = vectors.groupBy("host").agg(F.sum("roots").alias("pages"), F.sum("root_marks").alias("all_once"), F.count_if(F.col("is_text").isNull()).alias("different"), F.max(F.when(F.col("roots") > 0, F.col("chars"))).alias("whole"))
+    known = vectors.filter("is_text is not null").drop("roots", "root_marks").join(hosts, "host")
     once = known.filter(F.col("vector") == F.col("all_once"))  # the class of the pages themselves: at most one page's tokens
     w = Window.partitionBy("host").orderBy("lo", "token")
     ordered = once.filter("not is_text").select("*", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
@@ -315,22 +342,31 @@ def main_text(page: str, skeleton: list[int], slots: list[int], texts: list[int]
     if not fits:
         found = Page(page)
     made = frozenset(texts if fits else ())
-    held = [b for b in found.blocks if b.main >= 0 and not b.flags & (TAG_ABOVE | INSIDE)]
-    if held:
-        chosen = [b for b in held if not b.flags]
-        if not chosen:  # the names of wrappers round the article: it is what they wrap
-            chars: dict[int, int] = {}
-            for b in held:
-                chars[b.main] = chars.get(b.main, 0) + len(b.text)
-            best = max(chars, key=lambda m: (chars[m], -m))
-            chosen = [b for b in held if b.main == best]
-    elif found.mains and not any(b.main >= 0 and b.flags & TAG_ABOVE for b in found.blocks):
-        return ""  # an article without text of its own
-    else:
-        shown = [b for b in found.blocks if not b.flags & TAG_ABOVE and b.main < 0]
-        chosen = [b for b in shown if not b.flags] or shown
+    chars: dict[int, int] = {}
+    for b in found.blocks:
+        chars[b.main] = chars.get(b.main, 0) + len(b.text)
+    blocks = [b for b in found.blocks if not b.flags & INSIDE]
+    held = [b for b in blocks if b.main >= 0]
+    clean = [b for b in held if not b.flags & (TAG_ABOVE | NAME_ABOVE)]
+    if clean:
+        # of several articles those count that hold the template's main slot, or lie in it
+        led = {b.main for b in clean if b.in_slot} if fits and slots else ()
+        chosen = [b for b in clean if b.main in led] if led else clean
+    elif held or not found.mains:
+        shown = [b for b in blocks if not b.flags & TAG_ABOVE and b.main < 0]
+        free = [b for b in shown if not b.flags & FORM_ABOVE]
+        if sum(len(b.text) for b in free) * 2 < sum(len(b.text) for b in shown):
+            free = shown  # a form round the page
+        chosen = [b for b in free if not b.flags & NAME_ABOVE] or free
         if fits:
             chosen = [b for b in chosen if b.in_slot] or chosen
+        if held:  # furniture round every article is a wrapper if it holds most of the text: the largest of those least wrapped
+            least = [b for b in held if not b.flags & TAG_ABOVE] or held
+            best = max({b.main for b in least}, key=lambda m: (chars[m], -m))
+            if any(not b.flags & TAG_ABOVE for b in least) or chars[best] >= MOST_OF_TEXT * (chars[best] + sum(len(b.text) for b in chosen)):
+                chosen = [b for b in least if b.main == best]
+    else:
+        return ""  # an article without text of its own
     if made:
         chosen = [b for b in chosen if _digest(b.path, b.text) not in made]
     return " ".join(b.text for b in chosen)

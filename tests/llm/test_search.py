@@ -316,6 +316,36 @@ def test_html_template_texts_and_names_need_several_pages(spark):
     assert text[3] == "Story 3 is longer than the bar" and text[9] == "Story 9 is longer than the bar One page says so" and text[22] == "The same story"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<form id=aspnetForm><nav>menu</nav><article><h1>T</h1><p>One</p></article><div>x</div></form>", "T One"),
+        ("<article><p>One</p><svg class=i/><p>Two</p><svg><text>no</text></svg></article>", "One Two"),
+        ("<article><p>One</p><svg><p>Two</p></article>", "One Two"),
+        ("<article><p>One</p><iframe src=x /><p>Two</p><iframe>no</iframe><script src=a />ok</article>", "One Two ok"),
+        ("<article><p>One</p><button>Share<p>Two</p><p>Three</p></article><footer>f</footer>", "One Two Three"),
+        ("<article><p>One</p><button>Share</button><p>Two</p><form><p>mail</p></form></article>", "One Two"),
+        ("<form><div>All the text of this page</div><nav>m</nav><div>And more</div></form>", "All the text of this page And more"),
+        ("<nav><ul><li>menu<article><p>" + "A long story of the page. " * 5 + "</p></article>", ("A long story of the page. " * 5).strip()),
+        ("<article><p>One</p><div class=responses><p>r</p></div><ol class=commentlist><li>c</ol></article>", "One"),
+    ],
+)
+def test_html_broken_and_wrapped_pages(spark, page, text):
+    rows = [(i, "http://a.com/", page) for i in range(3)] + [(9, "http://b.com/", page)]
+    assert {r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {text}
+
+
+def test_html_template_decides_between_articles(spark):
+    """Neutral names, two articles: only the host's template knows which one holds the varying text."""
+    made = "<body><div class=x0><article class=x1><p>Story {0} tells {1}</p></article></div><div class=x2><article class=x3><p>Read too {0}</p></article></div></body>"
+    rng = random.Random(9)
+    pages = [made.format(i, words(rng, 40)) for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(i, "http://a.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    alone = [html.main_text(p, [], [], [], []) for p in pages]
+    for i, p in enumerate(pages):
+        assert got[i] == p.split("<p>")[1].split("</p>")[0] and alone[i] == f"{got[i]} Read too {i}"
+
+
 def test_html_classes_match_brute_force(spark):
     rng = random.Random(5)
     pages = []
