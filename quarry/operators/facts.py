@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
+
 METRICS = ("revenue", "operating_cost", "tax")
 #: Codes of money units and their multipliers.
 UNITS = {"CNY": 1, "CNY_thousand": 1_000, "CNY_ten_thousand": 10_000, "CNY_million": 1_000_000, "CNY_hundred_million": 100_000_000}
@@ -61,7 +65,7 @@ def ratios(facts: DataFrame) -> DataFrame:
     )
 
 
-#: Formulas: number of inputs, and (numerator, denominator, guard, times) of their values in order.
+#: Names of formulas. Number of inputs, and (numerator, denominator, guard, times) of their values in order.
 FORMULAS = {
     "growth": (2, lambda a, b: (a - b, b, b > 0, 100)),
     "gross_profit_margin_formula": (2, lambda r, c: (r - c, r, (r > 0) & (c >= 0), 100)),
@@ -73,32 +77,61 @@ FORMULAS = {
 }
 
 
-def calculate(calculations: DataFrame, facts: DataFrame) -> DataFrame:
-    """calculations(calculation_id, formula_id, input_fact_ids), facts(fact_id, company_id, fiscal_year, normalized_value,
-    verified boolean) -> calculation_id, formula_id, status, result_value.
+#: What inputs of one calculation must agree in; growth compares two years, so these may differ there.
+CONTEXT = ("company_id", "report_id", "fiscal_year", "statement_scope", "period_type", "period_start", "period_end", "as_of_date")
+ACROSS_YEARS = ("report_id", "fiscal_year", "period_start", "period_end", "as_of_date")
+#: Unit and currency that money must be in.
+MONEY = {"normalized_unit": "CNY", "currency": "CNY"}
+
+
+def dispatch(formula_id: Column, inputs: Column, fields: list[str]) -> Column:
+    """struct(status, result_value) of a formula over inputs, an array of structs with normalized_value, verified and those
+    of CONTEXT and MONEY that `fields` names; null inputs are missing. Also inside a lambda over rows of rows.
 
     The first rule that fails is the status: unknown_formula, input_count, input_missing, input_not_verified, other_context
-    (inputs of several companies, or of several years but for growth, whose years follow each other), guard_failed."""
-    inputs = calculations.select("calculation_id", F.posexplode("input_fact_ids").alias("pos", "fact_id")).join(facts, "fact_id", "left")
-    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
-    wide = inputs.groupBy("calculation_id").agg(
-        *[at(k, "normalized_value").alias(f"v{k}") for k in range(3)], (at(0, "fiscal_year") - at(1, "fiscal_year")).alias("years_apart"),
-        F.count("normalized_value").alias("found"), F.bool_and("verified").alias("verified"), F.countDistinct("company_id").alias("companies"), F.countDistinct("fiscal_year").alias("years"),
-    )
-    rows = calculations.withColumn("inputs", F.greatest(F.size("input_fact_ids"), F.lit(0))).join(wide, "calculation_id", "left")
+    (growth: same company, scope and kind of period, and years that follow each other), other_currency, guard_failed."""
     result, wanted = F.lit(None).cast("decimal(38,4)"), F.lit(None).cast("int")
     for name, (count, formula) in FORMULAS.items():
-        mine = F.col("formula_id") == name
-        result = F.when(mine, ratio(*formula(*[F.col(f"v{k}") for k in range(count)]))).otherwise(result)
+        mine = formula_id == name
+        result = F.when(mine, ratio(*formula(*[F.get(inputs, k)["normalized_value"] for k in range(count)]))).otherwise(result)
         wanted = F.when(mine, F.lit(count)).otherwise(wanted)
-    growth_ = F.col("formula_id") == "growth"
-    other = (F.col("companies") > 1) | F.when(growth_, F.col("years_apart") != 1).otherwise(F.col("years") > 1)
-    status = (
-        F.when(wanted.isNull(), "unknown_formula").when(F.col("inputs") != wanted, "input_count").when(F.coalesce("found", F.lit(0)) < F.col("inputs"), "input_missing")
-        .when(~F.col("verified"), "input_not_verified").when(other, "other_context").when(result.isNull(), "guard_failed").otherwise("done")
+    first, no = F.get(inputs, 0), F.lit(False)
+
+    def other_than(field: str, value: Column) -> Column:
+        return F.exists(inputs, lambda x: ~x[field].eqNullSafe(value))
+
+    def differ(names) -> Column:
+        return reduce(lambda a, b: a | b, [other_than(f, first[f]) for f in names if f in fields], no)
+
+    years = (first["fiscal_year"] - F.get(inputs, 1)["fiscal_year"] != 1) if "fiscal_year" in fields else no
+    other = F.when(formula_id == "growth", differ([f for f in CONTEXT if f not in ACROSS_YEARS]) | F.coalesce(years, F.lit(True))).otherwise(differ(CONTEXT))
+    foreign = reduce(lambda a, b: a | b, [other_than(f, F.lit(v)) for f, v in MONEY.items() if f in fields], no)
+    rules = (
+        F.when(wanted.isNull(), "unknown_formula").when(F.size(inputs) != wanted, "input_count").when(F.exists(inputs, lambda x: x["normalized_value"].isNull()), "input_missing")
+        .when(~F.forall(inputs, lambda x: F.coalesce(x["verified"], no)), "input_not_verified").when(other, "other_context").when(foreign, "other_currency")
     )
-    out = rows.select("calculation_id", "formula_id", status.alias("status"), result.alias("result_value"))
-    return out.withColumn("result_value", F.when(F.col("status") == "done", F.col("result_value")))
+
+    def told(x: Column) -> Column:
+        status = F.coalesce(x["broken"], F.when(x["result"].isNull(), "guard_failed").otherwise("done"))
+        return F.struct(status.alias("status"), F.when(status == "done", x["result"]).alias("result_value"))
+
+    return let(F.struct(rules.alias("broken"), result.alias("result")), told)
+
+
+def context_fields(facts: DataFrame) -> list[str]:
+    return [c for c in (*CONTEXT, *MONEY) if c in facts.columns]
+
+
+def calculate(calculations: DataFrame, facts: DataFrame) -> DataFrame:
+    """calculations(calculation_id, formula_id, input_fact_ids), facts(fact_id, normalized_value, verified boolean, and what
+    they have of CONTEXT and MONEY) -> calculation_id, formula_id, status, result_value, as dispatch() says."""
+    fields = context_fields(facts)
+    known = facts.select("fact_id", F.struct("normalized_value", "verified", *fields).alias("_fact"))
+    asked = calculations.select("calculation_id", F.posexplode("input_fact_ids").alias("_pos", "fact_id")).join(known, "fact_id", "left")
+    inputs = asked.groupBy("calculation_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_fact"))).alias("_inputs"))  # a formula's inputs
+    rows = calculations.join(inputs, "calculation_id", "left")
+    given = F.coalesce(F.transform("_inputs", lambda x: x["_fact"]), F.array().cast(f"array<{known.schema['_fact'].dataType.simpleString()}>"))
+    return rows.select("calculation_id", "formula_id", dispatch(F.col("formula_id"), given, fields).alias("_r")).select("calculation_id", "formula_id", "_r.status", "_r.result_value")
 
 
 def profit_cost_signal(facts: DataFrame) -> DataFrame:

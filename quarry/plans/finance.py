@@ -81,7 +81,7 @@ def m10_formula_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = facts.select("company_id", "fiscal_year").distinct()
     fact = lambda metric, back=0: F.format_string(f"fact_%d_%d_{metric}", "company_id", F.col("fiscal_year") - back)
     r, c, t, r0 = fact("revenue"), fact("operating_cost"), fact("tax"), fact("revenue", 1)
-    asked = (("growth", r, r0), ("gross_profit_margin_formula", r, c), ("expense_ratio", r, c, t), ("cash_flow_to_net_profit", c, r), ("current_ratio_formula", r, c), ("debt_to_equity_ratio_formula", c, r), ("effective_tax_rate", t, r0), ("no_such_formula", r, c), ("expense_ratio", r, c))
+    asked = (("growth", r, r0), ("gross_profit_margin_formula", r, c), ("expense_ratio", r, c, t), ("cash_flow_to_net_profit", c, r), ("current_ratio_formula", r, c), ("debt_to_equity_ratio_formula", c, r), ("effective_tax_rate", t, c), ("no_such_formula", r, c), ("expense_ratio", r, c))
     rows = F.array(*[F.struct(F.lit(str(k)).alias("k"), F.lit(name).alias("formula_id"), F.array(*ids).alias("input_fact_ids")) for k, (name, *ids) in enumerate(asked)])
     calculations = year.select("company_id", "fiscal_year", F.inline(rows)).select(F.concat_ws("_", "company_id", "fiscal_year", "k").alias("calculation_id"), "formula_id", "input_fact_ids")
     return f.calculate(calculations, facts)
@@ -158,23 +158,68 @@ def l5_fact_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(f.ranking(fact_table(spark, sf_dir), "revenue").withColumn("place", F.col("place").cast("long")))
 
 
-def case_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each company and year: retrieve this year's and last year's revenue, calculate the growth, answer."""
-    f_ = fact_table(spark, sf_dir).filter("metric_id = 'revenue'")
-    name = lambda back: F.format_string("fact_%d_%d_revenue", "company_id", F.col("fiscal_year") - back)
-    none, ids = F.lit(None).cast("string"), F.array().cast("array<string>")
-    step = lambda i, a, fact, needs: F.struct(F.lit(i).alias("step_id"), F.lit(a).alias("action"), fact.alias("fact_id"), needs.alias("depends"))
-    steps = F.array(step("s1", "retrieve", name(0), ids), step("s2", "retrieve", name(1), ids), step("s3", "calculate", none, F.array(F.lit("s1"), F.lit("s2"))), step("s4", "answer", none, F.array(F.lit("s3"))))
-    return questions.steps_of(f_.select(F.concat_ws("_", F.lit("case"), "company_id", "fiscal_year").alias("case_id"), steps.alias("steps")))
+def cases_of(facts: DataFrame) -> DataFrame:
+    """For each company and year: retrieve this year's and last year's revenue and the cost; calculate growth and the ratio
+    of revenue to cost; answer. Planted: answers of companies of rest 3 by 5 refer to a result that no step has; companies
+    of rest 4 by 9 ask for the ratio before they retrieve the cost; every eleventh company has no query for its cost."""
+    name = lambda metric, back=0: F.format_string(f"fact_%d_%d_{metric}", "company_id", F.col("fiscal_year") - back)
+    strings = lambda *x: F.array(*[F.lit(c) if isinstance(c, str) else c for c in x]).cast("array<string>")
+    none = F.lit(None).cast("string")
+    r, r0, c, key = name("revenue"), name("revenue", 1), name("operating_cost"), F.concat_ws("_", "company_id", "fiscal_year")
+
+    def step(i, action, target=None, inputs=(), depends=(), out=none, formula=None):
+        made = (F.concat(F.lit(f"calc_{i}_"), key), F.lit(formula)) if formula else (none, none)
+        return F.struct(F.lit(i).alias("step_id"), F.lit(action).alias("action"), strings(*([target] if target is not None else [])).alias("target_fact_ids"), strings(*inputs).alias("input_refs"), strings(*depends).alias("depends_on"),
+                        (target if target is not None else F.lit(out) if isinstance(out, str) else out).alias("output_ref"), made[0].alias("calculation_id"), made[1].alias("formula_id"))
+
+    query = lambda fact: F.struct(F.concat(F.lit("q_"), fact).alias("query_id"), fact.alias("target_fact_id"))
+    s1, s2, s3 = step("s1", "retrieve", r), step("s2", "retrieve", r0), step("s3", "retrieve", c)
+    s4 = step("s4", "calculate", None, (r, r0), ("s1", "s2"), "growth", "growth")
+    s5 = step("s5", "calculate", None, (r, c), ("s1", "s3"), "ratio", "current_ratio_formula")
+    s6 = lambda second: step("s6", "answer", None, ("growth", second), ("s4", "s5"), "answer")
+    last = F.when(F.col("company_id") % 5 == 3, s6("nothing")).otherwise(s6("ratio"))
+    order = F.when(F.col("company_id") % 9 == 4, F.array(s1, s2, s4, s5, s3, last)).otherwise(F.array(s1, s2, s3, s4, s5, last))
+    queries = F.when(F.col("company_id") % 11 == 10, F.array(query(r), query(r0))).otherwise(F.array(query(r), query(r0), query(c)))
+    return facts.filter("metric_id = 'revenue'").select(F.concat(F.lit("case_"), key).alias("case_id"), queries.alias("queries"), order.alias("steps"))
+
+
+def case_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of described(); costs of every sixth company are zero, a fifth of the facts is not verified."""
+    facts = described(fact_table(spark, sf_dir))
+    value = F.when((F.col("metric_id") == "operating_cost") & (F.col("company_id") % 6 == 0), F.lit(0).cast("decimal(20,2)")).otherwise(F.col("normalized_value"))
+    return facts.withColumn("normalized_value", value).withColumn("verified", F.col("validation_status") == "verified")
+
+
+def executed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases, run on a trace for each fact; searches for revenues of 1995 of every seventh company failed."""
+    facts = case_facts(spark, sf_dir)
+    lost = (F.col("company_id") % 7 == 0) & (F.col("fiscal_year") == 1995) & (F.col("metric_id") == "revenue")
+    found = facts.select(F.concat(F.lit("q_"), "fact_id").alias("query_id"), F.when(lost, "failed").otherwise("completed").alias("status"), F.when(lost, "timeout").alias("error"), F.when(lost, F.array().cast("array<string>")).otherwise(F.array("fact_id")).alias("fact_ids"))
+    asked = questions.sub_queries(cases_of(facts)).select("query_id").distinct()
+    traces = asked.join(found, "query_id", "left").withColumn("status", F.coalesce("status", F.lit("completed")))  # a search that finds nothing
+    return questions.run_cases(questions.plans(cases_of(facts)), traces, facts.select("fact_id", "company_id", "fiscal_year", "statement_scope", "normalized_value", "verified"))
+
+
+def l2_case_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every case with its references rewritten, and the rule that one of them breaks."""
+    made = questions.plans(cases_of(case_facts(spark, sf_dir)))
+    bad = questions.reference_violations(made).groupBy("case_id", "step_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "rule_id", "reference"))), ",").alias("broken"))
+    steps = questions.plan_steps(made).join(bad, ["case_id", "step_id"], "left")
+    return steps.select("case_id", F.col("pos").cast("long").alias("pos"), "step_id", "action", "query_id", F.array_join("input_refs", ",").alias("input_refs"), "output_ref", "broken")
 
 
 def l4_case_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = questions.case_results(questions.execute(case_steps(spark, sf_dir), fact_table(spark, sf_dir)))
-    return out.withColumn("failed_at", F.col("failed_at").cast("long"))
+    out = questions.case_results(executed_cases(spark, sf_dir))
+    return out.withColumn("failed_at", F.col("failed_at").cast("long")).withColumn("answer_ids", F.array_join("answer_ids", ","))
+
+
+def l4_case_calculations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cases calculated."""
+    return executed_cases(spark, sf_dir).filter("result_value IS NOT NULL").select("case_id", "step_id", "result_value")
 
 
 def l8_topology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = case_steps(spark, sf_dir)
+    steps = questions.plan_steps(questions.plans(cases_of(case_facts(spark, sf_dir)))).withColumnRenamed("depends_on", "depends")
     bad = questions.topology_violations(steps).groupBy("case_id").agg(F.count(F.lit(1)).alias("violations"))
     return steps.groupBy("case_id").agg(F.count(F.lit(1)).alias("steps")).join(bad, "case_id", "left").withColumn("violations", F.coalesce("violations", F.lit(0)).cast("long"))
 
@@ -187,7 +232,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l4_case_results, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l2_case_plans, l4_case_results, l4_case_calculations, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -206,10 +251,6 @@ def _ratio(n: str, d: str, ok: str, times: int = 1) -> str:
     return f"CASE WHEN ({ok}) AND {d} <> 0 THEN ((CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END * ({steps}))::DECIMAL(30,0) * 0.0001::DECIMAL(4,4))::DECIMAL(38,4) END"
 
 
-CASES = FACTS + """,
-rv AS (SELECT company_id, fiscal_year FROM yr), cs AS (SELECT 'case_' || a.company_id || '_' || a.fiscal_year AS case_id, a.fiscal_year::VARCHAR AS fiscal_year, b.company_id IS NULL AS lost
-  FROM rv a LEFT JOIN rv b ON a.company_id = b.company_id AND b.fiscal_year = a.fiscal_year - 1)"""
-
 DESCRIBED = FACTS + """,
 ds AS (SELECT *, company_id || '_' || fiscal_year AS report_id, 'ev_' || fact_id AS ev, (company_id + fiscal_year) % 5 <> 0 AS verified, line[1] AS okey, line[2]::BIGINT AS page FROM fa),
 ev AS (SELECT ev AS evidence_id, report_id, CASE WHEN okey % 2 = 0 THEN 'ck_' || okey || '_' || metric_id END AS chunk_id, page AS pdf_page, page <> 7 AS ok FROM ds)"""
@@ -218,10 +259,23 @@ it AS (SELECT *, CASE metric_id WHEN 'operating_cost' THEN 1 WHEN 'revenue' THEN
 rs AS (SELECT 'q_' || ds.fact_id AS query_id, ds.fact_id, ds.ev AS evidence_id, min(it.o)::BIGINT AS context_order, CASE WHEN min(it.o) = 1 THEN 'retrieved' ELSE 'adjacent_page' END AS origin
   FROM ds JOIN ev ON ev.evidence_id = ds.ev JOIN it ON it.report_id = ds.report_id
   WHERE ds.verified AND ev.ok AND CASE WHEN ev.chunk_id IS NOT NULL THEN ev.chunk_id = 'ck_' || it.okey || '_' || it.metric_id ELSE ev.pdf_page = it.page + it.o - 1 END GROUP BY ds.fact_id, ds.ev)"""
+CASES = FACTS + f""",
+cv AS (SELECT company_id, fiscal_year, revenue, CASE WHEN company_id % 6 = 0 THEN 0 ELSE operating_cost END::DECIMAL(20,2) AS cost, (company_id + fiscal_year) % 5 <> 0 AS verified FROM yr),
+cs AS (SELECT 'case_' || a.company_id || '_' || a.fiscal_year AS case_id, a.*, b.revenue AS before, coalesce(b.verified, FALSE) AS verified_before, a.company_id % 9 = 4 AS early, a.company_id % 11 = 10 AS unasked, a.company_id % 5 = 3 AS dangling,
+  a.company_id % 7 = 0 AND a.fiscal_year = 1995 AS lost, a.company_id % 7 = 0 AND a.fiscal_year = 1996 AS lost_before, a.company_id || '_' || a.fiscal_year AS key
+  FROM cv a LEFT JOIN cv b ON a.company_id = b.company_id AND b.fiscal_year = a.fiscal_year - 1),
+cr AS (SELECT *, {_ratio('revenue - before', 'before', 'before > 0', 100)} AS growth, {_ratio('revenue', 'cost', 'revenue >= 0 AND cost > 0')} AS ratio FROM cs),
+cf AS (SELECT *, CASE WHEN lost THEN (0, 'retrieval', 'timeout') WHEN before IS NOT NULL AND lost_before THEN (1, 'retrieval', 'timeout') WHEN before IS NULL THEN (1, 'retrieval', 'no_fact')
+  WHEN unasked AND NOT early THEN (2, 'planning', 'no_query') WHEN NOT verified OR NOT verified_before THEN (CASE WHEN early THEN 2 ELSE 3 END, 'calculation', 'input_not_verified')
+  WHEN growth IS NULL THEN (CASE WHEN early THEN 2 ELSE 3 END, 'calculation', 'guard_failed') WHEN early THEN (3, 'planning', 'unknown_reference') WHEN ratio IS NULL THEN (4, 'calculation', 'guard_failed')
+  WHEN dangling THEN (5, 'planning', 'unknown_reference') END AS f FROM cr),
+cx AS (SELECT *, f[1]::BIGINT AS failed_at, f[2] AS failure_stage, f[3] AS message FROM cf),
+stp AS (SELECT *, CASE WHEN early THEN [1, 2, 4, 5, 3, 6] ELSE [1, 2, 3, 4, 5, 6] END AS o FROM cx),
+sn AS (SELECT *, o[p + 1] AS s, p FROM stp, (SELECT unnest(range(6)) AS p))"""
 FORMULA_SQL = {
     0: ("growth", "y.revenue - p.revenue", "p.revenue", "p.revenue > 0", 100), 1: ("gross_profit_margin_formula", "y.revenue - y.operating_cost", "y.revenue", "y.revenue > 0 AND y.operating_cost >= 0", 100),
     2: ("expense_ratio", "y.operating_cost + y.tax", "y.revenue", "y.revenue > 0", 100), 3: ("cash_flow_to_net_profit", "y.operating_cost", "y.revenue", "TRUE", 1),
-    4: ("current_ratio_formula", "y.revenue", "y.operating_cost", "y.operating_cost > 0", 1), 5: ("debt_to_equity_ratio_formula", "y.operating_cost", "y.revenue", "TRUE", 1),
+    4: ("current_ratio_formula", "y.revenue", "y.operating_cost", "y.operating_cost > 0", 1), 5: ("debt_to_equity_ratio_formula", "y.operating_cost", "y.revenue", "TRUE", 1), 6: ("effective_tax_rate", "y.tax", "y.operating_cost", "TRUE", 100),
 }
 
 
@@ -231,8 +285,7 @@ def _dispatch_sql() -> str:
   (y.company_id + y.fiscal_year) % 5 = 0 {"OR (y.company_id + y.fiscal_year - 1) % 5 = 0" if k == 0 else ""} AS unsure, FALSE AS other, {_ratio(n, d, ok, times)} AS v FROM yr y LEFT JOIN yr p ON p.company_id = y.company_id AND p.fiscal_year = y.fiscal_year - 1"""
         for k, (name, n, d, ok, times) in FORMULA_SQL.items()
     )
-    return f"""WITH {FACTS}, c AS ({known} UNION ALL SELECT y.company_id || '_' || y.fiscal_year || '_6', 'effective_tax_rate', p.revenue IS NULL,
-  (y.company_id + y.fiscal_year) % 5 = 0 OR (y.company_id + y.fiscal_year - 1) % 5 = 0, TRUE, NULL FROM yr y LEFT JOIN yr p ON p.company_id = y.company_id AND p.fiscal_year = y.fiscal_year - 1),
+    return f"""WITH {FACTS}, c AS ({known}),
 s AS (SELECT calculation_id, formula_id, CASE WHEN lost THEN 'input_missing' WHEN unsure THEN 'input_not_verified' WHEN other THEN 'other_context' WHEN v IS NULL THEN 'guard_failed' ELSE 'done' END AS status, v FROM c
   UNION ALL SELECT company_id || '_' || fiscal_year || '_7', 'no_such_formula', 'unknown_formula', NULL FROM yr UNION ALL SELECT company_id || '_' || fiscal_year || '_8', 'expense_ratio', 'input_count', NULL FROM yr)
 SELECT calculation_id, formula_id, status, CASE WHEN status = 'done' THEN v END AS result_value FROM s"""
@@ -273,8 +326,20 @@ SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMA
     "q1_profit_signal": f"""WITH {FACTS}, b AS (SELECT a.company_id, a.fiscal_year, {_ratio('a.revenue - p.revenue', 'p.revenue', 'p.revenue > 0', 100)} AS up,
   {_ratio('(a.revenue - a.operating_cost) - (p.revenue - p.operating_cost)', 'p.revenue - p.operating_cost', 'p.revenue > p.operating_cost', 100)} AS down FROM yr a JOIN yr p ON a.company_id = p.company_id AND a.fiscal_year = p.fiscal_year + 1)
 SELECT company_id, fiscal_year, up, down, (up - down)::DECIMAL(38,4) AS gap, CASE WHEN up - down >= 20 THEN 'high' WHEN up - down >= 5 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE up > 0 AND down < 0""",
-    "l4_case_results": f"WITH {CASES} SELECT case_id, 4::BIGINT AS steps, CASE WHEN lost THEN 1 ELSE 4 END::BIGINT AS done, lost::BIGINT AS unresolved, CASE WHEN lost THEN 2 ELSE 0 END::BIGINT AS not_run, CASE WHEN lost THEN 1 END::BIGINT AS failed_at, CASE WHEN lost THEN 'failed' ELSE 'completed' END AS case_status FROM cs",
-    "l8_topology_violations": f"WITH {CASES} SELECT case_id, 4::BIGINT AS steps, 0::BIGINT AS violations FROM cs",
-    "l10_run_summary": f"WITH {CASES} SELECT fiscal_year, count(*) AS cases, count(*) FILTER (NOT lost) AS completed, sum(CASE WHEN lost THEN 1 ELSE 4 END)::BIGINT AS steps_done, sum(lost::INT)::BIGINT AS unresolved, sum(CASE WHEN lost THEN 2 ELSE 0 END)::BIGINT AS not_run FROM cs GROUP BY fiscal_year",
+    "l2_case_plans": f"""WITH {CASES}, q AS (SELECT *, 'fact_' || company_id || '_' || fiscal_year || '_revenue' AS r, 'fact_' || company_id || '_' || (fiscal_year - 1) || '_revenue' AS r0, 'fact_' || company_id || '_' || fiscal_year || '_operating_cost' AS c FROM sn),
+m AS (SELECT *, 'retrieval_result_q_' || r AS mr, 'retrieval_result_q_' || r0 AS m0, CASE WHEN unasked THEN c ELSE 'retrieval_result_q_' || c END AS mc FROM q)
+SELECT case_id, p AS pos, 's' || s AS step_id, CASE WHEN s <= 3 THEN 'retrieve' WHEN s <= 5 THEN 'calculate' ELSE 'answer' END AS action, CASE s WHEN 1 THEN 'q_' || r WHEN 2 THEN 'q_' || r0 WHEN 3 THEN CASE WHEN NOT unasked THEN 'q_' || c END END AS query_id,
+  CASE s WHEN 4 THEN mr || ',' || m0 WHEN 5 THEN mr || ',' || mc WHEN 6 THEN CASE WHEN dangling THEN 'growth,nothing' ELSE 'growth,ratio' END ELSE '' END AS input_refs,
+  CASE s WHEN 1 THEN mr WHEN 2 THEN m0 WHEN 3 THEN mc WHEN 4 THEN 'growth' WHEN 5 THEN 'ratio' ELSE 'answer' END AS output_ref,
+  CASE WHEN s = 3 AND unasked THEN 'no_query' WHEN s = 5 AND early THEN 'later_reference:' || mc WHEN s = 6 AND dangling THEN 'unknown_reference:nothing' END AS broken FROM m""",
+    "l4_case_results": f"""WITH {CASES} SELECT case_id, count(*) AS steps, count(*) FILTER (failed_at IS NULL OR p < failed_at) AS done, count(*) FILTER (p = failed_at) AS failed, count(*) FILTER (p > failed_at) AS not_run,
+  any_value(failed_at) AS failed_at, any_value(failure_stage) AS failure_stage, any_value(message) AS message, count(*) FILTER (s <= 3) AS planned_queries, count(*) FILTER (s <= 3 AND (failed_at IS NULL OR p <= failed_at)) AS executed_queries,
+  count(*) FILTER (s <= 3 AND (failed_at IS NULL OR p < failed_at)) AS resolved_queries, count(*) FILTER (s IN (4, 5) AND (failed_at IS NULL OR p < failed_at)) AS calculated,
+  CASE WHEN any_value(failed_at) IS NULL THEN 'calc_s4_' || any_value(key) || ',calc_s5_' || any_value(key) END AS answer_ids,
+  CASE WHEN any_value(failed_at) IS NULL THEN 'completed' ELSE 'failed' END AS case_status FROM sn GROUP BY case_id""",
+    "l4_case_calculations": f"WITH {CASES} SELECT case_id, 's' || s AS step_id, CASE s WHEN 4 THEN growth ELSE ratio END AS result_value FROM sn WHERE s IN (4, 5) AND (failed_at IS NULL OR p < failed_at)",
+    "l8_topology_violations": f"WITH {CASES} SELECT case_id, 6::BIGINT AS steps, early::BIGINT AS violations FROM cs",
+    "l10_run_summary": f"""WITH {CASES} SELECT fiscal_year::VARCHAR AS fiscal_year, count(DISTINCT case_id) AS cases, count(DISTINCT case_id) FILTER (failed_at IS NULL) AS completed, count(*) FILTER (failed_at IS NULL OR p < failed_at) AS steps_done,
+  count(*) FILTER (p = failed_at) AS failed_steps, count(*) FILTER (p > failed_at) AS not_run, count(*) FILTER (s IN (4, 5) AND (failed_at IS NULL OR p < failed_at)) AS calculated FROM sn GROUP BY 1""",
     "l5_fact_ranking": f"WITH {FACTS} SELECT fiscal_year, row_number() OVER (PARTITION BY fiscal_year ORDER BY normalized_value DESC, company_id) AS place, company_id, normalized_value FROM fa WHERE metric_id = 'revenue'",
 }
