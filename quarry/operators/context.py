@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import bigrams
+from quarry.functions.text import bigrams, citations
 from quarry.operators.fusion import lexical_score
 
 
@@ -105,8 +105,6 @@ def evidence_blocks(hits: DataFrame, chunks: DataFrame, max_hits: int = 5, max_c
 
 def citation_violations(answers: DataFrame) -> DataFrame:
     """answers(query_id, answer, declared, allowed): inline citations must be the declared ones, allowed, and at least one."""
-    from quarry.functions.text import citations
-
     inline = F.array_sort(F.array_distinct(citations(F.col("answer"))))
     rules = F.array(F.when(F.size(inline) == 0, "no_citation"), F.when(F.size(F.array_except(inline, "allowed")) > 0, "not_allowed"), F.when(inline != F.array_sort(F.array_distinct("declared")), "differs_from_declared"))
     return answers.select("query_id", F.explode(F.array_compact(rules)).alias("rule_id"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.context import budget
+
 
 def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """cases(query_id, gold array of pages), hits(query_id, rank, page) -> first_rank, recall@1/3/5, reciprocal_rank, ndcg_5.
@@ -76,3 +78,31 @@ def group_summary(rows: DataFrame, groups: list[str], outcome: str = "outcome")
     sets = [[outcome], *[[g, outcome] for g in groups]]
     cols = [F.col(c) for c in (*groups, outcome)]
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(F.count(F.lit(1)).alias("cases"), F.grouping_id().cast("int").alias("level"))
+
+
+def what_if(pool: DataFrame, strategies: dict[str, list[Column]], support: DataFrame, max_items: int = 2, max_chars: int = 1600) -> DataFrame:
+    """The same candidates under several orders, ranked and cut to the budget in one pass -> strategy, query_id, items, chars,
+    supported (whether a chosen chunk is one of the query's support).
+
+    pool(query_id, chunk_id, n_chars, and what the orders use); strategies: name -> numbers, least first, ties by chunk_id;
+    support(query_id, chunk_id). A pool row meets each strategy where it is, so there is one shuffle for all of them."""
+    orders = F.array(*[F.struct(F.lit(name).alias("strategy"), F.array(*[c.cast("double") for c in order]).alias("key")) for name, order in strategies.items()])
+    rows = pool.select("query_id", "chunk_id", "n_chars", F.explode(orders).alias("o"))
+    rows = rows.select(F.struct("o.strategy", "query_id").alias("query_id"), "chunk_id", "n_chars", F.col("o.key").alias("key"))
+    ranked = rows.withColumn("selection_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("key", "chunk_id")))
+    decided = budget(ranked, max_items, max_chars).select("query_id.strategy", "query_id.query_id", "chunk_id", "n_chars", (F.col("decision") == "selected").alias("took"))
+    held = support.select("query_id", "chunk_id", F.lit(True).alias("held")).distinct()
+    both = decided.join(held, ["query_id", "chunk_id"], "left")
+    took = F.col("took")
+    return both.groupBy("strategy", "query_id").agg(F.count_if(took).alias("items"), F.coalesce(F.sum(F.when(took, F.col("n_chars"))), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.bool_or(took & F.col("held")), F.lit(False)).alias("supported"))
+
+
+def what_if_changes(outcomes: DataFrame, baseline: str) -> DataFrame:
+    """what_if() against one of its strategies: queries recovered, regressed, supported by both or neither, by strategy and
+    over all of them, with the characters chosen."""
+    base = outcomes.filter(F.col("strategy") == baseline).select("query_id", F.col("supported").alias("was"))
+    both = outcomes.filter(F.col("strategy") != baseline).join(base, "query_id", "left").withColumn("was", F.coalesce("was", F.lit(False)))
+    change = F.when(F.col("supported") & ~F.col("was"), "recovered").when(~F.col("supported") & F.col("was"), "regressed").when(F.col("was"), "both").otherwise("neither")
+    rows = both.withColumn("change", change)
+    sets = [[F.col("strategy"), F.col("change")], [F.col("strategy")], [F.col("change")]]
+    return rows.groupingSets(sets, "strategy", "change").agg(F.count(F.lit(1)).alias("queries"), F.sum("chars").alias("chars"), F.grouping_id().cast("long").alias("level"))

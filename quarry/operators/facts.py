@@ -32,9 +32,9 @@ def facts_of(lineitem: DataFrame, orders: DataFrame, supplier: DataFrame, part:
     return year.select("company_id", "fiscal_year", "line", stacked).withColumn("fact_id", F.format_string("fact_%d_%d_%s", "company_id", "fiscal_year", "metric_id"))
 
 
-def wide(facts: DataFrame) -> DataFrame:
+def wide(facts: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """One row per company and year with a column for each metric."""
-    return facts.groupBy("company_id", "fiscal_year").pivot("metric_id", list(METRICS)).agg(F.first("normalized_value"))
+    return facts.groupBy("company_id", "fiscal_year").pivot("metric_id", list(metrics)).agg(F.first("normalized_value"))
 
 
 def ratio(n: Column, d: Column, ok: Column, times: int = 1) -> Column:
@@ -190,10 +190,11 @@ def disputed(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.countDistinct(value).alias("n_values")).filter("n_values > 1")
 
 
-def contract_violations(facts: DataFrame, years: tuple[int, int] = (1990, 2100)) -> DataFrame:
-    """One row for each rule that a fact breaks; years is the range of fiscal years that the dataset promises."""
+def contract_violations(facts: DataFrame, years: tuple[int, int] = (1990, 2100), metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row for each rule that a fact breaks: what the dataset promises of its fiscal years and metrics. The contract of a
+    fact by itself is integrity.FACT_RULES."""
     rules = F.array(
-        F.when(F.col("normalized_value").isNull(), "value_missing"), F.when(~F.col("metric_id").isin(*METRICS), "metric_unknown"),
+        F.when(F.col("normalized_value").isNull(), "value_missing"), F.when(~F.col("metric_id").isin(*metrics), "metric_unknown"),
         F.when((F.col("metric_id") == "revenue") & (F.col("normalized_value") < 0), "revenue_negative"),
         F.when(~F.col("fiscal_year").between(*years), "year_out_of_range"),
         F.when(F.col("fact_id") != F.format_string("fact_%d_%d_%s", "company_id", "fiscal_year", "metric_id"), "id_differs"),

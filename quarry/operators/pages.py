@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.ranking import numbered
 from quarry.functions.text import normalize_page_text
 
+#: Fixed value: an error's message is kept up to this many characters.
+ERROR_CHARS = 1000
+COUNTERS = ("text_block_count", "image_block_count", "embedded_image_count")
 CONTENT_TYPES = ("text", "mixed", "scanned", "empty")
 
 
@@ -96,3 +102,35 @@ def mapping_hash(segments: DataFrame) -> DataFrame:
     """SHA-256 of each report's mapping, the same in any row order. A report has a handful of segments."""
     fields = F.struct("pdf_page_start", "pdf_page_end", "mapping_id", "rule_type", "printed_page_start", "offset")
     return segments.groupBy("report_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(fields)), {"ignoreNullFields": "false"}), 256).alias("mapping_sha256"))
+
+
+def extract(rows: DataFrame, payload: str, extractor: Callable[[object], dict], keep: list[str]) -> DataFrame:
+    """One record for each row, whatever its extractor does: keep, parse_status, content_type, raw_text, normalized_text, their
+    counts, COUNTERS, max_image_area_ratio, parse_error.
+
+    extractor(payload) gives a dict of text, COUNTERS and max_image_area_ratio; what it leaves out is empty or zero. An
+    error of the extractor, or a result that is no such dict, concerns its row alone: status parse_error, type unknown, no
+    text, zero counters, and a message of its kind and text cut to ERROR_CHARS. No task fails by it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for value in f[payload]:
+                try:
+                    made = extractor(value)
+                    row = ("" if made.get("text") is None else str(made["text"]), *(int(made.get(c) or 0) for c in COUNTERS), float(made.get("max_image_area_ratio") or 0.0), None)
+                except Exception as e:  # whatever it is, the other rows go on
+                    row = ("", *(0 for _ in COUNTERS), 0.0, f"{type(e).__name__}: {e}"[:ERROR_CHARS])
+                found.append(row)
+            extra = pd.DataFrame(found, columns=["raw_text", *COUNTERS, "max_image_area_ratio", "parse_error"], index=f.index)
+            yield pd.concat([f[keep], extra], axis=1)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    schema += ", raw_text string, " + ", ".join(f"{c} long" for c in COUNTERS) + ", max_image_area_ratio double, parse_error string"
+    made = rows.select(*{*keep, payload}).mapInPandas(run, schema)
+    failed = F.col("parse_error").isNotNull()
+    made = made.withColumn("normalized_text", normalize_page_text(F.col("raw_text"))).withColumn("parse_status", F.when(failed, "parse_error").otherwise("success"))
+    imaged = F.greatest(F.col("max_image_area_ratio"), F.when((F.col("image_block_count") > 0) | (F.col("embedded_image_count") > 0), F.lit(1e-9)).otherwise(F.lit(0.0)))
+    kind = F.when(failed, "unknown").otherwise(content_class(F.col("normalized_text"), imaged))
+    counts = [F.length(c).cast("long").alias(n) for c, n in (("raw_text", "raw_char_count"), ("normalized_text", "normalized_char_count"))]
+    return made.select(*keep, "parse_status", kind.alias("content_type"), "raw_text", "normalized_text", *counts, *COUNTERS, "max_image_area_ratio", "parse_error")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.ranking import top_k
@@ -12,21 +12,33 @@ from quarry.functions.ranking import top_k
 BLOCK_ROWS = 4096
 
 
-def violations(vectors: DataFrame, size: int, unit: bool = False, tolerance: float = 1e-5) -> DataFrame:
-    """vectors(id, embedding) that can't be searched: wrong length, not finite, zero norm; with unit, also a norm that is
-    not one."""
+def _rule(size: int, unit: bool = False, tolerance: float = 1e-5) -> Column:
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rule = F.when(F.col("embedding").isNull() | (F.size("embedding") != size), "length").when(odd, "not_finite").when(norm == 0, "zero_norm")
     if unit:
         rule = rule.when(F.abs(F.sqrt(norm) - 1) > tolerance, "not_unit_norm")
-    return vectors.select("id", rule.alias("rule_id")).filter("rule_id is not null")
+    return rule
+
+
+def violations(vectors: DataFrame, size: int, unit: bool = False, tolerance: float = 1e-5) -> DataFrame:
+    """vectors(id, embedding) that can't be searched: wrong length, not finite, zero norm; with unit, also a norm that is
+    not one."""
+    return vectors.select("id", _rule(size, unit, tolerance).alias("rule_id")).filter("rule_id is not null")
+
+
+def usable(vectors: DataFrame, size: int) -> DataFrame:
+    """The rows that a search takes."""
+    return vectors.filter(_rule(size).isNull())
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, skip_self: bool = True) -> DataFrame:
     """vectors(id, embedding), queries(query_id, embedding) -> query_id, rank, id, score: exact, scores in double rounded to
     9 places and clipped to [-1, 1], ties by id. Every block of queries meets every block of vectors once; a task
-    returns its block's k best per query."""
+    returns its block's k best per query. Rows that violations() names for the longest query's size (null, of another
+    length, not finite, zero) take no part on either side."""
+    size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
+    vectors, queries = usable(vectors, size), usable(queries, size)
     total = vectors.count(), queries.count()
     vb, qb = (max(1, -(-n // BLOCK_ROWS)) for n in total)
     v = vectors.select(F.col("id"), "embedding", F.pmod(F.xxhash64("id"), F.lit(vb)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))

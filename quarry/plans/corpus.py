@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, filters, pages
+from quarry.operators import chunking, derivation, filters, pages
 from quarry.sources.datasets import checksum
 from quarry.sources.tables import table
 
@@ -65,6 +67,38 @@ def p11_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.summary(page_table(spark, sf_dir)).withColumn("last_page", F.col("last_page").cast("long"))
 
 
+def _paragraphs(page: str | None) -> dict:
+    """A plain extractor of web pages: its paragraphs of text alone; a page without an article is an error."""
+    if page is None or "<article" not in page:
+        raise ValueError(f"no article in a page of {len(page or '')} characters {page}")
+    return {"text": "\n".join(re.findall("<p>([^<]*)</p>", page)), "text_block_count": page.count("<p"), "image_block_count": page.count("<img")}
+
+
+def p5_page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, of which every ninth has lost its article, and every fortieth its text."""
+    html = F.when(F.pmod("page_id", F.lit(9)) == 0, F.replace("html", F.lit("<article"), F.lit("<x"))).when(F.pmod("page_id", F.lit(40)) == 1, F.lit(None).cast("string")).otherwise(F.col("html"))
+    out = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), "html", _paragraphs, ["page_id", "url"])
+    return out.select("page_id", "url", "parse_status", "content_type", F.sha2("normalized_text", 256).alias("text_sha256"), "raw_char_count", "normalized_char_count", *pages.COUNTERS, "parse_error")
+
+
+def k14_facts_from_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document a claim on its first chunk: a label and a value out of the text. Every seventh value is not there,
+    every eleventh label neither, every thirteenth chunk, and units of every seventeenth are unknown; documents of one
+    source and place in 50 claim the same fact."""
+    c = chunk_table(spark, sf_dir)
+    own = c.select("chunk_id", F.lit("c").alias("company_id"), "report_id", F.col("doc_id").cast("string").alias("document_id"), "pdf_page", "text", "doc_id", "chunk_index")
+    every = lambda n: F.pmod("doc_id", F.lit(n)) == 0
+    specs = own.filter("chunk_index = 0").select(
+        F.when(every(13), F.concat("chunk_id", F.lit("x"))).otherwise(F.col("chunk_id")).alias("chunk_id"), F.concat_ws("_", "report_id", F.pmod("doc_id", F.lit(50))).alias("metric_id"), F.lit(2024).alias("fiscal_year"), F.lit("note").alias("statement_type"),
+        F.lit("consolidated").alias("statement_scope"), F.when(every(11), F.lit("no such label")).otherwise(F.substring("text", 3, 9)).alias("row_label"), F.lit("2024").alias("column_label"), F.when(every(7), F.lit("no such value")).otherwise(F.substring("text", 12, 5)).alias("cell_value"),
+        (F.col("doc_id") / 4).cast("decimal(20,2)").alias("raw_value"), F.when(every(17), F.lit("USD")).otherwise(F.lit("CNY_thousand")).alias("raw_unit"),
+    )
+    facts, evidences, links, bad = derivation.from_specs(specs, own)
+    joined = facts.join(links, "fact_id").join(evidences.select("evidence_id", "source_hash", "document_id"), "evidence_id")
+    good = joined.select("metric_id", F.col("document_id").alias("claim"), F.col("normalized_value"), "source_hash", F.lit(None).cast("string").alias("rule_id"))
+    return good.unionByName(bad.select("metric_id", F.col("chunk_id").alias("claim"), F.lit(None).cast("decimal(38,4)").alias("normalized_value"), F.lit(None).cast("string").alias("source_hash"), "rule_id"))
+
+
 def c1_fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunk_table(spark, sf_dir)
     return c.select("chunk_id", "doc_id", *[F.col(x).cast("long").alias(x) for x in ("chunk_index", "start_char", "end_char")], F.sha2("text", 256).alias("text_sha256"))
@@ -120,7 +154,7 @@ def f2_filter_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_page_normalize, p6_page_mapping, p8_mapping_audit, p9_segment_violations, p11_page_summary, c1_fixed_chunks, c2_paragraph_spans, c3_paragraph_chunks, c6_section_chunks, c11_chunk_summary, f2_filter_matches, t_text_features, s9_dataset_checksum)}
+QUERIES = {f.__name__: f for f in (p1_page_normalize, p6_page_mapping, p8_mapping_audit, p9_segment_violations, p11_page_summary, p5_page_records, k14_facts_from_specs, c1_fixed_chunks, c2_paragraph_spans, c3_paragraph_chunks, c6_section_chunks, c11_chunk_summary, f2_filter_matches, t_text_features, s9_dataset_checksum)}
 
 PACKED = """
 s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pg),
@@ -132,6 +166,20 @@ ch AS (SELECT nx.doc_id, nx.k, nx.j, m FROM nx JOIN la USING (doc_id) WHERE nx.k
 cs AS (SELECT ch.doc_id, ch.k, ch.j, x.a, y.z FROM ch JOIN sp x ON x.doc_id = ch.doc_id AND x.k = ch.k JOIN sp y ON y.doc_id = ch.doc_id AND y.k = ch.j),
 w AS (SELECT *, unnest(CASE WHEN z - a > 800 THEN range(a, greatest(a + 1, z - 120), 680) ELSE [a] END) AS st FROM cs)"""
 ORACLES = {
+    "p5_page_records": r"""WITH h AS (SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN replace(html, '<article', '<x') WHEN page_id % 40 = 1 THEN NULL ELSE html END AS html FROM pages),
+x AS (SELECT *, html IS NULL OR NOT contains(html, '<article') AS bad, array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10)) AS raw FROM h),
+n AS (SELECT *, CASE WHEN bad THEN '' ELSE raw END AS t, CASE WHEN bad THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, chr(0), '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') END AS norm,
+  CASE WHEN bad THEN 0 ELSE len(regexp_extract_all(html, '<p')) END AS tb, CASE WHEN bad THEN 0 ELSE len(regexp_extract_all(html, '<img')) END AS ib FROM x)
+SELECT page_id, url, CASE WHEN bad THEN 'parse_error' ELSE 'success' END AS parse_status, CASE WHEN bad THEN 'unknown' WHEN norm <> '' THEN 'text' WHEN ib > 0 THEN 'scanned' ELSE 'empty' END AS content_type, sha256(norm) AS text_sha256,
+  length(t) AS raw_char_count, length(norm) AS normalized_char_count, tb AS text_block_count, ib AS image_block_count, 0::BIGINT AS embedded_image_count,
+  CASE WHEN bad THEN substr('ValueError: no article in a page of ' || coalesce(length(html), 0) || ' characters ' || coalesce(html, 'None'), 1, 1000) END AS parse_error FROM n""",
+    "k14_facts_from_specs": f"""WITH {CHUNKS_SQL},
+s AS (SELECT doc_id, text, CASE WHEN doc_id % 13 = 0 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id, report_id || '_' || (doc_id % 50) AS metric_id, CASE WHEN doc_id % 11 = 0 THEN 'no such label' ELSE substr(text, 3, 9) END AS label,
+  CASE WHEN doc_id % 7 = 0 THEN 'no such value' ELSE substr(text, 12, 5) END AS value FROM ck WHERE chunk_index = 0),
+j AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'unknown_chunk' WHEN trim(label, ' ') = '' OR NOT contains(text, label) THEN 'row_label_missing' WHEN trim(value, ' ') = '' OR NOT contains(text, value) THEN 'cell_value_missing' WHEN doc_id % 17 = 0 THEN 'unknown_unit' END AS rule_id FROM s),
+g AS (SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY label, value, chunk_id) AS n FROM j WHERE rule_id IS NULL)
+SELECT metric_id, doc_id::VARCHAR AS claim, ((doc_id / 4.0)::DECIMAL(20,2) * 1000)::DECIMAL(38,4) AS normalized_value, sha256(text) AS source_hash, NULL AS rule_id FROM g WHERE n = 1
+UNION ALL SELECT metric_id, chunk_id, NULL, NULL, 'repeated_fact' FROM g WHERE n > 1 UNION ALL SELECT metric_id, chunk_id, NULL, NULL, rule_id FROM j WHERE rule_id IS NOT NULL""",
     "p1_page_normalize": f"WITH {PAGES_SQL} SELECT doc_id, report_id, pdf_page, length(text) AS chars, sha256(text) AS text_sha256, CASE WHEN text <> '' THEN 'text' ELSE 'empty' END AS content_type FROM pg",
     "p6_page_mapping": f"WITH {PAGES_SQL}, {SEGMENTS_SQL} SELECT * FROM res",
     "p8_mapping_audit": f"""WITH {PAGES_SQL}, {SEGMENTS_SQL}, g AS (SELECT report_id, printed_page, count(*) AS n, count(mapping_id) AS m FROM res GROUP BY ALL)

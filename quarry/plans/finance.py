@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import contracts, filters
+from quarry.operators import contracts, filters, integrity
 from quarry.operators import facts as f
 from quarry.operators import questions
 from quarry.sources.tables import table
@@ -92,6 +92,29 @@ def k9_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.contract_violations(fact_table(spark, sf_dir), (1993, 1996)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
+def s5_dimension_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches of contracts, keys and references in dimensions made of the facts, by table and rule. Planted: company 24 and
+    the metric tax are not listed, reports of companies of rest 5 by 8 have another year, revenues of 1997 another
+    multiplier, every third company no currency, evidence of lines 7 is lost, companies below 2 are listed twice."""
+    facts = described(fact_table(spark, sf_dir))
+    text, line, year = F.col("company_id").cast("string"), F.col("line.l_linenumber"), F.col("fiscal_year").cast("int")
+    off = (F.col("metric_id") == "revenue") & (year == 1997)
+    tables = {
+        "companies": facts.select(text.alias("company_id")).distinct().filter("company_id <> '24'").select("company_id", F.explode(F.when(F.col("company_id").cast("int") < 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("col"),
+        "reports": facts.select("report_id", text.alias("company_id"), (year + F.when(F.col("company_id") % 8 == 5, 1).otherwise(0)).alias("fiscal_year")).distinct().withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "updated_at")}),
+        "metrics": facts.select("metric_id").distinct().filter("metric_id <> 'tax'").select("metric_id", F.lit("duration").alias("period_type"), F.lit("CNY").alias("default_unit"), F.array(F.lit("consolidated")).alias("allowed_scopes")),
+        "facts": facts.select(
+            "fact_id", text.alias("company_id"), "report_id", "metric_id", year.alias("fiscal_year"), "statement_type", "statement_scope", F.lit("duration").alias("period_type"), F.make_date(year, F.lit(1), F.lit(1)).alias("period_start"),
+            F.make_date(year, F.lit(12), F.lit(31)).alias("period_end"), F.lit(None).cast("date").alias("as_of_date"), F.col("normalized_value").cast("decimal(30,4)").alias("raw_value"), F.when(off, F.lit(1000)).otherwise(F.lit(1)).alias("unit_multiplier"),
+            "normalized_value", F.lit("CNY").alias("raw_unit"), F.lit("CNY").alias("normalized_unit"), F.when(F.col("company_id") % 3 != 0, "CNY").alias("currency"), F.lit(False).alias("is_comparative_value"), F.lit("not_applicable").alias("restatement_status"),
+            "primary_evidence_id", "validation_status", F.when(line != 5, "reader").alias("validated_by"), *[F.lit("2024-01-01").cast("timestamp").alias(c) for c in ("validated_at", "created_at", "updated_at")],
+        ),
+        "evidences": facts.filter(line != 7).select(F.col("primary_evidence_id").alias("evidence_id"), "report_id"),
+        "links": facts.select("fact_id", F.col("primary_evidence_id").alias("evidence_id")),
+    }
+    return integrity.dimension_violations(tables).groupBy("table", "rule_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def k5_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = described(fact_table(spark, sf_dir))
     return contracts.size_report({"fact": facts, "evidence": evidence_of(facts), "company": facts.select("company_id").distinct(), "report": facts.select("report_id").distinct()}, {"company": 6, "report": 12, "fact": 1, "evidence": 1_000_000_000})
@@ -200,6 +223,27 @@ def executed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.run_cases(questions.plans(cases_of(facts)), traces, facts.select("fact_id", "company_id", "fiscal_year", "statement_scope", "normalized_value", "verified"))
 
 
+def l11_case_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaches between cases, facts, evidence, links and orders, by rule: every reference of a kind leaves its table in one
+    pass and meets its parent in one join. Planted beside those of cases_of(): evidence of order lines 7 is lost."""
+    facts, cases = case_facts(spark, sf_dir), cases_of(case_facts(spark, sf_dir))
+    evidences = facts.filter(F.col("line.l_linenumber") != 7).select(F.col("primary_evidence_id").alias("evidence_id"), "report_id", F.col("line.l_orderkey").alias("order"))
+    tables = {"cases": cases, "facts": facts, "evidences": evidences, "orders": table(spark, sf_dir, "orders"), "links": facts.select("fact_id", F.col("primary_evidence_id").alias("evidence_id"))}
+    references = [
+        integrity.Reference("target_fact", "cases", "transform(queries, q -> q.target_fact_id)", "facts", "fact_id", many=True),
+        integrity.Reference("step_fact", "cases", "flatten(transform(steps, s -> s.target_fact_ids))", "facts", "fact_id", many=True),
+        integrity.Reference("company", "cases", "queries[0].target_fact_id", "facts", "fact_id", {"company_id": "split_part(case_id, '_', 2)"}),
+        integrity.Reference("primary_evidence", "facts", "primary_evidence_id", "evidences", "evidence_id", {"report_id": "report_id"}),
+        integrity.Reference("link_evidence", "links", "evidence_id", "evidences", "evidence_id"), integrity.Reference("link_fact", "links", "fact_id", "facts", "fact_id"),
+        integrity.Reference("order", "evidences", "order", "orders", "o_orderkey"),
+    ]
+    rows = {"cases": {"query_without_step": "size(array_except(transform(queries, q -> q.target_fact_id), flatten(transform(steps, s -> s.target_fact_ids)))) > 0",
+                      "step_without_query": "size(array_except(flatten(transform(steps, s -> s.target_fact_ids)), transform(queries, q -> q.target_fact_id))) > 0",
+                      "depends_on_nothing": "size(array_except(flatten(transform(steps, s -> s.input_refs)), transform(steps, s -> s.output_ref))) > 0"}}
+    found = integrity.check(tables, {"cases": "case_id", "facts": "fact_id", "evidences": "evidence_id", "links": "concat_ws('/', fact_id, evidence_id)"}, rows, references, {"cases": "case_id"})
+    return found.groupBy("table", "rule_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("entity_id").alias("entities"))
+
+
 def l2_case_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of every case with its references rewritten, and the rule that one of them breaks."""
     made = questions.plans(cases_of(case_facts(spark, sf_dir)))
@@ -232,7 +276,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l2_case_plans, l4_case_results, l4_case_calculations, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, s5_dimension_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l11_case_integrity, l2_case_plans, l4_case_results, l4_case_calculations, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -292,6 +336,11 @@ SELECT calculation_id, formula_id, status, CASE WHEN status = 'done' THEN v END
 
 
 ORACLES = {
+    "s5_dimension_violations": f"""WITH {DESCRIBED}, r AS (SELECT DISTINCT company_id, fiscal_year FROM ds),
+v AS (SELECT 'companies' AS t, unnest(['repeated_key', 'repeated_key']) AS rule_id, TRUE AS ok UNION ALL SELECT 'reports', unnest(['id_differs', 'company_unknown']), unnest([company_id % 8 = 5, company_id = 24]) FROM r
+  UNION ALL SELECT 'links', 'evidence_unknown', page = 7 FROM ds UNION ALL SELECT 'facts', unnest(['company_unknown', 'metric_unknown', 'scope_not_allowed', 'multiplier_differs', 'value_differs', 'currency_missing', 'verified_by_nobody', 'primary_evidence_unknown']),
+    unnest([company_id = 24, metric_id = 'tax', metric_id <> 'tax' AND company_id % 2 = 1, metric_id = 'revenue' AND fiscal_year = 1997, metric_id = 'revenue' AND fiscal_year = 1997 AND normalized_value <> 0, company_id % 3 = 0, verified AND page = 5, page = 7]) FROM ds)
+SELECT t AS "table", rule_id, count(*) AS rows FROM v WHERE ok GROUP BY ALL""",
     "k5_size_report": f"""WITH {DESCRIBED}, n AS (SELECT 'fact' AS object, count(*) AS rows, count(*) FILTER (verified) AS verified, 1::BIGINT AS least FROM ds UNION ALL SELECT 'evidence', count(*), count(*) FILTER (ok), 1000000000 FROM ev
   UNION ALL SELECT 'company', count(DISTINCT company_id), NULL, 6 FROM ds UNION ALL SELECT 'report', count(DISTINCT report_id), NULL, 12 FROM ds) SELECT *, rows >= least AS enough FROM n""",
     "k11_evidence_contracts": f"""WITH {DESCRIBED}, r AS (SELECT unnest([CASE WHEN page = 4 THEN 'attribution_without_statement' END, CASE WHEN page = 3 THEN 'unknown_scope' END, CASE WHEN metric_id <> 'tax' AND page = 6 THEN 'table_without_row_label' END,
@@ -326,6 +375,10 @@ SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMA
     "q1_profit_signal": f"""WITH {FACTS}, b AS (SELECT a.company_id, a.fiscal_year, {_ratio('a.revenue - p.revenue', 'p.revenue', 'p.revenue > 0', 100)} AS up,
   {_ratio('(a.revenue - a.operating_cost) - (p.revenue - p.operating_cost)', 'p.revenue - p.operating_cost', 'p.revenue > p.operating_cost', 100)} AS down FROM yr a JOIN yr p ON a.company_id = p.company_id AND a.fiscal_year = p.fiscal_year + 1)
 SELECT company_id, fiscal_year, up, down, (up - down)::DECIMAL(38,4) AS gap, CASE WHEN up - down >= 20 THEN 'high' WHEN up - down >= 5 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE up > 0 AND down < 0""",
+    "l11_case_integrity": f"""WITH {CASES}, lost AS (SELECT fact_id FROM (SELECT *, line[2] AS page FROM fa) WHERE page = 7),
+v AS (SELECT 'cases' AS t, r AS rule_id, case_id AS e FROM cs, (VALUES ('target_fact_unknown'), ('step_fact_unknown')) x(r) WHERE before IS NULL UNION ALL SELECT 'cases', 'step_without_query', case_id FROM cs WHERE unasked
+  UNION ALL SELECT 'cases', 'depends_on_nothing', case_id FROM cs WHERE dangling UNION ALL SELECT 'facts', 'primary_evidence_unknown', fact_id FROM lost UNION ALL SELECT 'links', 'link_evidence_unknown', fact_id FROM lost)
+SELECT t AS "table", rule_id, count(*) AS rows, count(DISTINCT e) AS entities FROM v GROUP BY ALL""",
     "l2_case_plans": f"""WITH {CASES}, q AS (SELECT *, 'fact_' || company_id || '_' || fiscal_year || '_revenue' AS r, 'fact_' || company_id || '_' || (fiscal_year - 1) || '_revenue' AS r0, 'fact_' || company_id || '_' || fiscal_year || '_operating_cost' AS c FROM sn),
 m AS (SELECT *, 'retrieval_result_q_' || r AS mr, 'retrieval_result_q_' || r0 AS m0, CASE WHEN unasked THEN c ELSE 'retrieval_result_q_' || c END AS mc FROM q)
 SELECT case_id, p AS pos, 's' || s AS step_id, CASE WHEN s <= 3 THEN 'retrieve' WHEN s <= 5 THEN 'calculate' ELSE 'answer' END AS action, CASE s WHEN 1 THEN 'q_' || r WHEN 2 THEN 'q_' || r0 WHEN 3 THEN CASE WHEN NOT unasked THEN 'q_' || c END END AS query_id,

@@ -238,7 +238,18 @@ def n12_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.retrieval_summary(traced(spark, sf_dir), ["strategy"])
 
 
-QUERIES = {f.__name__: f for f in (r6_routed_search, l3_traces, n12_run_summary, b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
+def d4_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates beside the hits under three orders, and what each recovers or loses against the first."""
+    chunks = chunks_of(spark, sf_dir)
+    pool = context.expand(bm25(spark, sf_dir), chunks).join(chunks.select("chunk_id", "doc_id", "chunk_index", "text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id")
+    scored = materialize(context.rank_candidates(pool).select("query_id", "chunk_id", "doc_id", "s", "anchor_rank", "page_distance", "chunk_index", F.length("text").alias("n_chars")))
+    held = scored.select("query_id", "chunk_id", "doc_id").join(gold(spark, sf_dir), ["query_id", "doc_id"], "left_semi")
+    near = [F.col("anchor_rank"), F.abs("page_distance"), F.col("chunk_index")]
+    strategies = {"lexical": [-F.col("s.tokens"), -F.col("s.pairs"), -F.col("s.recall"), *near], "nearest": near, "shortest": [F.col("n_chars"), *near]}
+    return evaluation.what_if_changes(evaluation.what_if(scored, strategies, held), "lexical")
+
+
+QUERIES = {f.__name__: f for f in (d4_what_if, r6_routed_search, l3_traces, n12_run_summary, b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 
 
@@ -339,6 +350,16 @@ tr AS (SELECT query_id, strategy, CASE WHEN status = 'ok' THEN 'completed' ELSE
 
 
 ORACLES = {
+    "d4_what_if": f"""WITH RECURSIVE {_bm25_sql(5)}{GOLD}, {EXPAND}, {RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, ck.doc_id, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")},
+o AS (SELECT query_id, chunk_id, length(text) AS n_chars, strategy, EXISTS (SELECT 1 FROM gold g WHERE g.query_id = sc4.query_id AND g.doc_id = sc4.doc_id) AS held,
+  row_number() OVER (PARTITION BY strategy, query_id ORDER BY CASE strategy WHEN 'lexical' THEN -tokens WHEN 'shortest' THEN length(text) END, CASE strategy WHEN 'lexical' THEN -pairs END, CASE strategy WHEN 'lexical' THEN -recall END, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr
+  FROM sc4, (VALUES ('lexical'), ('nearest'), ('shortest')) v(strategy)),
+fold AS (SELECT strategy, query_id, 0::BIGINT AS sr, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, FALSE AS hit FROM (SELECT DISTINCT strategy, query_id FROM o)
+  UNION ALL SELECT c.strategy, c.query_id, c.sr, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END, hit OR (items < 2 AND c.n_chars <= room AND held)
+  FROM fold f JOIN o c ON c.strategy = f.strategy AND c.query_id = f.query_id AND c.sr = f.sr + 1),
+w AS (SELECT strategy, query_id, bool_or(hit) AS ok, 1600 - min(room) AS chars FROM fold GROUP BY ALL),
+z AS (SELECT a.strategy, a.query_id, a.chars, CASE WHEN a.ok AND NOT b.ok THEN 'recovered' WHEN NOT a.ok AND b.ok THEN 'regressed' WHEN a.ok THEN 'both' ELSE 'neither' END AS change FROM w a JOIN w b ON b.strategy = 'lexical' AND b.query_id = a.query_id WHERE a.strategy <> 'lexical')
+SELECT strategy, change, count(*) AS queries, sum(chars)::BIGINT AS chars, grouping(strategy, change)::BIGINT AS level FROM z GROUP BY GROUPING SETS ((strategy, change), (strategy), (change))""",
     "r6_routed_search": f"WITH {_routed_sql()} SELECT st6.query_id, status, rank, chunk_id, rrf_rank FROM st6 LEFT JOIN bm USING (query_id)",
     "l3_traces": f"WITH RECURSIVE {_traces_sql()} SELECT * EXCLUDE (chunks6) FROM tr",
     "n12_run_summary": f"""WITH RECURSIVE {_traces_sql()} SELECT strategy, count(*) AS queries, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed' AND stage <> 'unresolved') AS resolved,

@@ -186,6 +186,15 @@ def test_search_reads_the_folders_it_needs(spark, tmp_path, monkeypatch):
     assert text.index("RepartitionByExpression") < text.index("LeftSemi")  # deals out what the term filter leaves
 
 
+def test_vectors_that_cannot_be_searched_take_no_part(spark):
+    bad = [(90, None), (91, [1.0]), (92, [0.0, 0.0]), (93, [float("nan"), 1.0]), (94, [None, 1.0]), (95, [])]
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), *bad], "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (7, None), (8, [0.0, 0.0])], "query_id long, embedding array<float>")
+    assert [(r.query_id, r["rank"], r.id) for r in vectors.cosine_top_k(v, q, 3).orderBy("query_id", "rank").collect()] == [(1, 1, 3), (1, 2, 2)]
+    assert {r.id for r in vectors.violations(v, 2).collect()} == {i for i, _ in bad}
+    assert vectors.cosine_top_k(v, q.filter("query_id = 7"), 3).count() == 0
+
+
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
     rows = [(i, [float(math.cos(i)), float(math.sin(i))]) for i in range(40)]
