@@ -10,8 +10,13 @@ the weights of the others scaled up: no document is dropped or repeated.
 A source's documents are numbered in the order of a hash of doc_id, by running sums over buckets of that hash,
 so a hot source is spread over many tasks. Null sources form a source of their own (null). Ties and repeated
 rows take places of their own; empty tables give no rows. Further columns are kept; columns that the mix adds
-(mix_slot, mix_block, mix_phase, mix_rank) replace columns of the same names. The source list is metadata: it
-is held on the driver and grows with the number of sources, not of rows.
+(mix_slot, mix_block, mix_phase, mix_rank) replace columns of the same names.
+
+The schedule is made on the driver for a bounded number of lines: a source each up to OWN sources. Where there are
+more, the OWN largest (and all that targets name) keep lines of their own, and the others share one line for each
+class of size (powers of two) and eighth of their hash, which weighs what its members weigh together. A shared line is
+scheduled like a source, within less than one block; inside it blocks stand in the order of their members' own times
+((k + 1/2) / weight, in sixteenths), numbered by running sums on the cluster.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import partitions, read
 
 BLOCK, PERIOD, TEMPERATURE = 8, 1000, 0.5
+#: Sources with a line of their own where there are more, lines for a class of size, parts of a unit of time.
+OWN, LINES, TICKS = 256, 8, 16
 
 
 def pattern(parts: dict[str, int]) -> dict[str, list[int]]:
@@ -69,6 +76,26 @@ def phases(blocks: dict[str, int], parts: dict[str, int]) -> list[tuple[str, int
     return out
 
 
+def _shared(sources: DataFrame, own: list[str], targets: dict[str, float] | None, block: int, temperature: float) -> DataFrame:
+    """sources(_source, n) without lines of their own -> _source, _line, _blocks, _weight."""
+    rest = sources.filter(~F.col("_source").isin(own))
+    weight = F.pow("n", F.lit(temperature)) if targets is None else F.lit(float(min(targets.values())))
+    line = F.format_string("*%d_%d", F.floor(F.log2("n")), F.pmod(F.xxhash64("_source"), F.lit(LINES)))
+    return rest.select("_source", line.alias("_line"), F.ceil(F.col("n") / block).alias("_blocks"), weight.alias("_weight"))
+
+
+def _numbered(shared: DataFrame) -> DataFrame:
+    """The blocks of sources that share a line: _source, mix_block, _line, _k (place in the line)."""
+    blocks = shared.select("_source", "_line", "_weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("mix_block"), F.xxhash64("_source").alias("_s"))
+    cell = ["_line", "_tick", "_part"]
+    blocks = blocks.withColumn("_tick", F.floor((F.col("mix_block") + 0.5) / F.col("_weight") * TICKS)).withColumn("_part", F.shiftright("_s", 58))
+    counts = blocks.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_line").orderBy("_tick", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy(*cell).orderBy("_s", "_source", "mix_block")) - 1
+    return blocks.withColumn("_i", inside).join(counts, cell).select("_source", "mix_block", "_line", (F.col("_first") + F.col("_i")).alias("_k"))
+
+
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
     """docs(doc_id, source, ...) plus mix_block (in its source), mix_phase, mix_slot (global) and mix_rank (in its block).
 
@@ -81,27 +108,44 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block: int = B
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), h.alias("_h"))
     rows = rows.withColumn("_bucket", F.pmod("_h", F.lit(4 * partitions(spark))).cast("int"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = {r["_source"]: r["n"] for r in counts.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}  # a row per source
+    sources = counts.groupBy("_source").agg(F.sum("_n").alias("n"))
+    largest = sources.orderBy(F.desc("n"), "_source").limit(OWN + 1).collect()
+    if len(largest) > OWN:  # those with lines of their own: as many as OWN, and those that targets name
+        named = sources.filter(F.substring("_source", 2, 1 << 30).isin(list(targets))).collect() if targets else []
+        largest = list({r["_source"]: r for r in (*largest[:OWN], *named)}.values())
+        shared = _shared(sources, [r["_source"] for r in largest], targets, block, temperature)
+        lines = shared.groupBy("_line").agg(F.sum("_blocks").alias("n"), F.sum("_weight").alias("w")).collect()  # LINES for a class
+    else:
+        shared, lines = None, []
+    sizes = {r["_source"]: r["n"] for r in largest}
     if targets is None:
         weights = {s: n**temperature for s, n in sizes.items()}
     else:
         weights = {s: float(targets.get(s[1:], min(targets.values()))) for s in sizes}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, parts_of(weights, period)) if sizes else []
+    blocks = {s: -(-n // block) for s, n in sizes.items()} | {r["_line"]: r["n"] for r in lines}
+    weights |= {r["_line"]: float(r["w"]) for r in lines}
+    plan = phases(blocks, parts_of(weights, period)) if blocks else []
     by_source: dict[str, list] = {}
     for s, *rest in plan:
         by_source.setdefault(s, []).append(tuple(rest))
-    schema = "_source string, _plan array<struct<phase:int,first:long,last:long,start:long,period:long,slots:array<int>>>"
+    schema = "_line string, _plan array<struct<phase:int,first:long,last:long,start:long,period:long,slots:array<int>>>"
     plans = spark.createDataFrame(list(by_source.items()), schema)
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    offsets = offsets.join(plans, "_source")
+    if shared is None:
+        offsets = offsets.join(plans.withColumnRenamed("_line", "_source"), "_source")
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id")) - 1
     rows = rows.withColumn("_place", place).join(offsets, keys).withColumn("_place", F.col("_place") + F.col("_before"))
-    rows = rows.withColumn("mix_block", F.floor(F.col("_place") / block)).withColumn("_p", F.get(F.filter("_plan", lambda p: (F.col("mix_block") >= p["first"]) & (F.col("mix_block") < p["last"])), F.lit(0)))
-    k, q = F.col("mix_block") - F.col("_p.first"), F.size("_p.slots")
+    rows = rows.withColumn("mix_block", F.floor(F.col("_place") / block)).withColumn("_k", F.col("mix_block"))
+    if shared is not None:
+        own = rows.join(F.broadcast(plans.withColumnRenamed("_line", "_source")), "_source")
+        others = rows.drop("_k").join(_numbered(shared), ["_source", "mix_block"]).join(F.broadcast(plans), "_line").drop("_line")
+        rows = own.unionByName(others)
+    rows = rows.withColumn("_p", F.get(F.filter("_plan", lambda p: (F.col("_k") >= p["first"]) & (F.col("_k") < p["last"])), F.lit(0)))
+    k, q = F.col("_k") - F.col("_p.first"), F.size("_p.slots")
     slot = F.col("_p.start") + F.floor(k / q) * F.col("_p.period") + F.get(F.col("_p.slots"), F.pmod(k, q).cast("int"))
     rows = rows.select("*", F.col("_p.phase").alias("mix_phase"), slot.alias("mix_slot"), F.pmod("_place", F.lit(block)).cast("int").alias("mix_rank"))
-    return rows.drop("_source", "_h", "_bucket", "_place", "_before", "_plan", "_p")
+    return rows.drop("_source", "_h", "_bucket", "_place", "_before", "_plan", "_p", "_k")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

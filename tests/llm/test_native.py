@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -129,6 +130,40 @@ def test_mix_places_every_row_and_follows_weights(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Sources beyond those with a line of their own share lines: every block has a slot of its own, without gaps, and the
+    large sources are scheduled as they are without the others' number."""
+    monkeypatch.setattr(mixing, "OWN", 5)
+    sizes = {f"big{i}": 400 + 40 * i for i in range(5)} | {f"host{i}": 1 + i % 37 for i in range(600)}
+    rows = [(k, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(None, None)] * 3 + [(1, "big0")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(5)
+    out = mixing.mix(df, block=4, period=200).collect()
+    assert len(out) == len(rows)
+    slots = {}
+    for r in out:
+        slots.setdefault(r["mix_slot"], set()).add((r["source"], r["mix_block"]))
+    assert sorted(slots) == list(range(len(slots))) and all(len(b) == 1 for b in slots.values())
+    n = Counter(s for _, s in rows)
+    assert len(slots) == sum(-(-v // 4) for v in n.values())
+    for source in ("big4", "host36", None):
+        mine = sorted((r["mix_slot"], r["mix_rank"]) for r in out if r["source"] == source)
+        assert [k for _, k in mine] == [i % 4 for i in range(n[source])]
+    # within a block of its share for a large source, as long as no line has run out
+    first = [next(iter(slots[t]))[0] for t in range(200)]
+    shares = {s: v**0.5 for s, v in n.items()}
+    q = shares["big4"] / sum(shares.values())
+    assert all(abs(first[:t].count("big4") - q * t) < 1 + 0.05 * t for t in range(1, 200))
+    named = mixing.mix(df, {"host3": 500.0, "big0": 1.0}, block=4, period=200)
+    assert named.filter("source = 'host3'").agg(F.max("mix_slot")).first()[0] < 12
+
+
+def test_mixing_plans_twenty_thousand_sources_in_seconds(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "concat('h', id % 20000) AS source")
+    began = time.time()
+    out = mixing.mix(df).agg(F.countDistinct("mix_slot").alias("n"), F.max("mix_slot").alias("last")).first()
+    assert (out["n"], out["last"]) == (20_000, 19_999) and time.time() - began < 120
+
+
 def test_digest_query_shape(spark):
     out = chat.op4_chat_format(spark, "/root/testdata/sf0.001").filter(F.col("conv_id") == -1).first()
     said = "<|im_end|><|im_start|>assistant ok"
