@@ -6,20 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.context import budget
+from quarry.operators.contracts import support_present
 
 
 def evaluate(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """cases(query_id, gold array of pages), hits(query_id, rank, page) -> first_rank, recall@1/3/5, reciprocal_rank, ndcg_5.
+    """cases(query_id, gold array of pages), hits(query_id, rank, page) -> first_rank, recall, reciprocal_rank, ndcg; recall and
+    ndcg at 1, 3 and 5.
 
-    A gold page counts at its first hit only; the ideal has min(5, number of gold pages) hits on top."""
+    A gold page counts at its first hit only; the ideal at k has min(k, number of gold pages) hits on top."""
+    cuts = (1, 3, 5)
     gold = cases.select("query_id", F.explode(F.array_distinct("gold")).alias("page"))
     first = hits.join(gold, ["query_id", "page"]).groupBy("query_id", "page").agg(F.min("rank").alias("rank"))
-    gain = F.sum(F.when(F.col("rank") <= 5, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0))
-    best = first.groupBy("query_id").agg(F.min("rank").alias("first_rank"), gain.alias("dcg"))
+    gain = lambda k: F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias(f"_dcg{k}")
+    best = first.groupBy("query_id").agg(F.min("rank").alias("first_rank"), *[gain(k) for k in cuts])
     rows = cases.select("query_id", F.size(F.array_distinct("gold")).alias("n_gold")).join(best, "query_id", "left")
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(5), "n_gold")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
     at = lambda k: F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0)).alias(f"recall_{k}")
-    return rows.select("query_id", "first_rank", at(1), at(3), at(5), F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 9).alias("reciprocal_rank"), F.round(F.when(F.col("n_gold") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0), 9).alias("ndcg_5"))
+
+    def ndcg(k: int) -> Column:
+        ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), "n_gold")), F.lit(0.0), lambda a, r: a + 1 / F.log2(r + 1))
+        return F.round(F.when(F.col("n_gold") > 0, F.coalesce(f"_dcg{k}", F.lit(0.0)) / ideal).otherwise(0.0), 9).alias(f"ndcg_{k}")
+
+    return rows.select("query_id", "first_rank", *[at(k) for k in cuts], F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 9).alias("reciprocal_rank"), *[ndcg(k) for k in cuts])
 
 
 def case_plan_violations(cases: DataFrame, plans: DataFrame) -> DataFrame:
@@ -106,3 +113,39 @@ def what_if_changes(outcomes: DataFrame, baseline: str) -> DataFrame:
     rows = both.withColumn("change", change)
     sets = [[F.col("strategy"), F.col("change")], [F.col("strategy")], [F.col("change")]]
     return rows.groupingSets(sets, "strategy", "change").agg(F.count(F.lit(1)).alias("queries"), F.sum("chars").alias("chars"), F.grouping_id().cast("long").alias("level"))
+
+
+def root_causes(targets: DataFrame, traces: DataFrame, full: DataFrame, selected: DataFrame) -> DataFrame:
+    """Why each query did or did not find its fact: targets(query_id, fact_id, evidence_id, chunk_id or null, pdf_page); traces
+    (query_id, status, stage, fact_ids); full and selected (query_id, chunk_id, pdf_page): the context with all neighbours,
+    and the one that was read. -> query_id, outcome.
+
+    In this order: retrieval_runtime_error; with the fact found base_resolved, expansion_recovered, or
+    resolved_without_expected_audit where no stage says so; else fact_resolution_miss (its support was read),
+    budget_selection_miss (it was there to be read), same_page_chunk_coverage_gap (another chunk of its page was), and
+    retrieval_or_page_window_coverage_gap."""
+    there = lambda items, name: support_present(targets, items).select("query_id", F.col("present").alias(name))
+    on_page = full.select("query_id", "pdf_page", F.lit(True).alias("_page")).distinct()
+    rows = targets.join(traces.select("query_id", "status", "stage", "fact_ids"), "query_id", "left").join(there(full, "_full"), "query_id").join(there(selected, "_read"), "query_id").join(on_page, ["query_id", "pdf_page"], "left")
+    hit = F.coalesce(F.array_contains("fact_ids", F.col("fact_id")), F.lit(False))
+    outcome = (
+        F.when(F.coalesce(F.col("status") == "failed", F.lit(True)), "retrieval_runtime_error").when(hit & (F.col("stage") == "base"), "base_resolved").when(hit & (F.col("stage") == "expansion"), "expansion_recovered")
+        .when(hit, "resolved_without_expected_audit").when(F.col("_read"), "fact_resolution_miss").when(F.col("_full"), "budget_selection_miss")
+        .when(F.col("chunk_id").isNotNull() & F.col("_page").isNotNull(), "same_page_chunk_coverage_gap").otherwise("retrieval_or_page_window_coverage_gap")
+    )
+    return rows.select("query_id", outcome.alias("outcome"))
+
+
+def strategy_comparison(traces: DataFrame, chunks: DataFrame, baseline: str) -> DataFrame:
+    """Strategies side by side: traces(strategy, query_id, status, stage, evidence_ids, chunk_ids), chunks(chunk_id, n_chars)
+    -> strategy, queries, resolved, resolution_rate, context_chars, evidences; against the baseline: resolved_gain,
+    char_growth (share of the baseline's characters read besides) and evidence_ratio (pieces of evidence a baseline's)."""
+    read = traces.select("strategy", F.explode("chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id", "n_chars"), "chunk_id").groupBy("strategy").agg(F.sum("n_chars").alias("context_chars"))
+    done = (F.col("status") == "completed") & (F.col("stage") != "unresolved")
+    own = traces.groupBy("strategy").agg(F.count(F.lit(1)).alias("queries"), F.count_if(done).alias("resolved"), F.sum(F.size("evidence_ids")).cast("long").alias("evidences")).join(read, "strategy", "left").na.fill(0, ["context_chars"])
+    base = own.filter(F.col("strategy") == baseline).select(F.col("resolved").alias("_r"), F.col("context_chars").alias("_c"), F.col("evidences").alias("_e"))  # one row
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(a / F.col(b), 6))
+    return own.join(F.broadcast(base)).select(
+        "strategy", "queries", "resolved", share(F.col("resolved"), "queries").alias("resolution_rate"), "context_chars", "evidences", (F.col("resolved") - F.col("_r")).alias("resolved_gain"),
+        share(F.col("context_chars") - F.col("_c"), "_c").alias("char_growth"), share(F.col("evidences"), "_e").alias("evidence_ratio"),
+    )

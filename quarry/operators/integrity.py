@@ -160,6 +160,34 @@ MAPPING_RULES = {
     "offset_differs": "rule_type = 'offset' AND (pdf_page_start + offset <> printed_page_start OR pdf_page_end + offset <> printed_page_end)",
     "custom_without_notes": "rule_type = 'custom' AND coalesce(trim(notes), '') = ''",
 }
+#: Contract of a case: question, question_type, difficulty, company_ids, report_ids, fiscal_years, queries, steps, gold_*_ids,
+#: answer, validation fields and times.
+_ASKED, _GOLD = "array_sort(array_distinct(transform(queries, q -> q.target_fact_id)))", "array_sort(array_distinct(gold_fact_ids))"
+_TAKEN = "array_sort(array_distinct(flatten(transform(filter(steps, s -> s.action = 'retrieve'), s -> s.target_fact_ids))))"
+CASE_RULES = {
+    "not_one_company": "question_type = 'single_company_multi_metric' AND size(company_ids) <> 1",
+    "below_two_companies": "question_type = 'cross_company_comparison' AND size(company_ids) < 2",
+    "below_three_companies": "question_type = 'multi_company_ranking' AND size(company_ids) < 3",
+    "not_hard": "difficulty = 'hard' AND size(gold_fact_ids) < 4 AND size(company_ids) < 3",
+    "report_of_no_company": "exists(report_ids, r -> size(filter(array_distinct(company_ids), c -> startswith(r, concat(c, '_')))) <> 1)",
+    "company_without_report": "exists(company_ids, c -> NOT exists(report_ids, r -> startswith(r, concat(c, '_'))))",
+    "query_facts_differ": f"{_ASKED} <> {_GOLD}",
+    "baseline_differs": "exists(queries, q -> NOT q.baseline_query <=> question)",
+    "query_of_other_company": "exists(queries, q -> NOT coalesce(array_contains(company_ids, q.company_id), false))",
+    "query_of_other_report": "exists(queries, q -> NOT coalesce(array_contains(report_ids, q.report_id), false))",
+    "query_of_other_year": "exists(queries, q -> NOT coalesce(array_contains(fiscal_years, q.fiscal_year), false))",
+    "plan_facts_differ": f"{_TAKEN} <> {_GOLD}",
+    "plan_calculations_differ": "array_sort(array_distinct(filter(transform(steps, s -> s.calculation_id), c -> c IS NOT NULL))) <> array_sort(array_distinct(gold_calculation_ids))",
+    "input_not_made": "exists(transform(steps, (s, i) -> size(array_except(s.input_refs, transform(slice(steps, 1, i), p -> p.output_ref))) > 0), b -> b)",
+    "dependency_missing": "exists(transform(steps, (s, i) -> exists(slice(steps, 1, i), p -> array_contains(s.input_refs, p.output_ref) AND NOT array_contains(s.depends_on, p.step_id))), b -> b)",
+    "answer_of_other_fact": "size(array_except(answer.supporting_fact_ids, gold_fact_ids)) > 0",
+    "answer_of_other_evidence": "size(array_except(answer.evidence_ids, gold_evidence_ids)) > 0",
+    "answer_of_other_calculation": "size(array_except(answer.supporting_calculation_ids, gold_calculation_ids)) > 0",
+    "verified_by_nobody": "validation_status = 'verified' AND validated_by IS NULL",
+    "verified_without_time": "validation_status = 'verified' AND validated_at IS NULL",
+    "validated_but_not_verified": "validation_status <> 'verified' AND (validated_by IS NOT NULL OR validated_at IS NOT NULL)",
+    "updated_before_created": "updated_at < created_at",
+}
 #: References between the dimensions, with what both sides must agree in.
 DIMENSION_REFERENCES = [
     Reference("company", "reports", "company_id", "companies", "company_id"),

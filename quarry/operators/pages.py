@@ -134,3 +134,22 @@ def extract(rows: DataFrame, payload: str, extractor: Callable[[object], dict],
     kind = F.when(failed, "unknown").otherwise(content_class(F.col("normalized_text"), imaged))
     counts = [F.length(c).cast("long").alias(n) for c, n in (("raw_text", "raw_char_count"), ("normalized_text", "normalized_char_count"))]
     return made.select(*keep, "parse_status", kind.alias("content_type"), "raw_text", "normalized_text", *counts, *COUNTERS, "max_image_area_ratio", "parse_error")
+
+
+def source_violations(reports: DataFrame, manifests: DataFrame, pages: DataFrame) -> DataFrame:
+    """Page datasets that may not be cut into chunks: reports(report_id, active_document_id, expected_pdf_page_count),
+    manifests(report_id, document_id, total_pdf_pages, page_record_count, quality_gate_passed), pages(report_id, document_id,
+    page_id, pdf_page, parse_status), dealt to manifests by report -> report_id, rule_id."""
+    seen = pages.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("page_id").alias("ids"), F.countDistinct("pdf_page").alias("distinct"), F.min("pdf_page").alias("first"), F.max("pdf_page").alias("last"),
+        F.count_if(F.col("parse_status") == "parse_error").alias("errors"), F.min("document_id").alias("low"), F.max("document_id").alias("high"),
+    )
+    both = manifests.join(reports.select("report_id", "active_document_id", "expected_pdf_page_count", F.lit(True).alias("known")), "report_id", "left").join(seen, "report_id", "left")
+    rows, total = F.coalesce("rows", F.lit(0)), F.col("total_pdf_pages")
+    rules = F.array(
+        F.when(F.col("known").isNull(), "unknown_report"), F.when(F.col("active_document_id") != F.col("document_id"), "not_the_active_document"), F.when(F.col("expected_pdf_page_count") != total, "page_count"),
+        F.when(~F.coalesce("quality_gate_passed", F.lit(False)), "quality_gate"), F.when(rows != F.col("page_record_count"), "record_count"),
+        F.when((rows != total) | (F.col("distinct") != total) | (F.col("first") != 1) | (F.col("last") != total), "coverage"), F.when(F.col("ids") < rows, "repeated_page_id"),
+        F.when((F.col("low") != F.col("document_id")) | (F.col("high") != F.col("document_id")), "page_of_other_document"), F.when(F.col("errors") > 0, "parse_error"),
+    )
+    return both.select("report_id", F.explode(F.array_compact(rules)).alias("rule_id"))

@@ -223,6 +223,29 @@ def executed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.run_cases(questions.plans(cases_of(facts)), traces, facts.select("fact_id", "company_id", "fiscal_year", "statement_scope", "normalized_value", "verified"))
 
 
+def l12_case_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts that cases break, by rule. Planted beside those of cases_of(): companies of rest 1 by 10 compare nothing, every
+    fourth case is called hard, every twelfth report has another company, companies of rest 6 by 13 leave a calculation out
+    of the gold, cases of 1994 are verified by nobody, answers of 1993 cite a fact that is not gold."""
+    cases = cases_of(case_facts(spark, sf_dir))
+    company, year = F.split_part("case_id", F.lit("_"), F.lit(2)), F.split_part("case_id", F.lit("_"), F.lit(3)).cast("int")
+    number, key = company.cast("int"), F.substring("case_id", 6, 100)
+    name = lambda metric, back=0: F.concat(F.lit("fact_"), company, F.lit("_"), (year - back).cast("string"), F.lit(f"_{metric}"))
+    gold = F.array(name("revenue"), name("revenue", 1), name("operating_cost"))
+    report = F.concat(F.when(number % 12 == 7, F.lit("x")).otherwise(company), F.lit("_"), year.cast("string"))
+    made = F.array(F.concat(F.lit("calc_s4_"), key), *[F.concat(F.lit("calc_s5_"), key)])
+    asked = F.transform("queries", lambda q: F.struct(q["query_id"], q["target_fact_id"], F.lit("q").alias("baseline_query"), company.alias("company_id"), report.alias("report_id"), year.alias("fiscal_year")))
+    verified = year != 1996
+    rows = cases.select(
+        "case_id", F.lit("q").alias("question"), F.when(number % 10 == 1, "cross_company_comparison").otherwise("single_company_multi_metric").alias("question_type"), F.when(number % 4 == 0, "hard").otherwise("easy").alias("difficulty"), F.array(company).alias("company_ids"),
+        F.array(report, F.concat(company, F.lit("_"), (year - 1).cast("string"))).alias("report_ids"), F.array(year, year - 1).alias("fiscal_years"), asked.alias("queries"), "steps", gold.alias("gold_fact_ids"), F.array().cast("array<string>").alias("gold_evidence_ids"),
+        F.when(number % 13 == 6, F.slice(made, 1, 1)).otherwise(made).alias("gold_calculation_ids"),
+        F.struct(F.when(year == 1993, F.array(name("tax"))).otherwise(gold).alias("supporting_fact_ids"), F.array().cast("array<string>").alias("evidence_ids"), F.array().cast("array<string>").alias("supporting_calculation_ids")).alias("answer"),
+        F.when(verified, "verified").otherwise("pending").alias("validation_status"), F.when(verified & (year != 1994), "reader").alias("validated_by"), *[F.when(verified, F.lit("2024-01-01").cast("timestamp")).alias(c) for c in ("validated_at", "created_at", "updated_at")],
+    )
+    return integrity.broken_rows(rows, "cases", "case_id", integrity.CASE_RULES).groupBy("rule_id").agg(F.count(F.lit(1)).alias("cases"))
+
+
 def l11_case_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaches between cases, facts, evidence, links and orders, by rule: every reference of a kind leaves its table in one
     pass and meets its parent in one join. Planted beside those of cases_of(): evidence of order lines 7 is lost."""
@@ -276,7 +299,7 @@ def _longs(df: DataFrame) -> DataFrame:
     return df.withColumn("company_id", F.col("company_id").cast("long")).withColumn("fiscal_year", F.col("fiscal_year").cast("long"))
 
 
-QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, s5_dimension_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l11_case_integrity, l2_case_plans, l4_case_results, l4_case_calculations, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
+QUERIES = {q.__name__: q for q in (k_facts, k1_foreign_keys, k3_link_violations, k6_resolve_facts, k8_resolution_views, k9_contract_violations, s5_dimension_violations, k5_size_report, k11_evidence_contracts, l7_provenance, f9_query_plans, k13_unit_normalize, k16_disputed_values, m1_growth, m3_ratios, m10_formula_dispatch, q1_profit_signal, l12_case_contracts, l11_case_integrity, l2_case_plans, l4_case_results, l4_case_calculations, l5_fact_ranking, l8_topology_violations, l10_run_summary)}
 
 FACTS = """
 yr AS (SELECT s_nationkey::BIGINT AS company_id, year(o_orderdate) AS fiscal_year,
@@ -375,6 +398,8 @@ SELECT unit, count(*) AS rows, sum(round(o_totalprice, 2)::DECIMAL(20,2)::DECIMA
     "q1_profit_signal": f"""WITH {FACTS}, b AS (SELECT a.company_id, a.fiscal_year, {_ratio('a.revenue - p.revenue', 'p.revenue', 'p.revenue > 0', 100)} AS up,
   {_ratio('(a.revenue - a.operating_cost) - (p.revenue - p.operating_cost)', 'p.revenue - p.operating_cost', 'p.revenue > p.operating_cost', 100)} AS down FROM yr a JOIN yr p ON a.company_id = p.company_id AND a.fiscal_year = p.fiscal_year + 1)
 SELECT company_id, fiscal_year, up, down, (up - down)::DECIMAL(38,4) AS gap, CASE WHEN up - down >= 20 THEN 'high' WHEN up - down >= 5 THEN 'medium' ELSE 'low' END AS severity FROM b WHERE up > 0 AND down < 0""",
+    "l12_case_contracts": f"""WITH {CASES}, v AS (SELECT unnest(['below_two_companies', 'not_hard', 'report_of_no_company', 'query_facts_differ', 'plan_calculations_differ', 'input_not_made', 'verified_by_nobody', 'answer_of_other_fact']) AS rule_id,
+  unnest([company_id % 10 = 1, company_id % 4 = 0, company_id % 12 = 7, unasked, company_id % 13 = 6, early OR dangling, fiscal_year = 1994, fiscal_year = 1993]) AS ok FROM cs) SELECT rule_id, count(*) AS cases FROM v WHERE ok GROUP BY 1""",
     "l11_case_integrity": f"""WITH {CASES}, lost AS (SELECT fact_id FROM (SELECT *, line[2] AS page FROM fa) WHERE page = 7),
 v AS (SELECT 'cases' AS t, r AS rule_id, case_id AS e FROM cs, (VALUES ('target_fact_unknown'), ('step_fact_unknown')) x(r) WHERE before IS NULL UNION ALL SELECT 'cases', 'step_without_query', case_id FROM cs WHERE unasked
   UNION ALL SELECT 'cases', 'depends_on_nothing', case_id FROM cs WHERE dangling UNION ALL SELECT 'facts', 'primary_evidence_unknown', fact_id FROM lost UNION ALL SELECT 'links', 'link_evidence_unknown', fact_id FROM lost)

@@ -154,7 +154,7 @@ def e1_evidence_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def n2_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results(spark, sf_dir)
-    return r.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("first_rank", "recall_1", "recall_3", "recall_5")], "reciprocal_rank", "ndcg_5")
+    return r.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("first_rank", "recall_1", "recall_3", "recall_5")], "reciprocal_rank", "ndcg_1", "ndcg_3", "ndcg_5")
 
 
 def n5_metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,23 @@ def d4_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.what_if_changes(evaluation.what_if(scored, strategies, held), "lexical")
 
 
-QUERIES = {f.__name__: f for f in (d4_what_if, r6_routed_search, l3_traces, n12_run_summary, b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
+def d2_root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each question with a document in its report did or did not find that document's fact."""
+    queries, registry, evidences = sub_queries(spark, sf_dir)
+    own = queries.select("query_id", *facts.QUERY_KEYS).join(registry, facts.QUERY_KEYS).join(evidences.select(F.col("evidence_id").alias("primary_evidence_id"), "chunk_id", "pdf_page"), "primary_evidence_id")
+    targets = own.groupBy("query_id").agg(F.min_by(F.struct("fact_id", F.col("primary_evidence_id").alias("evidence_id"), "chunk_id", "pdf_page"), "fact_id").alias("t")).select("query_id", "t.*")
+    both = materialize(traced(spark, sf_dir, ("expanded", "budgeted")))
+    places = chunks_of(spark, sf_dir).select("chunk_id", "pdf_page")
+    items = lambda name: both.filter(F.col("strategy") == name).select("query_id", F.explode("chunk_ids").alias("chunk_id")).join(places, "chunk_id")
+    return evaluation.root_causes(targets, both.filter("strategy = 'budgeted'"), items("expanded"), items("budgeted"))
+
+
+def d6_strategy_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the widening costs and brings against the hits alone."""
+    return evaluation.strategy_comparison(traced(spark, sf_dir), chunks_of(spark, sf_dir).select("chunk_id", F.length("text").alias("n_chars")), "plain")
+
+
+QUERIES = {f.__name__: f for f in (d2_root_causes, d6_strategy_comparison, d4_what_if, r6_routed_search, l3_traces, n12_run_summary, b1_index_statistics, b2_input_violations, b3_bm25_search, b4_index_check, f1_filtered_bm25, v1_vector_violations, v2_cosine_search, r1_rank_fusion, r3_hybrid_search, r4_lexical_rerank, x1_expand_pages, x6_context_budget, e1_evidence_blocks, n2_retrieval_metrics, n5_metric_summary, n6_strategy_totals, n7_latency, n8_method_comparison, d3_outcome_summary)}
 
 
 
@@ -297,9 +313,9 @@ gold AS (SELECT DISTINCT query_id, doc_id FROM gq JOIN gd ON contains(body, ' '
 METRICS = _bm25_sql(10) + GOLD + """,
 fh AS (SELECT bm.query_id, doc_id, min(rank) AS rank FROM bm JOIN gold ON gold.query_id = bm.query_id AND doc_id = substr(chunk_id, 1, 12)::BIGINT GROUP BY ALL),
 ng AS (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id),
-m0 AS (SELECT ng.query_id, n, min(rank) AS first_rank, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg FROM ng LEFT JOIN fh USING (query_id) GROUP BY ALL),
+m0 AS (SELECT ng.query_id, n, min(rank) AS first_rank, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 5), 0) AS dcg, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 3), 0) AS dcg3, coalesce(sum(1 / log2(rank + 1)) FILTER (rank <= 1), 0) AS dcg1 FROM ng LEFT JOIN fh USING (query_id) GROUP BY ALL),
 ml AS (SELECT query_id, first_rank, coalesce((first_rank <= 1)::BIGINT, 0) AS recall_1, coalesce((first_rank <= 3)::BIGINT, 0) AS recall_3, coalesce((first_rank <= 5)::BIGINT, 0) AS recall_5,
-  round(coalesce(1 / first_rank, 0), 9) AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least(5, n) + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg_5 FROM m0)"""
+  round(coalesce(1 / first_rank, 0), 9) AS reciprocal_rank, round(dcg1, 9) AS ndcg_1, round(dcg3 / list_sum(list_transform(range(1, least(3, n) + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg_3, round(dcg / list_sum(list_transform(range(1, least(5, n) + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg_5 FROM m0)"""
 
 def _routed_sql() -> str:
     """bm: the hits of each question in its own report; st6: its status."""
@@ -350,6 +366,17 @@ tr AS (SELECT query_id, strategy, CASE WHEN status = 'ok' THEN 'completed' ELSE
 
 
 ORACLES = {
+    "d2_root_causes": f"""WITH RECURSIVE {_traces_sql()},
+tg AS (SELECT rq.query_id, arg_min(doc_id, 'fact_' || rq.query_id || '_' || doc_id) AS doc_id, arg_min(pdf_page + (doc_id % 3 = 0)::INT, 'fact_' || rq.query_id || '_' || doc_id) AS page FROM rq JOIN gold USING (query_id) JOIN pg USING (doc_id, report_id) GROUP BY 1),
+t2 AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN format('{{:012d}}_{{:05d}}', doc_id, 0) END AS chunk FROM tg),
+pr AS (SELECT t2.query_id, strategy, bool_or(CASE WHEN chunk IS NOT NULL THEN chunk = chunk_id ELSE page = pdf_page END) AS present, bool_or(page = pdf_page) AS on_page FROM t2 JOIN al USING (query_id) GROUP BY ALL)
+SELECT t2.query_id, CASE WHEN tr.status = 'failed' THEN 'retrieval_runtime_error' WHEN contains(',' || fact_ids || ',', ',fact_' || t2.query_id || '_' || doc_id || ',') THEN CASE stage WHEN 'base' THEN 'base_resolved' ELSE 'expansion_recovered' END
+  WHEN r.present THEN 'fact_resolution_miss' WHEN f.present THEN 'budget_selection_miss' WHEN chunk IS NOT NULL AND f.on_page THEN 'same_page_chunk_coverage_gap' ELSE 'retrieval_or_page_window_coverage_gap' END AS outcome
+FROM t2 JOIN tr ON tr.query_id = t2.query_id AND tr.strategy = 'budgeted' LEFT JOIN pr r ON r.query_id = t2.query_id AND r.strategy = 'budgeted' LEFT JOIN pr f ON f.query_id = t2.query_id AND f.strategy = 'expanded'""",
+    "d6_strategy_comparison": f"""WITH RECURSIVE {_traces_sql()}, o AS (SELECT strategy, count(*) AS queries, count(*) FILTER (status = 'completed' AND stage <> 'unresolved') AS resolved,
+  sum(CASE WHEN evidence_ids = '' THEN 0 ELSE len(string_split(evidence_ids, ',')) END)::BIGINT AS evidences, (SELECT coalesce(sum(n_chars), 0) FROM al WHERE al.strategy = tr.strategy)::BIGINT AS context_chars FROM tr GROUP BY strategy)
+SELECT o.strategy, o.queries, o.resolved, round(o.resolved / o.queries, 6) AS resolution_rate, o.context_chars, o.evidences, o.resolved - b.resolved AS resolved_gain, CASE WHEN b.context_chars > 0 THEN round((o.context_chars - b.context_chars) / b.context_chars, 6) END AS char_growth,
+  CASE WHEN b.evidences > 0 THEN round(o.evidences / b.evidences, 6) END AS evidence_ratio FROM o JOIN o b ON b.strategy = 'plain'""",
     "d4_what_if": f"""WITH RECURSIVE {_bm25_sql(5)}{GOLD}, {EXPAND}, {RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, ck.doc_id, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")},
 o AS (SELECT query_id, chunk_id, length(text) AS n_chars, strategy, EXISTS (SELECT 1 FROM gold g WHERE g.query_id = sc4.query_id AND g.doc_id = sc4.doc_id) AS held,
   row_number() OVER (PARTITION BY strategy, query_id ORDER BY CASE strategy WHEN 'lexical' THEN -tokens WHEN 'shortest' THEN length(text) END, CASE strategy WHEN 'lexical' THEN -pairs END, CASE strategy WHEN 'lexical' THEN -recall END, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr

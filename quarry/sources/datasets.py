@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,16 @@ def checksum(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 def dataset_id(prefix: str, **config: str | int | float) -> Column:
     """A stable id of a configuration: the first 24 hex digits of the SHA-256 of its canonical JSON."""
-    import json
-
     text = json.dumps(config, sort_keys=True, separators=(",", ":"))
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.lit(text), 256), 1, 24))
 
 
+def report_snapshot(reports: DataFrame) -> DataFrame:
+    """report_id and the SHA-256 of the report's metadata as chunks carry it: canonical JSON of five fields, nulls included."""
+    fields = F.struct("company_id", F.col("fiscal_year").cast("int").alias("fiscal_year"), "report_id", "report_type", "title")
+    return reports.select("report_id", F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256).alias("snapshot_sha256"))
+
+
 def manifest_violations(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Groups whose stored rows or checksum differ from what is there."""
     both = expected.select(key, F.col("rows").alias("r0"), F.col("checksum").alias("c0")).join(actual, key, "full")
