@@ -56,8 +56,10 @@ FURNITURE_WORDS = frozenset(
 )
 JOINING_WORDS = frozenset(
     "area bar bottom box block buttons container form global group inner items left links list message module more outer panel policy posts right section site "
-    "slot stories thread top unit user wrap wrapper".split()
+    "slot stories thread top unit user wrap wrapper reader readers visitor visitors".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies responses discussion guestbook".split())
+OF_COMMENTS = frozenset("article blog page post story".split())
 MIN_PAGES, MOST_OF_TEXT, LABEL_SHARE = 4, 0.8, 0.01
 BROADCAST_NUMBERS = 4_000_000
 OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -111,9 +113,11 @@ def _digest(*parts: object) -> int:
 
 
 def is_furniture_name(name: str) -> bool:
-    """Whether a class, id or role as a whole says furniture: "cookie-notice" and "ad_box2" do, "related-work" doesn't."""
+    """Whether a class, id or role as a whole says furniture: "cookie-notice", "ad_box2" and "post-comments" do,
+    "related-work" and "post-header" don't."""
     words = [w for w in re.split(r"[^a-z]+", name) if w]
-    return any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in JOINING_WORDS for w in words)
+    joining = JOINING_WORDS | OF_COMMENTS if any(w in COMMENT_WORDS for w in words) else JOINING_WORDS
+    return any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in joining for w in words)
 
 
 class Page:

@@ -328,6 +328,7 @@ def test_html_template_texts_and_names_need_several_pages(spark):
         ("<form><div>All the text of this page</div><nav>m</nav><div>And more</div></form>", "All the text of this page And more"),
         ("<nav><ul><li>menu<article><p>" + "A long story of the page. " * 5 + "</p></article>", ("A long story of the page. " * 5).strip()),
         ("<article><p>One</p><div class=responses><p>r</p></div><ol class=commentlist><li>c</ol></article>", "One"),
+        ("<article><div class=post-header><h1>T</h1></div><p>One</p><div class=post-comments><p>r</p></div><section id=reader-comments>c</section></article>", "T One"),
     ],
 )
 def test_html_broken_and_wrapped_pages(spark, page, text):
