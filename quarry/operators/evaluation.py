@@ -56,6 +56,11 @@ def totals(results: DataFrame, outer: str, inner: str) -> DataFrame:
     return results.rollup(outer, inner).agg(F.count(F.lit(1)).alias("cases"), F.sum("recall_5").alias("hits_5"), F.grouping_id().cast("int").alias("level"))
 
 
+def failures(results: DataFrame, by: list[str], within: int = 5) -> DataFrame:
+    """Cases whose gold is not among the first `within`, and where it is: by, query_id, first_rank (null: nowhere)."""
+    return results.filter(F.col("first_rank").isNull() | (F.col("first_rank") > within)).select(*by, "query_id", "first_rank")
+
+
 def latency(times: DataFrame, by: str, value: str) -> DataFrame:
     """Mean and nearest-rank percentiles."""
     return times.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))

@@ -14,6 +14,7 @@ from quarry.functions.text import normalize_page_text
 #: Fixed value: an error's message is kept up to this many characters.
 ERROR_CHARS = 1000
 COUNTERS = ("text_block_count", "image_block_count", "embedded_image_count")
+BROADCAST_REPORTS = 100_000
 CONTENT_TYPES = ("text", "mixed", "scanned", "empty")
 
 
@@ -36,13 +37,20 @@ def pages_of(documents: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, segments: DataFrame) -> DataFrame:
-    """Printed page of each page by the segment that holds it: identity, offset, or custom (by position). segments are a
-    small table of closed ranges per report; of several that fit, the first by mapping_id counts."""
-    on = (F.col("p.report_id") == F.col("s.report_id")) & F.col("pdf_page").between(F.col("pdf_page_start"), F.col("pdf_page_end"))
-    joined = pages.alias("p").join(segments.alias("s"), on, "left")
-    printed = F.when(F.col("rule_type") == "identity", F.col("pdf_page")).when(F.col("rule_type") == "offset", F.col("pdf_page") + F.col("offset")).when(F.col("rule_type") == "custom", F.col("printed_page_start") + F.col("pdf_page") - F.col("pdf_page_start"))
-    found = joined.groupBy("p.report_id", "pdf_page").agg(F.min_by(F.struct("mapping_id", printed.alias("printed_page")), "mapping_id").alias("m"))
-    return found.select("report_id", "pdf_page", "m.mapping_id", "m.printed_page", F.when(F.col("m.mapping_id").isNull(), "unmapped").otherwise("mapped").alias("mapping_status"))
+    """Printed page of each page by the segment that holds it: identity, offset, or custom (by position). segments are closed
+    ranges per report; of several that fit, the first by mapping_id counts.
+
+    A report's segments are one row, which goes to the pages by broadcast up to BROADCAST_REPORTS of them (counted); a page
+    picks its segment in place, so pages are not dealt out again."""
+    fields = ("mapping_id", "rule_type", "pdf_page_start", "pdf_page_end", "printed_page_start", "offset")
+    own = segments.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("segments"))
+    small = own.limit(BROADCAST_REPORTS + 1).count() <= BROADCAST_REPORTS
+    rows = pages.select("report_id", "pdf_page").join(F.broadcast(own) if small else own, "report_id", "left")
+    page, m = F.col("pdf_page"), F.col("m")
+    fits = F.filter("segments", lambda s: page.between(s["pdf_page_start"], s["pdf_page_end"]) & s["mapping_id"].isNotNull())
+    rows = rows.select("report_id", "pdf_page", F.get(fits, F.lit(0)).alias("m"))
+    printed = F.when(m["rule_type"] == "identity", page).when(m["rule_type"] == "offset", page + m["offset"]).when(m["rule_type"] == "custom", m["printed_page_start"] + page - m["pdf_page_start"])
+    return rows.select("report_id", "pdf_page", "m.mapping_id", printed.alias("printed_page"), F.when(m.isNull(), "unmapped").otherwise("mapped").alias("mapping_status"))
 
 
 def audit(resolved: DataFrame) -> DataFrame:

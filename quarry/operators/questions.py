@@ -173,3 +173,16 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.select("case_id", F.col("case_status").alias("was")).join(after.select("case_id", F.col("case_status").alias("now")), "case_id", "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") == F.col("now"), "unchanged").when(F.col("now") == "completed", "recovered").otherwise("regressed")
     return both.groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("cases"))
+
+
+def run_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Two runs' case results side by side (case_status, planned_queries, resolved_queries): completion and resolution rates and
+    how much they changed, in one row."""
+    def rates(run: DataFrame, name: str) -> DataFrame:
+        done, asked = F.count_if(F.col("case_status") == "completed"), F.sum("planned_queries")
+        rate = lambda n, d: F.when(d > 0, F.round(n / d, 6))
+        return run.agg(F.count(F.lit(1)).alias(f"cases_{name}"), rate(done, F.count(F.lit(1))).alias(f"completion_{name}"), rate(F.sum("resolved_queries"), asked).alias(f"resolution_{name}"))
+
+    both = rates(before, "before").join(F.broadcast(rates(after, "after")))  # a row each
+    change = lambda c: F.round(F.col(f"{c}_after") - F.col(f"{c}_before"), 6).alias(f"{c}_change")
+    return both.select("*", change("completion"), change("resolution"))

@@ -77,17 +77,25 @@ def b1_index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
 
 
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks, of which the first of every 50th document says something else than the index knows, and the first of every
+    40th nothing that can be searched."""
+    first = F.col("chunk_index") == 0
+    every = lambda n: first & (F.pmod("doc_id", F.lit(n)) == 0)
+    return chunk_table(spark, sf_dir).withColumn("text", F.when(every(40), F.lit("… ! …")).when(every(50), F.concat("text", F.lit(" zzplanted"))).otherwise(F.col("text")))
+
+
 def b2_input_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of documents without a token, counted by report."""
-    c = tokenised(chunk_table(spark, sf_dir))
+    """Chunks without a token, counted by report: those of the documents, and planted ones."""
+    c = tokenised(planted(spark, sf_dir))
     bad = lexical.input_violations(c.select("chunk_id", "tokens")).join(c.select("chunk_id", "report_id"), "chunk_id")
     return bad.groupBy("report_id", "rule_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def b4_index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the stored index by table, and how many of them differ from the texts."""
+    """Rows of the stored index by table, and how many of them differ from the texts, some of which have changed since."""
     own = index(spark, sf_dir)
-    bad = lexical.index_violations(own, tokenised(chunk_table(spark, sf_dir))).groupBy("table").agg(F.count(F.lit(1)).alias("differ"))
+    bad = lexical.index_violations(own, tokenised(planted(spark, sf_dir))).groupBy("table").agg(F.count(F.lit(1)).alias("differ"))
     rows = [own.chunks.agg(F.lit("chunks").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("total")), own.postings.agg(F.lit("postings").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("total")), own.terms.agg(F.lit("terms").alias("table"), F.count(F.lit(1)).alias("rows"), F.sum("df").alias("total"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(bad, "table", "left").select("table", "rows", "total", F.coalesce("differ", F.lit(0)).cast("long").alias("differ"))
 
@@ -393,9 +401,12 @@ SELECT strategy, change, count(*) AS queries, sum(chars)::BIGINT AS chars, group
 count(*) FILTER (stage = 'base') AS gate_closed, count(*) FILTER (status = 'completed' AND stage <> 'base') AS gate_open, count(*) FILTER (stage = 'expansion') AS recovered, sum(selected_items)::BIGINT AS selected_items,
 sum(selected_chars)::BIGINT AS selected_chars, sum(chunks6)::BIGINT AS context_chunks, grouping(strategy)::BIGINT AS level FROM tr GROUP BY GROUPING SETS ((), (strategy))""",
     "b1_index_statistics": f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term",
-    "b2_input_violations": f"WITH {TOKENS} SELECT report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk WHERE len(w) = 0 GROUP BY ALL",
-    "b4_index_check": f"""WITH {TOKENS} SELECT 'chunks' AS "table", count(*) AS rows, sum(length(text))::BIGINT AS total, 0::BIGINT AS differ FROM ck UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, 0 FROM post
-UNION ALL SELECT 'terms', count(DISTINCT term), count(*), 0 FROM post""",
+    "b2_input_violations": f"WITH {TOKENS} SELECT ck.report_id, 'no_token' AS rule_id, count(*) AS chunks FROM tk JOIN ck USING (chunk_id) WHERE len(w) = 0 OR (chunk_index = 0 AND doc_id % 40 = 0) GROUP BY ALL",
+    "b4_index_check": f"""WITH {TOKENS}, pl AS (SELECT chunk_id, doc_id % 40 = 0 AS bare FROM ck WHERE chunk_index = 0 AND (doc_id % 40 = 0 OR doc_id % 50 = 0)),
+gone AS (SELECT term, count(*) AS n FROM post JOIN pl USING (chunk_id) WHERE bare GROUP BY term), added AS (SELECT count(*) AS n FROM pl WHERE NOT bare)
+SELECT 'chunks' AS "table", count(*) AS rows, sum(length(text))::BIGINT AS total, 0::BIGINT AS differ FROM ck
+UNION ALL SELECT 'postings', count(*), sum(tf)::BIGINT, (SELECT coalesce(sum(n), 0) FROM gone)::BIGINT + (SELECT n FROM added) FROM post
+UNION ALL SELECT 'terms', count(DISTINCT term), count(*), (SELECT count(*) FROM gone) + (SELECT (n > 0)::BIGINT FROM added) FROM post""",
     "b3_bm25_search": f"WITH {_bm25_sql(5)} SELECT * FROM bm",
     "f1_filtered_bm25": f"WITH {_bm25_sql(5, "doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('fr', 'de'))")} SELECT * FROM bm",
     "v1_vector_violations": """SELECT label, count(*) AS vectors, count(*) FILTER (len(embedding) <> 64 OR abs(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) - 1) > 1e-5) AS violations

@@ -106,6 +106,15 @@ def test_inputs_of_a_calculation_agree_in_context(spark, change, status):
     assert r["status"] == status and (r["result_value"] is not None) == (status == "done")
 
 
+def test_rates_of_two_runs_and_failures(spark):
+    run = lambda *rows: spark.createDataFrame(rows, "case_status string, planned_queries int, resolved_queries int")
+    got = questions.run_deltas(run(("completed", 2, 2), ("failed", 2, 0)), run(("completed", 2, 2), ("completed", 2, 1), ("failed", 1, 1))).first()
+    assert tuple(got) == (2, 0.5, 0.5, 3, 0.666667, 0.8, 0.166667, 0.3)
+    assert questions.run_deltas(run(("failed", 0, 0)), run(("failed", 0, 0))).first()["resolution_change"] is None
+    ranks = spark.createDataFrame([("m", 1, 5), ("m", 2, 6), ("m", 3, None)], "method string, query_id int, first_rank int")
+    assert [tuple(r) for r in evaluation.failures(ranks, ["method"]).collect()] == [("m", 2, 6), ("m", 3, None)]
+
+
 def test_summaries_and_context(spark):
     rows = spark.createDataFrame([("x", "hit"), ("x", "miss"), ("y", "hit")], "kind string, outcome string")
     got = {(r.kind, r.outcome, r.level): r.cases for r in evaluation.group_summary(rows, ["kind"]).collect()}
