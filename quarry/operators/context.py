@@ -27,10 +27,16 @@ def expand(hits: DataFrame, chunks: DataFrame, distances: tuple[int, ...] = (-1,
 
 
 def rank_candidates(candidates: DataFrame) -> DataFrame:
-    """candidates(query_id, query, text, anchor_rank, page_distance, chunk_index, chunk_id) plus lexical scores and selection_rank."""
+    """candidates(query_id, query, text, anchor_rank, chunk_id[, hints]) plus lexical scores and selection_rank: most of the
+    query's tokens, then pairs shared, then the share of its pairs, the better anchor, the shorter text, chunk_id. With hints
+    (array of texts that name the metric) the metric's score comes first, and pairs before tokens."""
     s = candidates.withColumn("s", lexical_score(F.col("query"), F.col("text")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s.tokens"), F.desc("s.pairs"), F.desc("s.recall"), "anchor_rank", F.abs("page_distance"), "chunk_index", "chunk_id")
-    return s.withColumn("selection_rank", F.row_number().over(w))
+    tokens, pairs, last = [F.desc("s.tokens")], [F.desc("s.pairs"), F.desc("s.recall")], [F.col("anchor_rank"), F.length("text"), F.col("chunk_id")]
+    order = [*tokens, *pairs, *last]
+    if "hints" in candidates.columns:
+        s = s.withColumn("m", metric_score(F.col("hints"), F.col("text")))
+        order = [F.desc("m.exact"), F.desc("m.recall"), F.desc("m.overlap"), *pairs, *tokens, *last]
+    return s.withColumn("selection_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
 def metric_hints(metrics: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -88,11 +94,11 @@ def budget(candidates: DataFrame, max_items: int = 2, max_chars: int = 1600) ->
 
 
 def evidence_blocks(hits: DataFrame, chunks: DataFrame, max_hits: int = 5, max_chars: int = 4000) -> DataFrame:
-    """Cited blocks of the best hits: header and text, blocks two characters apart, stop at the first overflow of the
+    """Cited blocks of the best hits, each chunk at its best rank alone: header and text, blocks two characters apart, stop at the first overflow of the
     budget; a first block that alone is too long is truncated with an ellipsis. -> query_id, rank, citation, chunk_id, block, chars."""
-    rows = hits.filter(F.col("rank") <= max_hits).join(chunks.select("chunk_id", "report_id", "pdf_page", "text"), "chunk_id")
     w = Window.partitionBy("query_id").orderBy("rank")
-    rows = rows.withColumn("n", F.row_number().over(w)).withColumn("citation", F.concat(F.lit("E"), F.col("n")))
+    once = hits.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank")).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_hits)
+    rows = once.join(chunks.select("chunk_id", "report_id", "pdf_page", "text"), "chunk_id").withColumn("citation", F.concat(F.lit("E"), "n"))
     block = F.concat(F.lit("["), "citation", F.lit("] "), "report_id", F.lit(" p."), F.col("pdf_page").cast("string"), F.lit("\n"), "text")
     rows = rows.withColumn("block", block)
     cut = (F.col("n") == 1) & (F.length("block") > max_chars)
@@ -103,6 +109,14 @@ def evidence_blocks(hits: DataFrame, chunks: DataFrame, max_hits: int = 5, max_c
     return rows.withColumn("over", over).filter("over = 0").select("query_id", "rank", "citation", "chunk_id", "block", F.length("block").alias("chars"))
 
 
+def evidence_counts(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Of each query's hits: how many repeat a chunk, how many chunks got a block and how many were left out."""
+    seen = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("chunk_id").alias("chunks"))
+    made = blocks.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum("chars").alias("chars"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return seen.join(made, "query_id", "left").select("query_id", (F.col("hits") - F.col("chunks")).alias("duplicates"), n("blocks").alias("blocks"), (F.col("chunks") - n("blocks")).alias("omitted"), n("chars").alias("chars"))
+
+
 def citation_violations(answers: DataFrame) -> DataFrame:
     """answers(query_id, answer, declared, allowed): inline citations must be the declared ones, allowed, and at least one."""
     inline = F.array_sort(F.array_distinct(citations(F.col("answer"))))

@@ -60,6 +60,13 @@ def audit(resolved: DataFrame) -> DataFrame:
     return printed.groupBy("report_id").agg(F.sum("n").alias("pages"), F.sum("mapped").alias("mapped_pages"), F.count_if(twice).alias("shared_printed_pages"))
 
 
+def unmapped_ranges(resolved: DataFrame) -> DataFrame:
+    """The pages of each report that no segment holds, as closed ranges: report_id, first_page, last_page."""
+    rows = resolved.filter("mapping_status = 'unmapped'").select("report_id", "pdf_page").distinct()
+    island = F.col("pdf_page") - F.row_number().over(Window.partitionBy("report_id").orderBy("pdf_page"))
+    return rows.withColumn("_i", island).groupBy("report_id", "_i").agg(F.min("pdf_page").alias("first_page"), F.max("pdf_page").alias("last_page")).drop("_i")
+
+
 def segment_violations(segments: DataFrame, page_counts: DataFrame) -> DataFrame:
     """Rows that break a rule: ends before its start, ends past the report, overlaps the segment before it."""
     w = Window.partitionBy("report_id").orderBy("pdf_page_start", "pdf_page_end", "mapping_id")
@@ -80,12 +87,15 @@ def summary(pages: DataFrame) -> DataFrame:
 
 
 def completeness_violations(pages: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """Reports whose pages are not exactly 1 .. n."""
-    seen = pages.groupBy("report_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("pdf_page").alias("distinct"), F.min("pdf_page").alias("first"), F.max("pdf_page").alias("last"))
+    """Reports whose pages are not exactly 1 .. n; where pages name their parser (parser_name, parser_version), also those of
+    several."""
+    parser = [c for c in ("parser_name", "parser_version") if c in pages.columns]
+    parsers = F.countDistinct(F.struct(*parser)) if parser else F.lit(1)
+    seen = pages.groupBy("report_id").agg(parsers.alias("parsers"), F.count(F.lit(1)).alias("rows"), F.countDistinct("pdf_page").alias("distinct"), F.min("pdf_page").alias("first"), F.max("pdf_page").alias("last"))
     both = page_counts.join(seen, "report_id", "full")
     rules = F.array(
         F.when(F.col("rows").isNull(), "no_pages"), F.when(F.col("rows") > F.col("distinct"), "repeated_page"),
-        F.when((F.col("first") != 1) | (F.col("last") != F.col("pages")) | (F.col("distinct") != F.col("pages")), "missing_page"),
+        F.when((F.col("first") != 1) | (F.col("last") != F.col("pages")) | (F.col("distinct") != F.col("pages")), "missing_page"), F.when(F.col("parsers") > 1, "several_parsers"),
     )
     return both.select("report_id", F.explode(F.array_compact(rules)).alias("rule_id"))
 

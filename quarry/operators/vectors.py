@@ -32,11 +32,12 @@ def usable(vectors: DataFrame, size: int) -> DataFrame:
     return vectors.filter(_rule(size).isNull())
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, skip_self: bool = True) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, skip_self: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """vectors(id, embedding), queries(query_id, embedding) -> query_id, rank, id, score: exact, scores in double rounded to
     9 places and clipped to [-1, 1], ties by id. Every block of queries meets every block of vectors once; a task
     returns its block's k best per query. Rows that violations() names for the longest query's size (null, of another
-    length, not finite, zero) take no part on either side."""
+    length, not finite, zero) take no part on either side. allowed(id), if given, is what may be found."""
+    vectors = vectors if allowed is None else vectors.join(allowed.select("id").distinct(), "id", "left_semi")
     size = queries.agg(F.max(F.size("embedding"))).first()[0] or 0
     vectors, queries = usable(vectors, size), usable(queries, size)
     total = vectors.count(), queries.count()

@@ -253,7 +253,8 @@ def d4_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = materialize(context.rank_candidates(pool).select("query_id", "chunk_id", "doc_id", "s", "anchor_rank", "page_distance", "chunk_index", F.length("text").alias("n_chars")))
     held = scored.select("query_id", "chunk_id", "doc_id").join(gold(spark, sf_dir), ["query_id", "doc_id"], "left_semi")
     near = [F.col("anchor_rank"), F.abs("page_distance"), F.col("chunk_index")]
-    strategies = {"lexical": [-F.col("s.tokens"), -F.col("s.pairs"), -F.col("s.recall"), *near], "nearest": near, "shortest": [F.col("n_chars"), *near]}
+    tokens, pairs, last = [-F.col("s.tokens")], [-F.col("s.pairs"), -F.col("s.recall")], [F.col("anchor_rank"), F.col("n_chars")]
+    strategies = {"lexical": [*tokens, *pairs, *last], "pairs_first": [*pairs, *tokens, *last], "nearest": near}
     return evaluation.what_if_changes(evaluation.what_if(scored, strategies, held), "lexical")
 
 
@@ -356,7 +357,7 @@ f0 AS (SELECT wf.query_id, fact_id, evidence_id, min(o) AS o FROM wf JOIN i0 i U
 nh AS (SELECT query_id, count(*) AS hits FROM bm GROUP BY 1),
 i1 AS (SELECT best.query_id, hits + row_number() OVER (PARTITION BY best.query_id ORDER BY anchor_rank, abs(page_distance), page_distance, best.chunk_index, best.chunk_id) AS o, best.chunk_id, ck.pdf_page, length(ck.text) AS n_chars
   FROM best JOIN nh USING (query_id) JOIN ck USING (chunk_id) WHERE best.n = 1),
-cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr
+cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, length(text), chunk_id) AS sr
   FROM sc5 WHERE query_id NOT IN (SELECT query_id FROM f0)),
 fold AS (SELECT query_id, 0::BIGINT AS sr, NULL::VARCHAR AS chunk_id, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, FALSE AS took FROM (SELECT DISTINCT query_id FROM cand)
   UNION ALL SELECT c.query_id, c.sr, c.chunk_id, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END, items < 2 AND c.n_chars <= room
@@ -387,8 +388,9 @@ SELECT o.strategy, o.queries, o.resolved, round(o.resolved / o.queries, 6) AS re
   CASE WHEN b.evidences > 0 THEN round(o.evidences / b.evidences, 6) END AS evidence_ratio FROM o JOIN o b ON b.strategy = 'plain'""",
     "d4_what_if": f"""WITH RECURSIVE {_bm25_sql(5)}{GOLD}, {EXPAND}, {RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, ck.doc_id, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")},
 o AS (SELECT query_id, chunk_id, length(text) AS n_chars, strategy, EXISTS (SELECT 1 FROM gold g WHERE g.query_id = sc4.query_id AND g.doc_id = sc4.doc_id) AS held,
-  row_number() OVER (PARTITION BY strategy, query_id ORDER BY CASE strategy WHEN 'lexical' THEN -tokens WHEN 'shortest' THEN length(text) END, CASE strategy WHEN 'lexical' THEN -pairs END, CASE strategy WHEN 'lexical' THEN -recall END, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr
-  FROM sc4, (VALUES ('lexical'), ('nearest'), ('shortest')) v(strategy)),
+  row_number() OVER (PARTITION BY strategy, query_id ORDER BY CASE strategy WHEN 'lexical' THEN -tokens WHEN 'nearest' THEN anchor_rank ELSE -pairs END, CASE strategy WHEN 'lexical' THEN -pairs WHEN 'nearest' THEN abs(page_distance) ELSE -recall END,
+    CASE strategy WHEN 'lexical' THEN -recall WHEN 'nearest' THEN chunk_index ELSE -tokens END, CASE WHEN strategy <> 'nearest' THEN anchor_rank END, CASE WHEN strategy <> 'nearest' THEN length(text) END, chunk_id) AS sr
+  FROM sc4, (VALUES ('lexical'), ('nearest'), ('pairs_first')) v(strategy)),
 fold AS (SELECT strategy, query_id, 0::BIGINT AS sr, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, FALSE AS hit FROM (SELECT DISTINCT strategy, query_id FROM o)
   UNION ALL SELECT c.strategy, c.query_id, c.sr, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END, hit OR (items < 2 AND c.n_chars <= room AND held)
   FROM fold f JOIN o c ON c.strategy = f.strategy AND c.query_id = f.query_id AND c.sr = f.sr + 1),
@@ -414,7 +416,7 @@ FROM embeddings GROUP BY label""",
     "r4_lexical_rerank": f"""WITH {_bm25_sql(20)}, {RERANK.format(source="SELECT bm.query_id, bm.chunk_id, bm.rank AS rrf_rank, b.text AS query, ck.text FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN ck USING (chunk_id)")}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, rrf_rank, chunk_id) AS rank, chunk_id, rrf_rank, tokens, pairs, recall FROM sc4 QUALIFY rank <= 5""",
     "x6_context_budget": f"""WITH RECURSIVE {_bm25_sql(5)}, {EXPAND}, {RERANK.format(source="SELECT best.query_id, best.chunk_id, best.chunk_index, anchor_rank, page_distance, b.text AS query, ck.text FROM best JOIN benchmark b ON b.item_id = best.query_id JOIN ck USING (chunk_id) WHERE n = 1")},
-cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, abs(page_distance), chunk_index, chunk_id) AS sr FROM sc4),
+cand AS (SELECT query_id, chunk_id, length(text) AS n_chars, row_number() OVER (PARTITION BY query_id ORDER BY tokens DESC, pairs DESC, recall DESC, anchor_rank, length(text), chunk_id) AS sr FROM sc4),
 fold AS (SELECT query_id, 0::BIGINT AS sr, NULL::VARCHAR AS chunk_id, 0::BIGINT AS n_chars, 0 AS items, 1600::BIGINT AS room, NULL::VARCHAR AS decision FROM (SELECT DISTINCT query_id FROM cand)
   UNION ALL SELECT c.query_id, c.sr, c.chunk_id, c.n_chars, items + (items < 2 AND c.n_chars <= room)::INT, CASE WHEN items < 2 AND c.n_chars <= room THEN room - c.n_chars ELSE room END,
   CASE WHEN items >= 2 THEN 'item_budget' WHEN c.n_chars <= room THEN 'selected' ELSE 'char_budget' END FROM fold f JOIN cand c ON c.query_id = f.query_id AND c.sr = f.sr + 1)

@@ -85,10 +85,15 @@ def write_by_report(cases: DataFrame, path: str, key: str = "report_id") -> None
     cases.withColumn("_part", parts).repartition(key, "_part").drop("_part").write.partitionBy(key).mode("errorifexists").json(path)
 
 
+#: What the checksum of a chunk dataset covers.
+CHUNK_FIELDS = ("chunk_id", "report_id", "company_id", "document_id", "text")
+
+
 def chunk_manifest_violations(chunks: DataFrame, manifests: DataFrame) -> DataFrame:
     """chunks(dataset_id, report_id, company_id, document_id, chunk_id, text), manifests(dataset_id, report_id, company_id,
-    document_id, chunk_count, char_total) -> dataset_id, rule_id: counts and totals, repeated ids, chunks of another
-    report, company or document, datasets without a manifest or without chunks."""
+    document_id, chunk_count, char_total[, checksum]) -> dataset_id, rule_id: counts and totals, repeated ids, chunks of another
+    report, company or document, datasets without a manifest or without chunks; with a checksum, as checksum() makes it over
+    CHUNK_FIELDS by dataset, contents that differ from it."""
     ids = ("report_id", "company_id", "document_id")
     sums = chunks.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
     twice = chunks.groupBy("dataset_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dataset_id", F.lit("repeated_chunk_id").alias("rule_id")).distinct()
@@ -98,6 +103,9 @@ def chunk_manifest_violations(chunks: DataFrame, manifests: DataFrame) -> DataFr
     seen = chunks.select("dataset_id", *ids).distinct().join(own, "dataset_id")
     other = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), f"other_{c}") for c in ids])
     whole = both.select("dataset_id", F.explode(F.array_compact(rules)).alias("rule_id"))
+    if "checksum" in manifests.columns:
+        now = checksum(chunks, list(CHUNK_FIELDS), ["dataset_id"]).select("dataset_id", F.col("checksum").alias("now"))
+        whole = whole.unionByName(manifests.select("dataset_id", "checksum").join(now, "dataset_id").filter("NOT checksum <=> now").select("dataset_id", F.lit("checksum").alias("rule_id")))
     return whole.unionByName(twice).unionByName(seen.select("dataset_id", F.explode(F.array_compact(other)).alias("rule_id")).distinct())
 
 
@@ -112,6 +120,40 @@ def register_files(spark, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("file_size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def register_documents(files: DataFrame, reports: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """files(path, file_size_bytes, sha256) of register_files(), reports(report_id, source_path, expected_pdf_page_count),
+    page_counts(path, pdf_page_count) -> one manifest row for each report: its document id (of report and hash), file name, page
+    counts, page_count_status (matched, mismatched, or not_checked where a count is missing) and validation_status: valid if
+    matched, else blocked. A report whose file is not there is blocked without an id; files of no report give no row."""
+    own = files.join(page_counts, "path", "left").withColumnRenamed("path", "source_path")
+    rows = reports.select("report_id", "source_path", "expected_pdf_page_count").join(own, "source_path", "left")
+    both = F.col("pdf_page_count").isNotNull() & F.col("expected_pdf_page_count").isNotNull()
+    status = F.when(~both, "not_checked").when(F.col("pdf_page_count") == F.col("expected_pdf_page_count"), "matched").otherwise("mismatched")
+    return rows.select(
+        F.concat(F.lit("doc_"), "report_id", F.lit("_"), F.substring("sha256", 1, 24)).alias("document_id"), "report_id", "source_path", F.substring_index("source_path", "/", -1).alias("source_filename"), "sha256", "file_size_bytes",
+        "pdf_page_count", "expected_pdf_page_count", status.alias("page_count_status"), F.when(status == "matched", "valid").otherwise("blocked").alias("validation_status"),
+    )
+
+
+def find_manifests(spark: SparkSession, root: str, schema: str, name: str = "manifest.json") -> DataFrame:
+    """The manifests under a folder, each a JSON file of its own: its folder, and its fields (null where it can't be read)."""
+    found = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root)
+    return found.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"), "*")
+
+
+def export_pages(wanted: DataFrame, pages: DataFrame, path: str) -> int:
+    """Write the text of wanted(report_id, pdf_page) as text files, a folder a report, pages in order under headings. Nothing is
+    written where pages are missing: that is an error that names their number; missing_pages() lists them."""
+    missing = missing_pages(wanted, pages).count()
+    if missing:
+        raise ValueError(f"{missing} pages are missing")
+    rows = pages.join(wanted.select("report_id", "pdf_page").distinct(), ["report_id", "pdf_page"], "left_semi")
+    text = F.concat(F.lit("===== "), "report_id", F.lit(" page "), F.col("pdf_page").cast("string"), F.lit(" =====\n"), F.coalesce("text", F.lit("")))
+    shown = rows.select("report_id", "pdf_page", text.alias("value")).repartition("report_id").sortWithinPartitions("report_id", "pdf_page")
+    shown.drop("pdf_page").write.mode("errorifexists").partitionBy("report_id").text(path)
+    return rows.count()
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
@@ -131,6 +173,20 @@ def append_missing(dimension: DataFrame, rows: DataFrame, key: str) -> tuple[Dat
     return dimension.unionByName(new), clash
 
 
+def append_all_or_none(dimension: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The dimension with new rows: none of their keys is there (they are added), or all are, with the same values (nothing
+    changes). Some, or other values, are an error: a half-done merge must be seen, not completed."""
+    total = rows.count()
+    present = rows.join(dimension.select(key).distinct(), key, "left_semi").count()
+    if present == 0:
+        return dimension.unionByName(rows.select(*dimension.columns))
+    if present < total:
+        raise ValueError(f"{present} of {total} keys are there already")
+    if not rows.select(*dimension.columns).exceptAll(dimension).isEmpty():
+        raise ValueError("keys are there with other values")
+    return dimension
+
+
 def missing_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """Requested (report_id, pdf_page) that are not there."""
     return wanted.join(pages.select("report_id", "pdf_page"), ["report_id", "pdf_page"], "left_anti")

@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from quarry.operators import evaluation, integrity, pages
+from quarry.operators import context, evaluation, integrity, pages, vectors
 from quarry.sources import datasets
 
 CASE = (
@@ -74,3 +74,63 @@ def test_strategies_against_a_baseline(spark):
     chunks = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "chunk_id string, n_chars int")
     got = {r["strategy"]: tuple(r)[1:] for r in evaluation.strategy_comparison(traces, chunks, "plain").collect()}
     assert got == {"plain": (2, 1, 0.5, 30, 1, 0, 0.0, 1.0), "wide": (2, 2, 1.0, 80, 3, 1, 1.666667, 3.0), "none": (1, 0, 0.0, 0, 0, -1, -1.0, 0.0)}
+
+
+def test_documents_of_files(spark, tmp_path):
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    for name in ("a.pdf", "x/b.pdf", "x/stray.pdf"):
+        (tmp_path / "in" / name).write_bytes(name.encode())
+    files = datasets.register_files(spark, f"file://{tmp_path}/in", "*.pdf")
+    at = {r["path"].rsplit("/", 1)[-1]: r["path"] for r in files.collect()}
+    reports = spark.createDataFrame([("r1", at["a.pdf"], 3), ("r2", at["b.pdf"], 3), ("r3", "file:/none.pdf", 1), ("r4", at["a.pdf"], None)], "report_id string, source_path string, expected_pdf_page_count int")
+    counts = spark.createDataFrame([(at["a.pdf"], 3), (at["b.pdf"], 4)], "path string, pdf_page_count int")
+    made = datasets.register_documents(files, reports, counts)
+    got = {r["report_id"]: (r["page_count_status"], r["validation_status"], r["source_filename"]) for r in made.collect()}
+    assert got == {"r1": ("matched", "valid", "a.pdf"), "r2": ("mismatched", "blocked", "b.pdf"), "r3": ("not_checked", "blocked", "none.pdf"), "r4": ("not_checked", "blocked", "a.pdf")}
+    assert {r["document_id"] for r in made.filter("report_id = 'r1'").collect()} == {f"doc_r1_{hashlib.sha256(b'a.pdf').hexdigest()[:24]}"}
+    assert integrity.broken_rows(made, "documents", "report_id", integrity.DOCUMENT_RULES).count() == 0
+
+
+def test_manifests_exports_and_merges(spark, tmp_path):
+    for name, text in (("a", '{"report_id": "r1",\n "n": 2}'), ("b/c", '{"report_id": "r2"}')):
+        (tmp_path / "root" / name).mkdir(parents=True)
+        (tmp_path / "root" / name / "manifest.json").write_text(text)
+    found = datasets.find_manifests(spark, f"file://{tmp_path}/root", "report_id string, n int").collect()
+    assert sorted((r["folder"].rsplit("/root/", 1)[1], r["report_id"], r["n"]) for r in found) == [("a", "r1", 2), ("b/c", "r2", None)]
+    own = spark.createDataFrame([("r1", 2, "two"), ("r1", 1, "one"), ("r2", 1, None)], "report_id string, pdf_page int, text string")
+    assert datasets.export_pages(own.select("report_id", "pdf_page"), own, f"file://{tmp_path}/out") == 3
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out" / "report_id=r1").glob("*.txt")))
+    assert text == "===== r1 page 1 =====\none\n===== r1 page 2 =====\ntwo\n"
+    with pytest.raises(ValueError, match="1 pages are missing"):
+        datasets.export_pages(spark.createDataFrame([("r1", 9)], "report_id string, pdf_page int"), own, f"file://{tmp_path}/none")
+    dim = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    more = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    assert datasets.append_all_or_none(dim, more(("c", 3)), "k").count() == 3 and datasets.append_all_or_none(dim, more(("a", 1)), "k").count() == 2
+    for bad in (more(("a", 1), ("c", 3)), more(("a", 9))):
+        with pytest.raises(ValueError):
+            datasets.append_all_or_none(dim, bad, "k")
+    chunks = spark.createDataFrame([("d", "r", "c", "x", "k1", "text"), ("e", "r", "c", "x", "k1", "text")], "dataset_id string, report_id string, company_id string, document_id string, chunk_id string, text string")
+    sums = datasets.checksum(chunks, list(datasets.CHUNK_FIELDS), ["dataset_id"]).selectExpr("dataset_id", "checksum")
+    manifests = sums.selectExpr("dataset_id", "'r' AS report_id", "'c' AS company_id", "'x' AS document_id", "1 AS chunk_count", "4 AS char_total", "if(dataset_id = 'd', checksum, 'other') AS checksum")
+    assert [tuple(r) for r in datasets.chunk_manifest_violations(chunks, manifests).collect()] == [("e", "checksum")]
+
+
+def test_hints_duplicates_ranges_and_allowed(spark):
+    rows = [(1, "cost of sales", "sales were good", 1, 1, 0, "a", ["net profit"]), (1, "cost of sales", "the Net-Profit grew", 2, 1, 1, "b", ["net profit"]), (1, "cost of sales", "nothing", 3, 1, 2, "c", None)]
+    df = spark.createDataFrame(rows, "query_id int, query string, text string, anchor_rank int, page_distance int, chunk_index int, chunk_id string, hints array<string>")
+    ranks = lambda d: [r["chunk_id"] for r in context.rank_candidates(d).orderBy("selection_rank").collect()]
+    assert ranks(df) == ["b", "a", "c"] and ranks(df.drop("hints")) == ["a", "b", "c"]
+    tied = df.selectExpr("1 AS query_id", "'z' AS query", "chunk_id || text AS text", "1 AS anchor_rank", "chunk_id")
+    assert ranks(tied) == ["c", "a", "b"]  # the shortest first
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "c")], "query_id int, rank int, chunk_id string")
+    chunks = spark.createDataFrame([(c, "r", 1, c * 30) for c in "abc"], "chunk_id string, report_id string, pdf_page int, text string")
+    blocks = context.evidence_blocks(hits, chunks, max_hits=2)
+    assert [(r["rank"], r["citation"], r["chunk_id"]) for r in blocks.orderBy("rank").collect()] == [(1, "E1", "a"), (3, "E2", "b")]
+    assert tuple(context.evidence_counts(hits, blocks).first())[:4] == (1, 1, 2, 1)
+    resolved = spark.createDataFrame([("r", p, "unmapped" if p in (1, 2, 5) else "mapped") for p in range(1, 7)], "report_id string, pdf_page int, mapping_status string")
+    assert sorted(tuple(r) for r in pages.unmapped_ranges(resolved).collect()) == [("r", 1, 2), ("r", 5, 5)]
+    parsed = spark.createDataFrame([("r", 1, "p", "1"), ("r", 2, "p", "2")], "report_id string, pdf_page int, parser_name string, parser_version string")
+    assert [r["rule_id"] for r in pages.completeness_violations(parsed, spark.createDataFrame([("r", 2)], "report_id string, pages int")).collect()] == ["several_parsers"]
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "id long, embedding array<float>")
+    found = vectors.cosine_top_k(v, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<float>"), 2, allowed=spark.createDataFrame([(3,), (4,), (9,)], "id long"))
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [3, 4]
