@@ -42,8 +42,9 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, skip_self:
     vectors, queries = usable(vectors, size), usable(queries, size)
     total = vectors.count(), queries.count()
     vb, qb = (max(1, -(-n // BLOCK_ROWS)) for n in total)
-    v = vectors.select(F.col("id"), "embedding", F.pmod(F.xxhash64("id"), F.lit(vb)).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    q = queries.select(F.col("query_id"), "embedding", F.pmod(F.xxhash64("query_id"), F.lit(qb)).alias("qb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")  # noqa: E731 - both sides of a cogroup are dealt by the hash of one type
+    v = vectors.select(F.col("id"), "embedding", block("id", vb).alias("vb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    q = queries.select(F.col("query_id"), "embedding", block("query_id", qb).alias("qb")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))))
 
     def unit(column: pd.Series) -> np.ndarray:
         x = np.stack(column.to_list()).astype(np.float64)

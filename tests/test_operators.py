@@ -207,6 +207,28 @@ def test_vectors(spark, monkeypatch):
     assert {r.id: r.rule_id for r in vectors.violations(bad, 2).collect()} == {1: "zero_norm", 2: "length", 3: "not_finite", 4: "length"}
 
 
+def test_vector_blocks_meet_in_every_partition(spark, monkeypatch):
+    """Block keys of both sides have one type: else their hashes differ and blocks miss each other wherever a key has a
+    partition of its own."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 5)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = v.filter("id % 6 = 0").withColumnRenamed("id", "query_id")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, x in own.items():
+            spark.conf.set(k, x)
+        got = {(r.query_id, r["rank"]): r.id for r in vectors.cosine_top_k(v, q, 5).collect()}
+    finally:
+        for k, x in was.items():
+            spark.conf.set(k, x)
+    want = {(i, n): j for i, a in rows if i % 6 == 0 for n, j in enumerate(sorted((j for j, _ in rows if j != i), key=lambda j: (-round(cosine(a, rows[j][1]), 9), j))[:5], 1)}
+    assert got == want
+
+
 def test_fusion_and_rerank(spark):
     hits = lambda rows: spark.createDataFrame(rows, "query_id int, rank int, chunk_id string")
     out = fusion.reciprocal_rank_fusion(hits([(1, 1, "a"), (1, 2, "b")]), hits([(1, 1, "b"), (1, 2, "c")]), 3).collect()
