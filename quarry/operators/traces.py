@@ -22,10 +22,10 @@ def routed_search(index: lexical.Index, queries: DataFrame, k: int = 5, candidat
 
     dense(query_id, rank, chunk_id): the other ranking, inside the reports; without one, how many terms a chunk covers.
     Status is ok, mismatch (one ranking is empty) or no_report (the report has no chunks); only ok has hits."""
-    own = lexical.search_report(index, queries, cap)
-    other = lexical.coverage(index, queries.select("query_id", "report_id", "tokens"), cap) if dense is None else dense
+    own = materialize(lexical.search_report(index, queries, cap))  # both rankings are read for the status and for the hits
+    other = materialize(lexical.coverage(index, queries.select("query_id", "report_id", "tokens"), cap)) if dense is None else dense
     fused, status = fusion.hybrid(other, own, queries, candidates, cap=cap)
-    hits = fusion.rerank(fused, queries, index.chunks, k)
+    hits = fusion.rerank(materialize(fused), queries, index.chunks, k)  # few rows meet the texts
     told = F.when(F.col("status") == "empty", "no_report").otherwise(F.col("status"))
     return hits, status.select("query_id", told.alias("status"))
 
