@@ -1,10 +1,11 @@
 """What keeps queries from growing faster than their input: nothing costly is made twice or below a join."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import lexical
-from quarry.plans import finance
+from quarry.plans import finance, retrieval
 
 DATA = "/root/testdata/sf0.001"
 
@@ -39,3 +40,27 @@ def test_index_check_names_each_kind_of_difference(spark, tmp_path):
         ("chunks", "c2", 1, None), ("chunks", "c4", None, 1), ("postings", "c1/a", 2, 1), ("postings", "c2/b", 1, None), ("postings", "c2/c", 1, None), ("postings", "c3/c", None, 1), ("postings", "c3/d", None, 1),
         ("postings", "c4/e", None, 1), ("terms", "b", 2, 1), ("terms", "d", None, 1), ("terms", "e", None, 1),
     }
+
+
+def folder_of(spark, path, texts, questions=((1, "a"),)):
+    """A data folder of documents(doc_id, text, lang, source) and benchmark."""
+    spark.createDataFrame([(i, t, "fr" if i % 3 else "en", f"s{i % 2}", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(questions), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def same_as_sql(spark, path, *names):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    for name in names:
+        df, r = retrieval.QUERIES[name](spark, path), c.sql(retrieval.ORACLES[name])
+        at = [r.columns.index(x) for x in df.columns]
+        close = lambda x: round(x, 6) if isinstance(x, float) else x
+        assert sorted(repr([close(x) for x in row]) for row in df.collect()) == sorted(repr([close(row[i]) for i in at]) for row in r.fetchall()), name
+
+
+def test_chunks_without_a_token_stay_so_in_every_50th_document(spark, tmp_path):
+    path = folder_of(spark, tmp_path, [(i, "\u00e9 \u00e8" if i % 50 == 0 else "a b") for i in range(0, 210, 10)])
+    same_as_sql(spark, path, "b2_input_violations")
+    assert {r["report_id"]: r["chunks"] for r in retrieval.b2_input_violations(spark, path).collect()} == {"s0": 9}
