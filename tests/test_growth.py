@@ -64,3 +64,10 @@ def test_chunks_without_a_token_stay_so_in_every_50th_document(spark, tmp_path):
     path = folder_of(spark, tmp_path, [(i, "\u00e9 \u00e8" if i % 50 == 0 else "a b") for i in range(0, 210, 10)])
     same_as_sql(spark, path, "b2_input_violations")
     assert {r["report_id"]: r["chunks"] for r in retrieval.b2_input_violations(spark, path).collect()} == {"s0": 9}
+
+
+def test_chunks_make_a_pages_text_once(spark, tmp_path):
+    path = folder_of(spark, tmp_path, [(1, "a\r\nb"), (2, ""), (3, None)])
+    plan = retrieval.texts(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 5 and "Filter" in plan  # of one normalisation
+    assert [tuple(r) for r in retrieval.texts(spark, path).collect()] == [("000000000001_00000", "a\nb")]
