@@ -68,6 +68,7 @@ def test_chunks_without_a_token_stay_so_in_every_50th_document(spark, tmp_path):
 
 def test_chunks_make_a_pages_text_once(spark, tmp_path):
     path = folder_of(spark, tmp_path, [(1, "a\r\nb"), (2, ""), (3, None)])
-    plan = retrieval.texts(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    made = retrieval.texts(spark.read.parquet(f"{path}/documents.parquet"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 5 and "Filter" in plan  # of one normalisation
-    assert [tuple(r) for r in retrieval.texts(spark, path).collect()] == [("000000000001_00000", "a\nb")]
+    assert [tuple(r) for r in made.collect()] == [("000000000001_00000", "a\nb")]
